@@ -8,7 +8,8 @@ cell walls that are crossed; candidates of all tables are merged and reranked on
 Scaling. Equal vectors are indexed once, with their smallest ids (more can never be among the nearest), so a
 group of copies costs one candidate. The index is split by vector, not by cell: every block holds a bounded
 number of vectors of all cells, so no cell is hot, and blocks of queries meet blocks of vectors; a meeting
-returns at most k rows a query. The number of probes is fitted to a wanted recall on a bounded sample.
+returns at most k rows a query. Cell width and number of
+probes are fitted to a wanted recall on a bounded sample.
 Queries that find fewer than k vectors are searched again exhaustively, in the same blocks.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, saved
 
-#: Tables, directions of a table, cell width (vectors are scaled into the unit ball) and seed.
-TABLES, DIRECTIONS, WIDTH, SEED = 4, 6, 1.0, 5
+#: Tables, directions of a table, cell widths to choose from (vectors are scaled into the unit ball) and seed.
+TABLES, DIRECTIONS, WIDTHS, SEED = 4, 6, (0.7, 1.0, 1.5, 2.0, 3.0), 5
 #: Bound of the sample that the number of probes is fitted on, its queries, and the recall wanted there.
 SAMPLE_VECTORS, SAMPLE_QUERIES, WANTED = 8192, 128, 0.96
 BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 20_000
@@ -59,9 +60,9 @@ class Index:
             out = out * np.int64(1_000_003) + at[..., i]
         return out
 
-    def visited(self, queries: np.ndarray, probes: int | None = None) -> np.ndarray:
+    def visited(self, queries: np.ndarray) -> np.ndarray:
         """Cells (query, table, probe) in estimated order of success."""
-        n = min(probes or self.probes, 3**self.per_table)
+        n = min(self.probes, 3**self.per_table)
         x = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         place = self.projected(np.concatenate([x, np.zeros((len(x), 1))], 1)).reshape(len(x), -1, self.per_table)
         floor = np.floor(place)
@@ -72,35 +73,45 @@ class Index:
         return self._numbered(floor.astype(np.int64)[:, :, None, :] + moves[best])
 
 
-def nearest(index: Index, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, probes: int | None = None, exact: bool = False):
-    """For each query: positions and scores of its k best candidates among the block's vectors, ties by id."""
-    tables = []
-    if not exact:
+class Tables:
+    """The vectors of a block, by their cells in every table."""
+
+    def __init__(self, index: Index, vectors: np.ndarray):
+        self.index, self.n = index, len(vectors)
         cells = index.cells(vectors)
-        for t in range(cells.shape[1]):
-            order = np.argsort(cells[:, t], kind="stable")
-            tables.append((order, cells[order, t]))
+        orders = [np.argsort(c, kind="stable") for c in cells.T]
+        self.tables = [(o, c[o]) for o, c in zip(orders, cells.T)]
+
+    def candidates(self, visits: np.ndarray) -> np.ndarray:
+        """Positions of the vectors in the visited cells (table by probe), each once."""
+        seen = np.zeros(self.n, bool)
+        for (order, cells), visit in zip(self.tables, visits):
+            lo = np.searchsorted(cells, visit, "left")
+            size = np.searchsorted(cells, visit, "right") - lo
+            lo, size = lo[size > 0], size[size > 0]
+            seen[order[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]] = True
+        return np.flatnonzero(seen)
+
+
+def best_of(vectors: np.ndarray, ids: np.ndarray, found: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the found positions, and their scores; ties by id."""
+    rough = vectors[found] @ q
+    if len(found) > k:
+        floor = np.partition(rough, -k)[-k]
+        found = found[rough >= floor - 1e-9 * max(1.0, abs(floor))]
+    score = (vectors[found] * q).sum(1)
+    best = np.lexsort((ids[found], -score))[:k]
+    return found[best], score[best]
+
+
+def nearest(index: Index, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, exact: bool = False):
+    """For each query: positions and scores of its k best candidates among the block's vectors."""
+    tables = None if exact else Tables(index, vectors)
     for at in range(0, len(queries), 128):
         part = queries[at : at + 128]
-        visits = None if exact else index.visited(part, probes)
-        for j, q in enumerate(part):
-            if exact:
-                found = np.arange(len(vectors))
-            else:
-                seen = np.zeros(len(vectors), bool)
-                for t, (order, sorted_cells) in enumerate(tables):
-                    lo = np.searchsorted(sorted_cells, visits[j, t], "left")
-                    size = np.searchsorted(sorted_cells, visits[j, t], "right") - lo
-                    lo, size = lo[size > 0], size[size > 0]
-                    seen[order[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]] = True
-                found = np.flatnonzero(seen)
-            rough = vectors[found] @ q
-            if len(found) > k:
-                floor = np.partition(rough, -k)[-k]
-                found = found[rough >= floor - 1e-9 * max(1.0, abs(floor))]
-            score = (vectors[found] * q).sum(1)
-            best = np.lexsort((ids[found], -score))[:k]
-            yield found[best], score[best]
+        visits = part if exact else index.visited(part)
+        for q, visit in zip(part, visits):
+            yield best_of(vectors, ids, np.arange(len(vectors)) if exact else tables.candidates(visit), q, k)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -112,26 +123,31 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return fine
 
 
-def fit(distinct: DataFrame, dim: int, largest: float, n: int, k: int, tables: int = TABLES, directions: int = DIRECTIONS, width: float = WIDTH, wanted: float = WANTED, seed: int = SEED) -> Index:
-    """Index parameters; the number of probes is the least that reaches the wanted recall on the sample."""
+def fit(distinct: DataFrame, dim: int, largest: float, n: int, k: int, tables: int = TABLES, directions: int = DIRECTIONS, widths: tuple[float, ...] = WIDTHS, wanted: float = WANTED, seed: int = SEED) -> Index:
+    """Index parameters: of the cell widths and numbers of probes that reach the wanted recall on the sample,
+    those that visit the fewest vectors; if none does, those of the best recall."""
     rng = np.random.default_rng(seed)
-    index = Index(dim, largest, rng.normal(size=(dim + 1, tables * directions)), rng.uniform(0, width, tables * directions), directions, width, 3**directions)
+    normal, uniform = rng.normal(size=(dim + 1, tables * directions)), rng.uniform(0, 1, tables * directions)
     share = min(1.0, SAMPLE_VECTORS / max(1, n))
     rows = distinct.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vid", "v").limit(2 * SAMPLE_VECTORS).toPandas()
-    if not len(rows):
-        return index
-    rows = rows.sort_values("vid")
-    vectors, ids = np.stack(rows["v"]), rows["vid"].to_numpy()
-    queries = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)]
-    truth = [set(found.tolist()) for found, _ in nearest(index, vectors, ids, queries, k, exact=True)]
-    probes = 4
-    while probes < 3**directions:
-        got = nearest(index, vectors, ids, queries, k, probes)
-        if np.mean([len(t & set(found.tolist())) / len(t) for t, (found, _) in zip(truth, got)]) >= wanted:
-            break
-        probes *= 2
-    index.probes = min(probes, 3**directions)
-    return index
+    tried = []
+    if len(rows):
+        rows = rows.sort_values("vid")
+        vectors, ids = np.stack(rows["v"]), rows["vid"].to_numpy()
+        queries = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)]
+        truth = [found for found, _ in nearest(None, vectors, ids, queries, k, exact=True)]
+        for width in widths:
+            index = Index(dim, largest, normal, uniform * width, directions, width, 3**directions)
+            built, order, probes = Tables(index, vectors), index.visited(queries), 8
+            while True:
+                found = [built.candidates(v[:, :probes]) for v in order]
+                recall = float(np.mean([np.isin(t, f).mean() for t, f in zip(truth, found)]))
+                tried.append((recall >= wanted, -sum(map(len, found)) if recall >= wanted else recall, width, probes))
+                if recall >= wanted or probes >= 3**directions:
+                    break
+                probes = min(2 * probes, 3**directions)
+    _, _, width, probes = max(tried, default=(False, 0, widths[0], 3**directions))
+    return Index(dim, largest, normal, uniform * width, directions, width, probes)
 
 
 def _meet(distinct: DataFrame, queries: DataFrame, index: Index, n_vectors: int, n_queries: int, k: int, exact: bool) -> DataFrame:

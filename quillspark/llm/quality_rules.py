@@ -78,7 +78,7 @@ def too_many_symbols(d: Doc) -> bool:
 
 
 def repeated_lines(d: Doc) -> bool:
-    return 10 * d.n_dup_lines > 3 * d.n_lines
+    return 2 * d.n_dup_lines > d.n_lines
 
 
 def shouting(d: Doc) -> bool:
@@ -96,8 +96,8 @@ def one_word_rules(d: Doc) -> bool:
 
 
 def few_letters(d: Doc) -> bool:
-    """Words without an ASCII letter or a byte of a longer character make up a third or more."""
-    return 3 * sum(w.translate(None, LETTERS) == w and w.isascii() for w in d.words) >= len(d.words)
+    """Words without an ASCII letter or a byte of a longer character make up half or more."""
+    return 2 * sum(w.translate(None, LETTERS) == w and w.isascii() for w in d.words) >= len(d.words)
 
 
 RULES: dict[str, Callable[[Doc], bool]] = {

@@ -20,9 +20,9 @@ f AS (
   FROM d JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN top USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR 2 * upper_ > letters
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * upper_ > letters
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR (n_words >= 20 AND 10 * most > 3 * n_words)
-       OR 3 * bare >= n_words) AS kept
+       OR 2 * bare >= n_words) AS kept
 FROM b
 """
 

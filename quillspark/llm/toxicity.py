@@ -31,6 +31,8 @@ TRAIN_ROWS = {1: 1500, 0: 3000}
 THRESHOLD = 0.7
 SHARED_BYTES, CONTRAST_STRINGS, LEAST_RATIO, LEAST_DOCS = 6000, 64, 15.0, 5
 LENGTHS = range(5, 10)
+#: A window that repeats in a text counts so often at most.
+MOST_EACH = 3
 BEFORE, AFTER = bytes(range(1, 13)), bytes(range(13, 29))
 REMEMBERED = 400_000
 
@@ -84,7 +86,8 @@ class Model:
     def rate(self, text: str, least: int | None = None) -> float:
         words = lower_words(text)
         least = self.least_gain if least is None else least
-        return sum(g >= least for g in self.gains(words)) / math.sqrt(len(words) + 60)
+        hits = Counter(w for w, g in zip(words, self.gains(words)) if g >= least)
+        return sum(min(n, MOST_EACH) for n in hits.values()) / math.sqrt(len(words) + 60)
 
     def score(self, text: str) -> float:
         return float(np.clip(np.interp(self.rate(text), self.nodes, self.values), 0.0, 1.0))
@@ -115,10 +118,11 @@ def contrast(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[byte
     ranked = sorted(((ratio(a[s], b[s]), s) for s in telling), key=lambda x: (-x[0], x[1]))
     picked: list[bytes] = []
     for value, s in ranked:
-        if value < LEAST_RATIO or len(picked) >= CONTRAST_STRINGS:
+        if value < LEAST_RATIO:
             break
-        if not any(s.startswith(q) or q.startswith(s) for q in picked):
-            picked.append(s)
+        if not any(s.startswith(q) for q in picked):
+            picked = [q for q in picked if not q.startswith(s)] + [s]  # a start stands for all that go on from it
+    picked = picked[:CONTRAST_STRINGS]
     longer = []
     for q in picked:  # the longest string that nearly as many toxic documents have
         longer.append(max((s for s in telling if s.startswith(q) and a[s] >= 0.9 * a[q]), key=lambda s: (len(s), s), default=q))
