@@ -29,7 +29,7 @@ from .common import prepare, saved
 TABLES, DIRECTIONS, WIDTHS, SEED = 4, 6, (0.7, 1.0, 1.5, 2.0, 3.0), 5
 #: Bound of the sample that the number of probes is fitted on, its queries, and the recall wanted there.
 SAMPLE_VECTORS, SAMPLE_QUERIES, WANTED = 8192, 128, 0.96
-BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 20_000
+BLOCK_VECTORS, BLOCK_QUERIES, LEAST_QUERY_BLOCKS = 50_000, 20_000, 4
 
 
 @dataclass
@@ -151,9 +151,9 @@ def fit(distinct: DataFrame, dim: int, largest: float, n: int, k: int, tables: i
 
 
 def _meet(distinct: DataFrame, queries: DataFrame, index: Index, n_vectors: int, n_queries: int, k: int, exact: bool) -> DataFrame:
-    spark = distinct.sparkSession
-    vb = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_vectors // BLOCK_VECTORS))
-    qb = max(1, -(-n_queries // BLOCK_QUERIES))
+    # numbers of blocks follow the rows only: each meeting returns k rows a query
+    vb = max(1, -(-n_vectors // BLOCK_VECTORS))
+    qb = max(LEAST_QUERY_BLOCKS, -(-n_queries // BLOCK_QUERIES))
     left = distinct.select("vid", "v", F.pmod(F.xxhash64("vid"), F.lit(vb)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("j"))
     right = queries.select("qid", "v", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("i"), F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int").alias("j"))
 
