@@ -6,8 +6,9 @@ family lacks goes on to the parent's siblings. Each leaf then takes a token pref
 epochs first, then the documents of one more in the order of a seeded hash.
 
 Scaling. Budgets are solved on one row a leaf. A prefix needs no sort of its leaf: tokens are summed by the
-first DIGITS hex digits of the hash (map-side first), the sums of one leaf are at most 16**DIGITS rows, and
-only the documents of the single bucket in which the budget ends are ordered.
+first hex digits of the hash (map-side first), then once more inside the bucket in which the budget ends; the
+sums of one leaf are at most 16**DIGITS rows a round, and only the documents of the last round's bucket, one in
+16**(DIGITS * ROUNDS), are ordered.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
-DIGITS = 3
+#: Hex digits of the hash that one round of narrowing sums by, and rounds.
+DIGITS, ROUNDS = 2, 2
 LEVELS = ("domain", "lang", "source")
 
 
@@ -57,7 +59,7 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str,
     return last.select(*LEVELS, "tokens", F.floor(F.col("share") + F.lit(1e-6)).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float = 1.0, max_epochs: int = 4, seed: int = 1, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float = 1.0, max_epochs: int = 4, seed: int = 1, digits: int = DIGITS, levels: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, each row as often as it is drawn, with a struct ``__mix``: domain, lang, source, epoch (from 1),
     n_tokens (words) and take_tokens (less than n_tokens only where the leaf's budget ends in the document).
 
@@ -66,7 +68,6 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
     place in the order is before the end of the budget. Rows with equal ids (or null ids) are ordered by their
     tokens; equal rows are documents of their own. Other columns are carried along; empty table: no rows.
     """
-    docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     leaf = F.struct(domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"))
     tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     narrow = saved(docs.select(F.col(id_col).cast("string").alias("id"), leaf.alias("leaf"), tokens.alias("n_tokens")).select("id", "leaf.*", "n_tokens"))
@@ -79,12 +80,17 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
     def order(id_: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.coalesce(id_, F.lit(""))))
 
-    keyed = narrow.join(plan.where("rest > 0"), list(LEVELS)).withColumn("bucket", F.substring(order(F.col("id")), 1, digits))
-    sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
-    upward = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("end", F.sum("t").over(upward)).where("end >= rest")
-    cuts = ends.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("end") - F.col("t")).alias("start"))).alias("cut"))
-    plan = saved(plan.join(cuts, list(LEVELS), "left").select(F.struct(*LEVELS).alias("leaf"), "whole", "rest", "cut.bucket", "cut.start"))
+    plan = plan.withColumns({"prefix": F.lit(""), "start": F.lit(0).cast("long")})
+    for depth in range(digits, digits * levels + 1, digits):
+        open_ = plan.where("rest > 0").select(*LEVELS, "whole", "rest", "prefix", "start")
+        inside = narrow.join(open_, list(LEVELS)).withColumn("key", order(F.col("id"))).where(F.col("key").startswith(F.col("prefix")))
+        sums = inside.groupBy(*LEVELS, "rest", "start", F.substring("key", 1, depth).alias("bucket")).agg(F.sum("n_tokens").alias("t"))
+        upward = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ends = sums.withColumn("end", F.col("start") + F.sum("t").over(upward)).where("end >= rest")
+        cuts = ends.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("end") - F.col("t")).alias("start"))).alias("cut"))
+        plan = saved(plan.drop("prefix", "start").join(cuts, list(LEVELS), "left").select(*LEVELS, "whole", "rest", F.col("cut.bucket").alias("prefix"), F.col("cut.start").alias("start")))
+    plan = plan.select(F.struct(*LEVELS).alias("leaf"), "whole", "rest", F.col("prefix").alias("bucket"), "start")
+    digits *= levels
 
     named = [F.col(c) for c in docs.columns]
     rows = docs.select(F.struct(*named).alias("__row"), leaf.alias("leaf"), F.col(id_col).cast("string").alias("id"), tokens.alias("n_tokens")).join(plan, "leaf").withColumn("key", order(F.col("id")))
