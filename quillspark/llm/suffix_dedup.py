@@ -29,10 +29,10 @@ from .common import prepare, saved, text_bytes, unique_key
 MIN_LEN = 100
 SEED_LEN = 32
 #: Bytes hashed at once; positions within fit the low POS_BITS of a sort key.
-PIECE = 1 << 21
+PIECE = 1 << 19
 POS_BITS = 24
 #: Bytes of text of one transform.
-TRANSFORM_BYTES = 1 << 20
+TRANSFORM_BYTES = 1 << 19
 HOT_BLOCKS = 4000
 
 U = np.uint64
