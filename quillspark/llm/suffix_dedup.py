@@ -49,7 +49,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << (n - 1).bit_length())
+    size = max([PIECE + 1, n, *_powers])  # a larger table serves as well
     if size not in _powers:
         up, down = np.full(size + 1, MULT, np.uint64), np.full(size + 1, MULT_INV, np.uint64)
         up[0] = down[0] = 1
