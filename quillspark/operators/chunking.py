@@ -177,6 +177,16 @@ def section_ids(lines: DataFrame, page: str, pos: str, starts: str, title: str)
     return out.withColumn("section_title", F.coalesce(F.last(F.when(F.col(starts), F.col(title)), ignorenulls=True).over(order), F.lit("")))
 
 
+def split_tables(tables: DataFrame, markdown: str = "markdown", target: int = 1500) -> DataFrame:
+    """tables with ``parts``: rows packed greedily up to the target, under the header each time."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: split_table(x or "", target))
+
+    return tables.withColumn("parts", run(markdown))
+
+
 def pack_lines(docs: DataFrame, text: str = "text", target: int = 1500) -> DataFrame:
     """docs with ``parts``: lines packed greedily up to the target."""
 

@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+#: Rows that one task numbers at most, about.
+SLICE = 1_000_000
+
+
+def numbered(rows: DataFrame, group: str, order: str, out: str = "chunk_index", slice_rows: int = SLICE) -> DataFrame:
+    """rows with ``out``, the place from 0 within their group by a numeric ``order`` (nulls first, one group if null).
+
+    A group may hold a third of all rows, so it is cut at quantiles of the order: each slice is numbered alone, and
+    starts at the summed sizes of the group's slices before it. Rows that tie are numbered in no defined order.
+    """
+    n = -(-rows.count() // slice_rows)
+    cuts = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(order))) if cuts else F.lit(0)
+    cut = rows.withColumn("__slice", F.when(F.col(order).isNull(), F.lit(0)).otherwise(at))
+    within = cut.withColumn(out, F.row_number().over(Window.partitionBy(group, "__slice").orderBy(order)) - 1)
+    if not cuts:
+        return within.drop("__slice")
+    before = Window.partitionBy("__group").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(F.col(group).alias("__group"), F.col("__slice").alias("__s")).agg(F.count("*").alias("__n"))
+    starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    placed = within.join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__slice") == F.col("__s")))
+    return placed.withColumn(out, (F.col(out) + F.col("__start")).cast("int")).drop("__slice", "__group", "__s", "__start")
+
+
 def deduplicate(chunks: DataFrame, text: str = "text", source: str = "source_file", order: str = "ord") -> DataFrame:
     """First row of each text in ``order``, with ``alt_sources``: the later rows' sources in order, joined by ``;``.
 
@@ -42,8 +66,10 @@ def junk(chunks: DataFrame, least: int = 200, page: str = "source_file") -> Colu
 
 
 def without_junk(chunks: DataFrame, least: int = 200, page: str = "source_file") -> DataFrame:
-    counted = chunks.withColumn("page_chunks", F.count("*").over(Window.partitionBy(page)))
-    return counted.where(~junk(counted, least, page)).drop("page_chunks")
+    """chunks without junk. Pages are counted map-side and joined, so that a page of many chunks is no single task."""
+    pages = chunks.groupBy(F.col(page).alias("__page")).agg(F.count("*").alias("page_chunks"))
+    counted = chunks.join(pages, F.col(page).eqNullSafe(F.col("__page")))
+    return counted.where(~junk(counted, least, page)).drop("page_chunks", "__page")
 
 
 def to_documents(chunks: DataFrame) -> DataFrame:
@@ -97,5 +123,13 @@ def size_histogram(chunks: DataFrame, size: str = "char_count") -> DataFrame:
     return names.join(counts, "label", "left").select("bucket", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counters(chunks: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
+    """One row: chunks, those that stop patterns remove, copies removed of the rest, and those left."""
+    rest = without(chunks, patterns, text)
+    left = rest.agg(F.count("*").alias("__rest"), F.countDistinct(F.coalesce(F.md5(text), F.lit(""))).alias("documents"))
+    both = chunks.agg(F.count("*").alias("chunks")).join(left)  # one row each
+    return both.select("chunks", (F.col("chunks") - F.col("__rest")).alias("stopped"), (F.col("__rest") - F.col("documents")).alias("duplicates"), "documents")
+
+
 def type_histogram(chunks: DataFrame, types: str = "block_types") -> DataFrame:
     return chunks.select(F.explode(types).alias("type")).groupBy("type").agg(F.count("*").alias("n"))

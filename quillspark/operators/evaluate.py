@@ -81,3 +81,33 @@ def judgment(reply: Column) -> Column:
     read = F.from_json(body, "map<string, struct<score string, reason string>>")
     failed = F.map_from_arrays(F.array(*map(F.lit, CRITERIA)), F.array_repeat(F.struct(F.lit("error").alias("score"), F.substring(reply, 1, 200).alias("reason")), len(CRITERIA)))
     return F.when(read.isNull() | (F.size(read) <= 0), failed).otherwise(read)
+
+
+def labelled(retrieved: DataFrame, truth: DataFrame, order: str = "doc_idx", judged: DataFrame | None = None) -> DataFrame:
+    """retrieved (query_idx, source_file, ...) with ``label`` by query and file: the last of repeated truths, else a
+    judge's (judged: query_idx, source_file, label), else irrelevant."""
+    known = truth.groupBy("query_idx", "source_file").agg(F.max_by("label", order).alias("__known"))
+    out, label = retrieved.join(known, ["query_idx", "source_file"], "left"), F.col("__known")
+    if judged is not None:
+        out = out.join(judged.select("query_idx", "source_file", F.col("label").alias("__judged")), ["query_idx", "source_file"], "left")
+        label = F.coalesce(label, "__judged")
+    return out.withColumn("label", F.coalesce(label, F.lit("irrelevant"))).drop("__known", "__judged")
+
+
+def padded(labels: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_idx, rank, label) with ranks 1 to k for every query, the missing ones irrelevant."""
+    every = queries.select("query_idx", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    return every.join(labels.select("query_idx", "rank", "label"), ["query_idx", "rank"], "left").select("query_idx", "rank", F.coalesce("label", F.lit("irrelevant")).alias("label"))
+
+
+def weak(metrics: DataFrame, below: float = 0.2) -> DataFrame:
+    """Queries whose strict precision at five is below a limit."""
+    return metrics.where(F.col("p5_strict") < below)
+
+
+def report(metrics: DataFrame) -> DataFrame:
+    """One row with ``report``: JSON of a summary, the metrics of each query in order, and their number."""
+    each = F.sort_array(F.collect_list(F.struct("query_idx", *[c for c in metrics.columns if c != "query_idx"]))).alias("per_query")
+    means = summary(metrics)
+    facts = F.struct(*[c for c in means.columns if c != "n_queries"]).alias("summary")
+    return means.join(metrics.agg(each)).select(F.to_json(F.struct(facts, "per_query", "n_queries")).alias("report"))  # one row each

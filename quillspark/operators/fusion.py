@@ -43,5 +43,6 @@ def merged(rows: DataFrame, most: int = 2, file: str = "source_file") -> DataFra
 
 def first_by_file(ranked: DataFrame, k: int = 5, file: str = "source_file") -> DataFrame:
     """The first row of each file in rank order, k a query; rank is counted anew."""
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("query_id", file).orderBy("rank"))).where("r = 1").drop("r")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1).where(F.col("rank") < k)
+    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("query_id", file).orderBy("rank"))).where("r <= 1").drop("r")
+    numbered = first.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("__n") <= k)
+    return numbered.withColumn("rank", F.col("__n") - 1).drop("__n")

@@ -38,7 +38,8 @@ def rerank(candidates: DataFrame, logit: Column, k: int, max_length: int = 512)
     ``4 * max_length`` characters: use ``clipped``."""
     scored = candidates.withColumn("reranker_score", F.round(1 / (1 + F.exp(-logit)), 9))
     best = Window.partitionBy("query_id").orderBy(F.desc("reranker_score"), "rank")
-    return scored.withColumn("new_rank", F.row_number().over(best) - 1).where(F.col("new_rank") < k).drop("rank").withColumnRenamed("new_rank", "rank")
+    numbered = scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k)
+    return numbered.withColumn("rank", F.col("__n") - 1).drop("__n")
 
 
 def clipped(text: Column, max_length: int = 512) -> Column:
@@ -95,6 +96,13 @@ def cite(answer: str, refs: list[dict], style: str = "markdown") -> str:
 REFS = T.ArrayType(T.StructType([T.StructField("number", T.IntegerType())] + [T.StructField(c, T.StringType()) for c in ("source_file", "page_title", "section_path", "breadcrumbs", "url")]))
 
 
+def answered(queries: DataFrame, rows: DataFrame, base_url: str = "") -> DataFrame:
+    """queries (query_id, text) with context, refs and ``answer``: null where a model has to write it, the fixed
+    apology where nothing was found."""
+    out = queries.join(contexts(rows, base_url), "query_id", "left")
+    return out.withColumn("answer", F.when(F.col("context").isNull(), F.lit(NOTHING_FOUND)))
+
+
 def cited(answers: DataFrame, style: str = "markdown") -> DataFrame:
     """answers (answer, refs) with ``cited``; what links insert is never matched again, so this runs in Arrow batches."""
 

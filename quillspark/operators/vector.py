@@ -33,7 +33,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", qu
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = found.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "score")
+    out = found.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k).select("query_id", (F.col("__n") - 1).alias("rank"), "vec_id", "score")
     return out if threshold is None else out.where(F.col("score") >= threshold)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..config import Engine
-from ..operators import chunking, corpus, fusion, lexical, query, vector
+from ..operators import chunking, corpus, evaluate, fusion, lexical, query, vector
 from ..operators.html import Options
 
 
@@ -72,4 +72,30 @@ def ablation_grid() -> list[tuple[str, str, bool, bool, int]]:
     return [(f"{m}{'+rewrite' * w}{'+rerank' * r}", m, w, r, 15 if r else 5) for m in ("bm25", "vector", "hybrid") for w in (False, True) for r in (False, True)]
 
 
-__all__ = ["Retriever", "ablation_grid", "build_corpus", "clean_corpus", "sources"]
+def ablate(retriever: Retriever, questions: DataFrame, rewritten: DataFrame, truth: DataFrame, logit: Column, k: int = 20, final: int = 5) -> DataFrame:
+    """P@3, P@5, NDCG@5 and MRR of the twelve configurations.
+
+    questions: (query_id, list_idx 0, text, embedding); rewritten: those and further variants; truth: (query_idx,
+    source_file, doc_idx, label); the logit is over question and text. Lists are padded with irrelevant places. The
+    three modes are searched once each, over all variants; a configuration only selects from that.
+    """
+    docs, configs = retriever.docs, []
+    asked = questions.select("query_id", F.col("text").alias("question"))
+    ids = questions.select(F.col("query_id").alias("query_idx"))
+    found = {m: retriever.ranked(rewritten, m, k) for m in ("bm25", "vector", "hybrid")}
+    for name, mode, rewrite, rerank, depth in ablation_grid():
+        lists = found[mode] if rewrite else found[mode].where("list_idx < 2")
+        rows = fusion.first_by_file(fusion.fuse(lists, k=retriever.engine.retrieval.rrf_k).join(docs, "doc"), depth)
+        if rerank:
+            rows = query.rerank(rows.join(asked, "query_id"), logit, final, retriever.engine.rerank.max_length)
+        rows = rows.select(F.col("query_id").alias("query_idx"), "source_file", (F.col("rank") + 1).alias("rank"))
+        metrics = evaluate.query_metrics(evaluate.padded(evaluate.labelled(rows, truth), ids, final))
+        means = evaluate.summary(metrics)
+        configs.append(means.select(F.lit(name).alias("config"), F.lit(len(configs)).alias("ord"), F.col("p3_strict").alias("P@3"), F.col("p5_strict").alias("P@5"), F.col("ndcg5").alias("NDCG@5"), F.col("mrr_strict").alias("MRR")))
+    out = configs[0]
+    for c in configs[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+__all__ = ["Retriever", "ablate", "ablation_grid", "build_corpus", "clean_corpus", "sources"]

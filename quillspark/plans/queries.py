@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..config import Chunking
 from ..functions import text as X
 from ..operators import chunking, corpus, evaluate, fusion, lexical, query, vector
 from ..operators.html import Options
+from . import Retriever, ablate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def chunk_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as chunks without a position."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_file"), "text", F.length("text").alias("char_count"), "lang")
+
+
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks: the position within a source is the chunk index."""
-    d = table(spark, sf_dir, "documents")
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return d.select("doc_id", F.col("source").alias("source_file"), at.alias("chunk_index"), "text", F.length("text").alias("char_count"), "lang")
+    return corpus.numbered(chunk_facts(spark, sf_dir), "source_file", "doc_id")
 
 
 TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 3)"
@@ -115,13 +120,14 @@ def _(spark, sf_dir):
 
 @register("junk_chunk_filter", r"SELECT doc_id FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE length(regexp_replace(text, '[*#\-|_\s]', '', 'g')) >= 10 AND NOT (len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) = 1 AND starts_with(trim(text), '#')) AND NOT (length(text) < 200 AND n <> 1)")
 def _(spark, sf_dir):
-    d = chunk_rows(spark, sf_dir).withColumns({"has_table": F.lit(False), "has_procedure": F.lit(False)})
+    d = chunk_facts(spark, sf_dir).withColumns({"has_table": F.lit(False), "has_procedure": F.lit(False)})
     return corpus.without_junk(d).select("doc_id")
 
 
 @register("chunk_ids", "SELECT doc_id, substr(md5(source || '::' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) || '::' || substr(text, 1, 200)), 1, 12) AS chunk_id, (length(text) // 4)::BIGINT AS token_count_approx FROM documents")
 def _(spark, sf_dir):
-    return chunk_rows(spark, sf_dir).select("doc_id", X.chunk_id(F.col("source_file"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), F.expr("char_count div 4").alias("token_count_approx"))
+    d = chunk_facts(spark, sf_dir).withColumn("text", F.substring("text", 1, 200))  # what the id is made of
+    return corpus.numbered(d, "source_file", "doc_id").select("doc_id", X.chunk_id(F.col("source_file"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), F.expr("char_count div 4").alias("token_count_approx"))
 
 
 @register("embedding_text", "SELECT doc_id, md5(concat_ws(chr(10), nullif(lang, ''), nullif(source, ''), text)) AS digest FROM documents")
@@ -139,12 +145,12 @@ def _(spark, sf_dir):
 
 @register("corpus_stats", "SELECT count(*) AS chunks, count(DISTINCT source) AS pages, count(*) / count(DISTINCT source) AS chunks_per_page, min(length(text))::INTEGER AS min_size, max(length(text))::INTEGER AS max_size, avg(length(text)) AS mean_size, sum(length(text))::BIGINT AS total_size, (list_sort(list(length(text))))[count(*) // 2 + 1]::INTEGER AS upper_median FROM documents")
 def _(spark, sf_dir):
-    return corpus.statistics(chunk_rows(spark, sf_dir))
+    return corpus.statistics(chunk_facts(spark, sf_dir))
 
 
 @register("size_histogram", "SELECT b.bucket::INTEGER AS bucket, label, (SELECT count(*) FROM documents WHERE length(text) >= low AND (high IS NULL OR length(text) < high)) AS n FROM (VALUES (0, 0, 200, '<200'), (1, 200, 500, '200-500'), (2, 500, 1000, '500-1000'), (3, 1000, 1500, '1000-1500'), (4, 1500, 3000, '1500-3000'), (5, 3000, NULL, '>3000')) b(bucket, low, high, label)")
 def _(spark, sf_dir):
-    return corpus.size_histogram(chunk_rows(spark, sf_dir))
+    return corpus.size_histogram(chunk_facts(spark, sf_dir))
 
 
 @register("type_histogram", 'SELECT "type", count(*) AS n FROM (SELECT unnest([lang, source]) AS "type" FROM documents) GROUP BY "type"')
@@ -415,3 +421,158 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("text", "turn").alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
+
+
+@register("doc_length_stats", f"WITH {INDEX} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS n_terms FROM totals")
+def _(spark, sf_dir):
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    return index.totals.join(index.terms.agg(F.count("*").alias("n_terms"))).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms")
+
+
+@register(
+    "split_large_block",
+    f"""WITH RECURSIVE {LINES}, n AS (SELECT doc_id, pos, length(line) AS n FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) > 3000)),
+walk AS (SELECT doc_id, pos, n AS size, 0 AS part FROM n WHERE pos = 0
+  UNION ALL SELECT n.doc_id, n.pos, CASE WHEN w.size + n.n > 1500 THEN n.n ELSE w.size + n.n END, CASE WHEN w.size + n.n > 1500 THEN w.part + 1 ELSE w.part END FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.pos = w.pos + 1)
+SELECT doc_id, part::INTEGER AS part, sum(length(line) + 1)::BIGINT - 1 AS size FROM walk JOIN lines USING (doc_id, pos) GROUP BY doc_id, part""",
+)
+def _(spark, sf_dir):
+    d = chunking.pack_lines(table(spark, sf_dir, "documents").where(F.length("text") > Chunking().most).select("doc_id", "text"))
+    return d.select("doc_id", F.posexplode("parts").alias("part", "t")).select("doc_id", "part", F.length("t").cast("long").alias("size"))
+
+
+@register("csv_export_view", "SELECT doc_id::VARCHAR AS chunk_id, source AS source_file, lang || ';' || source AS block_types, length(text)::INTEGER AS char_count, replace(substr(text, 1, 150), chr(10), ' ') AS text_preview FROM documents")
+def _(spark, sf_dir):
+    none = {c: F.lit("") for c in ("page_title", "section_title", "breadcrumbs")} | {c: F.lit(False) for c in ("has_table", "has_procedure", "has_image")} | {"token_count_approx": F.lit(0), "chunk_index": F.lit(0)}
+    c = chunk_facts(spark, sf_dir).withColumns({"id": F.col("doc_id").cast("string"), "block_types": F.array("lang", "source_file"), **none})
+    return sources.csv_view(c).select("chunk_id", "source_file", "block_types", "char_count", "text_preview")
+
+
+@register("query_texts", "SELECT item_id AS query_id, 'Instruct: Find the passage' || chr(10) || 'Query: ' || text AS text FROM benchmark")
+def _(spark, sf_dir):
+    return questions(spark, sf_dir).withColumn("text", X.instruct_query("Find the passage", F.col("text")))
+
+
+@register("paths_and_urls", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE source || ' > ' || lang END AS section_path, 'https://help.example/' || source AS url FROM documents")
+def _(spark, sf_dir):
+    section = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.section_path(F.col("source"), section).alias("section_path"), X.source_url("https://help.example/", F.col("source")).alias("url"))
+
+
+@register("cleaning_counters", "SELECT count(*) AS chunks, count(*) FILTER (WHERE s) AS stopped, count(*) FILTER (WHERE NOT s) - count(DISTINCT text) FILTER (WHERE NOT s) AS duplicates, count(DISTINCT text) FILTER (WHERE NOT s) AS documents FROM (SELECT text, contains(text, 'worthless') OR contains(text, 'Apache License') AS s FROM documents)")
+def _(spark, sf_dir):
+    return corpus.counters(table(spark, sf_dir, "documents"), STOP)
+
+
+@register("weak_queries", f"WITH {METRICS} SELECT query_idx, p5_strict FROM metrics WHERE p5_strict < 0.7")
+def _(spark, sf_dir):
+    return evaluate.weak(evaluate.query_metrics(labelled(spark, sf_dir)), 0.7).select("query_idx", "p5_strict")
+
+
+@register("best_config", f"WITH {METRICS} SELECT arg_max(config, {{'m': m, 'o': -ord}}) AS best FROM (SELECT 'config' || query_idx % 5 AS config, query_idx % 5 AS ord, round(avg(mrr_strict), 4) AS m FROM metrics GROUP BY 1, 2)")
+def _(spark, sf_dir):
+    m = evaluate.query_metrics(labelled(spark, sf_dir)).withColumn("ord", F.col("query_idx") % 5)
+    means = evaluate.summary(m, ("ord",)).select(F.concat(F.lit("config"), "ord").alias("config"), F.col("ord").cast("int").alias("ord"), F.col("mrr_strict").alias("MRR"))
+    return sources.best_config(means, "MRR")
+
+
+@register(
+    "label_lookup",
+    f"""WITH {bm25_sql(QUESTIONS, 5)}, truth AS (SELECT doc_id % 50 AS query_idx, source, arg_max({LABEL}, doc_id) AS label FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT r.query_id AS query_idx, r.doc, coalesce(t.label, 'irrelevant') AS label FROM ranked r JOIN documents d ON d.doc_id = r.doc LEFT JOIN truth t ON t.query_idx = r.query_id AND t.source = d.source""",
+)
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_file"))
+    found = bm25(spark, sf_dir, 5).join(d.withColumnRenamed("doc_id", "doc"), "doc").withColumnRenamed("query_id", "query_idx")
+    return evaluate.labelled(found, truth(spark, sf_dir)).select("query_idx", "doc", "label")
+
+
+def truth(spark, sf_dir):
+    """Judgments by query and file, in the order of doc_idx."""
+    label = F.when(F.col("toxic") == 1, "irrelevant").when(F.col("quality") == 1, "relevant").otherwise("partial")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_file"))
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select((F.col("doc_id") % 50).alias("query_idx"), "source_file", F.col("doc_id").alias("doc_idx"), label.alias("label"))
+
+
+@register("metrics_report")
+def _(spark, sf_dir):
+    return evaluate.report(evaluate.query_metrics(labelled(spark, sf_dir)))
+
+
+@register("answers", f"WITH {CONTEXT} SELECT b.item_id AS query_id, CASE WHEN count(p.doc) = 0 THEN 'К сожалению, не удалось найти информацию по вашему вопросу.' END AS answer, count(p.doc)::INTEGER AS n_refs FROM (SELECT item_id FROM benchmark UNION ALL SELECT -1) b LEFT JOIN placed p ON p.query_id = b.item_id GROUP BY b.item_id")
+def _(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    q = q.unionByName(spark.range(1).select(F.lit(-1).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit("of no").alias("text")))
+    return query.answered(q, placed(spark, sf_dir)).select("query_id", "answer", F.when(F.col("refs").isNull(), 0).otherwise(F.size("refs")).alias("n_refs"))
+
+
+def nation_pages(spark, sf_dir):
+    """A help page for each region: its title, its place, and a table of its nations."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<tr><td>"), x["n_nationkey"], F.lit("</td><td>"), x["n_name"], F.lit("</td></tr>"))), "")
+    head = F.concat(F.lit('<p class="topictitle">'), "r_name", F.lit('</p><p id="ptopic_breadcrumbs"><a href="w.html">World</a><a href="r.html">'), "r_name", F.lit('</a></p><div id="hmpagebody_scroller"><table><tr><td>Key</td><td>Name</td></tr>'))
+    return n.groupBy("r_name").agg(rows.alias("rows")).select(F.concat("r_name", F.lit(".html")).alias("source_file"), F.concat(head, "rows", F.lit("</table></div>")).alias("html"))
+
+
+NATIONS = "n AS (SELECT r_name, n_nationkey AS k, '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation JOIN region ON n_regionkey = r_regionkey)"
+HEAD = "'| Key | Name |' || chr(10) || '| --- | --- |' || chr(10)"
+
+
+@register("html_tables", f"WITH {NATIONS} SELECT r_name || '.html' AS source_file, 'TABLE' AS block_type, {HEAD} || string_agg(line, chr(10) ORDER BY k) AS markdown FROM n GROUP BY r_name")
+def _(spark, sf_dir):
+    return chunking.blocks(nation_pages(spark, sf_dir)).select("source_file", "block_type", "markdown")
+
+
+@register("page_metadata", "SELECT DISTINCT r_name || '.html' AS source_file, r_name AS page_title, 'World → ' || r_name AS page_breadcrumbs FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, sf_dir):
+    return chunking.blocks(nation_pages(spark, sf_dir)).select("source_file", "page_title", "page_breadcrumbs").distinct()
+
+
+@register(
+    "split_table",
+    f"""WITH RECURSIVE {NATIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY k) AS i, length(line) + 1 AS size FROM n),
+walk AS (SELECT r_name, i, size, 0 AS part FROM o WHERE i = 1
+  UNION ALL SELECT o.r_name, o.i, CASE WHEN w.size + o.size > 50 THEN o.size ELSE w.size + o.size END, CASE WHEN w.size + o.size > 50 THEN w.part + 1 ELSE w.part END FROM walk w JOIN o ON o.r_name = w.r_name AND o.i = w.i + 1)
+SELECT r_name || '.html' AS source_file, part::INTEGER AS part, {HEAD} || string_agg(line, chr(10) ORDER BY i) AS markdown FROM walk JOIN o USING (r_name, i) GROUP BY r_name, part""",
+)
+def _(spark, sf_dir):
+    b = chunking.split_tables(chunking.blocks(nation_pages(spark, sf_dir)), target=50 + 31)  # 31: the header
+    return b.select("source_file", F.posexplode("parts").alias("part", "markdown"))
+
+
+def retriever(spark, sf_dir):
+    """documents, their BM25 index, and the vectors that have a document's id."""
+    c = chunk_rows(spark, sf_dir).select(F.col("doc_id").alias("doc"), "source_file", "chunk_index", "text")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
+    return Retriever(c, lexical.build(table(spark, sf_dir, "documents")), v.join(c.select("doc"), "doc", "left_semi"))
+
+
+def embedded(spark, sf_dir, rows):
+    """Variants with the vector of their question's id."""
+    return rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
+HYBRID = f"""{bm25_sql("SELECT item_id AS query_id, text FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)", 30)}, {CHUNK_ROWS},
+close AS (SELECT q.vec_id AS query_id, v.vec_id AS doc, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT doc_id FROM documents)),
+lists AS (SELECT query_id, 1 AS list_idx, rank, doc FROM ranked UNION ALL SELECT query_id, 0, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) - 1 AS rank, doc FROM close QUALIFY rank < 30),
+summed AS (SELECT query_id, doc, round(sum(1 / (60.0::DOUBLE + rank + 1)), 9) AS score, min({{'l': list_idx, 'r': rank}}) AS seen FROM lists GROUP BY query_id, doc),
+fused AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, doc) - 1 AS rank FROM summed),
+led AS (SELECT f.*, source_file, chunk_index, text, min(rank) OVER (PARTITION BY query_id, source_file) AS lead FROM fused f JOIN chunks ON doc = doc_id),
+files AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY lead) AS file_rank FROM led QUALIFY file_rank <= 5),
+best AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY query_id, source_file ORDER BY rank) <= 2)"""
+
+
+@register("hybrid_retrieve", f"WITH {HYBRID} SELECT query_id, source_file, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index, rank)) AS digest, min(rank)::INTEGER AS rank FROM best GROUP BY query_id, source_file")
+def _(spark, sf_dir):
+    asked = embedded(spark, sf_dir, questions(spark, sf_dir).withColumn("list_idx", F.lit(0)))
+    return retriever(spark, sf_dir).retrieve(asked).select("query_id", "source_file", F.md5("text").alias("digest"), "rank")
+
+
+@register("ablation_run")
+def _(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    asked = embedded(spark, sf_dir, q.withColumn("list_idx", F.lit(0)))
+    half = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
+    more = asked.unionByName(embedded(spark, sf_dir, q.select("query_id", half.alias("text"), F.lit(1).alias("list_idx"))))
+    return ablate(retriever(spark, sf_dir), asked, more, truth(spark, sf_dir), query.overlap_logit(F.col("question"), query.clipped(F.col("text"))))

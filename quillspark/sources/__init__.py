@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Parts of the names of service pages.
 SERVICE_PAGES = ["index.html", "toc.html", "search.html", "popup", "open.html", "hmkwindex"]
+#: How a page's place begins, from the table of contents and of its own.
+PLACE, OWN_PLACE = "> **Раздел:** ", "> **Путь:**"
 CHUNK_SCHEMA = "id string, text string, metadata struct<source_file: string, page_title: string, breadcrumbs: string, section_title: string, section_path: string, block_types: array<string>, has_table: boolean, has_image: boolean, has_procedure: boolean, chunk_index: int, char_count: int, token_count_approx: int>"
 TOC_SCHEMA = "source_file string, title string, breadcrumbs string, level int, topic_type string, has_children boolean"
 REQUIRED_METRICS = ("P@3", "P@5", "NDCG@5", "MRR")
@@ -122,6 +124,21 @@ def best_config(results: DataFrame, metric: str) -> DataFrame:
     return results.agg(F.max_by("config", F.struct(F.col(f"`{metric}`"), -F.col("ord"))).alias("best"))
 
 
+def located(pages: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """pages (source_file, markdown) with their place in the table of contents on top, unless the text begins with one."""
+    if toc is None:
+        return pages
+    place = F.concat(F.lit(PLACE), F.col("breadcrumbs"), F.lit("\n\n"))
+    fits = (F.coalesce("breadcrumbs", F.lit("")) != "") & ~F.col("markdown").startswith(OWN_PLACE)
+    joined = pages.join(toc.select("source_file", "breadcrumbs"), "source_file", "left")
+    return joined.withColumn("markdown", F.when(fits, F.concat(place, "markdown")).otherwise(F.col("markdown"))).drop("breadcrumbs")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A table of one JSON text (column report)."""
+    report.select("report").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_markdown(pages: DataFrame, path: str) -> None:
     """Markdown of pages (source_file, markdown) as a table of text rows; files of one page each are left to a
     consumer, since a file a row does not scale."""

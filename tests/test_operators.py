@@ -228,3 +228,62 @@ def test_partitions_do_not_matter(spark, parts):
     q = spark.createDataFrame([(1, "w3xx token1 common")], "query_id long, text string")
     got = [(r.doc, r.score) for r in lexical.search(lexical.build(docs), q, 5).orderBy("rank").collect()]
     assert [d for d, _ in got] == [13, 28, 3, 8, 18]
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 1000])
+def test_numbering_in_slices(spark, slice_rows):
+    """A group that holds most rows, a group of its own, and null as a group: places as in one sorted list."""
+    rows = [(("hot", "cold", None)[0 if i % 9 else i % 3], i * 3 % 101) for i in range(100)]
+    got = corpus.numbered(spark.createDataFrame(rows, "g string, o int"), "g", "o", "at", slice_rows).collect()
+    want = [(g, o, sum(h == g and p < o for h, p in rows)) for g, o in rows]
+    assert sorted(map(repr, ((r["g"], r["o"], r["at"]) for r in got))) == sorted(map(repr, want))
+
+
+def test_numbering_of_nothing(spark):
+    assert corpus.numbered(spark.createDataFrame([], "g string, o int"), "g", "o", "at", 5).count() == 0
+
+
+def test_junk_of_null_pages(spark):
+    rows = [(None, "a fine text of one page", 23), ("p", "another fine text here", 22), ("p", "and a third one of it", 21)]
+    d = spark.createDataFrame(rows, "source_file string, text string, char_count int").withColumns({"has_table": F.lit(False), "has_procedure": F.lit(False)})
+    assert [r["source_file"] for r in corpus.without_junk(d).collect()] == [None]
+
+
+def test_search_plan(spark):
+    """Postings are made for the queries' terms only, and each task keeps the k best."""
+    docs, asked = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lexical.search(lexical.build(docs), asked.withColumnRenamed("item_id", "query_id"), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("WindowGroupLimit" in x for x in plan)
+    semi = next(i for i, x in enumerate(plan) if "LeftSemi" in x)
+    assert "Aggregate [term" in plan[semi - 1] and "AS tf" in plan[semi - 1]
+
+
+def test_labels(spark):
+    found = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_idx int, source_file string, rank int")
+    known = spark.createDataFrame([(1, "a", 0, "partial"), (1, "a", 1, "relevant")], "query_idx int, source_file string, doc_idx int, label string")
+    judged = spark.createDataFrame([(1, "b", "partial")], "query_idx int, source_file string, label string")
+    got = {r["source_file"]: r["label"] for r in evaluate.labelled(found, known, judged=judged).collect()}
+    assert got == {"a": "relevant", "b": "partial", "c": "irrelevant"}
+    every = evaluate.padded(spark.createDataFrame([(1, 2, "relevant")], "query_idx int, rank int, label string"), spark.createDataFrame([(1,), (2,)], "query_idx int"), 3)
+    assert sorted(map(tuple, every.collect())) == [(1, 1, "irrelevant"), (1, 2, "relevant"), (1, 3, "irrelevant"), *[(2, i, "irrelevant") for i in (1, 2, 3)]]
+
+
+def test_report(spark, tmp_path):
+    labels = spark.createDataFrame([(2, 1, "relevant"), (1, 1, "irrelevant")], "query_idx int, rank int, label string")
+    sources.write_report(evaluate.report(evaluate.query_metrics(labels)), str(tmp_path / "r"))
+    read = json.loads(spark.read.text(str(tmp_path / "r")).first()[0])
+    assert read["n_queries"] == 2 and [x["query_idx"] for x in read["per_query"]] == [1, 2] and read["summary"]["mrr_strict"] == 0.5
+
+
+def test_places_of_pages(spark):
+    pages = spark.createDataFrame([("a.html", "text"), ("b.html", "> **Путь:** x"), ("c.html", "text")], "source_file string, markdown string")
+    toc = spark.createDataFrame([("a.html", "A → B"), ("b.html", "A")], "source_file string, breadcrumbs string")
+    got = {r["source_file"]: r["markdown"] for r in sources.located(pages, toc).collect()}
+    assert got == {"a.html": "> **Раздел:** A → B\n\ntext", "b.html": "> **Путь:** x", "c.html": "text"}
+
+
+def test_unanswered(spark):
+    asked = spark.createDataFrame([(1, "q")], "query_id int, text string")
+    none = spark.createDataFrame([], "query_id int, rank int, text string, source_file string, page_title string, section_path string, breadcrumbs string")
+    assert query.answered(asked, none).first()["answer"] == query.NOTHING_FOUND
