@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +69,28 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task, and what its allocators keep counts
+    against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries trim by themselves
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow, releasing memory at the end of the task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def unique_key(docs: DataFrame, key: str) -> bool:
     """True if the key has neither nulls nor repeats (one narrow pass over the id column)."""
     row = docs.groupBy(key).count().agg(F.max("count").alias("most"), F.max(F.col(key).isNull().cast("int")).alias("none")).first()

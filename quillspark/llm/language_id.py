@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, saved
+from .common import prepare, release, saved
 from .learning import has_letter, lower_words
 
 #: Bounds of what is learned from: texts and landmarks of each language, and n-grams of the kernel.
@@ -174,6 +174,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "_
     @F.arrow_udf(PREDICTION)
     def predictions(texts: pa.Array) -> pa.Array:
         names, scores = model.predict([t or "" for t in texts.to_pylist()])
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=PREDICTION.names)
 
     return docs.withColumn(out, predictions.asNondeterministic()(F.col(text_col)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, trimmed
 
 SEQUENCE = 1024
 VOCABULARY = "byte_bpe_50k.json"
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         raise ValueError("sequence must be a power of two")
     prepare(docs.sparkSession)
     path = vocabulary or tokenizer_path(VOCABULARY)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(path, end_id, sequence, with_ids), PIECES)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(trimmed(_pack(path, end_id, sequence, with_ids)), PIECES)
     out = rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
     return out.select(*cols, *["ids"] * with_ids)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, saved, text_bytes, unique_key
+from .common import prepare, release, saved, text_bytes, trimmed, unique_key
 
 SHINGLE = 3
 SEED = 42
@@ -53,7 +53,9 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(b) for b in text_bytes(texts)], np.uint64).view(np.int64))
+    found = pa.array(np.array([fingerprint(b) for b in text_bytes(texts)], np.uint64).view(np.int64))
+    release()
+    return found
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -133,7 +135,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
     bytes_ = F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(other, 8 * j).bitwiseAND(F.lit(255)).alias("x")) for j in range(4)])
     whole = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("x")))
     dealt = members.select("match", "fp", F.explode(F.when(F.col("n") > hot, bytes_).otherwise(whole)).alias("d")).select(F.xxhash64("match", "d.j", "d.x").alias("match"), "fp")
-    return dealt.repartition("match").sortWithinPartitions("match").mapInArrow(_search(max_bits), "u long, v long")
+    return dealt.repartition("match").sortWithinPartitions("match").mapInArrow(trimmed(_search(max_bits)), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, saved, text_bytes, unique_key
+from .common import prepare, release, saved, text_bytes, trimmed, unique_key
 
 MIN_LEN = 100
 SEED_LEN = 32
@@ -355,7 +355,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= min_len)
 
-    found = texts.mapInArrow(lambda it: find_blocks(it, min_len, seed_len), BLOCK_SCHEMA)
+    found = texts.mapInArrow(trimmed(lambda it: find_blocks(it, min_len, seed_len)), BLOCK_SCHEMA)
     # One shuffle of fixed-width rows. Under an anchor hash: how many rows, and how many different blocks.
     by_anchor = Window.partitionBy("anchor")
     ranked = (
@@ -382,8 +382,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "id", text_col: str = "text",
         .groupBy("id")
         .agg(F.collect_list("w").alias("wanted"))
     )
-    cut = texts.join(wanted, "id").select("text", "wanted").mapInArrow(lambda it: _cut_blocks(it, min_len), "anchor long, id long, start long, strings int, block binary")
-    searched = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: search_blocks(it, min_len), SPANS)
+    cut = texts.join(wanted, "id").select("text", "wanted").mapInArrow(trimmed(lambda it: _cut_blocks(it, min_len)), "anchor long, id long, start long, strings int, block binary")
+    searched = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda it: search_blocks(it, min_len)), SPANS)
     return local.unionByName(again).unionByName(searched)
 
 
@@ -404,6 +404,7 @@ def _remover(with_text: bool):
             rest = b"".join(b[i:j] for i, j in zip([0, *hi.tolist()], [*lo.tolist(), len(b)])) if len(lo) else b
             rows.append((len(b), len(b) - len(rest), len(lo), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
         cols = list(zip(*rows)) or [()] * 5
+        release()
         kinds = [pa.int64()] * 3 + [pa.string()] * 2
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=RESULT.names)
 
