@@ -10,13 +10,19 @@ seeds, so equal strings always meet at equal anchors (minimum-substring partitio
 strings with one anchor form a *block*. Blocks that occur once under their anchor hash are dropped after
 one shuffle of fixed-width rows; equal blocks are folded to their earliest place (first within each Arrow
 batch, before any shuffle); the rest are dealt by anchor into transforms of bounded size. An anchor with
-more than HOT_BLOCKS different blocks is dealt on by the single strings, so that no group grows with it.
+more than Limits.hot_blocks different blocks is dealt on by the single strings, so that no group grows with it.
+Common passages do not gather either: a task sends two rows of an anchor to be counted and spreads the
+others, and of a string that is dealt singly only places earlier than those it has sent already.
+
+What a task folds depends on the order of its rows. docs should therefore be read from a table: rows that
+come out of a shuffle can change their order when a lost task is run again.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +34,22 @@ from .common import prepare, release, saved, text_bytes, trimmed, unique_key
 
 MIN_LEN = 100
 SEED_LEN = 32
-#: Bytes hashed at once; positions within fit the low POS_BITS of a sort key.
-PIECE = 1 << 19
 POS_BITS = 24
-#: Bytes of text of one transform.
-TRANSFORM_BYTES = 1 << 19
-HOT_BLOCKS = 4000
+
+
+class Limits(NamedTuple):
+    """Sizes that bound memory; results do not depend on them."""
+
+    #: Bytes hashed at once; positions within fit the low POS_BITS of a sort key.
+    piece: int = 1 << 19
+    #: Bytes of text of one transform.
+    transform_bytes: int = 1 << 19
+    #: Different blocks of an anchor above which its strings are dealt singly.
+    hot_blocks: int = 4000
+    #: Anchors (9 bytes each) and single strings that a task remembers; what it forgets is only sent once more.
+    slot_bits: int = 19
+    single_strings: int = 1 << 16
+
 
 U = np.uint64
 MULT = U(0x9E3779B97F4A7C15)
@@ -49,7 +65,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max([PIECE + 1, n, *_powers])  # a larger table serves as well
+    size = max([Limits().piece + 1, n, *_powers])  # a larger table serves as well
     if size not in _powers:
         up, down = np.full(size + 1, MULT, np.uint64), np.full(size + 1, MULT_INV, np.uint64)
         up[0] = down[0] = 1
@@ -202,7 +218,7 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 BLOCK_SCHEMA = "anchor long, whole long, id long, start long, strings int"
 
 
-def _pieces(table: pa.RecordBatch, limit: int = PIECE) -> Iterator[tuple[list[int], list[bytes]]]:
+def _pieces(table: pa.RecordBatch, limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
     ids, texts, size = [], [], 0
     for i, b in zip(table.column(0).to_pylist(), text_bytes(table.column(1))):
         if size and size + len(b) > limit:
@@ -215,22 +231,48 @@ def _pieces(table: pa.RecordBatch, limit: int = PIECE) -> Iterator[tuple[list[in
         yield ids, texts
 
 
-def _long_text(i: int, b: bytes, min_len: int, seed_len: int):
-    """Blocks of one text beyond PIECE, by overlapping parts; every string starts in one part only."""
-    step = PIECE - min_len + 1
+def _long_text(i: int, b: bytes, min_len: int, seed_len: int, limit: int):
+    """Blocks of one text beyond the limit, by overlapping parts; every string starts in one part only."""
+    step = limit - min_len + 1
     for at in range(0, max(1, len(b) - min_len + 1), step):
-        part = np.frombuffer(b, np.uint8)[at : at + PIECE]
+        part = np.frombuffer(b, np.uint8)[at : at + limit]
         own, start, count, anchor, whole = blocks_of(part, np.array([len(part)]), min_len, seed_len)
         yield np.full(len(own), i, np.int64), start + at, count, anchor, whole
 
 
-def find_blocks(batches: Iterator[pa.RecordBatch], min_len: int, seed_len: int) -> Iterator[pa.RecordBatch]:
+class SentAnchors:
+    """How many rows of an anchor a task has sent to be counted, up to two. Slots are fixed in number; the
+    latest anchor holds a slot."""
+
+    def __init__(self, bits: int):
+        self.shift = U(64 - bits)
+        self.anchor = np.zeros(1 << bits, U)
+        self.times = np.zeros(1 << bits, np.int8)
+
+    def spare(self, anchor: np.ndarray) -> np.ndarray:
+        """For rows in order of their anchor: True where two rows of it are sent before."""
+        if not len(anchor):
+            return np.zeros(0, bool)
+        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        size = np.diff(np.r_[first, len(anchor)])
+        unique = anchor[first]
+        slot = ((unique * MULT) >> self.shift).astype(np.int64)
+        before = np.where(self.anchor[slot] == unique, self.times[slot], 0)
+        slot, at = np.unique(slot, return_index=True)
+        self.anchor[slot] = unique[at]
+        self.times[slot] = np.minimum(before + size, 2)[at]
+        return np.arange(len(anchor)) - np.repeat(first - before, size) >= 2
+
+
+def find_blocks(batches: Iterator[pa.RecordBatch], min_len: int, seed_len: int, limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
     """Blocks of each text. A block that occurs earlier in the batch is not sent on: its strings are
-    repeats already, and they leave as a row without hashes (strings: minus the bytes of the run)."""
+    repeats already, and they leave as a row without hashes (strings: minus the bytes of the run). A block
+    whose anchor is known to be shared, by two rows of this task, has minus one minus its start as start."""
+    sent = SentAnchors(limits.slot_bits)
     for table in batches:
-        for ids, texts in _pieces(table):
-            if len(texts) == 1 and len(texts[0]) > PIECE:
-                parts = list(_long_text(ids[0], texts[0], min_len, seed_len))
+        for ids, texts in _pieces(table, limits.piece):
+            if len(texts) == 1 and len(texts[0]) > limits.piece:
+                parts = list(_long_text(ids[0], texts[0], min_len, seed_len, limits.piece))
                 doc, start, count, anchor, whole = (np.concatenate(x) for x in zip(*parts))
             else:
                 data = np.frombuffer(b"".join(texts), np.uint8)
@@ -245,13 +287,14 @@ def find_blocks(batches: Iterator[pa.RecordBatch], min_len: int, seed_len: int)
             rep = np.flatnonzero(again)
             rep = rep[np.lexsort((start[rep], doc[rep]))]
             rid, rs, re = _runs(doc[rep], start[rep], start[rep] + count[rep] + min_len - 1)
-            keep = ~again
+            keep = np.flatnonzero(~again)
+            spare = sent.spare(anchor[keep])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[anchor[keep].view(np.int64), np.zeros(len(rid), np.int64)]),
                     pa.array(np.r_[whole[keep].view(np.int64), np.zeros(len(rid), np.int64)]),
                     pa.array(np.r_[doc[keep], rid]),
-                    pa.array(np.r_[start[keep], rs]),
+                    pa.array(np.r_[np.where(spare, -1 - start[keep], start[keep]), rs]),
                     pa.array(np.r_[count[keep], rs - re].astype(np.int32)),
                 ],
                 names=["anchor", "whole", "id", "start", "strings"],
@@ -272,12 +315,18 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 SPANS = "id long, start long, end long"
 
 
-def search_blocks(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[pa.RecordBatch]:
-    """Transforms of TRANSFORM_BYTES at most over rows that come in order of their anchor.
+def search_blocks(batches: Iterator[pa.RecordBatch], min_len: int, limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
+    """Transforms of bounded size over rows that come in order of their anchor.
 
-    Rows: anchor, id, start, strings, block. An anchor's blocks always share a transform.
+    Rows: anchor, id, start, strings, block. An anchor's blocks always share a transform. Rows with minus
+    the bytes of a run as strings are results already.
     """
-    for rows in _by_anchor(batches):
+    for rows, done in _by_anchor(batches, limits.transform_bytes):
+        if done:
+            rid, rs, size = (np.array(x, np.int64) for x in zip(*(r[1:4] for r in done)))
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(rs), pa.array(rs - size)], names=["id", "start", "end"])
+        if not rows:
+            continue
         # places: earlier documents and earlier starts are smaller; blocks of one document stay comparable
         ids, inverse = np.unique(rows["id"], return_inverse=True)
         place = (inverse.astype(np.int64) << 40) + rows["start"]
@@ -289,7 +338,8 @@ def search_blocks(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(rs), pa.array(re)], names=["id", "start", "end"])
 
 
-def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _by_anchor(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[dict, list]]:
+    """Pairs of the rows of one transform and rows that need none (either may be empty)."""
     held: list[tuple] = []
     size, last = 0, None
 
@@ -302,24 +352,32 @@ def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         }
 
     for table in batches:
+        done = []
         for row in zip(*(table.column(i).to_pylist() for i in range(5))):
-            if row[0] != last and size >= TRANSFORM_BYTES:
-                yield pack(held)
+            if row[3] < 0:
+                done.append(row)
+                continue
+            if row[0] != last and size >= limit:
+                yield pack(held), []
                 held, size = [], 0
             last = row[0]
             held.append(row)
             size += len(row[4])
+        if done:
+            yield {}, done
     if held:
-        yield pack(held)
+        yield pack(held), []
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted blocks of each document; blocks of hot anchors are dealt by single strings.
+def _cut_blocks(batches: Iterator[pa.RecordBatch], min_len: int, limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
+    """Bytes of the wanted blocks of each document; blocks of hot anchors are dealt by single strings, and
+    those that the task has sent from an earlier place leave as runs (strings: minus the bytes of the run).
 
     Rows: text, wanted array<struct<anchor, id, start, strings, hot>>.
     """
     import xxhash
 
+    sent: dict[bytes, tuple[int, int]] = {}
     for table in batches:
         out: list[tuple] = []
         size = 0
@@ -327,10 +385,20 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[pa.
             for w in wanted or ():
                 piece = b[w["start"] : w["start"] + w["strings"] + min_len - 1]
                 if w["hot"]:
+                    gone = []
                     for k in range(w["strings"]):
                         one = piece[k : k + min_len]
+                        if sent.get(one, (w["id"], w["start"] + k)) < (w["id"], w["start"] + k):
+                            gone.append(w["start"] + k)
+                            continue
+                        if len(sent) >= limits.single_strings:
+                            sent.clear()
+                        sent[one] = (w["id"], w["start"] + k)
                         key = xxhash.xxh64_intdigest(one, w["anchor"] & 0xFFFFFFFF) - (1 << 63)
                         out.append((key, w["id"], w["start"] + k, 1, one))
+                    lows = np.array(gone, np.int64)
+                    for lo, hi in zip(*(x.tolist() for x in merge(lows, lows + min_len))):
+                        out.append((xxhash.xxh64_intdigest(b"%d %d" % (w["id"], lo)) - (1 << 63), w["id"], lo, lo - hi, b""))
                 else:
                     out.append((w["anchor"], w["id"], w["start"], w["strings"], piece))
                 size += len(piece) * (w["strings"] if w["hot"] else 1)
@@ -349,20 +417,21 @@ def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "id", text_col: str = "text", min_len: int = MIN_LEN, seed_len: int = SEED_LEN) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "id", text_col: str = "text", min_len: int = MIN_LEN, seed_len: int = SEED_LEN, limits: Limits = Limits()) -> DataFrame:
     """Rows (id, start, end) of removed bytes, not merged; ids must be unique and not null."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= min_len)
 
-    found = texts.mapInArrow(trimmed(lambda it: find_blocks(it, min_len, seed_len)), BLOCK_SCHEMA)
-    # One shuffle of fixed-width rows. Under an anchor hash: how many rows, and how many different blocks.
-    by_anchor = Window.partitionBy("anchor")
+    found = texts.mapInArrow(trimmed(lambda it: find_blocks(it, min_len, seed_len, limits)), BLOCK_SCHEMA)
+    # One shuffle of fixed-width rows: is an anchor hash shared? Rows of which that is known are spread.
+    known = (F.col("strings") < 0) | (F.col("start") < 0)
     ranked = (
-        found.withColumn("part", F.when(F.col("strings") < 0, F.pmod(F.xxhash64("id", "start"), F.lit(1 << 20))).otherwise(0))
+        found.withColumn("part", F.when(known, F.pmod(F.xxhash64("id", "start"), F.lit(1 << 20))).otherwise(0))
         .withColumn("n", F.count("*").over(Window.partitionBy("anchor", "part")))
-        .where((F.col("n") > 1) | (F.col("strings") < 0))
+        .where((F.col("n") > 1) | known)
         .drop("n", "part")
+        .withColumn("start", F.when(F.col("start") < 0, -1 - F.col("start")).otherwise(F.col("start")))
     )
     ranked = saved(ranked)
     local = ranked.where("strings < 0").selectExpr("id", "start", "start - strings as end")
@@ -378,12 +447,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     groups = firsts.groupBy("anchor").agg(F.count("*").alias("blocks")).where("blocks > 1")
     wanted = (
         firsts.join(groups, "anchor")
-        .select(F.col("first.id").alias("id"), F.struct("anchor", F.col("first.id").alias("id"), F.col("first.start").alias("start"), "strings", (F.col("blocks") > HOT_BLOCKS).alias("hot")).alias("w"))
+        .select(F.col("first.id").alias("id"), F.struct("anchor", F.col("first.id").alias("id"), F.col("first.start").alias("start"), "strings", (F.col("blocks") > limits.hot_blocks).alias("hot")).alias("w"))
         .groupBy("id")
         .agg(F.collect_list("w").alias("wanted"))
     )
-    cut = texts.join(wanted, "id").select("text", "wanted").mapInArrow(trimmed(lambda it: _cut_blocks(it, min_len)), "anchor long, id long, start long, strings int, block binary")
-    searched = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda it: search_blocks(it, min_len)), SPANS)
+    cut = texts.join(wanted, "id").select("text", "wanted").mapInArrow(trimmed(lambda it: _cut_blocks(it, min_len, limits)), "anchor long, id long, start long, strings int, block binary")
+    searched = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(lambda it: search_blocks(it, min_len, limits)), SPANS)
     return local.unionByName(again).unionByName(searched)
 
 
@@ -428,7 +497,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
     return marked.join(ranks, marked[id_col].eqNullSafe(ranks["__id"]) & (marked["__hash"] == ranks["__h"])).drop("__id", "__h", "__hash"), False
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, with_text: bool = False, limits: Limits = Limits()) -> DataFrame:
     """docs with a struct column ``__dedup``: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
     and, with_text, kept_text.
 
@@ -440,7 +509,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_l
     """
     prepare(docs.sparkSession)
     work, unique = keyed(docs, id_col, text_col)
-    one = work if unique else work.dropDuplicates(["__key"])
-    spans = repeated_spans(one, "__key", text_col, min_len).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("id", "__key")
+    one = work if unique else saved(work.select("__key", text_col).dropDuplicates(["__key"]))
+    spans = repeated_spans(one, "__key", text_col, min_len, limits=limits).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("id", "__key")
     joined = work.join(spans, "__key", "left")
     return joined.withColumn("__dedup", _remover(with_text)(F.col(text_col), F.col("__spans"))).drop("__key", "__spans")

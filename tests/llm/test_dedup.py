@@ -2,9 +2,10 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -69,23 +70,44 @@ def test_awkward_documents(clean):
     check(rows, result(clean).collect(), 100)
 
 
-@pytest.mark.parametrize("hot", [1, 4000])
-def test_shared_passage_in_different_places(spark, monkeypatch, hot):
-    """A passage in many documents, each time between other words: also where its anchors are dealt on."""
-    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+@pytest.mark.parametrize("hot, slots, singles", [(1, 19, 1 << 16), (1, 1, 3), (4000, 19, 1), (4000, 2, 1)])
+def test_shared_passage_in_different_places(spark, hot, slots, singles):
+    """A passage in many documents, each time between other words: also where its anchors are dealt on, and
+    where tasks soon forget what they sent."""
+    limits = suffix_dedup.Limits(piece=1 << 10, transform_bytes=1 << 12, hot_blocks=hot, slot_bits=slots, single_strings=singles)
     rng = random.Random(1)
     noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
     passage = noise(300)
     rows = [(i, noise(rng.randrange(200)) + passage + noise(rng.randrange(200))) for i in range(40)] + [(99, passage[5:150] + passage[100:])]
-    check(rows, result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect(), 100)
+    check(rows, result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), limits=limits).collect(), 100)
 
 
-def test_text_beyond_one_piece(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 10)
+def test_rows_of_a_common_anchor_are_spread():
+    """A task sends at most two rows of an anchor to be counted, over any number of batches."""
+    rng = random.Random(6)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = noise(200)
+    tables = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([noise(80) + passage + noise(80)])], names=["id", "text"]) for i in range(30)]
+    rows = [r for t in suffix_dedup.find_blocks(iter(tables), 100, 32) for r in zip(*(t.column(i).to_pylist() for i in (0, 3)))]
+    counted, spread = Counter(a for a, start in rows if start >= 0), Counter(a for a, start in rows if start < 0)
+    assert max(counted.values()) == 2 and max(spread.values()) == 28
+    assert all(counted[a] == 2 for a in spread)
+
+
+def test_single_strings_are_sent_once():
+    """Of a string dealt singly a task sends places earlier than those sent; the others leave as runs."""
+    text = "0123456789" * 10 + "ab"
+    want = [{"anchor": 7, "id": i, "start": 0, "strings": 3, "hot": True} for i in (5, 9, 2)]
+    tables = [pa.RecordBatch.from_arrays([pa.array([text]), pa.array([[w]])], names=["text", "wanted"]) for w in want]
+    rows = [r for t in suffix_dedup._cut_blocks(iter(tables), 100) for r in zip(*(t.column(i).to_pylist() for i in (1, 2, 3)))]
+    assert rows == [(5, 0, 1), (5, 1, 1), (5, 2, 1), (9, 0, -102), (2, 0, 1), (2, 1, 1), (2, 2, 1)]
+
+
+def test_text_beyond_one_piece(spark):
     rng = random.Random(4)
     long = "".join(rng.choice("abcd") for _ in range(5000))
     rows = [(1, long), (2, "x" + long[1000:4000] + "y"), (3, long[:500] * 3)]
-    check(rows, result(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 100)
+    check(rows, result(spark.createDataFrame(rows, "doc_id long, text string"), limits=suffix_dedup.Limits(piece=1 << 10)).collect(), 100)
 
 
 def test_repeated_and_null_ids(nasty):
