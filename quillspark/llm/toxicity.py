@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on text of toxic documents, one on ordinary text. Each window of
-a text, a word between its spaces, is compressed with both; where the toxic dictionary is shorter by the
+Two zstandard dictionaries are built of the learned texts: one of what tells toxic documents, one of ordinary text.
+Which strings tell is decided by a likelihood ratio, not by a dictionary trainer (the README gives figures of both).
+Each window of a text, a word between its spaces, is compressed with both; where the toxic dictionary is shorter by the
 calibrated number of bytes, the window counts. A document's count over the root of its length is calibrated
 to a score by weighted isotonic regression.
 
 Dictionaries share their ordinary part and differ in as many bytes of contrast: the toxic one holds the
-strings that set toxic documents apart (by likelihood ratio of document counts), the ordinary one further
-ordinary text. Words stand between two constant strings that both dictionaries hold, so that even a short
+strings that set toxic documents apart (all of them, by likelihood ratio of document counts), the ordinary one
+its first bytes again. Words stand between two constant strings that both dictionaries hold, so that even a short
 word is compressed, not stored.
 """
 
@@ -29,7 +30,7 @@ from .learning import isotonic, labelled_sample, lower_words
 #: Bound of the labelled rows that are learned from, by label.
 TRAIN_ROWS = {1: 1500, 0: 3000}
 THRESHOLD = 0.7
-SHARED_BYTES, CONTRAST_STRINGS, LEAST_RATIO, LEAST_DOCS = 6000, 64, 15.0, 5
+SHARED_BYTES, LEAST_RATIO, LEAST_DOCS = 6000, 15.0, 5
 LENGTHS = range(5, 10)
 #: A window that repeats in a text counts so often at most.
 MOST_EACH = 3
@@ -122,7 +123,6 @@ def contrast(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[byte
             break
         if not any(s.startswith(q) for q in picked):
             picked = [q for q in picked if not q.startswith(s)] + [s]  # a start stands for all that go on from it
-    picked = picked[:CONTRAST_STRINGS]
     longer = []
     for q in picked:  # the longest string that nearly as many toxic documents have
         longer.append(max((s for s in telling if s.startswith(q) and a[s] >= 0.9 * a[q]), key=lambda s: (len(s), s), default=q))

@@ -146,6 +146,12 @@ def test_toxicity(spark):
     assert hit / sum(r.predicted for r in got) > 0.95 and hit / sum(r.toxic for r in got) > 0.85
 
 
+def test_all_telling_strings_count():
+    words = [bytes([97 + i // 26, 97 + i % 26]) * 2 + b"q" for i in range(100)]
+    got = toxicity.contrast([[b"plain", w] for w in words for _ in range(20)], [[b"plain"]] * 4000)
+    assert {s.strip() for s in got} == set(words)
+
+
 def test_language(spark):
     got = registry.op5(spark, SF).where("held_out").join(table(spark, "documents"), "doc_id").collect()
     assert accuracy(got, lambda r: r.lang_pred == r.lang) > 0.97
