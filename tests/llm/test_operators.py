@@ -152,6 +152,14 @@ def test_all_telling_strings_count():
     assert {s.strip() for s in got} == set(words)
 
 
+def test_toxic_passages_are_not_diluted():
+    texts = ["some plain words here idiot" + " x" * i for i in range(20)] + ["some plain words here " + "y" * i for i in range(60)]
+    model = toxicity.train(texts, [1] * 20 + [0] * 60, {})
+    insult, plain = "idiot " * 200, "plain words " * 10_000
+    assert model.rate(insult) > 0 and model.rate(plain) == 0
+    assert model.rate(plain + insult + plain) == model.rate(insult) > model.rate("idiot " * 3 + plain)
+
+
 def test_language(spark):
     got = registry.op5(spark, SF).where("held_out").join(table(spark, "documents"), "doc_id").collect()
     assert accuracy(got, lambda r: r.lang_pred == r.lang) > 0.97
