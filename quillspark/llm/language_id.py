@@ -108,9 +108,10 @@ class Model:
 
 
 def _sample(docs: DataFrame, text_col: str, lang_col: str, learn: Column, texts: int) -> tuple[DataFrame, list[str]]:
-    """The ``texts`` distinct texts of each language with the smallest hashes."""
+    """``texts`` distinct texts of each language, or all it has, by their hashes alone: copies do not count."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    distinct = rows.select(lang_col, F.xxhash64(text_col).alias("h")).distinct()
+    counts = {r[0]: r[1] for r in distinct.groupBy(lang_col).count().collect()}
     if not counts:
         return docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("h")).limit(0), []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * texts / n))])

@@ -188,6 +188,13 @@ def test_classifiers_on_awkward_rows(spark, nasty, nothing):
     assert language_id.predict(nothing, model).count() == 0
 
 
+def test_copies_do_not_thin_out_a_language(spark):
+    rows = [("aa", "copied text")] * 5000 + [("aa", f"other text {i}") for i in range(9)] + [("bb", f"noch ein text {i}") for i in range(20)]
+    docs = spark.createDataFrame([("cc", "all copies")] * 5000 + rows, "lang string, text string")
+    sample, languages = language_id._sample(docs, "text", "lang", F.lit(True), 10)
+    assert Counter(r.lang for r in sample.collect()) == {"aa": 10, "bb": 10, "cc": 1} and languages == ["aa", "bb", "cc"]
+
+
 def test_kernel_counts_shared_grams():
     grams = language_id.Grams(np.unique(language_id.codes(language_id.folded("abc abd"))))
     x = grams.presence(["abc abd", "abd", ""])
