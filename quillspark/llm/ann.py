@@ -9,8 +9,8 @@ Scaling. Equal vectors are indexed once, with their smallest ids (more can never
 group of copies costs one candidate. The index is split by vector, not by cell: every block holds a bounded
 number of vectors of all cells, so no cell is hot, and blocks of queries meet blocks of vectors; a meeting
 returns at most k rows a query. Cell width and number of
-probes are fitted to a wanted recall on a bounded sample.
-Queries that find fewer than k vectors are searched again exhaustively, in the same blocks.
+probes are fitted to a wanted recall on a bounded sample; where no setting reaches it, all queries are
+searched exhaustively, in the same blocks. Queries that find fewer than k vectors are searched again so.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ class Index:
     per_table: int
     width: float
     probes: int
+    reached: bool = True  # the wanted recall, on the sample
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.directions + self.shifts) / self.width
@@ -125,7 +126,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def fit(distinct: DataFrame, dim: int, largest: float, n: int, k: int, tables: int = TABLES, directions: int = DIRECTIONS, widths: tuple[float, ...] = WIDTHS, wanted: float = WANTED, seed: int = SEED) -> Index:
     """Index parameters: of the cell widths and numbers of probes that reach the wanted recall on the sample,
-    those that visit the fewest vectors; if none does, those of the best recall."""
+    those that visit the fewest vectors; if none does, those of the best recall, and ``reached`` is false."""
     rng = np.random.default_rng(seed)
     normal, uniform = rng.normal(size=(dim + 1, tables * directions)), rng.uniform(0, 1, tables * directions)
     share = min(1.0, SAMPLE_VECTORS / max(1, n))
@@ -146,8 +147,8 @@ def fit(distinct: DataFrame, dim: int, largest: float, n: int, k: int, tables: i
                 if recall >= wanted or probes >= 3**directions:
                     break
                 probes = min(2 * probes, 3**directions)
-    _, _, width, probes = max(tried, default=(False, 0, widths[0], 3**directions))
-    return Index(dim, largest, normal, uniform * width, directions, width, probes)
+    reached, _, width, probes = max(tried, default=(False, 0, widths[0], 3**directions))
+    return Index(dim, largest, normal, uniform * width, directions, width, probes, reached)
 
 
 def _meet(distinct: DataFrame, queries: DataFrame, index: Index, n_vectors: int, n_queries: int, k: int, exact: bool) -> DataFrame:
@@ -199,7 +200,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id
         ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
         return found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r")
 
-    found = saved(best(_meet(distinct, queries, index, n_vectors, n_queries, k + 1, False)))
+    found = saved(best(_meet(distinct, queries, index, n_vectors, n_queries, k + 1, not index.reached)))
     full = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, n_vectors))
     short = saved(queries.join(full, "qid", "left_anti"))
     if not short.isEmpty():

@@ -239,6 +239,18 @@ def test_neighbours_of_awkward_rows(spark):
             assert [v for _, v, _ in sorted(got[q])] == [i for _, i in want[q]]
 
 
+def test_exhaustive_where_probing_fails(spark, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).normal(size=(1000, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fit, seen = ann.fit, []
+    monkeypatch.setattr(ann, "fit", lambda *a: seen.append(fit(*a, tables=1, widths=(1.0,))) or seen[0])
+    got = defaultdict(set)
+    for r in ann.search(df, F.pmod("id", F.lit(20)) == 0, k=5).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: {i for _, i in near} for q, near in brute_neighbours(rows, 5).items()}
+    assert got == want and not seen[0].reached
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = ann.search(df, F.pmod("id", F.lit(20)) == 0).orderBy("rank").collect()
