@@ -195,9 +195,66 @@ def test_links_of_planted_fingerprints(spark, hot):
     assert all(len(g) == 1 for g in group.values()) and len(group) == len(set(want.values()))
 
 
-def test_keep_one(nasty):
+def brute_kept(rows):
+    """(id, text) of the first row of each component by id (null last) and digest of the text."""
+    prints = [brute_fingerprint(t) for _, t in rows]
+    roots = brute_components(prints)
+    first: dict = {}
+    for (i, t), f in zip(rows, prints):
+        key = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
+        first[roots[f]] = min(first.get(roots[f], (key, i, t)), (key, i, t), key=lambda x: x[0])
+    return sorted(repr((i, t)) for _, i, t in first.values())
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_keep_one(nasty, broadcast, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", broadcast)
     kept = simhash.keep_one(nasty)
     assert kept.columns == nasty.columns
-    ids = [r.doc_id for r in kept.collect()]
-    groups = {r.component_id for r in simhash.near_duplicates(nasty).collect()}
-    assert len(ids) == len(set(ids)) and {i for i in ids if i is not None} == {g for g in groups if g is not None}
+    rows = [(r.doc_id, r.text or "") for r in nasty.select("doc_id", "text").collect()]
+    assert sorted(repr((r.doc_id, r.text or "")) for r in kept.collect()) == brute_kept(rows)
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """Different texts under one id, or without an id, all stay; copies go."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(30)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[0]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (2, texts[4]), (3, texts[4]), (None, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (None, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_chains_take_few_rounds(spark, order, monkeypatch):
+    nodes = [i * 7919 % 100_003 for i in range(2000)]
+    nodes = sorted(nodes) if order == "up" else sorted(nodes, reverse=True) if order == "down" else nodes
+    tables, save = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df: tables.append(1) or save(df))
+    roots = simhash.components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "u long, v long")).collect()
+    assert len({r.root for r in roots}) == 1 and {r.node for r in roots} == set(nodes)
+    assert len(tables) <= 3 * 16  # two or three a round
+
+
+def test_hot_matches_are_dealt_twice(spark):
+    """Fingerprints that agree in one half and in a quarter of the other."""
+    rng = random.Random(9)
+    base = rng.getrandbits(32) << 32
+    values = {base | 0xAB << 24 | rng.getrandbits(24) for _ in range(400)}
+    values |= {v ^ sum(1 << b for b in rng.sample(range(64), 3)) for v in list(values)[:50]}
+    signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(v,) for v in signed.values()], "fp long"), hot=20)).collect()}
+    want, group = brute_components(values), defaultdict(set)
+    for v, s in signed.items():
+        group[roots.get(s, s)].add(want[v])
+    assert all(len(g) == 1 for g in group.values()) and len(group) == len(set(want.values()))
+
+
+def test_blocks_of_structured_strings():
+    """Thue-Morse strings and their complements, which defeat polynomials modulo powers of two, are told apart."""
+    t = [bin(i).count("1") % 2 for i in range(128)]
+    a, b = bytes(97 + x for x in t), bytes(98 - x for x in t)
+    _, _, _, _, whole = suffix_dedup.blocks_of(np.frombuffer(a + b, np.uint8), np.array([128, 128]), 100, 32)
+    one, _, _, _, first = suffix_dedup.blocks_of(np.frombuffer(a, np.uint8), np.array([128]), 100, 32)
+    _, _, _, _, second = suffix_dedup.blocks_of(np.frombuffer(b, np.uint8), np.array([128]), 100, 32)
+    assert not set(first.tolist()) & set(second.tolist()) and set(whole.tolist()) == set(first.tolist()) | set(second.tolist())

@@ -95,6 +95,20 @@ def test_packing_round_trip(nasty, nothing):
 ODD = ["", " ", "  a  b", "\n\n x", "a\n\nb \n", "a▁b", "▁▁", "a\x00b", "<s>hi</s>", "x\r\ny; \r", "日本語 テスト", "ﬁ①", "a\xa0b", "\t\t", "é" * 50, "<0x0A>", "😀 a😀", "a" * 3000, "   " * 40, "<|endoftext|> a", "it's I'LL", "ªº²½ x³", "\x1c\x85 b"]
 
 
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    import json
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.plain(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        assert not packing.plain(spec | change)
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    assert packing.encode("SOME Words", str(other)).tolist() == packing.encode("some words", path).tolist()
+
+
 def test_encoding():
     from tokenizers import Tokenizer
 
@@ -146,6 +160,110 @@ def test_toxicity(spark):
     assert hit / sum(r.predicted for r in got) > 0.95 and hit / sum(r.toxic for r in got) > 0.85
 
 
+def test_quality_against_dense_algebra(spark):
+    """Partition sums and calibration equal one dense solution over the same rows."""
+    docs, labels, learn = table(spark, "documents"), table(spark, "labels"), bucket_of("doc_id", 5) != 0
+    model = quality_classifier.fit(docs, labels, learn, rows=200, features=32)
+    sample = learning.labelled_sample(docs, labels, "quality", learn, 200)[0].withColumn("ridge", F.pmod(F.xxhash64("id"), F.lit(4)) != 0).collect()
+    assert len(sample) == 200
+    x = lambda kept: np.array([quality_classifier.statistics(r.text.encode()) for r in sample if r.ridge == kept])
+    y = lambda kept: np.array([float(r.y) for r in sample if r.ridge == kept])
+    a, n = x(True), y(True)
+    rng = np.random.default_rng(quality_classifier.SEED)
+    waves, phase = rng.normal(0, 1 / np.sqrt(a.shape[1]), (a.shape[1], 32)), rng.uniform(0, 2 * np.pi, 32)
+    scale = np.sqrt(np.maximum(a.var(0), 1e-6))
+    features = lambda z: np.c_[np.cos((z - a.mean(0)) / scale @ waves + phase) * np.sqrt(2 / 32), np.ones(len(z))]
+    f = features(a)
+    weights = np.linalg.solve(f.T @ f + quality_classifier.PENALTY * len(a) * np.eye(33) / 32, f.T @ n)
+    nodes, values = learning.isotonic(features(x(False)) @ weights, y(False), np.ones(len(y(False))))
+    want = {r.doc_id: np.clip(np.interp(features(np.array([quality_classifier.statistics((r.text or "").encode())])) @ weights, nodes, values), 0, 1)[0] for r in docs.limit(200).collect()}
+    got = {r.doc_id: r["__quality"].score for r in quality_classifier.score(docs, model).collect()}
+    assert np.mean([abs(got[i] - s) < 1e-6 for i, s in want.items()]) > 0.99  # steps of the calibration may turn on the last digit
+
+
+def test_language_against_dense_algebra(spark):
+    """Sets of n-grams, the Nyström features and the ridge solution, computed plainly."""
+    words = {"aa": "la mano negra del norte sobre el agua clara", "bb": "the dark hand of winter on clear water"}
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(w.split(), k=12))) for k, w in words.items() for _ in range(30)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    model = language_id.fit(docs, texts=20, landmarks=4, n_grams=150)
+    sample, names = language_id._sample(docs, "text", "lang", F.lit(True), 20)
+    sample = sorted(sample.collect(), key=lambda r: (r.lang, r.h))
+
+    def grams(t):
+        b = (" " + t + " ").encode()
+        return {b[i : i + n] for n in range(1, 5) for i in range(len(b) - n + 1)}
+
+    landmarks = [grams(r.text) for k in names for r in [x for x in sample if x.lang == k][:4]]
+    counts = Counter(g for s in landmarks for g in s)
+    code = lambda g: len(g) << 32 | int.from_bytes(g, "little")
+    chosen = set(sorted(counts, key=lambda g: (-counts[g], code(g)))[:150])
+    landmarks = [s & chosen for s in landmarks]
+    kernel = lambda s: np.array([len(s & m) / np.sqrt(max(len(s), 1) * max(len(m), 1)) for m in landmarks])
+    values, vectors = np.linalg.eigh(np.array([kernel(m) for m in landmarks]))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    f = np.array([np.r_[kernel(grams(r.text) & chosen) @ root, 1.0] for r in sample])
+    y = np.array([[1.0 if r.lang == k else -1.0 for k in names] for r in sample])
+    solved = np.linalg.solve(f.T @ f + language_id.PENALTY * len(f) * np.eye(f.shape[1]), f.T @ y)
+    texts = ["la mano the water", "norte sobre", "dark dark hand", "zzz"]
+    got_names, got_scores = model.predict(texts)
+    for t, name, score in zip(texts, got_names, got_scores):
+        value = np.r_[kernel(grams(t) & chosen) @ root, 1.0] @ solved
+        soft = np.exp(language_id.SHARPNESS * (value - value.max()))
+        assert name == names[int(value.argmax())] and abs(score - soft.max() / soft.sum()) < 1e-3
+
+
+def test_no_ngram_is_lost():
+    chosen = np.unique(np.random.default_rng(1).integers(0, 1 << 35, 8192, dtype=np.uint64))
+    grams = language_id.Grams(chosen)
+    assert np.array_equal(grams.table[grams.slot(chosen)], np.arange(1, len(chosen) + 1))
+
+
+def test_toxicity_against_plain_compression(spark):
+    """Each window compressed with both dictionaries, one after the other, without a memory."""
+    import math
+
+    import zstandard
+
+    texts = [f"some plain words idiot here number{i} moron" + " x" * i for i in range(40)] + [f"some plain words here number{i}" + " y" * i for i in range(120)]
+    model = toxicity.train(texts, [1] * 40 + [0] * 120, {0: 1.0, 1: 1.0})
+
+    def size(content: bytes, x: bytes) -> int:
+        kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(5, min_match=5, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        kept.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=kept, compression_params=how).compress(toxicity.window(x)))
+
+    for t in ["", "plain words", "you idiot moron idiot", "idiot " + "calm " * 300, "w" * 500 + " idiot"]:
+        words = t.encode().split()
+        hits = [size(model.ordinary, w) - size(model.toxic, w) >= model.least_gain for w in words]
+        n = min(len(words), toxicity.PASSAGE)
+        rate = max([sum(hits[i : i + n]) for i in range(len(words) - n + 1)], default=0) / math.sqrt(n + toxicity.ADDED) if any(hits) else 0.0
+        assert model.rate(t) == rate
+        assert model.score(t) == float(np.clip(np.interp(rate, model.nodes, model.values), 0, 1))
+    assert model.score("you idiot moron idiot") > model.score("plain words")
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(50)] + [(5, None), (None, "none")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)] + [(1, 0, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    rows = learning.labelled_sample(docs, labels, "quality", F.lit(True), 4)[0].collect()
+    assert len(rows) == len({r.id for r in rows}) == 4 and all(r.y == (0 if r.id == 1 else r.id % 2) for r in rows)
+    every = learning.labelled_sample(docs, labels, "quality", F.lit(True), {0: 9, 1: 9})[0].collect()
+    assert sorted(r.id for r in every) == [0, 1, 2, 3, 4, 5] and {r.id: r.text for r in every}[5] == ""
+
+
+def test_long_windows_are_not_remembered():
+    model = toxicity.train(["some idiot"] * 3 + ["plain words"] * 5, [1] * 3 + [0] * 5, {})
+    model.gains([b"a" * 65, b"short"])
+    assert b"short" in model._ready[2] and b"a" * 65 not in model._ready[2]
+    use = token_counts.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    long = "q1w2e3" * 40
+    assert use.count(long) == len(use.model.encode(long)) and token_counts.SPACE + long not in use.known
+
+
 def test_all_telling_strings_count():
     words = [bytes([97 + i // 26, 97 + i % 26]) * 2 + b"q" for i in range(100)]
     got = toxicity.contrast([[b"plain", w] for w in words for _ in range(20)], [[b"plain"]] * 4000)
@@ -170,11 +288,11 @@ def test_classifiers_on_awkward_rows(spark, nasty, nothing):
     none = labels.limit(0)
     every = F.lit(True)
     for known in (labels, none):
-        for module in (quality_classifier, toxicity):
+        for module, out in ((quality_classifier, "__quality"), (toxicity, "__toxicity")):
             model = module.fit(nasty, known, every)
-            got = module.score(nasty, model, out="s").collect()
-            assert len(got) == nasty.count() and all(0 <= r.s <= 1 for r in got)
-            assert module.score(nothing, module.fit(nothing, known, every), out="s").count() == 0
+            got = module.score(nasty, model).collect()
+            assert len(got) == nasty.count() and all(0 <= r[out].score <= 1 and r.score == "x" for r in got)
+            assert module.score(nothing, module.fit(nothing, known, every)).count() == 0
     model = language_id.fit(nasty, learn=bucket_of("doc_id", 4) != 2)
     got = language_id.predict(nasty, model).collect()
     assert len(got) == nasty.count()
@@ -239,6 +357,36 @@ def test_neighbours_of_awkward_rows(spark):
             assert [v for _, v, _ in sorted(got[q])] == [i for _, i in want[q]]
 
 
+def test_neighbours_by_cells(spark, monkeypatch):
+    """Fifty thousand vectors in clusters, one of which holds a third: recall, share visited, no scan of all."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(400, 16))
+    which = np.where(rng.random(50_000) < 1 / 3, 0, rng.integers(0, 400, 50_000))
+    x = centres[which] + 0.15 * rng.normal(size=(50_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 3000)  # many buckets, the hot one salted
+    fit, scan, seen = ann.fit, ann._exhaustive, []
+    monkeypatch.setattr(ann, "fit", lambda *a: seen.append(fit(*a)) or seen[-1])
+    monkeypatch.setattr(ann, "_exhaustive", lambda d, q, *a: seen.append(q.count()) or scan(d, q, *a))
+    got = defaultdict(set)
+    for r in ann.search(df, F.pmod("id", F.lit(100)) == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    scores = x[::100] @ x.T
+    scores[np.arange(500), np.arange(500) * 100] = -9
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    print("share", seen[0].share, "width", seen[0].width, "probes", seen[0].probes, "scanned", seen[1:])
+    assert np.mean([len(got[i * 100] & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.9
+    assert seen[0].reached and seen[0].share < 0.35 and sum(seen[1:]) <= 50
+
+
+def test_extreme_vectors(spark):
+    rows = [(20, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 0.0]), (40, [0.0, 1e-200]), (3, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.pmod("id", F.lit(20)) == 0).collect()}
+    assert got == {(q, i) for q in (20, 40) for i, _ in rows if i != q}
+
+
 def test_exhaustive_where_probing_fails(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).normal(size=(1000, 16)))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -277,21 +425,36 @@ def brute_shares(children, given):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_budgets(spark, seed):
     rng = random.Random(seed)
     leaves = {(f"d{a}", f"l{b}", f"s{c}"): rng.choice([0, 5, 50, 500]) for a in range(3) for b in range(3) for c in range(3)}
-    weights = {"domain": {"d0": 3.0, "d1": 1.0, "d2": 0.0}, "lang": {"l0": 2.0}, "source": {"s1": 5.0}}
+    weights = [
+        {"domain": {"d0": 3.0, "d1": 1.0, "d2": 0.0}, "lang": {"l0": 2.0}, "source": {"s1": 5.0}},
+        {"domain": {"d0": 3.0}, "lang": {"l0": 0.0, "l1": 4.0}, "source": {"s1": 5.0}},
+        {"domain": {"d1": 2.0}, "lang": {"l2": 2.0}, "source": {"s0": 0.0, "s2": 0.0}},
+        {"domain": {"d0": 0.0}, "lang": {"l1": 0.0}, "source": {"s2": 0.0, "s1": 3.0}},
+    ][seed]
     df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, tokens long")
     got = {tuple(r)[:3]: r.budget for r in mixing.budgets(df, 0.9, 2, weights).collect()}
-    room = lambda p: 2 * sum(v for k, v in leaves.items() if k[: len(p)] == p)
     w = lambda level, name: weights[level].get(name, 1.0)
+    some = {k: v for k, v in leaves.items() if all(w(level, name) > 0 for level, name in zip(mixing.LEVELS, k))}
+    room = lambda p: 2 * sum(v for k, v in some.items() if k[: len(p)] == p)
     domains = brute_shares({d: (room((d,)), w("domain", d)) for d in ("d0", "d1", "d2")}, min(int(0.9 * sum(leaves.values())), room(())))
     for d, x in domains.items():
         langs = brute_shares({b: (room((d, b)), w("lang", b)) for b in ("l0", "l1", "l2")}, x)
         for b, y in langs.items():
             for s, z in brute_shares({c: (room((d, b, c)), w("source", c)) for c in ("s0", "s1", "s2")}, y).items():
                 assert abs(got.get((d, b, s), 0) - int(z + 1e-6)) <= 1
+    wanted = min(int(0.9 * sum(leaves.values())), room(()))
+    assert wanted - len(leaves) <= sum(got.values()) <= wanted
+
+
+def test_shortage_of_a_zero_weight_goes_on(spark):
+    """What a language without weight cannot take goes to its siblings, then to the other domain."""
+    df = spark.createDataFrame([("a", "x", "s", 100), ("a", "y", "s", 100), ("b", "x", "s", 800)], "domain string, lang string, source string, tokens long")
+    got = {tuple(r)[:3]: r.budget for r in mixing.budgets(df, 0.6, 1, {"lang": {"y": 0.0}}).collect()}
+    assert got == {("a", "x", "s"): 100, ("b", "x", "s"): 500}
 
 
 def test_mixing_awkward_rows(nasty, nothing):

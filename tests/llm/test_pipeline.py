@@ -1,11 +1,14 @@
 """The corpus pipeline against its operators, stage by stage, and on awkward tables."""
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quillspark.llm import language_id, packing, simhash, suffix_dedup
-from quillspark.llm.common import bucket_of, shared_dir
+from quillspark.llm import language_id, mixing, packing, registry, simhash, suffix_dedup
+from quillspark.llm.common import bucket_of, discard, shared_dir, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +25,7 @@ def test_stages(spark):
             p = language_id.predict(docs, model).where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= P.LEAST_SCORE))
             assert {r.doc_id for r in after} == {r.doc_id for r in p.collect()}
         elif name == "simhash_near_dedup":
-            assert {r.doc_id for r in after} == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+            assert sorted(r.doc_id for r in after) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
             assert all(tuple(r) == tuple(before[r.doc_id]) for r in after)
         elif name == "suffix_array_dedup":
             want = {r.doc_id: r["__dedup"] for r in suffix_dedup.dedup(docs, with_text=True).collect()}
@@ -30,7 +33,13 @@ def test_stages(spark):
                 assert r.text == (want[r.doc_id].kept_text if want[r.doc_id].n_removed else before[r.doc_id].text) and r.n_chars == len(r.text)
             assert {i for i, d in want.items() if d.kept_text or not d.n_removed} == {r.doc_id for r in after}
         elif name == "mixing":
-            assert 0 < len(after) and all(tuple(r) == tuple(before[r.doc_id]) for r in after)
+            drawn = mixing.mix(docs, registry.domain(), registry.MIX_WEIGHTS, **registry.MIX).collect()
+            words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            want = Counter((r.doc_id, tuple(words(r.text)[: r["__mix"].take_tokens])) for r in drawn)
+            assert Counter((r.doc_id, tuple(words(r.text))) for r in after) == want
+            assert all(before[r.doc_id].text.startswith(r.text) and r.n_chars == len(r.text) for r in after)
+            assert sum(len(words(r.text)) for r in after) == sum(r["__mix"].take_tokens for r in drawn) <= 0.8 * sum(len(words(r.text)) for r in before.values())
+            assert any(r.text != before[r.doc_id].text for r in after)
         else:
             tokens = sum(len(packing.encode(r.text, packing.tokenizer_path(packing.VOCABULARY))) + 1 for r in docs.collect())
             assert sum(r.length for r in after) == tokens
@@ -40,7 +49,12 @@ def test_stages(spark):
 
 
 def test_run(spark):
+    """The pipeline leaves the tables of its last stages only, and those can be discarded."""
+    before = written()
     assert P.run(spark, SF).count() > 0
+    assert written() == before + 1
+    discard(spark, before)
+    assert written() == before
 
 
 @pytest.mark.parametrize("table", ["nasty", "nothing"])
