@@ -7,7 +7,9 @@ segment values, not documents: equal fingerprints are folded first (map-side), a
 value, and inside a table match a breadth-first search takes each fingerprint out of the unvisited set when
 it is first reached, so dense groups cost nearly linear time and emit a star instead of all pairs. Matches
 with more than HOT fingerprints are dealt on by an equal byte of the other segment (also guaranteed by the
-pigeonhole principle). Components come from contraction rounds over the remaining edges.
+pigeonhole principle), and what is still hot by an equal quarter of its other 24 bits; then 18 bits are free, so no
+group exceeds 2**19 fingerprints, whatever the input. Components come from contraction rounds over the remaining
+edges, each to the neighbour of least random priority, so that their number grows with the logarithm of a chain.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, release, saved, text_bytes, trimmed, unique_key
+from .common import prepare, release, saved, text_bytes, trimmed
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 HOT = 20000
+#: Keys of removed rows that may be broadcast (about 60 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -131,20 +135,44 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
     match = pairs.withColumn("match", F.xxhash64("k", "a", "b"))
     sides = match.select("k", "match", "n", F.explode(F.array_distinct(F.array("a", "b"))).alias("a"))
     members = sides.join(table, ["k", "a"])
-    other = F.when(F.col("k") == 0, high).otherwise(low)
-    bytes_ = F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(other, 8 * j).bitwiseAND(F.lit(255)).alias("x")) for j in range(4)])
-    whole = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("x")))
-    dealt = members.select("match", "fp", F.explode(F.when(F.col("n") > hot, bytes_).otherwise(whole)).alias("d")).select(F.xxhash64("match", "d.j", "d.x").alias("match"), "fp")
+    members = members.withColumn("rest", F.when(F.col("k") == 0, high).otherwise(low))
+    dealt = members.where(F.col("n") <= hot).select("match", "fp")
+    if not pairs.where(F.col("n") > hot).isEmpty():
+        once = saved(_dealt(members.where(F.col("n") > hot), 32))
+        still = once.groupBy("match").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("match")
+        twice = _dealt(once.join(still, "match", "left_semi"), 24)
+        dealt = dealt.unionByName(once.join(still, "match", "left_anti").select("match", "fp")).unionByName(twice.select("match", "fp"))
     return dealt.repartition("match").sortWithinPartitions("match").mapInArrow(trimmed(_search(max_bits)), "u long, v long")
 
 
+def _dealt(members: DataFrame, width: int) -> DataFrame:
+    """Each member (match, fp, rest) once for each quarter of its ``width`` free bits: rests that differ in three
+    bits at most agree in a quarter. ``rest`` holds the other three quarters afterwards."""
+    part = width // 4
+    cuts = [
+        F.struct(
+            F.lit(j).alias("j"),
+            F.shiftrightunsigned("rest", part * j).bitwiseAND(F.lit((1 << part) - 1)).alias("x"),
+            F.shiftleft(F.shiftrightunsigned("rest", part * (j + 1)), part * j).bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << part * j) - 1))).alias("rest"),
+        )
+        for j in range(4)
+    ]
+    return members.select("match", "fp", F.explode(F.array(*cuts)).alias("d")).select(F.xxhash64("match", "d.j", "d.x").alias("match"), "fp", "d.rest")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node that an edge (u, v) touches, by rounds of contraction to the least neighbour."""
+    """(node, root) for every node that an edge (u, v) touches, by rounds of contraction.
+
+    In a round each node joins the least of its neighbours and itself, by a hash that changes with the round. By ids, a
+    chain in their order would lose one link a round; by random priorities about half the nodes go each time.
+    """
     edges = saved(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     maps = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "node"))
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), F.col(c)).alias("p"), F.col(c).alias("m"))
+        step = both.groupBy("u").agg(F.min(order("v")).alias("v"))
+        step = saved(step.select(F.col("u").alias("node"), F.least(F.col("v"), order("u"))["m"].alias("m")))
         maps.append(step)
         a = step.select(F.col("node").alias("u"), F.col("m").alias("mu"))
         b = step.select(F.col("node").alias("v"), F.col("m").alias("mv"))
@@ -169,17 +197,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     marked = saved(with_fingerprint(docs.select(F.col(id_col), F.col(text_col)), text_col, "fp").select(F.col(id_col), "fp"))
-    fps = saved(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
+    of = saved(least_of(marked, F.min(id_col), max_bits))
+    return marked.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def least_of(marked: DataFrame, least: Column, max_bits: int) -> DataFrame:
+    """(fp, least): for each fingerprint of ``marked`` the least value in its component; ``least`` is a minimum."""
+    fps = saved(marked.groupBy("fp").agg(least.alias("least")))
     roots = components(links(fps.select("fp"), max_bits))
     rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = saved(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return marked.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root").select("fp", "least")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that near-repeat a document of smaller id; of repeated rows one stays."""
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where(f"{id_col} <> component_id or ({id_col} is null and component_id is not null)").select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    return kept if unique_key(docs, id_col) else kept.dropDuplicates([id_col])
+    """docs with one row of each component: the one of the least id, of equal ids the one whose text has the least
+    MD5; null ids come last, null texts count as empty.
+
+    Rows, not ids, are removed: different texts under one id, or without an id, stay if their components differ.
+    Rows that are equal in id and text are one document; one of them stays. Empty table: no rows. Texts are not
+    shuffled as long as the keys of the rows to remove may be broadcast, and no row repeats.
+    """
+    prepare(docs.sparkSession)
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    narrow = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp")
+    marked = saved(narrow.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "fp"))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    of = least_of(marked, F.min(key), MAX_BITS)
+    best = (F.col("id").eqNullSafe(F.col("least.id"))) & (F.col("digest") == F.col("least.digest"))
+    keys = marked.join(of, "fp").groupBy("id", "digest").agg(F.max(best).alias("kept"), F.count("*").alias("n"))
+    keys = saved(keys)
+    gone = keys.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    rest = docs.withColumn("__text", digest)
+    rest = rest.join(gone, rest[id_col].eqNullSafe(gone["__id"]) & (rest["__text"] == gone["__digest"]), "left_anti")
+    if not keys.where("kept and n > 1").isEmpty():
+        rest = rest.dropDuplicates([id_col, "__text"])
+    return rest.drop("__text")
