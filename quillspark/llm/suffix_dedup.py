@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,9 @@ class Limits(NamedTuple):
 U = np.uint64
 MULT = U(0x9E3779B97F4A7C15)
 MULT_INV = U(pow(int(MULT), -1, 1 << 64))
+#: Blocks count as equal if their anchors and their XXH3 values under this key are: seeds may be hashed by a
+#: polynomial, which strings can be made to defeat, since equal seeds only bring blocks together.
+BLOCK_SEED = 0x5DEECE66D1CE4E5B
 
 
 def _byte_codes() -> np.ndarray:
@@ -109,7 +113,8 @@ def blocks_of(data: np.ndarray, lens: np.ndarray, min_len: int = MIN_LEN, seed_l
     count = np.diff(np.r_[first, len(at)])
     begin = at[first]
     end = begin + count + min_len - 1
-    whole = _mix((sums[end] - sums[begin]) * up[begin] + count.astype(np.uint64) * MULT)
+    bytes_ = memoryview(np.ascontiguousarray(data))
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(bytes_[i:j], BLOCK_SEED) for i, j in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
     return owner[first], begin - offs[owner[first]], count, seeds[anchor[first]], whole
 
 
@@ -375,8 +380,6 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], min_len: int, limits: Limits
 
     Rows: text, wanted array<struct<anchor, id, start, strings, hot>>.
     """
-    import xxhash
-
     sent: dict[bytes, tuple[int, int]] = {}
     for table in batches:
         out: list[tuple] = []
@@ -488,12 +491,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
     """
     if unique_key(docs, id_col):
         return docs.withColumn("__key", F.col(id_col).cast("long")), True
-    spark = docs.sparkSession
     marked = docs.withColumn("__hash", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     ids = marked.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__h")).distinct().orderBy(F.col("__id").asc_nulls_last(), "__h")
-    ranks = ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__h", T.StringType()), T.StructField("__key", T.LongType())])
-    ranks = saved(spark.createDataFrame(ranks, schema))
+    # Sorted rows lie in ranges by partition: this number grows along the order (with gaps, which do no harm).
+    ranks = saved(ids.withColumn("__key", F.monotonically_increasing_id()))
     return marked.join(ranks, marked[id_col].eqNullSafe(ranks["__id"]) & (marked["__hash"] == ranks["__h"])).drop("__id", "__h", "__hash"), False
 
 
