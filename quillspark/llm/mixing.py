@@ -24,6 +24,16 @@ DIGITS, ROUNDS = 2, 2
 LEVELS = ("domain", "lang", "source")
 
 
+def n_tokens(text_col: str = "text") -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def first_tokens(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th token, spaces as they are."""
+    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
+
+
 def weight(level: str, weights: dict[str, float] | None) -> Column:
     """Weight of a node by its name; names that are not listed weigh 1."""
     out = F.lit(1.0)
@@ -46,9 +56,13 @@ def shared_out(children: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str, dict[str, float]]) -> DataFrame:
-    """leaves (domain, lang, source, tokens) with ``budget``, whole tokens."""
+    """leaves (domain, lang, source, tokens) with ``budget``, whole tokens; without those that weigh nothing."""
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("all"))
-    room = leaves.withColumn("room", (F.col("tokens") * max_epochs).cast("double"))
+    # A node's room is what its leaves can take: those under a weight of zero, on whatever level, take nothing.
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ = open_ & (weight(level, weights.get(level)) > 0)
+    room = leaves.where(open_).withColumn("room", (F.col("tokens") * max_epochs).cast("double"))
     domains = room.groupBy("domain").agg(F.sum("room").alias("room")).crossJoin(total)  # one row on the right
     given = F.least(F.floor(F.col("all") * share).cast("double"), F.sum("room").over(Window.partitionBy(F.lit(0))))
     domains = shared_out(domains.withColumns({"given": given, "w": weight("domain", weights.get("domain"))}).drop("all"), [], "domain")
@@ -59,18 +73,21 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str,
     return last.select(*LEVELS, "tokens", F.floor(F.col("share") + F.lit(1e-6)).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float = 1.0, max_epochs: int = 4, seed: int = 1, digits: int = DIGITS, levels: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], share: float = 1.0, max_epochs: int = 4, seed: int = 1, digits: int = DIGITS, levels: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", counted: str | None = None) -> DataFrame:
     """docs, each row as often as it is drawn, with a struct ``__mix``: domain, lang, source, epoch (from 1),
     n_tokens (words) and take_tokens (less than n_tokens only where the leaf's budget ends in the document).
 
     share: tokens wanted over tokens there. A null lang counts as ``und``, a null source as the empty string; a
     null text holds no token. Leaves without tokens give nothing; documents without tokens are drawn where their
-    place in the order is before the end of the budget. Rows with equal ids (or null ids) are ordered by their
-    tokens; equal rows are documents of their own. Other columns are carried along; empty table: no rows.
+    place in the order is before the end of the budget. The MD5 of its text stands for a null id. Rows with equal
+    ids are ordered by their tokens; equal rows are documents of their own. Other columns are carried along; empty
+    table: no rows. ``counted`` names a column that holds the number of tokens, so that texts need not be read again.
     """
     leaf = F.struct(domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"))
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    narrow = saved(docs.select(F.col(id_col).cast("string").alias("id"), leaf.alias("leaf"), tokens.alias("n_tokens")).select("id", "leaf.*", "n_tokens"))
+    tokens = n_tokens(text_col) if counted is None else F.col(counted)
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    narrow = docs.select(own.alias("id"), leaf.alias("leaf"), tokens.alias("n_tokens")).select("id", "leaf.*", "n_tokens")
+    narrow = saved(narrow) if counted is None else narrow
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(leaves, share, max_epochs, weights)
     whole = F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs).cast("long"), F.expr("budget div greatest(tokens, 1)"))).otherwise(F.lit(0).cast("long"))
@@ -78,7 +95,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
     plan = saved(plan.drop("tokens", "budget").where("whole > 0 or rest > 0"))
 
     def order(id_: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.coalesce(id_, F.lit(""))))
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), id_))
 
     plan = plan.withColumns({"prefix": F.lit(""), "start": F.lit(0).cast("long")})
     for depth in range(digits, digits * levels + 1, digits):
@@ -93,7 +110,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], s
     digits *= levels
 
     named = [F.col(c) for c in docs.columns]
-    rows = docs.select(F.struct(*named).alias("__row"), leaf.alias("leaf"), F.col(id_col).cast("string").alias("id"), tokens.alias("n_tokens")).join(plan, "leaf").withColumn("key", order(F.col("id")))
+    rows = docs.select(F.struct(*named).alias("__row"), leaf.alias("leaf"), own.alias("id"), tokens.alias("n_tokens")).join(plan, "leaf").withColumn("key", order(F.col("id")))
     inside = F.coalesce(F.substring("key", 1, digits) < F.col("bucket"), F.lit(False))
     last = F.col("whole") + F.when(inside, 1).otherwise(0)
     epochs = F.when(last > 0, F.sequence(F.lit(1).cast("long"), last)).otherwise(F.array().cast("array<long>"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
-from .common import bucket_of, documents, prepare
+from .common import bucket_of, documents, prepare, saved
 from .sql import MIXING_SQL, QUALITY_RULES_SQL
 
 #: Production parameters of the mixture: target weights by level, share of the tokens, epochs and seed.
@@ -39,7 +39,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit(docs, labels, bucket_of("doc_id", 5) != 0)
-    out = quality_classifier.score(docs, model)
+    out = quality_classifier.score(docs, model).withColumn("score", F.col("__quality.score"))
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -51,8 +51,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    out = mixing.mix(docs, domain(), MIX_WEIGHTS, **MIX)
+    # Texts are read once: what is drawn is told by the counts. A null id needs its text, which stays with it.
+    text = F.when(F.col("doc_id").isNull(), F.col("text")).alias("text")
+    docs = saved(documents(spark, sf_dir).select("doc_id", "lang", "source", mixing.n_tokens().alias("__tokens"), text))
+    out = mixing.mix(docs, domain(), MIX_WEIGHTS, **MIX, counted="__tokens")
     return out.select("doc_id", "__mix.domain", "__mix.lang", "__mix.source", "__mix.epoch", "__mix.n_tokens", "__mix.take_tokens")
 
 
@@ -68,7 +70,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, bucket_of("doc_id", 3) != 1)
-    out = toxicity.score(docs, model)
+    out = toxicity.score(docs, model).withColumn("score", F.col("__toxicity.score"))
     return out.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -36,7 +36,7 @@ SELECT *, CASE WHEN "full" THEN room ELSE least(room, (given - taken) * w / CASE
     SELECT *, rooms + level * rest <= given + 1e-6 AS "full" FROM (
       SELECT *, sum(room) OVER ({over} ORDER BY level, {name} ROWS UNBOUNDED PRECEDING) AS rooms,
         sum(w) OVER ({over}) - sum(w) OVER ({over} ORDER BY level, {name} ROWS UNBOUNDED PRECEDING) AS rest
-      FROM (SELECT *, room / w AS level FROM ({source})))))"""
+      FROM (SELECT *, room / w AS level FROM ({source}) WHERE w > 0))))"""
 
 
 _DOMAINS = "SELECT domain, sum(room) AS room, least(floor(any_value(total) * 0.8), sum(sum(room)) OVER ()) AS given, CASE domain WHEN 'web' THEN 4.0 WHEN 'books' THEN 3.0 WHEN 'forum' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM leaves GROUP BY domain"
@@ -45,7 +45,7 @@ _SOURCES = "SELECT leaves.domain, leaves.lang, source, tokens, room, share AS gi
 
 MIXING_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(source, '') AS source, len({WORDS})::BIGINT AS n_tokens,
+  SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(source, '') AS source, len({WORDS})::BIGINT AS n_tokens, md5(coalesce(text, '')) AS digest,
     ['web', 'books', 'forum', 'code'][coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4 + 1] AS domain
   FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * 2)::DOUBLE AS room, sum(sum(n_tokens)) OVER ()::DOUBLE AS total FROM d GROUP BY domain, lang, source),
@@ -55,7 +55,7 @@ sources AS ({_level("source", "domain, lang", _SOURCES)}),
 budget AS (SELECT domain, lang, source, tokens, floor(share + 1e-6)::BIGINT AS budget FROM sources),
 plan AS (SELECT *, CASE WHEN whole < 2 THEN budget - whole * tokens ELSE 0 END AS rest FROM (
   SELECT *, CASE WHEN tokens > 0 THEN least(2, budget // greatest(tokens, 1)) ELSE 0 END AS whole FROM budget)),
-keyed AS (SELECT d.*, whole, rest, md5(concat_ws(':', '7', (whole + 1)::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS key FROM d JOIN plan USING (domain, lang, source)),
+keyed AS (SELECT d.*, whole, rest, md5(concat_ws(':', '7', (whole + 1)::VARCHAR, coalesce(doc_id::VARCHAR, digest))) AS key FROM d JOIN plan USING (domain, lang, source)),
 placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id::VARCHAR, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS place FROM keyed)
 SELECT doc_id, domain, lang, source, e::INTEGER AS epoch, n_tokens, n_tokens AS take_tokens FROM keyed, (SELECT unnest([1, 2]) AS e) WHERE e <= whole
 UNION ALL
