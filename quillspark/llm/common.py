@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python: texts are long, so batches are kept small.
 BATCH_ROWS = 1000
+_tables: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -28,8 +29,8 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where neither the setting nor a checkpoint directory exists (tests on one machine)
-    is a temporary folder made.
+    Only on one machine, and only where neither the setting nor a checkpoint directory exists (as in tests), is a
+    temporary folder made; on a cluster its absence is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="quillspark-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -48,10 +51,25 @@ def saved(df: DataFrame) -> DataFrame:
     """Cut lineage: the rows as a Parquet table in the shared folder, which outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Deletes the tables that ``saved`` has written, from number ``since`` on (see ``written``), ``upto`` one.
+    Results that still read them must have been written or collected."""
+    for path in _tables[since:upto]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _tables[since:upto]
+
+
+def written() -> int:
+    """How many tables ``saved`` has written that are not discarded."""
+    return len(_tables)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

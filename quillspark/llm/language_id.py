@@ -8,6 +8,7 @@ scored by batched matrix products.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,6 @@ TRAIN_TEXTS, LANDMARKS, N_GRAMS = 1500, 24, 8192
 LONGEST, PENALTY, SHARPNESS = 4, 1e-3, 4.0
 UNKNOWN = "und"
 BATCH = 256
-TABLE_BITS = 20
 
 
 def folded(text: str) -> np.ndarray:
@@ -47,18 +47,24 @@ def codes(data: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Numbers of the kernel's n-grams, by a hash table whose few clashes are left out of the kernel."""
+    """Numbers of the kernel's n-grams, by a hash table without clashes: the table is so large that about one
+    multiplier in fifty has none, and those of a fixed order are tried until one fits."""
 
     def __init__(self, chosen: np.ndarray):
-        slots = self.slot(chosen)
-        _, first, count = np.unique(slots, return_index=True, return_counts=True)
-        self.chosen = np.concatenate([[np.uint64(0)], chosen[np.sort(first)]])
-        self.table = np.zeros(1 << TABLE_BITS, np.int32)
-        self.table[self.slot(self.chosen[1:])] = np.arange(1, len(self.chosen))
-
-    @staticmethod
-    def slot(code: np.ndarray) -> np.ndarray:
-        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+        self.chosen = np.concatenate([[np.uint64(0)], chosen])
+        bits = max(8, math.ceil(math.log2(max(1, len(chosen) ** 2 / 8))))
+        self.shift = np.uint64(64 - bits)
+        multipliers = np.random.default_rng(17)
+        while True:
+            self.multiplier = np.uint64(int(multipliers.integers(1, 1 << 63)) * 2 + 1)
+            slots = self.slot(chosen)
+            if len(np.unique(slots)) == len(slots):
+                break
+        self.table = np.zeros(1 << bits, np.uint16 if len(chosen) < 1 << 16 else np.int32)
+        self.table[slots] = np.arange(1, len(self.chosen))
+
+    def slot(self, code: np.ndarray) -> np.ndarray:
+        return (code * self.multiplier) >> self.shift
 
     def presence(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.chosen)), np.float32)
@@ -122,6 +128,9 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, learn: Column, texts:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, texts: int = TRAIN_TEXTS, landmarks: int = LANDMARKS, n_grams: int = N_GRAMS) -> Model:
+    """Learns from at most ``texts`` distinct texts of each language where ``learn`` holds; null texts and languages
+    are left out. Landmarks are the texts of the least hashes; the kernel is over the ``n_grams`` n-grams that most
+    landmarks hold, ties by code. Nothing to learn from: no language."""
     prepare(docs.sparkSession)
     sample, languages = _sample(docs, text_col, lang_col, F.lit(True) if learn is None else learn, texts)
     if not languages:

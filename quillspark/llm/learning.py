@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: ASCII letters lower-case, other ASCII to spaces; bytes of longer characters stay.
@@ -24,8 +24,10 @@ def has_letter(text: str) -> bool:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int | dict[int, int], id_col: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
     """(id, text, y) of a bounded sample, and each label's weight (labelled rows over sampled rows).
 
-    rows bounds the sample: in all, or for each label. The rows with the smallest hashes of their ids are
-    taken, whatever the partitions. Null labels and ids are left out; of repeated ids one row stays.
+    rows bounds the sample: in all, or for each label. The ids with the smallest hashes are taken, whatever the
+    partitions. Null labels and ids are left out; an id that is labelled twice has its least label; of documents
+    with one id the one whose text has the least MD5 stays, so the bound holds for rows too; null texts are empty.
+    No labels: no rows.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & learn).groupBy(id_col).agg(F.min(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -41,8 +43,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
             picked = picked.unionByName(p)
         weights = {y: counts.get(y, 0) / max(1, min(n, counts.get(y, 0))) for y, n in rows.items()}
     # the picked side holds ``rows`` rows of two numbers at most
-    joined = docs.select(id_col, "text").join(F.broadcast(picked), id_col)
-    return joined.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"), "y"), weights
+    joined = docs.select(id_col, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
+    one = joined.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5("text")))).where("__n = 1")
+    return one.select(F.col(id_col).alias("id"), "text", "y"), weights
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def _load(path: str) -> tuple:
-    """The tokenizer of a byte-level BPE file, a faster merge routine on the same vocabulary, and its special strings."""
+    """The tokenizer of a file, its special strings and, for plain byte-level BPE, a faster merge routine on the same
+    vocabulary (None for any other file)."""
     if path not in _loaded:
         import os
 
@@ -49,6 +50,9 @@ def _load(path: str) -> tuple:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if not plain(spec):
+            _loaded[path] = whole, None, list(special)
+            return _loaded[path]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
         byte_of = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(hidden)}
@@ -59,6 +63,18 @@ def _load(path: str) -> tuple:
     return _loaded[path]
 
 
+def plain(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE as the faster routine has it: texts as they are, the usual split,
+    and merges in the order of the ids that they make."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+    if spec.get("normalizer") or not usual or model.get("type") != "BPE" or any(odd):
+        return False
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    return None not in made and all(a < b for a, b in zip(made, made[1:]))
+
+
 def encode(text: str, path: str) -> np.ndarray:
     """Token ids as the tokenizer at ``path`` gives them, without added special tokens.
 
@@ -66,7 +82,7 @@ def encode(text: str, path: str) -> np.ndarray:
     with a special string goes through the tokenizer itself.
     """
     whole, fast, special = _load(path)
-    if not UNUSUAL(text) and not any(s in text for s in special):
+    if fast and not UNUSUAL(text) and not any(s in text for s in special):
         return np.frombuffer(array("I", fast.encode_ordinary(text)), np.uint32)
     return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 

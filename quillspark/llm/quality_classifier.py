@@ -29,6 +29,8 @@ DIGITS = b"0123456789"
 
 
 def statistics(text: bytes) -> list[float]:
+    """What a score is made of. Three figures are bounded, so that one odd text cannot stretch the scale of its
+    feature: mean word length (30), symbols a word (4), bars and exclamation marks a word (2)."""
     d = quality_rules.base(text)
     n, size = max(1, len(d.words)), max(1, len(text))
     letters = len(text) - len(text.translate(None, quality_rules.LETTERS))
@@ -107,6 +109,9 @@ def _sums(df: DataFrame, part) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = TRAIN_ROWS, features: int = FEATURES, penalty: float = PENALTY, seed: int = SEED) -> Model:
+    """Learns from at most ``rows`` labelled rows where ``learn`` holds; see ``labelled_sample`` for nulls, repeats
+    and ties. Three quarters of them, by a hash of the id, fit the regression, the others calibrate it. Without
+    labelled rows every score is 0."""
     prepare(docs.sparkSession)
     sample, _ = labelled_sample(docs, labels, label, learn, rows)
     sample = saved(sample.select("id", _statistics("text").alias("x"), "y"))
@@ -133,9 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score in 0..1. Null texts score as empty ones; other columns, null ids and repeated rows are
-    carried along; empty table: no rows."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "__quality") -> DataFrame:
+    """docs with a struct that holds ``score``, 0..1. Null texts score as empty ones; other columns, whatever their
+    names, null ids and repeated rows are carried along; empty table: no rows."""
     prepare(docs.sparkSession)
 
     @F.arrow_udf(T.DoubleType())
@@ -143,4 +148,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         x = np.array([statistics(b) for b in text_bytes(texts)], np.float64).reshape(-1, N_STATISTICS)
         return pa.array(model.score(x))
 
-    return docs.withColumn(out, scores(F.col(text_col)))
+    return docs.withColumn(out, F.struct(scores(F.col(text_col)).alias("score")))

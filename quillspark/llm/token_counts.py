@@ -21,8 +21,8 @@ from .common import prepare
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 SPACE = "▁"
-#: Merged pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Merged pre-tokens that a worker remembers before it starts anew, and their most characters.
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
 _counters: dict[str, Counter] = {}
 
 
@@ -72,8 +72,9 @@ class Counter:
         if len(known) + len(rest) > REMEMBERED + len(self.whole):
             known = self.known = dict(self.whole)
             rest = [t for t in dict.fromkeys(tokens) if t not in known]
-        known.update(zip(rest, self._merged(rest)))
-        return sum(map(known.__getitem__, tokens))
+        new = dict(zip(rest, self._merged(rest)))
+        known.update((t, n) for t, n in new.items() if len(t) <= LONGEST_REMEMBERED)
+        return sum(known[t] if t in known else new[t] for t in tokens)
 
 
 def counter(path: str) -> Counter:
