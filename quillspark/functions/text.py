@@ -39,29 +39,79 @@ def source_url(base: str, source_file: Column) -> Column:
     return F.when(F.coalesce(source_file, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), source_file))
 
 
-#: The normalisation of Markdown, as patterns and what replaces them, in order.
-MARKDOWN_RULES = [
+#: White space as Unicode text has it, for both regex dialects.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WORD = r"[\p{L}\p{N}_]"
+ADJACENT_BOLD = (rf"\*\*([^*]+)\*\*{SPACE}*\*\*([^*]+)\*\*", r"**\1 \2**")
+#: The normalisation of a chunk's Markdown, as patterns and what replaces them, in order.
+CHUNK_RULES = [
     (r"\*\*\*\*", "★"),
-    (r"(?<=[\p{L}\p{N}_])★(?=[\p{L}\p{N}_])", "** **"),
+    (rf"({WORD})★({WORD})", r"\1** **\2"),
     (r"★", "**"),
-    *[(r"\*\*([^*\n]+)\*\*\*\*([^*\n]+)\*\*", "**$1$2**")] * 5,
-    (r"\*\*\s*\*\*", ""),
+    ADJACENT_BOLD,
+    ADJACENT_BOLD,
+    ADJACENT_BOLD,
+    ADJACENT_BOLD,
+    ADJACENT_BOLD,
+    (rf"\*\*{SPACE}*\*\*", " "),
     (r"\*{3,}", "**"),
-    (r"[ \t]+([.,;:!?])", "$1"),
-    (r"(?<=\S) {2,}(?=\S)", " "),
-    (r"(?m)[ \t]+$", ""),
+    (r" +([.,:;!?)])", r"\1"),
+    (rf"(?<!{SPACE})(?<!^) {{2,}}(?!{SPACE})(?!$)", " "),
+    (r"[ \t]+(?=\n)", ""),
     (r"\n{3,}", "\n\n"),
 ]
+#: The normalisation of a whole page's Markdown.
+PAGE_RULES = [
+    (r"\n{3,}", "\n\n"),
+    ADJACENT_BOLD,
+    ADJACENT_BOLD,
+    ADJACENT_BOLD,
+    (rf"\*{{2,}}{SPACE}*\*{{2,}}", ""),
+    (r"\*{4,}", "**"),
+    (r"\*{3}([^*]+)\*{3}", r"**\1**"),
+    (rf"(?<!{SPACE})(?<!^){SPACE}+\*\*", "**"),
+    (rf"\*\*{SPACE}+(?!{SPACE})(?!$)", "**"),
+    (r"([а-яА-ЯёЁa-zA-Z0-9,.])\*\*([а-яА-ЯёЁa-zA-Z0-9])", r"\1 **\2"),
+    (r"([а-яА-ЯёЁa-zA-Z0-9])\*\*([а-яА-ЯёЁa-zA-Z(])", r"\1** \2"),
+    (r" +([.,:;!?)])", r"\1"),
+    (rf"(?<!{SPACE})(?<!^) {{2,}}(?!{SPACE})(?!$)", " "),
+    (r"[ \t]+(?=\n)", ""),
+]
+#: What is replaced in a table's cell before its bars are escaped and its white space squeezed.
+CELL_RULES = [ADJACENT_BOLD, ADJACENT_BOLD, ADJACENT_BOLD, (r"\*{4,}", "**"), (rf"\*{{2,}}{SPACE}*\*{{2,}}", "")]
+
+
+def python_rules(rules: list[tuple[str, str]]) -> list[tuple]:
+    """Compiled rules for a Python worker."""
+    import regex
+
+    return [(regex.compile(pattern), to) for pattern, to in rules]
+
+
+def ruled(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to.replace("\\", "$"))
+    return text
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends, as Unicode has it."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$(?!\n)", "")
 
 
 def markdown_normalised(text: Column) -> Column:
-    for pattern, to in MARKDOWN_RULES:
-        text = F.regexp_replace(text, pattern, to)
-    return stripped(text)
+    """A chunk's Markdown, cleaned."""
+    return trimmed(ruled(text, CHUNK_RULES))
+
+
+def page_normalised(text: Column) -> Column:
+    """A whole page's Markdown, cleaned."""
+    return trimmed(ruled(text, PAGE_RULES))
 
 
-def escaped_cell(text: Column) -> Column:
-    """Content of a Markdown table cell."""
-    text = F.regexp_replace(F.regexp_replace(text, r"\*\*\s*\*\*", " "), r"\*{3,}", "**")
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"\|", r"\\\\|"), r"\s+", " "))
-    return F.when(text == "", F.lit(" ")).otherwise(text)
+def unfenced(reply: Column) -> Column:
+    """A reply without the code fence that it begins with."""
+    raw = trimmed(reply)
+    inside = F.regexp_replace(raw, r"(?s)^[^\n]*\n", "")
+    inside = F.when(inside.contains("```"), F.regexp_extract(inside, r"(?s)^(.*)```", 1)).otherwise(inside)
+    return F.when(raw.startswith("```") & raw.contains("\n"), inside).otherwise(raw)

@@ -11,8 +11,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Chunking
 from . import html as H
@@ -44,14 +47,14 @@ def split_text(text: str, target: int, joiner: str = "\n\n") -> list[str]:
 
 
 def split_table(table: str, target: int) -> list[str]:
-    """Rows packed up to the target, under the header each time."""
+    """Rows packed up to the target, under the header each time; blank rows go. The header's own lines and the line
+    feeds between them count once, each row with one line feed."""
     lines = table.split("\n")
-    head = next((i + 1 for i, x in enumerate(lines) if _rule(x.strip())), 0)
-    header, rows = lines[:head], lines[head:]
-    if not head or not rows:
+    head = next((i + 1 for i, x in enumerate(lines) if _rule(x.strip())), len(lines))
+    header, rows = lines[:head], [x for x in lines[head:] if x.strip()]
+    if not rows:
         return [table]
-    room = target - sum(len(x) + 1 for x in header)
-    groups = greedy([len(r) + 1 for r in rows], room)
+    groups = greedy([len(r) + 1 for r in rows], target - len("\n".join(header)))
     return ["\n".join(header + [r for r, g in zip(rows, groups) if g == i]) for i in range(groups[-1] + 1)]
 
 
@@ -94,8 +97,8 @@ def packed(blocks: list[tuple[str, str, str]], size: Chunking) -> Iterator[tuple
 def is_junk(text: str, flags: dict, alone: bool, least: int) -> bool:
     if len(re.sub(r"[*#\-|_\s]", "", text)) < 10:
         return True
-    lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) == 1 and lines[0].strip().startswith("#"):
+    lines = [x for x in text.strip().split("\n") if x.strip()]
+    if len(lines) == 1 and lines[0].startswith("#"):
         return True
     return len(text) < least and not flags["has_table"] and not flags["has_procedure"] and not alone
 
@@ -119,7 +122,7 @@ def chunk_page(source_file: str, title: str, crumbs: str, blocks: list[tuple[str
 
 
 def blocks(pages: DataFrame, options: H.Options = H.Options(), file: str = "source_file", html: str = "html") -> DataFrame:
-    """Typed blocks of pages with their position; a page that cannot be read is one row with its error."""
+    """Typed blocks of pages with their position; a page that cannot be converted is one row with its error."""
 
     def run(batches):
         cols = [x.split()[0] for x in BLOCKS.split(", ")]
@@ -136,38 +139,87 @@ def blocks(pages: DataFrame, options: H.Options = H.Options(), file: str = "sour
     return pages.select(file, html).mapInPandas(run, BLOCKS)
 
 
-def chunks(pages: DataFrame, options: H.Options = H.Options(), size: Chunking = Chunking(), file: str = "source_file", html: str = "html", toc: bool = False) -> DataFrame:
-    """Chunks of pages in one pass. With ``toc``, the columns toc_title and toc_breadcrumbs fill what a page lacks."""
+def page_results(pages: DataFrame, options: H.Options = H.Options(), size: Chunking = Chunking(), file: str = "source_file", html: str = "html", toc: bool = False) -> DataFrame:
+    """One row a page: source_file, status (processed, skipped, error), error, chunks.
+
+    A page without chunks, or that could not be read (null), is skipped; one whose conversion fails is an error and
+    leaves the others alone. With ``toc``, the columns toc_title and toc_breadcrumbs fill what a page lacks.
+    """
     extra = ["toc_title", "toc_breadcrumbs"] if toc else []
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("source_file", "status", "error")] + [T.StructField("chunks", T.ArrayType(T._parse_datatype_string(CHUNKS)))])
+    arrow = to_arrow_schema(schema)
+
+    def result(name, page, title="", crumbs=""):
+        try:
+            own_title, own_crumbs, found = H.page_blocks(page, options)
+            made = chunk_page(name or "", own_title or title or "", own_crumbs or crumbs or "", [b[:3] for b in found], size)
+            return {"source_file": name, "status": "processed" if made else "skipped", "error": None, "chunks": made}
+        except Exception as e:  # one bad page must not end the job
+            return {"source_file": name, "status": "error", "error": f"{type(e).__name__}: {e}", "chunks": []}
 
     def run(batches):
-        cols = [x.split()[0] for x in CHUNKS.split(", ")]
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                title, crumbs, found = H.page_blocks(r[1], options)
-                if toc:
-                    title, crumbs = title or r[2] or "", crumbs or r[3] or ""
-                rows += chunk_page(r[0], title, crumbs, [b[:3] for b in found], size)
-            yield pd.DataFrame(rows, columns=cols)
+            rows = [result(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return pages.select(file, html, *extra).mapInArrow(run, schema)
+
+
+def chunks_of(results: DataFrame) -> DataFrame:
+    """The chunks of ``page_results``."""
+    return results.select(F.inline("chunks"))
+
+
+def chunks(pages: DataFrame, options: H.Options = H.Options(), size: Chunking = Chunking(), file: str = "source_file", html: str = "html", toc: bool = False) -> DataFrame:
+    """Chunks of pages in one pass; see ``page_results`` for pages without any and the table of contents."""
+    return chunks_of(page_results(pages, options, size, file, html, toc))
+
 
-    return pages.select(file, html, *extra).mapInPandas(run, CHUNKS)
+def page_counters(results: DataFrame) -> DataFrame:
+    """One row: total, processed, skipped, errors, chunks of ``page_results``."""
+    counts = [F.count_if(F.col("status") == s).alias(n) for s, n in (("processed", "processed"), ("skipped", "skipped"), ("error", "errors"))]
+    return results.agg(F.count("*").alias("total"), *counts, F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"))
+
+
+MARKDOWN = "source_file string, markdown string, error string"
 
 
 def markdown(pages: DataFrame, options: H.Options = H.Options(), file: str = "source_file", html: str = "html") -> DataFrame:
-    """(source_file, markdown): whole pages; those without a content root have none."""
+    """(source_file, markdown, error): whole pages; those that are null or without a content root have no Markdown."""
 
-    @F.pandas_udf("string")
-    def run(page: pd.Series) -> pd.Series:
+    def run(batches):
         make = H.Converter(options)
-        return page.map(lambda x: make.page(x) if x else None)
+        for batch in batches:
+            rows = []
+            for name, page in zip(batch[file], batch[html]):
+                try:
+                    rows.append((name, make.page(page) if page else None, None))
+                except Exception as e:  # one bad page must not end the job
+                    rows.append((name, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["source_file", "markdown", "error"])
+
+    return pages.select(file, html).mapInPandas(run, MARKDOWN)
 
-    return pages.select(file, run(html).alias("markdown"))
+
+def markdown_counters(converted: DataFrame) -> DataFrame:
+    """One row: total, converted, skipped, errors of ``markdown``."""
+    failed = F.col("error").isNotNull()
+    return converted.agg(
+        F.count("*").alias("total"), F.count("markdown").alias("converted"), F.count_if(F.col("markdown").isNull() & ~failed).alias("skipped"), F.count_if(failed).alias("errors")
+    )
 
 
 def with_toc(pages: DataFrame, toc: DataFrame) -> DataFrame:
-    """pages with toc_title and toc_breadcrumbs by source_file."""
-    return pages.join(toc.select("source_file", F.col("title").alias("toc_title"), F.col("breadcrumbs").alias("toc_breadcrumbs")), "source_file", "left")
+    """pages with toc_title and toc_breadcrumbs by source_file. A file that several tables of contents name has the
+    greatest of its places, so that no page multiplies."""
+    one = toc.groupBy("source_file").agg(F.max(F.struct(F.col("title").alias("toc_title"), F.col("breadcrumbs").alias("toc_breadcrumbs"))).alias("t"))
+    return pages.join(one.select("source_file", "t.*"), "source_file", "left")
+
+
+def filled(pages: DataFrame) -> DataFrame:
+    """Columns page_title and page_breadcrumbs, where empty or null, from toc_title and toc_breadcrumbs."""
+    fill = lambda own, toc: F.coalesce(F.nullif(F.col(own), F.lit("")), F.col(toc), F.lit(""))
+    return pages.withColumns({"page_title": fill("page_title", "toc_title"), "page_breadcrumbs": fill("page_breadcrumbs", "toc_breadcrumbs")})
 
 
 def section_ids(lines: DataFrame, page: str, pos: str, starts: str, title: str) -> DataFrame:

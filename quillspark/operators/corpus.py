@@ -42,12 +42,18 @@ def deduplicate(chunks: DataFrame, text: str = "text", source: str = "source_fil
     grouped = chunks.groupBy(F.md5(text).alias("__key")).agg(
         F.min_by(F.struct(text, *rest), F.col(order)).alias("first"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(source), F.lit("")).alias("s")))).alias("all")
     )
-    later = F.slice(F.col("all"), 2, F.greatest(F.size("all") - 1, F.lit(0)))
-    joined = F.aggregate(later, F.lit(""), lambda a, x: F.when(a == "", x["s"]).otherwise(F.concat(a, F.lit(";"), x["s"])))
-    return grouped.select("first.*", joined.alias("alt_sources"))
+    names = F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["s"])
+    # The list begins at the first source that is not empty; it is joined once, not grown source by source.
+    named = grouped.select("first", names.alias("names")).withColumn("at", F.array_position(F.transform("names", lambda s: s != ""), True).cast("int"))
+    joined = F.when(F.col("at") > 0, F.array_join(F.slice("names", F.greatest("at", F.lit(1)), F.greatest(F.size("names"), F.lit(1))), ";")).otherwise("")
+    return named.select("first.*", joined.alias("alt_sources"))
 
 
-def without(chunks: DataFrame, patterns: list[str], text: str = "text") -> DataFrame:
+#: Texts that mark chunks of little value.
+STOP_PATTERNS = ["Информация в Интернете"]
+
+
+def without(chunks: DataFrame, patterns: list[str] = STOP_PATTERNS, text: str = "text") -> DataFrame:
     """Rows whose text contains none of the literal patterns."""
     hit = F.lit(False)
     for p in patterns:

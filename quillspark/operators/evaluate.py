@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 #: Gains of the labels; any other label gains nothing.
 STRICT, LENIENT, GRADED = {"relevant": 1.0}, {"relevant": 1.0, "partial": 1.0}, {"relevant": 2.0, "partial": 1.0}
 CRITERIA = ("faithfulness", "completeness", "relevance", "helpfulness")
@@ -74,13 +76,19 @@ def annotation_stats(annotations: DataFrame) -> DataFrame:
 
 
 def judgment(reply: Column) -> Column:
-    """A judge's JSON reply, in a code fence or bare, as map<criterion, struct<score, reason>>; what cannot be read
-    is an error of every criterion, with the reply's first 200 characters as its reason."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(reply, r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)```.*$", ""))
-    body = F.when(reply.contains("```"), bare).otherwise(F.trim(reply))
+    """A judge's JSON reply as map<criterion, struct<score, reason>>. A reply that begins with a code fence loses its
+    first line and what follows its last fence; what cannot be read then is an error of every criterion, with the
+    first 200 characters of what was left as its reason."""
+    body = X.unfenced(F.coalesce(reply, F.lit("")))
     read = F.from_json(body, "map<string, struct<score string, reason string>>")
-    failed = F.map_from_arrays(F.array(*map(F.lit, CRITERIA)), F.array_repeat(F.struct(F.lit("error").alias("score"), F.substring(reply, 1, 200).alias("reason")), len(CRITERIA)))
-    return F.when(read.isNull() | (F.size(read) <= 0), failed).otherwise(read)
+    failed = F.map_from_arrays(F.array(*map(F.lit, CRITERIA)), F.array_repeat(F.struct(F.lit("error").alias("score"), F.substring(body, 1, 200).alias("reason")), len(CRITERIA)))
+    return F.when(read.isNull() | ~X.trimmed(body).startswith("{"), failed).otherwise(read)
+
+
+def criteria(evaluations: DataFrame, judgment: str = "judgment") -> DataFrame:
+    """(idx, criterion, score): each criterion of each judgment, an error where it is missing."""
+    each = evaluations.select("idx", judgment, F.explode(F.array(*map(F.lit, CRITERIA))).alias("criterion"))
+    return each.select("idx", "criterion", F.coalesce(F.try_element_at(F.col(judgment), F.col("criterion"))["score"], F.lit("error")).alias("score"))
 
 
 def labelled(retrieved: DataFrame, truth: DataFrame, order: str = "doc_idx", judged: DataFrame | None = None) -> DataFrame:
@@ -94,6 +102,28 @@ def labelled(retrieved: DataFrame, truth: DataFrame, order: str = "doc_idx", jud
     return out.withColumn("label", F.coalesce(label, F.lit("irrelevant"))).drop("__known", "__judged")
 
 
+def named(metrics: DataFrame, queries: DataFrame) -> DataFrame:
+    """metrics with ``query``: the text by query_idx from queries (query_idx, query), ``q`` and the number without one."""
+    joined = metrics.join(queries.select("query_idx", "query"), "query_idx", "left")
+    return joined.withColumn("query", F.coalesce("query", F.concat(F.lit("q"), F.col("query_idx").cast("string"))))
+
+
+def timings(log: DataFrame, by: str = "config") -> DataFrame:
+    """Mean seconds (avg_time), rows and rows a second of each configuration from (by, seconds, rows)."""
+    seconds = F.sum("seconds")
+    return log.groupBy(by).agg(F.avg("seconds").alias("avg_time"), F.sum("rows").alias("rows"), F.when(seconds > 0, F.sum("rows") / seconds).alias("rows_per_second"))
+
+
+def generation_report(evaluations: DataFrame, stats: DataFrame, model: str, created: str) -> DataFrame:
+    """Rows of JSON lines that make one report: a head with created, model_judge, n_queries and stats, then one line
+    for each evaluation in order. ``evaluations``: idx, question, answer, n_docs, judgment."""
+    each = F.map_from_entries(F.collect_list(F.struct("criterion", F.struct(F.col("avg_score").alias("avg"), "yes", "partial", "no", "error", "n")))).alias("criteria")
+    facts = stats.agg(each, F.round(F.avg("avg_score"), 3).alias("overall")).join(evaluations.agg(F.count("*").alias("n_queries")))  # one row each
+    head = facts.select(F.lit(-1).cast("long").alias("idx"), F.to_json(F.struct(F.lit(created).alias("created"), F.lit(model).alias("model_judge"), "n_queries", F.struct("criteria", "overall").alias("stats"))).alias("report"))
+    lines = evaluations.select(F.col("idx").cast("long").alias("idx"), F.to_json(F.struct("idx", "question", "answer", "n_docs", "judgment")).alias("report"))
+    return head.unionByName(lines)
+
+
 def padded(labels: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_idx, rank, label) with ranks 1 to k for every query, the missing ones irrelevant."""
     every = queries.select("query_idx", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))

@@ -33,7 +33,10 @@ def unique_files(fused: DataFrame, limit: int, file: str = "source_file") -> Dat
 
 def merged(rows: DataFrame, most: int = 2, file: str = "source_file") -> DataFrame:
     """One row for each query and file: its ``most`` best chunks by fused rank, in order of chunk_index, joined by
-    an empty line; other columns from the best one; merged_chunks null for a single chunk."""
+    an empty line; other columns from the best one; merged_chunks null for a single chunk; fusion_score, the best
+    chunk's score at four digits, where rows have a score."""
+    if "score" in rows.columns:
+        rows = rows.withColumn("fusion_score", F.round("score", 4))
     best = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", file).orderBy("rank"))).where(F.col("place") <= most)
     parts = F.sort_array(F.collect_list(F.struct(F.coalesce("chunk_index", F.lit(0)).alias("i"), F.col("rank").alias("r"), "text")))
     keep = [c for c in rows.columns if c not in ("query_id", file, "text", "rank")]

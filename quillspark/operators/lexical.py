@@ -20,10 +20,17 @@ class Index:
     terms: DataFrame  # term, df, idf
     totals: DataFrame  # one row: n_docs, avgdl
 
+    def saved(self, path: str) -> "Index":
+        """The index as it is read back from ``path``: documents are tokenised once."""
+        self.save(path)
+        return load(self.totals.sparkSession, path)
+
     def save(self, path: str) -> None:
-        """Tables for postings, terms and totals. Postings are laid out by term for pruned lookups."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        """Tables for postings, terms and totals. Postings are laid out by term for pruned lookups; ranges of term and
+        document keep the postings of a common term from being one task."""
+        self.postings.repartitionByRange("term", "doc").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        postings = self.totals.sparkSession.read.parquet(f"{path}/postings")
+        weights(postings, self.totals).write.mode("overwrite").parquet(f"{path}/terms")
         self.totals.withColumn("version", F.lit(1)).write.mode("overwrite").parquet(f"{path}/totals")
 
 
@@ -39,17 +46,28 @@ def load(spark, path: str, expected_docs: int | None = None) -> Index:
 
 
 def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
-    """Index of documents; those without a token count towards their number and mean length."""
-    split = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
-    totals = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
-    postings = split.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    # Each document's own terms, summed map-side: the postings need not be shuffled to count them.
-    df = split.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """Index of documents; those without a token count towards their number and mean length.
+
+    A document's counts lie in one row: its tokens are sorted, and the runs of equal ones counted. So postings are made
+    without a shuffle, and document frequencies are summed map-side.
+    """
+    split = docs.select(F.col(doc).alias("doc"), F.sort_array(tokens(F.col(text))).alias("ts")).withColumn("dl", F.size("ts"))
+    totals = split.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    first = lambda x, i: (i == 0) | (x != F.get("ts", i - 1))
+    at = F.filter(F.transform("ts", lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull())
+    runs = split.withColumn("at", at)
+    run = lambda s, j: F.struct(F.get("ts", s).alias("term"), (F.coalesce(F.get("at", j + 1), F.col("dl")) - s).cast("long").alias("tf"))
+    postings = runs.select("doc", "dl", F.inline(F.transform("at", run))).select("term", "doc", "tf", "dl")
+    return Index(postings, weights(postings, totals), totals)
+
+
+def weights(postings: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, idf); a negative weight becomes a quarter of the mean of all."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     counts = df.join(totals)  # one row on the right
     raw = counts.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, totals)
+    return raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> DataFrame:

@@ -26,6 +26,35 @@ def variants(queries: DataFrame, question: str = "text", reply: str = "reply", m
     return queries.select("query_id", F.posexplode(rewrites(F.col(question), F.col(reply), most)).alias("list_idx", "text"))
 
 
+#: Fixed value: the prompt for rewrites; ``{product}`` is a setting.
+REWRITE = (
+    "Ты помощник по поиску в документации {product}.\n"
+    "\n"
+    "Пользователь задал вопрос разговорным языком. Сформулируй 2-3 поисковых\n"
+    "запроса, которые помогут найти ответ в технической документации.\n"
+    "\n"
+    "Правила:\n"
+    '1. Каждый запрос должен быть на отдельной строке и начинаться с "- ".\n'
+    "2. Используй техническую терминологию {product}.\n"
+    "3. Запросы должны покрывать разные аспекты вопроса.\n"
+    "4. Не добавляй пояснений, только запросы.\n"
+    "5. Если вопрос уже точный и технический, верни его как есть.\n"
+    "\n"
+    "Примеры:\n"
+    "\n"
+    'Вопрос: "как нарисовать дырку в детали"\n'
+    "- создание отверстия в детали\n"
+    "- вырезать выдавливанием эскиз отверстия\n"
+    "- отверстие в листовом теле\n"
+    "\n"
+    'Вопрос: "{question}"\n'
+)
+
+
+def rewrite_prompt(question: str, product: str = "") -> list[dict]:
+    return [{"role": "user", "content": REWRITE.format(product=product, question=question)}]
+
+
 def overlap_logit(query: Column, text: Column) -> Column:
     """An offline stand-in for a cross-encoder: how far more than a third of the query's words occur."""
     asked = F.array_distinct(X.tokens(query))
@@ -46,68 +75,79 @@ def clipped(text: Column, max_length: int = 512) -> Column:
     return F.substring(text, 1, 4 * max_length)
 
 
-#: Labels of contexts and answers.
+#: Labels of contexts and answers; ``{product}`` is the documented product's name, a setting.
 SOURCE, SECTION, HEADING = "Источник", "Раздел", "Источники:"
-NOTHING_FOUND = "К сожалению, не удалось найти информацию по вашему вопросу."
+NOTHING_FOUND = "К сожалению, я не нашёл информации по этому вопросу в документации {product}. Попробуйте переформулировать вопрос или уточнить тему."
 
 
 def contexts(rows: DataFrame, base_url: str = "") -> DataFrame:
-    """(query_id, context, refs) from ranked rows: numbered blocks with their place, and their references."""
+    """(query_id, context, refs) from ranked rows: numbered blocks with their place, and their references. A row
+    without a section path has its title as path, in the reference too."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     number = F.col("rank") + 1
-    place = F.coalesce(F.nullif(F.col("section_path"), F.lit("")), F.col("page_title"))
-    head = F.concat(F.lit(f"[{SOURCE} "), number.cast("string"), F.lit("] "), place)
-    crumbs = F.when((F.col("breadcrumbs") != "") & (F.col("breadcrumbs") != F.col("section_path")), F.concat(F.lit(f"\n  {SECTION}: "), F.col("breadcrumbs"))).otherwise("")
+    path = F.when(empty("section_path") == "", empty("page_title")).otherwise(F.col("section_path"))
+    head = F.concat(F.lit(f"[{SOURCE} "), number.cast("string"), F.lit("] "), path)
+    crumbs = F.when((empty("breadcrumbs") != "") & (empty("breadcrumbs") != path), F.concat(F.lit(f"\n  {SECTION}: "), F.col("breadcrumbs"))).otherwise("")
     block = F.concat(head, crumbs, F.lit("\n"), F.col("text"))
-    ref = F.struct(number.alias("number"), "source_file", "page_title", "section_path", "breadcrumbs", X.source_url(base_url, F.col("source_file")).alias("url"))
+    url = X.source_url(base_url, F.col("source_file"))
+    ref = F.struct(number.alias("number"), "source_file", "page_title", path.alias("section_path"), "breadcrumbs", url.alias("url"))
     ordered = F.sort_array(F.collect_list(F.struct(number.alias("n"), block.alias("block"), ref.alias("ref"))))
     out = rows.groupBy("query_id").agg(ordered.alias("all"))
     return out.select("query_id", F.array_join(F.transform("all", lambda x: x["block"]), "\n\n---\n\n").alias("context"), F.transform("all", lambda x: x["ref"]).alias("refs"))
 
 
-#: How a list of sources at the end of an answer begins.
-TAILS = [r"\n\s*\*\*Источники:?\*\*:?", r"\n\s*#+\s*Источники:?", r"\n\s*Источники:", r"\n\s*Sources:"]
+#: How a list of sources that a model adds to its answer begins, whatever the case.
+TAILS = [
+    r"\n---\s*\n\s*\*{0,2}Источники?\*{0,2}",
+    r"\n#{1,4}\s*Источники?",
+    r"\n\*{2}Источники?\*{0,2}\s*:",
+    r"\nИсточники?\s*:",
+]
+#: Fixed value: a mark of a source, not one that is a link already.
+MARK = r"(?<!\[)\[(\d{1,2})\](?!\]|\()"
 _tails = [re.compile(p, re.IGNORECASE) for p in TAILS]
-_mark = re.compile(r"(?<!\[)\[(\d{1,2})\](?!\]|\()")
+_mark = re.compile(MARK)
 
 
 def cite(answer: str, refs: list[dict], style: str = "markdown") -> str:
-    """The answer with its marks ``[n]`` as links and a list of the sources used; unknown numbers stay as they are."""
-    starts = [m.start() for p in _tails if (m := p.search(answer))]
-    main, tail = (answer[: min(starts)], answer[min(starts) :]) if starts else (answer, "")
-    used = {int(n) for n in re.findall(r"\[(\d{1,2})\]", tail)}
+    """The answer with its marks ``[n]`` as links (or, in another style, with titles) and one list of the sources
+    used. A list that the answer brings along goes, but its numbers count as used; unknown numbers stay as they are."""
+    cut = min([m.start() for p in _tails if (m := p.search(answer))], default=len(answer))
     known = {r["number"]: r for r in refs}
+    used = {int(n) for n in re.findall(r"\[(\d{1,2})\]", answer[cut:])}
+    used |= {int(m[1]) for m in _mark.finditer(answer[:cut]) if int(m[1]) in known}
 
     def link(m: re.Match) -> str:
-        n = int(m[1])
-        if n not in known:
+        ref = known.get(int(m[1]))
+        if ref is None:
             return m[0]
-        used.add(n)
-        if style == "markdown" and known[n].get("url"):
-            return f"[[{n}]]({known[n]['url']})"
-        return f"[{n}: {known[n]['page_title']}]"
+        return f"[[{ref['number']}]]({ref['url']})" if style == "markdown" and ref["url"] else f"[{ref['number']}: {ref['page_title']}]"
 
-    body = _mark.sub(link, main.rstrip())
+    body = _mark.sub(link, answer[:cut])
     if not used:
-        return body
-    lines = [f"- [{n}] {known[n]['section_path'] or known[n]['page_title']}" + (f" ({known[n]['url']})" if known[n].get("url") else "") for n in sorted(used) if n in known]
-    return "\n".join([f"{body}\n\n**{HEADING}**", *lines])
+        return body.strip()
+    lines = []
+    for ref in (known[n] for n in sorted(used) if n in known):
+        title = ref["section_path"] or ref["page_title"]
+        lines.append(f"- [{ref['number']}] " + (f"[{title}]({ref['url']})" if ref["url"] else title))
+    return "\n".join([f"{body.rstrip()}\n\n**{HEADING}**", *lines]).strip()
 
 
 REFS = T.ArrayType(T.StructType([T.StructField("number", T.IntegerType())] + [T.StructField(c, T.StringType()) for c in ("source_file", "page_title", "section_path", "breadcrumbs", "url")]))
 
 
-def answered(queries: DataFrame, rows: DataFrame, base_url: str = "") -> DataFrame:
+def answered(queries: DataFrame, rows: DataFrame, base_url: str = "", product: str = "") -> DataFrame:
     """queries (query_id, text) with context, refs and ``answer``: null where a model has to write it, the fixed
     apology where nothing was found."""
     out = queries.join(contexts(rows, base_url), "query_id", "left")
-    return out.withColumn("answer", F.when(F.col("context").isNull(), F.lit(NOTHING_FOUND)))
+    return out.withColumn("answer", F.when(F.col("context").isNull(), F.lit(NOTHING_FOUND.format(product=product))))
 
 
-def cited(answers: DataFrame, style: str = "markdown") -> DataFrame:
+def cited(answers: DataFrame, style: str = "markdown", answer: str = "answer") -> DataFrame:
     """answers (answer, refs) with ``cited``; what links insert is never matched again, so this runs in Arrow batches."""
 
     @F.pandas_udf("string")
     def run(answer, refs):
         return answer.combine(refs, lambda a, r: cite(a or "", [x if isinstance(x, dict) else x.asDict() for x in (r if r is not None else [])], style))
 
-    return answers.withColumn("cited", run("answer", F.col("refs").cast(REFS)))
+    return answers.withColumn("cited", run(answer, F.col("refs").cast(REFS)))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 5_000
+#: Queries of one matrix product.
+STEP = 64
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", query: str = "query_id", embedding: str = "embedding", threshold: float | None = None) -> DataFrame:
@@ -23,11 +25,12 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", qu
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols: list[tuple] = []
         if len(a) and len(b):
-            ids, space = a["v"].to_numpy(), np.stack(a["e"])
-            for q, e in zip(b["q"], b["e"]):
-                score = np.round((space * e).sum(1), 9)
-                best = np.lexsort((ids, -score))[:k]
-                cols.append((np.full(len(best), q), ids[best], score[best]))
+            ids, space, qids, asked = a["v"].to_numpy(), np.stack(a["e"]), b["q"].to_numpy(), np.stack(b["e"])
+            for at in range(0, len(asked), STEP):
+                for q, score in zip(qids[at : at + STEP], np.round(asked[at : at + STEP] @ space.T, 9)):
+                    near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+                    best = near[np.lexsort((ids[near], -score[near]))[:k]]
+                    cols.append((np.full(len(best), q), ids[best], score[best]))
         parts = [np.concatenate(x) for x in zip(*cols)] if cols else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), parts)))
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..config import Engine
-from ..operators import chunking, corpus, evaluate, fusion, lexical, query, vector
+from ..functions import text as X
+from ..operators import answers, chunking, corpus, evaluate, fusion, lexical, models, query, store, vector
 from ..operators.html import Options
+from ..session import saved
 
 
 def build_corpus(pages: DataFrame, toc: DataFrame | None = None, options: Options = Options(), engine: Engine = Engine()) -> DataFrame:
@@ -20,6 +23,13 @@ def build_corpus(pages: DataFrame, toc: DataFrame | None = None, options: Option
     return chunking.chunks(pages, options, engine.chunking, toc=toc is not None)
 
 
+def build_results(pages: DataFrame, toc: DataFrame | None = None, options: Options = Options(), engine: Engine = Engine()) -> DataFrame:
+    """``build_corpus`` page by page, with status and error; ``chunking.page_counters`` sums them up."""
+    if toc is not None:
+        pages = chunking.with_toc(pages, toc)
+    return chunking.page_results(pages, options, engine.chunking, toc=toc is not None)
+
+
 def clean_corpus(chunks: DataFrame, stop: list[str] = (), order: str = "ord") -> DataFrame:
     """Documents to index: stop patterns first, then exact deduplication, then projection."""
     return corpus.to_documents(corpus.deduplicate(corpus.without(chunks, list(stop)), order=order))
@@ -39,7 +49,8 @@ class Retriever:
         for the vector side; for the lexical one only with filter_lexical."""
         if mode not in ("bm25", "vector", "hybrid"):
             raise ValueError(f"unknown mode {mode}")
-        keyed = variants.withColumn("v", F.col("query_id") * 64 + F.col("list_idx"))
+        width = (variants.agg(F.max("list_idx")).first()[0] or 0) + 1
+        keyed = variants.withColumn("v", F.col("query_id").cast("long") * width + F.col("list_idx"))
         fine = self.docs.where(filtered).select("doc") if filtered is not None else None
         lists = []
         if mode in ("vector", "hybrid") and self.vectors is not None:
@@ -47,24 +58,112 @@ class Retriever:
             near = vector.topk(space, keyed, k, "doc", "v").select("query_id", "rank", F.col("vec_id").alias("doc"))
             lists.append(near.withColumn("side", F.lit(0)))
         if mode in ("bm25", "hybrid") and self.lexical is not None:
-            hits = lexical.search(self.lexical, keyed.select("v", "text"), k, "v").select("query_id", "rank", "doc")
+            index = self.lexical
             if fine is not None and filter_lexical:
-                hits = hits.join(fine, "doc", "left_semi")
-            lists.append(hits.withColumn("side", F.lit(1)))
+                # before the k best are taken; the weights of terms stay those of all documents
+                index = lexical.Index(index.postings.join(fine, "doc", "left_semi"), index.terms, index.totals)
+            lists.append(lexical.search(index, keyed.select("v", "text"), k, "v").select("query_id", "rank", "doc").withColumn("side", F.lit(1)))
         out = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
-        return out.select(F.expr("query_id div 64").alias("query_id"), (F.col("query_id") % 64 * 2 + F.col("side")).cast("int").alias("list_idx"), "rank", "doc")
+        place = F.pmod(F.col("query_id"), F.lit(width))
+        return out.select(((F.col("query_id") - place) / width).cast("long").alias("query_id"), (place * 2 + F.col("side")).cast("int").alias("list_idx"), "rank", "doc")
 
-    def retrieve(self, variants: DataFrame, mode: str = "hybrid", top_k: int = 0, logit: Column | None = None, questions: DataFrame | None = None) -> DataFrame:
-        """Merged pages of each query in fused order; with a logit (over question and text), reranked candidates."""
+    def retrieve(self, variants: DataFrame, mode: str = "hybrid", top_k: int = 0, logit: Column | None = None, questions: DataFrame | None = None, filtered: Column | None = None) -> DataFrame:
+        """Merged pages of each query (query_id, rank from 0, ...): the first ``top_k`` files (0: the setting) in fused
+        order; with a logit (over question and text), the best of the reranked candidates. Each list holds twice the
+        setting top_k, whatever is wanted in the end."""
         r, engine = self.engine.retrieval, self.engine
-        k = top_k or r.top_k
-        fused = fusion.fuse(self.ranked(variants, mode, 2 * k), k=r.rrf_k).join(self.docs, "doc")
+        k = top_k or r.top_k_final
+        fused = fusion.fuse(self.ranked(variants, mode, 2 * r.top_k, filtered), k=r.rrf_k).join(self.docs, "doc")
         reranked = logit is not None and engine.rerank.enabled
-        pages = fusion.merged(fusion.unique_files(fused, engine.rerank.candidates if reranked else r.top_k_final), r.chunks_per_file)
+        pages = fusion.merged(fusion.unique_files(fused, engine.rerank.candidates if reranked else k), r.chunks_per_file)
+        pages = pages.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
         if not reranked:
             return pages
         asked = pages.join(questions.select("query_id", F.col("text").alias("question")), "query_id")
-        return query.rerank(asked, logit, r.top_k_final, engine.rerank.max_length)
+        return query.rerank(asked, logit, k, engine.rerank.max_length)
+
+    def scored(self, queries: DataFrame, top_k: int = 0) -> DataFrame:
+        """(query_id, rank, vec_id, score): the vector side alone, above the threshold, for debugging."""
+        r = self.engine.retrieval
+        return vector.topk(self.vectors, queries, top_k or r.top_k, "doc", threshold=r.score_threshold)
+
+
+class NotReady(RuntimeError):
+    """A store or an index that questions cannot be answered from."""
+
+
+def ingest(chunks: DataFrame, engine: Engine, embed=None, stop: list[str] = corpus.STOP_PATTERNS, reset: bool = False, lexical_only: bool = False, batch: int = 100, order: str = "ord") -> DataFrame:
+    """Cleans chunks and writes the lexical index and, unless ``lexical_only``, the collection; returns the documents.
+
+    Documents are numbered by the hash of their chunk id (column doc); a collection that exists is added to, or begun
+    anew with ``reset``. No chunks: an error."""
+    spark = chunks.sparkSession
+    if chunks.isEmpty():
+        raise NotReady("no chunks to ingest")
+    docs = saved(clean_corpus(chunks, stop, order).withColumn("doc", F.xxhash64("chunk_id")))
+    lexical.build(docs, "doc", "page_content").save(engine.retrieval.index_path)
+    if lexical_only:
+        return docs
+    collection = store.open_collection(spark, engine.store)
+    if reset:
+        collection.reset()
+    text = X.embedding_text(F.col("breadcrumbs"), F.col("page_title"), F.col("page_content"))
+    collection.add(docs.withColumn("embedding_text", text), embed or models.embedder(engine.embedding), batch=batch)
+    return docs
+
+
+@dataclass
+class Pipeline:
+    """All that answering takes."""
+
+    engine: Engine
+    collection: store.Collection
+    retriever: Retriever
+    embed: object
+    make_chat: object
+    logit: Column | None = None
+
+    def variants(self, questions: DataFrame) -> DataFrame:
+        """Rewritten questions (query_id, text), embedded; a model that fails leaves the question alone."""
+        rewrite = self.engine.rewrite
+        asked = questions.withColumn("reply", F.lit(None).cast("string"))
+        if rewrite.enabled:
+            asked = models.replies(questions, lambda r: query.rewrite_prompt(r["text"], self.engine.product), self.make_chat)
+        rows = query.variants(asked, most=rewrite.max_queries)
+        return vector.embed(rows, "text", self.embed)
+
+    def retrieve(self, questions: DataFrame, top_k: int = 0) -> DataFrame:
+        return self.retriever.retrieve(saved(self.variants(questions)), "hybrid", top_k, self.logit, questions)
+
+    def ask(self, questions: DataFrame, style: str = "markdown") -> DataFrame:
+        """Answers with sources to questions (query_id, text)."""
+        e = self.engine
+        return answers.ask(questions, saved(self.retrieve(questions)), self.make_chat, e.docs_url, e.product, style, e.debug)
+
+    def judge(self, questions: DataFrame, make_judge, attempts: int = 1) -> DataFrame:
+        """Judged answers; candidates are not reranked."""
+        rows = saved(self.retriever.retrieve(saved(self.variants(questions)), "hybrid"))
+        e = self.engine
+        return answers.judge(answers.ask(questions, rows, self.make_chat, e.docs_url, e.product), rows, make_judge, e.product, attempts)
+
+
+def assemble(spark: SparkSession, engine: Engine, make_chat=None, embed=None, logit: Column | None = None) -> Pipeline:
+    """Opens what ``ingest`` wrote. An empty collection, an index that is missing, of another version or over another
+    number of documents raises ``NotReady``; an unknown backend is an error of its own."""
+    collection = store.open_collection(spark, engine.store)
+    n = collection.count()
+    if not n:
+        raise NotReady(f"no documents in {collection.path}: ingest chunks first")
+    try:
+        index = lexical.load(spark, engine.retrieval.index_path, n)
+    except Exception as e:
+        raise NotReady(f"no usable index in {engine.retrieval.index_path}: {e}") from e
+    docs = collection.scan()
+    known = [c for c in docs.columns if c not in ("page_content", "embedding")]
+    retriever = Retriever(docs.select(*known, F.col("page_content").alias("text")), index, docs.select("doc", "embedding"), engine)
+    ask = make_chat or (lambda: models.chat(engine.language))
+    reranked = query.overlap_logit(F.col("question"), query.clipped(F.col("text"), engine.rerank.max_length)) if logit is None else logit
+    return Pipeline(engine, collection, retriever, embed or models.embedder(engine.embedding, query=True), ask, reranked if engine.rerank.enabled else None)
 
 
 def ablation_grid() -> list[tuple[str, str, bool, bool, int]]:
@@ -77,12 +176,13 @@ def ablate(retriever: Retriever, questions: DataFrame, rewritten: DataFrame, tru
 
     questions: (query_id, list_idx 0, text, embedding); rewritten: those and further variants; truth: (query_idx,
     source_file, doc_idx, label); the logit is over question and text. Lists are padded with irrelevant places. The
-    three modes are searched once each, over all variants; a configuration only selects from that.
+    two sides are searched once each, over all variants, and saved; a configuration only selects from that.
     """
     docs, configs = retriever.docs, []
     asked = questions.select("query_id", F.col("text").alias("question"))
     ids = questions.select(F.col("query_id").alias("query_idx"))
-    found = {m: retriever.ranked(rewritten, m, k) for m in ("bm25", "vector", "hybrid")}
+    both = saved(retriever.ranked(rewritten, "hybrid", k))  # list_idx: twice the variant, and the side
+    found = {"vector": both.where("list_idx % 2 = 0"), "bm25": both.where("list_idx % 2 = 1"), "hybrid": both}
     for name, mode, rewrite, rerank, depth in ablation_grid():
         lists = found[mode] if rewrite else found[mode].where("list_idx < 2")
         rows = fusion.first_by_file(fusion.fuse(lists, k=retriever.engine.retrieval.rrf_k).join(docs, "doc"), depth)
@@ -98,4 +198,36 @@ def ablate(retriever: Retriever, questions: DataFrame, rewritten: DataFrame, tru
     return out
 
 
-__all__ = ["Retriever", "ablate", "ablation_grid", "build_corpus", "clean_corpus", "sources"]
+def ablate_saved(path: str, *args, **kw) -> DataFrame:
+    """``ablate`` with the metrics of each configuration written below ``path`` as soon as they are there: what a
+    broken run has finished is read, not computed again. Seconds of each configuration are kept (avg_time)."""
+    import time
+
+    metrics = ablate(*args, **kw)
+    spark, done = metrics.sparkSession, None
+    for name, *_ in ablation_grid():
+        part = f"{path.rstrip('/')}/{name}"
+        try:
+            one = spark.read.parquet(part)
+        except AnalysisException:
+            start, row = time.time(), metrics.where(F.col("config") == name).collect()
+            spark.createDataFrame(row, metrics.schema).withColumn("avg_time", F.lit(time.time() - start)).coalesce(1).write.parquet(part)
+            one = spark.read.parquet(part)
+        done = one if done is None else done.unionByName(one)
+    return done
+
+
+def with_judged(rows: DataFrame, truth: DataFrame, make_judge, product: str = "", attempts: int = 5, wait: float = 5.0) -> DataFrame:
+    """truth (query_idx, source_file, doc_idx, label) with labels of a judge for the pairs of rows (query_idx, question,
+    source_file, text) that it lacks, at the next doc_idx. A judge is asked ``attempts`` times, after growing waits;
+    one that never answers means irrelevant."""
+    open_ = rows.join(truth.select("query_idx", "source_file").distinct(), ["query_idx", "source_file"], "left_anti").dropDuplicates(["query_idx", "source_file"])
+    got = models.replies(open_, lambda r: answers.label_prompt(r["question"], r["source_file"], r["text"], product), make_judge, attempts=attempts, wait=wait)
+    label = F.coalesce(F.get_json_object(X.unfenced(F.col("reply")), "$.label"), F.lit("irrelevant"))
+    last = truth.groupBy("query_idx").agg(F.max("doc_idx").alias("__last"))
+    order = Window.partitionBy("query_idx").orderBy("source_file")
+    new = got.join(last, "query_idx", "left").withColumn("doc_idx", F.coalesce(F.col("__last"), F.lit(-1)) + F.row_number().over(order))
+    return truth.select("query_idx", "source_file", "doc_idx", "label").unionByName(new.select("query_idx", "source_file", F.col("doc_idx").cast(truth.schema["doc_idx"].dataType), label.alias("label")))
+
+
+__all__ = ["NotReady", "Pipeline", "Retriever", "ablate", "ablate_saved", "ablation_grid", "assemble", "build_corpus", "build_results", "clean_corpus", "ingest", "sources", "with_judged"]

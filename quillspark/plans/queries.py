@@ -6,6 +6,7 @@ for judgments, ``embeddings`` for the vector store, ``pages`` for help pages.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..config import Chunking
 from ..functions import text as X
-from ..operators import chunking, corpus, evaluate, fusion, lexical, query, vector
+from ..operators import answers, chunking, corpus, evaluate, fusion, lexical, query, vector
 from ..operators.html import Options
-from . import Retriever, ablate
+from ..session import work_dir
+from . import Retriever, ablate, with_judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,11 +55,13 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 3)"
 INDEX = f"""
-toks AS (SELECT doc_id AS doc, {TOKENS} AS ts FROM documents),
-totals AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
-post AS (SELECT term, doc, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY term, doc),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, totals GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+toks AS MATERIALIZED (SELECT doc_id AS doc, {TOKENS} AS ts FROM documents),
+totals AS MATERIALIZED (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
+post AS MATERIALIZED (SELECT term, doc, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY term, doc),
+counted AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM counted, totals),
+middle AS MATERIALIZED (SELECT avg(r) AS mean FROM raw),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, middle)"""
 
 
 def bm25_sql(queries: str, k: int) -> str:
@@ -87,8 +91,19 @@ def _(spark, sf_dir):
     return lexical.build(table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
+_indexes: dict[tuple[str, str], lexical.Index] = {}
+
+
+def index(spark, sf_dir):
+    """The BM25 index of documents, built once a session and read from the shared folder by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = lexical.build(table(spark, sf_dir, "documents")).saved(f"{work_dir(spark)}/bm25-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def bm25(spark, sf_dir, k=K):
-    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), questions(spark, sf_dir), k)
+    return lexical.search(index(spark, sf_dir), questions(spark, sf_dir), k)
 
 
 @register("bm25_topk", f"WITH {bm25_sql(QUESTIONS, K)} SELECT query_id, rank::INTEGER AS rank, doc, score FROM ranked")
@@ -189,7 +204,7 @@ def lists(spark, sf_dir):
     q = questions(spark, sf_dir)
     half = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
     both = q.select((F.col("query_id") * 2).alias("query_id"), "text").unionByName(q.select((F.col("query_id") * 2 + 1).alias("query_id"), half.alias("text")))
-    ranked = lexical.search(lexical.build(table(spark, sf_dir, "documents")), both, 30)
+    ranked = lexical.search(index(spark, sf_dir), both, 30)
     return ranked.select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).alias("list_idx"), "rank", "doc")
 
 
@@ -217,10 +232,10 @@ def _(spark, sf_dir):
 @register(
     "merge_page_chunks",
     f"""WITH {FILES}, best AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY query_id, source_file ORDER BY rank) <= 2)
-SELECT query_id, source_file, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index, rank)) AS digest, min(rank)::INTEGER AS rank, arg_min(doc, rank) AS doc, CASE WHEN count(*) > 1 THEN count(*) END AS merged_chunks FROM best GROUP BY query_id, source_file""",
+SELECT query_id, source_file, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index, rank)) AS digest, min(rank)::INTEGER AS rank, arg_min(doc, rank) AS doc, round(arg_min(score, rank), 4) AS fusion_score, CASE WHEN count(*) > 1 THEN count(*) END AS merged_chunks FROM best GROUP BY query_id, source_file""",
 )
 def _(spark, sf_dir):
-    return fusion.merged(files(spark, sf_dir)).select("query_id", "source_file", F.md5("text").alias("digest"), "rank", "doc", "merged_chunks")
+    return fusion.merged(files(spark, sf_dir)).select("query_id", "source_file", F.md5("text").alias("digest"), "rank", "doc", "fusion_score", "merged_chunks")
 
 
 @register(
@@ -333,9 +348,114 @@ def _(spark, sf_dir):
     return d.select("doc_id", F.posexplode("parts").alias("part", "t")).select("doc_id", "part", F.md5("t").alias("digest"))
 
 
-@register("markdown_normalize")
+BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+MERGED = (rf"\*\*([^*]+)\*\*[{BLANK}]*\*\*([^*]+)\*\*", r"**\1 \2**")
+ENDS = [(r" +([.,:;!?)])", r"\1"), *[(rf"([^{BLANK}]) {{2,}}([^{BLANK}])", r"\1 \2")] * 2, (r"[ \t]+\n", r"\n"), (r"[ \t]+$", "")]
+TRIM = (rf"^[{BLANK}]+|[{BLANK}]+$", "")
+CHUNK_SQL = [(r"\*\*\*\*", "★"), (r"([\p{L}\p{N}_])★([\p{L}\p{N}_])", r"\1** **\2"), ("★", "**"), *[MERGED] * 5, (rf"\*\*[{BLANK}]*\*\*", " "), (r"\*{3,}", "**"), *ENDS, (r"\n{3,}", r"\n\n"), TRIM]
+PAGE_SQL = [
+    (r"\n{3,}", r"\n\n"), *[MERGED] * 3, (rf"\*{{2,}}[{BLANK}]*\*{{2,}}", ""), (r"\*{4,}", "**"), (r"\*{3}([^*]+)\*{3}", r"**\1**"),
+    (rf"([^{BLANK}])[{BLANK}]+\*\*", r"\1**"), (rf"\*\*[{BLANK}]+([^{BLANK}])", r"**\1"),
+    (r"([а-яА-ЯёЁa-zA-Z0-9,.])\*\*([а-яА-ЯёЁa-zA-Z0-9])", r"\1 **\2"), (r"([а-яА-ЯёЁa-zA-Z0-9])\*\*([а-яА-ЯёЁa-zA-Z(])", r"\1** \2"), *ENDS, TRIM,
+]
+
+
+def replaced(expr: str, rules: list[tuple[str, str]]) -> str:
+    """SQL for rules, one after the other; line feeds of replacements are spelt out."""
+    for pattern, to in rules:
+        expr = "regexp_replace({}, '{}', {}, 'g')".format(expr, pattern, "'" + to.replace(r"\n", "' || chr(10) || '") + "'")
+    return expr
+
+
+#: Documents with bold marks between words of theirs, so that every rule has work.
+MARKED = r"regexp_replace(regexp_replace(coalesce(text, ''), ' ([a-z]+) ', ' **\1** ', 'g'), '([e-k])\. ', '\1**** .  ', 'g')"
+
+
+def marked(text):
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), " ([a-z]+) ", " **$1** "), r"([e-k])\. ", "$1**** .  ")
+
+
+@register("markdown_normalize", f"SELECT doc_id, {replaced(MARKED, CHUNK_SQL)} AS markdown FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.markdown_normalised(marked(F.col("text"))).alias("markdown"))
+
+
+@register("page_normalize", f"SELECT doc_id, {replaced(MARKED, PAGE_SQL)} AS markdown FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.markdown_normalised(F.col("text")).alias("markdown"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.page_normalised(marked(F.col("text"))).alias("markdown"))
+
+
+# A help page for each document: its lines in turn as headings, paragraphs, steps, list items, notes and tables.
+LINE_KINDS = ["SECTION_HEADING", "PARAGRAPH", "NUMBERED_STEP", "BULLET_ITEM_L2", "NOTE", "TABLE"]
+
+
+def document_pages(spark, sf_dir):
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    forms = ['<p class="p_Head4">{}</p>', '<p class="p_bodytext"><span style="font-weight: bold;">B</span>{}</p>', '<p class="p_Numbered"><span style="display:inline-block;margin-left:-1rem">1.</span>{}</p>', '<p class="p_bulleted2">{}<a class="hmanchor"></a></p>', '<table><tr><td><img src="img/Warning.png"></td><td>{}</td></tr></table>', '<table><tr><td>K</td><td colspan="2">V</td></tr><tr><td>{}</td></tr></table>']
+
+    def line(x, i):
+        out = F.lit("")
+        for k, form in enumerate(forms):
+            before, after = form.split("{}")
+            out = F.when(i % len(forms) == k, F.concat(F.lit(before), safe(x), F.lit(after))).otherwise(out)
+        return out
+
+    head = F.concat(F.lit('<p class="topictitle"> Doc '), "doc_id", F.lit('&nbsp;</p><p id="ptopic_breadcrumbs"><a>gone</a><a href="s">'), safe(F.coalesce("source", F.lit(""))), F.lit('</a><a href="l">'), F.coalesce("lang", F.lit("")), F.lit('</a></p><div id="hmpagebody_scroller">bare text'))
+    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".html")).alias("source_file"), F.concat(head, lines, F.lit('<div class="topicfooter">(c)</div></div>')).alias("html"))
+
+
+_CELL = replaced("line", [MERGED, MERGED, MERGED, (r"\*{4,}", "**"), (rf"\*{{2,}}[{BLANK}]*\*{{2,}}", "")])
+DOC_LINES = f"""ls AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+inl AS (SELECT doc_id, i, trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare, regexp_replace(raw, '[ \t]+', ' ', 'g') AS line FROM ls),
+made AS (SELECT doc_id, i, ['SECTION_HEADING', 'PARAGRAPH', 'NUMBERED_STEP', 'BULLET_ITEM_L2', 'NOTE', 'TABLE'][i % 6 + 1] AS block_type,
+  CASE i % 6 WHEN 0 THEN '#### ' || trim(line) WHEN 1 THEN trim('**B**' || line) WHEN 2 THEN '1. ' || trim(line) WHEN 3 THEN '  - ' || trim(line)
+    WHEN 4 THEN '> ⚠️ **Примечание**' || chr(10) || '> ' || bare
+    ELSE '| K | V |   |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || CASE c WHEN '' THEN ' ' ELSE c END || ' |   |   |' END AS markdown,
+  CASE WHEN i % 6 = 0 THEN trim(line) ELSE '' END AS heading_text, bare
+  FROM (SELECT *, trim(regexp_replace(replace({_CELL.replace("regexp_replace(line", "regexp_replace(bare", 1)}, '|', chr(92) || '|'), '[{BLANK}]+', ' ', 'g')) AS c FROM inl))"""
+
+
+@register(
+    "html_document_blocks",
+    f"""WITH {DOC_LINES}, kept AS (SELECT * FROM made WHERE bare <> '' OR i % 6 IN (1, 5))
+SELECT 'd' || doc_id || '.html' AS source_file, 'Doc ' || doc_id AS page_title, block_type, md5(markdown) AS digest, heading_text, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS at FROM kept""",
+)
+def _(spark, sf_dir):
+    b = chunking.blocks(document_pages(spark, sf_dir)).where(~F.col("block_type").isin("ANCHOR", "FOOTER"))
+    at = F.row_number().over(Window.partitionBy("source_file").orderBy("pos")) - 1
+    return b.select("source_file", "page_title", "block_type", F.md5("markdown").alias("digest"), "heading_text", at.alias("at"))
+
+
+@register("html_tables", f"WITH {DOC_LINES} SELECT 'd' || doc_id || '.html' AS source_file, count(*) AS n, md5(string_agg(markdown, chr(10) ORDER BY i)) AS digest FROM made WHERE block_type = 'TABLE' GROUP BY doc_id")
+def _(spark, sf_dir):
+    b = chunking.blocks(document_pages(spark, sf_dir)).where("block_type = 'TABLE'")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "markdown"))), lambda x: x["markdown"])
+    return b.groupBy("source_file").agg(F.count("*").alias("n"), F.md5(F.array_join(texts, "\n")).alias("digest"))
+
+
+@register("page_metadata", "SELECT 'd' || doc_id || '.html' AS source_file, 'Doc ' || doc_id AS page_title, concat_ws(' → ', nullif(trim(coalesce(source, '')), ''), nullif(coalesce(lang, ''), '')) AS page_breadcrumbs FROM documents")
+def _(spark, sf_dir):
+    return chunking.blocks(document_pages(spark, sf_dir)).select("source_file", "page_title", "page_breadcrumbs").distinct()
+
+
+@register("page_counters", "SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 5 <> 0) AS converted, count(*) FILTER (WHERE page_id % 5 = 0) AS skipped, 0::BIGINT AS errors FROM pages")
+def _(spark, sf_dir):
+    p = pages(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 5 != 0, F.col("html")))
+    return chunking.markdown_counters(chunking.markdown(p, ARTICLES))
+
+
+@register(
+    "split_table",
+    f"""WITH RECURSIVE {LINES}, o AS (SELECT doc_id, pos + 1 AS i, '| ' || pos || ' | ' || line || ' |' AS row FROM lines), s AS (SELECT *, length(row) + 1 AS size FROM o),
+walk AS (SELECT doc_id, i, size + 26 AS size, 0 AS part FROM s WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.i, CASE WHEN w.size + s.size > 1500 THEN 26 + s.size ELSE w.size + s.size END, CASE WHEN w.size + s.size > 1500 THEN w.part + 1 ELSE w.part END FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1)
+SELECT doc_id, part::INTEGER AS part, md5('| N | Line |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY i)) AS digest FROM walk JOIN s USING (doc_id, i) GROUP BY doc_id, part""",
+)
+def _(spark, sf_dir):
+    rows = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), x, F.lit(" |")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("| N | Line |\n| --- | --- |\n"), F.array_join(rows, "\n")).alias("markdown"))
+    return chunking.split_tables(d).select("doc_id", F.posexplode("parts").alias("part", "t")).select("doc_id", "part", F.md5("t").alias("digest"))
 
 
 def pages(spark, sf_dir):
@@ -357,11 +477,12 @@ def _(spark, sf_dir):
     return chunking.markdown(pages(spark, sf_dir), ARTICLES)
 
 
-@register("toc_enrich", "SELECT p.url AS source_file, p.page_id, t.title AS toc_title, t.breadcrumbs AS toc_breadcrumbs FROM pages p LEFT JOIN (SELECT url, 'Page ' || page_id AS title, 'Help → Page ' || page_id AS breadcrumbs FROM pages WHERE page_id % 2 = 0) t ON p.url = t.url")
+@register("toc_enrich", "SELECT p.url AS source_file, p.page_id, CASE WHEN page_id % 3 = 0 THEN coalesce(t.title, '') ELSE 'Own ' || page_id END AS page_title, CASE WHEN page_id % 3 = 1 THEN coalesce(t.breadcrumbs, '') ELSE 'Here' END AS page_breadcrumbs FROM pages p LEFT JOIN (SELECT url, 'Page ' || max(page_id) AS title, 'Help → Page ' || max(page_id) AS breadcrumbs FROM pages WHERE page_id % 2 = 0 GROUP BY url) t ON p.url = t.url")
 def _(spark, sf_dir):
     p = pages(spark, sf_dir)
     toc = p.where("page_id % 2 = 0").select("source_file", F.concat(F.lit("Page "), "page_id").alias("title"), F.concat(F.lit("Help → Page "), "page_id").alias("breadcrumbs"))
-    return chunking.with_toc(p, toc).select("source_file", "page_id", "toc_title", "toc_breadcrumbs")
+    own = {"page_title": F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("Own "), "page_id")), "page_breadcrumbs": F.when(F.col("page_id") % 3 == 1, "").otherwise("Here")}
+    return chunking.filled(chunking.with_toc(p.withColumns(own), toc)).select("source_file", "page_id", "page_title", "page_breadcrumbs")
 
 
 # A stand-in for a model's reply: two proposals, a short one, noise and the question itself.
@@ -378,28 +499,46 @@ def _(spark, sf_dir):
 
 def placed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("source_file"), F.concat(F.lit("Doc "), "doc_id").alias("page_title"), F.lit("").alias("section_path"), "lang")
-    return bm25(spark, sf_dir, 3).join(d, "doc").withColumn("breadcrumbs", F.col("lang"))
+    return bm25(spark, sf_dir, 3).join(d, "doc").withColumn("breadcrumbs", F.when(F.col("doc") % 2 == 0, F.col("page_title")).otherwise(F.col("lang")))
 
 
 CONTEXT = f"""{bm25_sql(QUESTIONS, 3)}, placed AS (SELECT r.*, text, source, lang FROM ranked r JOIN documents ON doc = doc_id)"""
 
 
-@register("context_blocks", f"WITH {CONTEXT} SELECT query_id, md5(string_agg('[Источник ' || (rank + 1) || '] Doc ' || doc || chr(10) || '  Раздел: ' || lang || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest, count(*)::INTEGER AS n_refs FROM placed GROUP BY query_id")
+@register("context_blocks", f"WITH {CONTEXT} SELECT query_id, md5(string_agg('[Источник ' || (rank + 1) || '] Doc ' || doc || CASE WHEN doc % 2 = 0 THEN '' ELSE chr(10) || '  Раздел: ' || lang END || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest, count(*)::INTEGER AS n_refs FROM placed GROUP BY query_id")
 def _(spark, sf_dir):
     return query.contexts(placed(spark, sf_dir)).select("query_id", F.md5("context").alias("digest"), F.size("refs").alias("n_refs"))
 
 
-@register("citations")
+# How a model may end its answer: each form of a list of sources, and none.
+TAIL = ["\n\n---\n **Источник** [2], [7]", "\n## источники\n- [2]", "\n**Источники**: [1]", "\nИсточник: [2]", "\nSources: none"]
+_TAIL_SQL = "[" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in TAIL) + "][query_id % 5 + 1]"
+
+
+@register(
+    "citations",
+    f"""WITH {CONTEXT},
+refs AS (SELECT query_id, count(*) AS n, list({{'t': '[Doc ' || doc || '](https://help.example/' || source || ')', 'u': '(https://help.example/' || source || ')'}} ORDER BY rank) AS r FROM placed GROUP BY query_id),
+body AS (SELECT query_id, n, r, 'See [[1]]' || r[1].u || ' and ' || CASE WHEN n >= 3 THEN '[[3]]' || r[3].u ELSE '[03]' END || ', not [9] or [[2]].' || CASE WHEN query_id % 5 = 4 THEN chr(10) || 'Sources: none' ELSE '' END AS b,
+  list_filter([1, CASE WHEN query_id % 5 IN (0, 1, 3) AND n >= 2 THEN 2 END, CASE WHEN n >= 3 THEN 3 END], lambda x: x IS NOT NULL) AS used FROM refs)
+SELECT query_id, b || chr(10) || chr(10) || '**Источники:**' || chr(10) || array_to_string(list_transform(used, lambda x: '- [' || x || '] ' || r[x].t), chr(10)) AS cited FROM body""",
+)
 def _(spark, sf_dir):
     c = query.contexts(placed(spark, sf_dir), "https://help.example")
-    return query.cited(c.withColumn("answer", F.concat(F.lit("See [1] and [03], not [9] or [[2]].\n\nSources: [2] for query "), "query_id"))).select("query_id", "answer", "cited")
+    tail = F.element_at(F.array(*map(F.lit, TAIL)), (F.col("query_id") % len(TAIL) + 1).cast("int"))
+    return query.cited(c.withColumn("answer", F.concat(F.lit("See [1] and [03], not [9] or [[2]]."), tail))).select("query_id", "cited")
 
 
-@register("judge_parse", "SELECT conv_id, turn, coalesce(CASE WHEN turn % 2 = 0 THEN 'yes' END, 'error') AS score, CASE WHEN turn % 2 = 0 THEN role ELSE 'no json from ' || role END AS reason FROM conversations")
+@register(
+    "judge_parse",
+    """WITH r AS (SELECT *, '{"faithfulness":{"score":"yes","reason":"' || role || '"}}' AS j FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'error' ELSE 'yes' END AS score, CASE WHEN turn % 3 = 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' ELSE role END AS reason FROM r""",
+)
 def _(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    good = F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.struct(F.lit("yes").alias("score"), F.col("role").alias("reason")).alias("faithfulness"))), F.lit("\n```"))
-    reply = F.when(F.col("turn") % 2 == 0, good).otherwise(F.concat(F.lit("no json from "), "role"))
+    bare = F.to_json(F.struct(F.struct(F.lit("yes").alias("score"), F.col("role").alias("reason")).alias("faithfulness")))
+    fenced = F.concat(F.lit("```json\n"), bare, F.lit("\n```"))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), fenced, F.lit("\n"))).when(F.col("turn") % 3 == 1, bare).otherwise(F.concat(F.lit("Here:\n"), fenced))
     j = F.element_at(evaluate.judgment(reply), "faithfulness")
     return c.select("conv_id", "turn", j["score"].alias("score"), j["reason"].alias("reason"))
 
@@ -441,11 +580,11 @@ def _(spark, sf_dir):
     return d.select("doc_id", F.posexplode("parts").alias("part", "t")).select("doc_id", "part", F.length("t").cast("long").alias("size"))
 
 
-@register("csv_export_view", "SELECT doc_id::VARCHAR AS chunk_id, source AS source_file, lang || ';' || source AS block_types, length(text)::INTEGER AS char_count, replace(substr(text, 1, 150), chr(10), ' ') AS text_preview FROM documents")
+@register("csv_export_view", "SELECT doc_id::VARCHAR AS chunk_id, source AS source_file, 'T' || doc_id AS page_title, lang AS section_title, '' AS breadcrumbs, lang || ';' || source AS block_types, length(text)::INTEGER AS char_count, (length(text) // 4)::INTEGER AS token_count_approx, doc_id % 2 = 0 AS has_table, doc_id % 3 = 0 AS has_procedure, doc_id % 5 = 0 AS has_image, (doc_id % 7)::INTEGER AS chunk_index, replace(substr(text, 1, 150), chr(10), ' ') AS text_preview FROM documents")
 def _(spark, sf_dir):
-    none = {c: F.lit("") for c in ("page_title", "section_title", "breadcrumbs")} | {c: F.lit(False) for c in ("has_table", "has_procedure", "has_image")} | {"token_count_approx": F.lit(0), "chunk_index": F.lit(0)}
-    c = chunk_facts(spark, sf_dir).withColumns({"id": F.col("doc_id").cast("string"), "block_types": F.array("lang", "source_file"), **none})
-    return sources.csv_view(c).select("chunk_id", "source_file", "block_types", "char_count", "text_preview")
+    i = F.col("doc_id")
+    more = {"page_title": F.concat(F.lit("T"), i), "section_title": F.col("lang"), "breadcrumbs": F.lit(""), "token_count_approx": F.expr("char_count div 4").cast("int"), "has_table": i % 2 == 0, "has_procedure": i % 3 == 0, "has_image": i % 5 == 0, "chunk_index": (i % 7).cast("int")}
+    return sources.csv_view(chunk_facts(spark, sf_dir).withColumns({"id": i.cast("string"), "block_types": F.array("lang", "source_file"), **more}))
 
 
 @register("query_texts", "SELECT item_id AS query_id, 'Instruct: Find the passage' || chr(10) || 'Query: ' || text AS text FROM benchmark")
@@ -494,57 +633,113 @@ def truth(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(d, "doc_id").select((F.col("doc_id") % 50).alias("query_idx"), "source_file", F.col("doc_id").alias("doc_idx"), label.alias("label"))
 
 
-@register("metrics_report")
+@register("metrics_report", f"WITH {METRICS} SELECT count(*)::INTEGER AS n_queries, count(*)::INTEGER AS n_rows, round(avg(p5_strict), 4) AS p5_strict, round(avg(ndcg5), 4) AS ndcg5, round(avg(mrr_lenient), 4) AS mrr_lenient, (SELECT round(recall5_strict, 9) FROM metrics ORDER BY query_idx LIMIT 1) AS first_recall5 FROM metrics")
 def _(spark, sf_dir):
-    return evaluate.report(evaluate.query_metrics(labelled(spark, sf_dir)))
+    r = evaluate.report(evaluate.query_metrics(labelled(spark, sf_dir)))
+    read = lambda path, kind="double": F.get_json_object("report", path).cast(kind)
+    rows = F.size(F.from_json(F.get_json_object("report", "$.per_query"), "array<struct<query_idx long>>"))
+    return r.select(read("$.n_queries", "int").alias("n_queries"), rows.alias("n_rows"), *[read(f"$.summary.{c}").alias(c) for c in ("p5_strict", "ndcg5", "mrr_lenient")], F.round(read("$.per_query[0].recall5_strict"), 9).alias("first_recall5"))
 
 
-@register("answers", f"WITH {CONTEXT} SELECT b.item_id AS query_id, CASE WHEN count(p.doc) = 0 THEN 'К сожалению, не удалось найти информацию по вашему вопросу.' END AS answer, count(p.doc)::INTEGER AS n_refs FROM (SELECT item_id FROM benchmark UNION ALL SELECT -1) b LEFT JOIN placed p ON p.query_id = b.item_id GROUP BY b.item_id")
+@register("query_names", f"WITH {METRICS} SELECT query_idx, coalesce(b.text, 'q' || query_idx) AS query, p5_strict FROM metrics LEFT JOIN (SELECT * FROM benchmark WHERE item_id % 2 = 0) b ON b.item_id = query_idx")
 def _(spark, sf_dir):
-    q = questions(spark, sf_dir)
-    q = q.unionByName(spark.range(1).select(F.lit(-1).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit("of no").alias("text")))
-    return query.answered(q, placed(spark, sf_dir)).select("query_id", "answer", F.when(F.col("refs").isNull(), 0).otherwise(F.size("refs")).alias("n_refs"))
+    q = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_idx"), F.col("text").alias("query"))
+    return evaluate.named(evaluate.query_metrics(labelled(spark, sf_dir)), q).select("query_idx", "query", "p5_strict")
 
 
-def nation_pages(spark, sf_dir):
-    """A help page for each region: its title, its place, and a table of its nations."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<tr><td>"), x["n_nationkey"], F.lit("</td><td>"), x["n_name"], F.lit("</td></tr>"))), "")
-    head = F.concat(F.lit('<p class="topictitle">'), "r_name", F.lit('</p><p id="ptopic_breadcrumbs"><a href="w.html">World</a><a href="r.html">'), "r_name", F.lit('</a></p><div id="hmpagebody_scroller"><table><tr><td>Key</td><td>Name</td></tr>'))
-    return n.groupBy("r_name").agg(rows.alias("rows")).select(F.concat("r_name", F.lit(".html")).alias("source_file"), F.concat(head, "rows", F.lit("</table></div>")).alias("html"))
+@register("config_timings", "SELECT role AS config, avg(length(text) / 1000.0::DOUBLE) AS avg_time, sum(turn + 1)::BIGINT AS rows, round(sum(turn + 1) / sum(length(text) / 1000.0::DOUBLE), 6) AS rows_per_second FROM conversations GROUP BY role")
+def _(spark, sf_dir):
+    log = table(spark, sf_dir, "conversations").select(F.col("role").alias("config"), (F.length("text") / 1000.0).alias("seconds"), (F.col("turn") + 1).cast("long").alias("rows"))
+    return evaluate.timings(log).withColumn("rows_per_second", F.round("rows_per_second", 6))
 
 
-NATIONS = "n AS (SELECT r_name, n_nationkey AS k, '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation JOIN region ON n_regionkey = r_regionkey)"
-HEAD = "'| Key | Name |' || chr(10) || '| --- | --- |' || chr(10)"
+def stub(reply):
+    """A stand-in for a model: a function of its last message."""
+    return lambda: lambda messages: reply(messages[-1]["content"])
 
 
-@register("html_tables", f"WITH {NATIONS} SELECT r_name || '.html' AS source_file, 'TABLE' AS block_type, {HEAD} || string_agg(line, chr(10) ORDER BY k) AS markdown FROM n GROUP BY r_name")
+@register(
+    "judged_labels",
+    f"""WITH {bm25_sql(QUESTIONS, 5)}, truth AS (SELECT doc_id % 50 AS query_idx, source AS source_file, max(doc_id) AS doc_idx, arg_max({LABEL}, doc_id) AS label FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+top AS (SELECT DISTINCT ON (query_id, source) query_id AS query_idx, source AS source_file FROM ranked JOIN documents ON doc = doc_id),
+new AS (SELECT top.* FROM top ANTI JOIN truth USING (query_idx, source_file)),
+seen AS (SELECT query_idx, max(doc_idx) AS last FROM truth GROUP BY query_idx)
+SELECT query_idx, source_file, doc_idx, label FROM truth UNION ALL
+SELECT n.query_idx, source_file, coalesce(last, -1) + row_number() OVER (PARTITION BY n.query_idx ORDER BY source_file), CASE WHEN ascii(right(source_file, 1)) % 2 = 0 THEN 'partial' ELSE 'irrelevant' END FROM new n LEFT JOIN seen USING (query_idx)""",
+)
 def _(spark, sf_dir):
-    return chunking.blocks(nation_pages(spark, sf_dir)).select("source_file", "block_type", "markdown")
+    def reply(asked):
+        file = asked.split("Файл: ")[1].split("\n")[0]
+        if ord(file[-1]) % 2:
+            raise ValueError("no answer")
+        return '```json\n{"label": "partial", "reason": "r"}\n```'
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("source_file"), "text")
+    rows = bm25(spark, sf_dir, 5).join(d, "doc").join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id").withColumnRenamed("query_id", "query_idx")
+    one = truth(spark, sf_dir).groupBy("query_idx", "source_file").agg(F.max("doc_idx").alias("doc_idx"), F.max_by("label", "doc_idx").alias("label"))
+    return with_judged(rows.select("query_idx", "question", "source_file", "text"), one, stub(reply), attempts=2, wait=0.0)
 
 
-@register("page_metadata", "SELECT DISTINCT r_name || '.html' AS source_file, r_name AS page_title, 'World → ' || r_name AS page_breadcrumbs FROM nation JOIN region ON n_regionkey = r_regionkey")
+@register(
+    "answer_flow",
+    f"""WITH {CONTEXT}, b AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1, 'of no')
+SELECT b.query_id, CASE WHEN count(p.doc) = 0 THEN 'К сожалению, я не нашёл информации по этому вопросу в документации продукта. Попробуйте переформулировать вопрос или уточнить тему.'
+  ELSE 'Ответ на ' || md5(any_value(b.text)) || ' [[1]](https://help.example/' || arg_min(source, rank) || ')' || chr(10) || chr(10) || '**Источники:**' || chr(10) || '- [1] [Doc ' || arg_min(doc, rank) || '](https://help.example/' || arg_min(source, rank) || ')' END AS answer,
+  count(p.doc)::INTEGER AS n_sources FROM b LEFT JOIN placed p ON p.query_id = b.query_id GROUP BY b.query_id""",
+)
 def _(spark, sf_dir):
-    return chunking.blocks(nation_pages(spark, sf_dir)).select("source_file", "page_title", "page_breadcrumbs").distinct()
+    def reply(asked):
+        import hashlib
+
+        question = asked.rsplit("Вопрос: ", 1)[1].rsplit("\n\nОтвет (", 1)[0]
+        return f"Ответ на {hashlib.md5(question.encode()).hexdigest()} [1]\n\n**Источники:**"
+
+    got = answers.ask(asked_of(spark, sf_dir), placed(spark, sf_dir), stub(reply), "https://help.example", "продукта")
+    return got.select("query_id", "answer", F.size("sources").alias("n_sources"))
+
+
+def asked_of(spark, sf_dir):
+    """The questions, and one that finds nothing."""
+    q = questions(spark, sf_dir)
+    return q.unionByName(spark.range(1).select(F.lit(-1).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit("of no").alias("text")))
 
 
 @register(
-    "split_table",
-    f"""WITH RECURSIVE {NATIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY k) AS i, length(line) + 1 AS size FROM n),
-walk AS (SELECT r_name, i, size, 0 AS part FROM o WHERE i = 1
-  UNION ALL SELECT o.r_name, o.i, CASE WHEN w.size + o.size > 50 THEN o.size ELSE w.size + o.size END, CASE WHEN w.size + o.size > 50 THEN w.part + 1 ELSE w.part END FROM walk w JOIN o ON o.r_name = w.r_name AND o.i = w.i + 1)
-SELECT r_name || '.html' AS source_file, part::INTEGER AS part, {HEAD} || string_agg(line, chr(10) ORDER BY i) AS markdown FROM walk JOIN o USING (r_name, i) GROUP BY r_name, part""",
+    "generation_eval",
+    f"""WITH {CONTEXT}, b AS (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1),
+said AS (SELECT b.query_id, count(p.doc) AS n_docs, coalesce(sum(length(source) + length('Doc ' || doc) + length(substr(text, 1, 1500)) + length('' || (rank + 1)) + 36), 0) AS chars FROM b LEFT JOIN placed p ON p.query_id = b.query_id GROUP BY b.query_id),
+judged AS (SELECT *, CASE WHEN query_id % 4 = 3 THEN 'error' WHEN n_docs = 0 THEN 'no' ELSE 'yes' END AS s FROM said)
+SELECT c AS criterion, count(*) FILTER (WHERE s = 'yes' AND c <> 'helpfulness') AS yes, count(*) FILTER (WHERE s = 'no' AND c <> 'helpfulness') AS "no", count(*) FILTER (WHERE s = 'error' OR c = 'helpfulness') AS error, sum(n_docs)::BIGINT AS n_docs, sum(CASE WHEN s = 'error' THEN 0 ELSE least(chars, 6000) END)::BIGINT AS chars
+FROM judged, (SELECT unnest(['faithfulness', 'completeness', 'relevance', 'helpfulness']) AS c) GROUP BY c""",
 )
 def _(spark, sf_dir):
-    b = chunking.split_tables(chunking.blocks(nation_pages(spark, sf_dir)), target=50 + 31)  # 31: the header
-    return b.select("source_file", F.posexplode("parts").alias("part", "markdown"))
+    def reply(asked):
+        import json
+
+        seen = asked.split("## Найденные фрагменты документации\n", 1)[1].split("\n\n## Ответ системы\n", 1)[0]
+        score = "no" if "Не найдено информации." in asked else "yes"
+        if "\nfail " in asked:
+            raise ValueError("judge")
+        return json.dumps({c: {"score": score, "reason": str(len(seen))} for c in evaluate.CRITERIA[:3]})
+
+    q = asked_of(spark, sf_dir).select("query_id", F.when(F.pmod("query_id", F.lit(4)) == 3, F.concat(F.lit("fail "), "text")).otherwise(F.lit("x")).alias("question"), F.lit("said").alias("answer"))
+    q = q.withColumn("question", F.when(F.col("query_id") < 0, "x").otherwise(F.col("question")))
+    judged_ = answers.judge(q, placed(spark, sf_dir), stub(reply))
+    chars = F.coalesce(F.try_element_at("judgment", F.lit("faithfulness"))["reason"].try_cast("long"), F.lit(0))
+    facts = judged_.agg(F.sum("n_docs").alias("n_docs"), F.sum(chars).alias("chars"))
+    return answers.evaluated(judged_).select("criterion", "yes", "no", "error").join(facts)  # one row on the right
+
+
+@register("answers", f"WITH {CONTEXT} SELECT b.item_id AS query_id, CASE WHEN count(p.doc) = 0 THEN 'К сожалению, я не нашёл информации по этому вопросу в документации продукта. Попробуйте переформулировать вопрос или уточнить тему.' END AS answer, count(p.doc)::INTEGER AS n_refs FROM (SELECT item_id FROM benchmark UNION ALL SELECT -1) b LEFT JOIN placed p ON p.query_id = b.item_id GROUP BY b.item_id")
+def _(spark, sf_dir):
+    return query.answered(asked_of(spark, sf_dir), placed(spark, sf_dir), product="продукта").select("query_id", "answer", F.when(F.col("refs").isNull(), 0).otherwise(F.size("refs")).alias("n_refs"))
 
 
 def retriever(spark, sf_dir):
     """documents, their BM25 index, and the vectors that have a document's id."""
     c = chunk_rows(spark, sf_dir).select(F.col("doc_id").alias("doc"), "source_file", "chunk_index", "text")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
-    return Retriever(c, lexical.build(table(spark, sf_dir, "documents")), v.join(c.select("doc"), "doc", "left_semi"))
+    return Retriever(c, index(spark, sf_dir), v.join(c.select("doc"), "doc", "left_semi"))
 
 
 def embedded(spark, sf_dir, rows):
@@ -563,13 +758,49 @@ files AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY lead) AS f
 best AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY query_id, source_file ORDER BY rank) <= 2)"""
 
 
-@register("hybrid_retrieve", f"WITH {HYBRID} SELECT query_id, source_file, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index, rank)) AS digest, min(rank)::INTEGER AS rank FROM best GROUP BY query_id, source_file")
-def _(spark, sf_dir):
+MERGED_PAGES = "SELECT query_id, source_file, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index, rank)) AS digest, (row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) - 1)::INTEGER AS rank FROM best GROUP BY query_id, source_file"
+
+
+def retrieved(spark, sf_dir, top_k=0):
     asked = embedded(spark, sf_dir, questions(spark, sf_dir).withColumn("list_idx", F.lit(0)))
-    return retriever(spark, sf_dir).retrieve(asked).select("query_id", "source_file", F.md5("text").alias("digest"), "rank")
+    return retriever(spark, sf_dir).retrieve(asked, top_k=top_k).select("query_id", "source_file", F.md5("text").alias("digest"), "rank")
+
+
+@register("hybrid_retrieve", f"WITH {HYBRID} {MERGED_PAGES}")
+def _(spark, sf_dir):
+    return retrieved(spark, sf_dir)
 
 
-@register("ablation_run")
+@register("hybrid_retrieve_top2", f"WITH {HYBRID.replace('file_rank <= 5', 'file_rank <= 2')} {MERGED_PAGES}")
+def _(spark, sf_dir):
+    return retrieved(spark, sf_dir, 2)
+
+
+_VARIANTS = "SELECT item_id * 2 AS query_id, text FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings) UNION ALL SELECT item_id * 2 + 1, substr(text, 1, length(text) // 2) FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)"
+ABLATION = f"""WITH {bm25_sql(_VARIANTS, 20)},
+close AS (SELECT q.vec_id AS query_id, v.vec_id AS doc, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS near
+  FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT doc_id FROM documents)),
+lists AS (SELECT query_id // 2 AS query_id, query_id % 2 * 2 + 1 AS list_idx, rank, doc FROM ranked UNION ALL
+  SELECT query_id, unnest([0, 2]), rank, doc FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, doc) - 1 AS rank, doc FROM close QUALIFY rank < 20)),
+configs AS (SELECT m.m * 4 + w.w * 2 + r.r AS ord, ['bm25', 'vector', 'hybrid'][m.m + 1] || CASE w.w WHEN 1 THEN '+rewrite' ELSE '' END || CASE r.r WHEN 1 THEN '+rerank' ELSE '' END AS config, m.m AS mode, w.w AS more, r.r AS again
+  FROM range(3) m(m), range(2) w(w), range(2) r(r)),
+picked AS (SELECT ord, again, l.* FROM configs, lists l WHERE (mode = 2 OR mode = (list_idx + 1) % 2) AND (more = 1 OR list_idx < 2)),
+summed AS (SELECT ord, again, query_id, doc, round(sum(1 / (60.0::DOUBLE + rank + 1)), 9) AS score, min({{'l': list_idx, 'r': rank}}) AS seen FROM picked GROUP BY ALL),
+fused AS (SELECT *, row_number() OVER (PARTITION BY ord, query_id ORDER BY score DESC, seen, doc) - 1 AS rank FROM summed),
+firsts AS (SELECT f.*, source, text FROM fused f JOIN documents ON doc = doc_id QUALIFY row_number() OVER (PARTITION BY ord, query_id, source ORDER BY rank) = 1),
+depth AS (SELECT *, row_number() OVER (PARTITION BY ord, query_id ORDER BY rank) - 1 AS place FROM firsts QUALIFY place < 5 + 10 * again),
+pairs AS (SELECT d.*, (SELECT list_distinct({TOKENS.replace("text", "b.text")})) AS q, {TOKENS.replace("text", "substr(d.text, 1, 2048)")} AS has FROM depth d JOIN benchmark b ON b.item_id = d.query_id),
+final AS (SELECT ord, query_id, source, at AS rank FROM (SELECT ord, query_id, source, row_number() OVER (PARTITION BY ord, query_id ORDER BY CASE again WHEN 1 THEN round(1 / (1 + exp(-(6.0::DOUBLE * len(list_intersect(q, has)) / greatest(len(q), 1) - 2.0))), 9) END DESC, place) AS at FROM pairs) WHERE at <= 5),
+truth AS (SELECT doc_id % 50 AS query_id, source, arg_max({LABEL}, doc_id) AS label FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+every AS (SELECT ord, config, item_id AS query_id, p AS rank FROM configs, (SELECT item_id FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)), range(1, 6) t(p)),
+graded AS (SELECT ord, config, query_id, rank, coalesce(label, 'irrelevant') AS label, CASE label WHEN 'relevant' THEN 2.0 WHEN 'partial' THEN 1.0 ELSE 0.0 END::DOUBLE AS g FROM every LEFT JOIN final USING (ord, query_id, rank) LEFT JOIN truth USING (query_id, source)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY ord, query_id ORDER BY g DESC, rank) AS i FROM graded),
+each AS (SELECT ord, config, query_id, count(*) FILTER (WHERE label = 'relevant' AND rank <= 3) / 3.0::DOUBLE AS p3, count(*) FILTER (WHERE label = 'relevant') / 5.0::DOUBLE AS p5,
+  coalesce(round(sum(g / log2(rank + 1)) / nullif(sum(g / log2(i + 1)), 0), 9), 0) AS n5, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE label = 'relevant'), 0) AS rr FROM ordered GROUP BY ALL)
+SELECT config, ord::INTEGER AS ord, round(avg(p3), 4) AS "P@3", round(avg(p5), 4) AS "P@5", round(avg(n5), 4) AS "NDCG@5", round(avg(rr), 4) AS "MRR" FROM each GROUP BY config, ord"""
+
+
+@register("ablation_run", ABLATION)
 def _(spark, sf_dir):
     q = questions(spark, sf_dir)
     asked = embedded(spark, sf_dir, q.withColumn("list_idx", F.lit(0)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quillspark", **conf: str) -> SparkSession:
@@ -11,3 +14,24 @@ def session(app: str = "quillspark", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one on one machine."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return known.get().rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, whoever reads them and whatever is lost."""
+    path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

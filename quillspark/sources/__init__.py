@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Parts of the names of service pages.
-SERVICE_PAGES = ["index.html", "toc.html", "search.html", "popup", "open.html", "hmkwindex"]
+SERVICE_PAGES = ["hmcontent", "hmftsearch", "hmkwindex", "hmcontextids", "zoomimage", "open.html"]
 #: How a page's place begins, from the table of contents and of its own.
 PLACE, OWN_PLACE = "> **Раздел:** ", "> **Путь:**"
 CHUNK_SCHEMA = "id string, text string, metadata struct<source_file: string, page_title: string, breadcrumbs: string, section_title: string, section_path: string, block_types: array<string>, has_table: boolean, has_image: boolean, has_procedure: boolean, chunk_index: int, char_count: int, token_count_approx: int>"
@@ -18,12 +18,30 @@ REQUIRED_METRICS = ("P@3", "P@5", "NDCG@5", "MRR")
 
 
 def read_html(spark: SparkSession, path: str, max_files: int = 0, service: list[str] | None = None) -> DataFrame:
-    """(path, source_file, html) of all .html files below a folder, without service pages; the first max_files by path."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path, wholetext=True)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("html"))
+    """(path, source_file, html) of all .html files below a folder, without service pages; the first max_files by
+    path, folder by folder. A file that is not UTF-8 has a null html (and is counted as skipped further on); line ends
+    are line feeds."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    html = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    rows = rows.select("path", name.alias("source_file"), html.alias("html"))
     for part in SERVICE_PAGES if service is None else service:
         rows = rows.where(~F.lower("source_file").contains(part))
-    return rows.orderBy("path").limit(max_files) if max_files > 0 else rows
+    return rows.orderBy(F.split("path", "/")).limit(max_files) if max_files > 0 else rows
+
+
+def read_page(spark: SparkSession, path: str) -> DataFrame:
+    """One page, whatever its name; an error if there is no such file."""
+    rows = read_html_file(spark, path)
+    if rows.isEmpty():
+        raise FileNotFoundError(path)
+    return rows
+
+
+def read_html_file(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.format("binaryFile").load(path)
+    html = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), html.alias("html"))
 
 
 def toc_rows(text: str) -> list[tuple]:
@@ -34,6 +52,13 @@ def toc_rows(text: str) -> list[tuple]:
         tree = json.loads(re.sub(r",(\s*[}\]])", r"\1", body))
     except ValueError:
         return []
+
+    def level(value) -> int:
+        try:
+            return int(value or 0)
+        except (TypeError, ValueError):
+            return 0
+
     found: dict[str, tuple] = {}
     stack = [(tree.get("items") or [], ())] if isinstance(tree, dict) else []
     while stack:
@@ -45,7 +70,7 @@ def toc_rows(text: str) -> list[tuple]:
             names = (*above, title) if title else above
             file = str(item.get("hf") or "").strip()
             if file:
-                found[file] = (file, title, " → ".join(names), int(item.get("lv") or 0), str(item.get("tp") or ""), bool(item.get("items")))
+                found[file] = (file, title, " → ".join(names), level(item.get("lv")), str(item.get("tp") or ""), bool(item.get("items")))
             if item.get("items"):
                 stack.append((items[at + 1 :], above))
                 stack.append((item["items"], names))
@@ -87,6 +112,30 @@ def write_csv(chunks: DataFrame, path: str) -> None:
     csv_view(chunks).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def preview(chunks: DataFrame, n: int = 10, most: int = 500) -> DataFrame:
+    """The first n chunks by file and place, their texts cut at ``most`` characters, with what is left out told."""
+    text = F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit("\n... ("), (F.length("text") - most).cast("string"), F.lit(" more chars)"))).otherwise(F.col("text"))
+    cols = ["id", "source_file", "page_title", "section_title", "breadcrumbs", F.array_join("block_types", ", ").alias("block_types"), "char_count", "token_count_approx", "has_table", "has_procedure"]
+    return chunks.orderBy("source_file", "chunk_index").limit(n).select(*cols, text.alias("text"))
+
+
+def write_outputs(chunks: DataFrame, jsonl: str | None = None, csv: str | None = None, show: bool = False, stats: bool = False, single: bool = False, n: int = 10) -> dict[str, DataFrame]:
+    """Writes what is asked for and returns what is to be shown: a preview if asked for, or for a single page without
+    an output; statistics and histograms if asked for, or without an output."""
+    from ..operators import corpus
+
+    shown: dict[str, DataFrame] = {}
+    if show or (single and not jsonl):
+        shown["preview"] = preview(chunks, n)
+    if stats or not jsonl:
+        shown |= {"statistics": corpus.statistics(chunks), "types": corpus.type_histogram(chunks), "sizes": corpus.size_histogram(chunks)}
+    if jsonl:
+        write_chunks(chunks, jsonl)
+    if csv:
+        write_csv(chunks, csv)
+    return shown
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_idx, query): non-blank lines of one text file, stripped, in order."""
     lines = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+$", ""))), lambda x: x != "").alias("q"))
@@ -94,17 +143,38 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 ANNOTATION = "struct<query_idx: int, query: string, doc_idx: int, source_file: string, page_title: string, label: string, comment: string, timestamp: string>"
+ANNOTATIONS = f"queries array<string>, annotations map<string, {ANNOTATION}>"
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(query_idx, rank from 1, label, source_file) of an annotation file, by document index."""
+    """(query_idx, rank from 1, label, source_file) of an annotation file, by document index; its questions are what
+    ``read_annotated_queries`` gives."""
     from pyspark.sql import Window
 
-    rows = spark.read.option("multiLine", True).schema(f"queries array<string>, annotations map<string, {ANNOTATION}>").json(path)
+    rows = spark.read.option("multiLine", True).schema(ANNOTATIONS).json(path)
     flat = rows.select(F.explode("annotations").alias("key", "a")).select("a.*")
     return flat.withColumn("rank", F.row_number().over(Window.partitionBy("query_idx").orderBy("doc_idx"))).select("query_idx", "rank", "label", "source_file")
 
 
+def read_annotated_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(query_idx, query) of an annotation file."""
+    return spark.read.option("multiLine", True).schema(ANNOTATIONS).json(path).select(F.posexplode("queries").alias("query_idx", "query"))
+
+
+def write_annotations(annotations: DataFrame, queries: DataFrame, path: str, created: str) -> None:
+    """One JSON document: created, queries in order, annotations by key, stats. Annotations (key, query_idx, doc_idx,
+    source_file, label and, if there, comment and timestamp) are a person's or a judge's, so they fit one document."""
+    from ..operators import evaluate
+
+    known = annotations.schema.names
+    entry = F.struct(*[c for c in ("query_idx", "doc_idx", "source_file", "label", "comment", "timestamp") if c in known])
+    marks = annotations.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", entry)))).alias("annotations"))
+    asked = queries.agg(F.transform(F.sort_array(F.collect_list(F.struct("query_idx", "query"))), lambda x: x["query"]).alias("queries"))
+    stats = evaluate.annotation_stats(annotations).select(F.struct("*").alias("stats"))
+    whole = asked.join(marks).join(stats).select(F.lit(created).alias("created"), "queries", "annotations", "stats")  # one row each
+    whole.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_ablation(spark: SparkSession, path: str) -> DataFrame:
     """(config, ord, metrics, avg_time) of a result file, bare or under ``metrics``; a missing metric raises."""
     text = spark.read.text(path, wholetext=True).select("value").first()["value"]
@@ -130,7 +200,7 @@ def located(pages: DataFrame, toc: DataFrame | None = None) -> DataFrame:
         return pages
     place = F.concat(F.lit(PLACE), F.col("breadcrumbs"), F.lit("\n\n"))
     fits = (F.coalesce("breadcrumbs", F.lit("")) != "") & ~F.col("markdown").startswith(OWN_PLACE)
-    joined = pages.join(toc.select("source_file", "breadcrumbs"), "source_file", "left")
+    joined = pages.join(toc.groupBy("source_file").agg(F.max("breadcrumbs").alias("breadcrumbs")), "source_file", "left")
     return joined.withColumn("markdown", F.when(fits, F.concat(place, "markdown")).otherwise(F.col("markdown"))).drop("breadcrumbs")
 
 
@@ -140,6 +210,27 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_markdown(pages: DataFrame, path: str) -> None:
-    """Markdown of pages (source_file, markdown) as a table of text rows; files of one page each are left to a
-    consumer, since a file a row does not scale."""
+    """Markdown of pages (source_file, markdown) as a table of text rows; ``write_markdown_files`` makes files."""
     pages.where("markdown is not null").write.mode("overwrite").parquet(path)
+
+
+def write_markdown_files(pages: DataFrame, root: str, target: str) -> DataFrame:
+    """One .md file for each page (path, markdown) at its place below ``root``, written by the tasks to a folder that
+    all of them reach; (path, written) of each. A page without Markdown has no file."""
+
+    def run(batches):
+        import os
+
+        for batch in batches:
+            done = []
+            for path, text in zip(batch["path"], batch["markdown"]):
+                if text is not None:
+                    inside = path.split(root.rstrip("/") + "/", 1)[-1]
+                    place = os.path.join(target, os.path.splitext(inside)[0] + ".md")
+                    os.makedirs(os.path.dirname(place), exist_ok=True)
+                    with open(place, "w", encoding="utf-8") as f:
+                        f.write(text)
+                done.append(text is not None)
+            yield batch[["path"]].assign(written=done)
+
+    return pages.select("path", "markdown").mapInPandas(run, "path string, written boolean")
