@@ -282,12 +282,12 @@ def _(spark, sf_dir):
     return evaluate.query_metrics(labelled(spark, sf_dir))
 
 
-@register("metric_summary", f"WITH {METRICS} SELECT {', '.join(f'round(avg({c}), 4) AS {c}' for c in SUMMARISED)}, count(*) AS n_queries FROM metrics")
+@register("metric_summary", f"WITH {METRICS} SELECT {', '.join(f'round(avg({c})::DECIMAL(18, 9), 4)::DOUBLE AS {c}' for c in SUMMARISED)}, count(*) AS n_queries FROM metrics")
 def _(spark, sf_dir):
     return evaluate.summary(evaluate.query_metrics(labelled(spark, sf_dir)))
 
 
-@register("ablation_metrics", f"WITH {METRICS} SELECT CASE WHEN query_idx % 2 = 0 THEN 'even' ELSE 'odd' END AS config, round(avg(p3_strict), 4) AS p3, round(avg(p5_strict), 4) AS p5, round(avg(ndcg5), 4) AS ndcg5, round(avg(mrr_strict), 4) AS mrr FROM metrics GROUP BY 1")
+@register("ablation_metrics", f"WITH {METRICS} SELECT CASE WHEN query_idx % 2 = 0 THEN 'even' ELSE 'odd' END AS config, round(avg(p3_strict)::DECIMAL(18, 9), 4)::DOUBLE AS p3, round(avg(p5_strict)::DECIMAL(18, 9), 4)::DOUBLE AS p5, round(avg(ndcg5)::DECIMAL(18, 9), 4)::DOUBLE AS ndcg5, round(avg(mrr_strict)::DECIMAL(18, 9), 4)::DOUBLE AS mrr FROM metrics GROUP BY 1")
 def _(spark, sf_dir):
     m = evaluate.query_metrics(labelled(spark, sf_dir)).withColumn("config", F.when(F.col("query_idx") % 2 == 0, "even").otherwise("odd"))
     return evaluate.summary(m, ("config",)).select("config", F.col("p3_strict").alias("p3"), F.col("p5_strict").alias("p5"), "ndcg5", F.col("mrr_strict").alias("mrr"))
@@ -608,7 +608,7 @@ def _(spark, sf_dir):
     return evaluate.weak(evaluate.query_metrics(labelled(spark, sf_dir)), 0.7).select("query_idx", "p5_strict")
 
 
-@register("best_config", f"WITH {METRICS} SELECT arg_max(config, {{'m': m, 'o': -ord}}) AS best FROM (SELECT 'config' || query_idx % 5 AS config, query_idx % 5 AS ord, round(avg(mrr_strict), 4) AS m FROM metrics GROUP BY 1, 2)")
+@register("best_config", f"WITH {METRICS} SELECT arg_max(config, {{'m': m, 'o': -ord}}) AS best FROM (SELECT 'config' || query_idx % 5 AS config, query_idx % 5 AS ord, round(avg(mrr_strict)::DECIMAL(18, 9), 4)::DOUBLE AS m FROM metrics GROUP BY 1, 2)")
 def _(spark, sf_dir):
     m = evaluate.query_metrics(labelled(spark, sf_dir)).withColumn("ord", F.col("query_idx") % 5)
     means = evaluate.summary(m, ("ord",)).select(F.concat(F.lit("config"), "ord").alias("config"), F.col("ord").cast("int").alias("ord"), F.col("mrr_strict").alias("MRR"))
@@ -633,7 +633,7 @@ def truth(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(d, "doc_id").select((F.col("doc_id") % 50).alias("query_idx"), "source_file", F.col("doc_id").alias("doc_idx"), label.alias("label"))
 
 
-@register("metrics_report", f"WITH {METRICS} SELECT count(*)::INTEGER AS n_queries, count(*)::INTEGER AS n_rows, round(avg(p5_strict), 4) AS p5_strict, round(avg(ndcg5), 4) AS ndcg5, round(avg(mrr_lenient), 4) AS mrr_lenient, (SELECT round(recall5_strict, 9) FROM metrics ORDER BY query_idx LIMIT 1) AS first_recall5 FROM metrics")
+@register("metrics_report", f"WITH {METRICS} SELECT count(*)::INTEGER AS n_queries, count(*)::INTEGER AS n_rows, round(avg(p5_strict)::DECIMAL(18, 9), 4)::DOUBLE AS p5_strict, round(avg(ndcg5)::DECIMAL(18, 9), 4)::DOUBLE AS ndcg5, round(avg(mrr_lenient)::DECIMAL(18, 9), 4)::DOUBLE AS mrr_lenient, (SELECT round(recall5_strict, 9) FROM metrics ORDER BY query_idx LIMIT 1) AS first_recall5 FROM metrics")
 def _(spark, sf_dir):
     r = evaluate.report(evaluate.query_metrics(labelled(spark, sf_dir)))
     read = lambda path, kind="double": F.get_json_object("report", path).cast(kind)
@@ -790,14 +790,14 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY ord, query_id ORDER BY score
 firsts AS (SELECT f.*, source, text FROM fused f JOIN documents ON doc = doc_id QUALIFY row_number() OVER (PARTITION BY ord, query_id, source ORDER BY rank) = 1),
 depth AS (SELECT *, row_number() OVER (PARTITION BY ord, query_id ORDER BY rank) - 1 AS place FROM firsts QUALIFY place < 5 + 10 * again),
 pairs AS (SELECT d.*, (SELECT list_distinct({TOKENS.replace("text", "b.text")})) AS q, {TOKENS.replace("text", "substr(d.text, 1, 2048)")} AS has FROM depth d JOIN benchmark b ON b.item_id = d.query_id),
-final AS (SELECT ord, query_id, source, at AS rank FROM (SELECT ord, query_id, source, row_number() OVER (PARTITION BY ord, query_id ORDER BY CASE again WHEN 1 THEN round(1 / (1 + exp(-(6.0::DOUBLE * len(list_intersect(q, has)) / greatest(len(q), 1) - 2.0))), 9) END DESC, place) AS at FROM pairs) WHERE at <= 5),
+final AS (SELECT ord, query_id, source, pos AS rank FROM (SELECT ord, query_id, source, row_number() OVER (PARTITION BY ord, query_id ORDER BY CASE again WHEN 1 THEN round(1 / (1 + exp(-(6.0::DOUBLE * len(list_intersect(q, has)) / greatest(len(q), 1) - 2.0))), 9) END DESC, place) AS pos FROM pairs) WHERE pos <= 5),
 truth AS (SELECT doc_id % 50 AS query_id, source, arg_max({LABEL}, doc_id) AS label FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
 every AS (SELECT ord, config, item_id AS query_id, p AS rank FROM configs, (SELECT item_id FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)), range(1, 6) t(p)),
 graded AS (SELECT ord, config, query_id, rank, coalesce(label, 'irrelevant') AS label, CASE label WHEN 'relevant' THEN 2.0 WHEN 'partial' THEN 1.0 ELSE 0.0 END::DOUBLE AS g FROM every LEFT JOIN final USING (ord, query_id, rank) LEFT JOIN truth USING (query_id, source)),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY ord, query_id ORDER BY g DESC, rank) AS i FROM graded),
 each AS (SELECT ord, config, query_id, count(*) FILTER (WHERE label = 'relevant' AND rank <= 3) / 3.0::DOUBLE AS p3, count(*) FILTER (WHERE label = 'relevant') / 5.0::DOUBLE AS p5,
   coalesce(round(sum(g / log2(rank + 1)) / nullif(sum(g / log2(i + 1)), 0), 9), 0) AS n5, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE label = 'relevant'), 0) AS rr FROM ordered GROUP BY ALL)
-SELECT config, ord::INTEGER AS ord, round(avg(p3), 4) AS "P@3", round(avg(p5), 4) AS "P@5", round(avg(n5), 4) AS "NDCG@5", round(avg(rr), 4) AS "MRR" FROM each GROUP BY config, ord"""
+SELECT config, ord::INTEGER AS ord, round(avg(p3)::DECIMAL(18, 9), 4)::DOUBLE AS "P@3", round(avg(p5)::DECIMAL(18, 9), 4)::DOUBLE AS "P@5", round(avg(n5)::DECIMAL(18, 9), 4)::DOUBLE AS "NDCG@5", round(avg(rr)::DECIMAL(18, 9), 4)::DOUBLE AS "MRR" FROM each GROUP BY config, ord"""
 
 
 @register("ablation_run", ABLATION)
