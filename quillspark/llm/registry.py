@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
+from . import ann, hard_negatives, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
 from .common import bucket_of, documents, prepare, saved
-from .sql import MIXING_SQL, QUALITY_RULES_SQL
+from .sql import HARD_NEGATIVES_SQL, LICENSE_SQL, MIXING_SQL, QUALITY_RULES_SQL
 
 #: Production parameters of the mixture: target weights by level, share of the tokens, epochs and seed.
 MIX_WEIGHTS = {"domain": {"web": 4.0, "books": 3.0, "forum": 2.0, "code": 1.0}, "lang": {"en": 5.0, "fr": 2.0, "de": 2.0, "es": 1.0}}
@@ -78,6 +78,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "__license.*")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.pmod("id", F.lit(50)) == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1,
     "op2_packing": op2,
@@ -89,5 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8,
     "op9_toxicity": op9,
     "op10_simhash": op10,
+    "op11_license_scan": op11,
+    "op12_hard_negatives": op12,
 }
-SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES_SQL, "op6_mixing": MIXING_SQL}
+SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES_SQL, "op6_mixing": MIXING_SQL, "op11_license_scan": LICENSE_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}

@@ -1,5 +1,7 @@
 """DuckDB SQL that the tests hold the operators against."""
 
+from . import license_scan
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 QUALITY_RULES_SQL = rf"""
@@ -61,3 +63,45 @@ SELECT doc_id, domain, lang, source, e::INTEGER AS epoch, n_tokens, n_tokens AS
 UNION ALL
 SELECT doc_id, domain, lang, source, (whole + 1)::INTEGER, n_tokens, least(n_tokens, rest - place)::BIGINT FROM placed WHERE place < rest
 """
+
+
+def _templates() -> str:
+    rows = ", ".join("({}, '{}', '{}', '{}', {}, {})".format(t, kind, label, text.replace("'", "''"), least, str(merge).lower()) for t, kind, label, text, least, merge in license_scan.TEMPLATES)
+    return f"SELECT t, kind, label, least, merge, {_SCAN_WORDS} AS w FROM (VALUES {rows}) v(t, kind, label, text, least, merge)"
+
+
+_SCAN_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LICENSE_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_SCAN_WORDS} AS w FROM documents),
+tpl AS MATERIALIZED ({_templates()}),
+tg AS (SELECT t, q, w[q + 1:q + 3] AS run FROM (SELECT t, w, unnest(range(0, len(w) - 2)) AS q FROM tpl)),
+dg AS (SELECT doc_id, p, w[p + 1:p + 3] AS run FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS p FROM d)),
+hits AS MATERIALIZED (SELECT DISTINCT doc_id, t, p - q AS diag, q FROM dg JOIN tg USING (run)),
+diags AS (SELECT DISTINCT doc_id, t, diag FROM hits),
+near AS (SELECT a.doc_id, a.t, a.diag, b.q FROM diags a JOIN tpl USING (t) JOIN hits b ON a.doc_id = b.doc_id AND a.t = b.t AND abs(a.diag - b.diag) <= CASE WHEN merge THEN {license_scan.SHIFT} ELSE 0 END),
+places AS (SELECT doc_id, t, diag, count(DISTINCT q + i) AS n FROM near, (SELECT unnest(range(3)) AS i) GROUP BY ALL),
+found AS (SELECT doc_id, diag, kind, label, n / len(w) AS share, n / len(w) >= least AS accepted FROM places JOIN tpl USING (t)),
+each AS (
+  SELECT doc_id, count(*) FILTER (WHERE accepted AND kind = 'phrase') AS n_base,
+    min(diag) FILTER (WHERE accepted AND kind = 'phrase') AS first_word, max(diag) FILTER (WHERE accepted AND kind = 'phrase') AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE accepted AND kind = 'phrase')), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE accepted)), ',') AS labels, max(share) AS score
+  FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN each USING (doc_id)
+"""
+
+HARD_NEGATIVES_SQL = """
+WITH r AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 50 = 0),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT pos.anchor_id, positive_id, (row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s ON pos.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
