@@ -12,8 +12,9 @@ that agree in their first coordinates, since perturbed cells mostly do. A bucket
 cell) is salted by vector, one that is asked too often by query. Inside a bucket only vectors of visited cells are
 scored, on the original vectors; a bucket returns k rows a query at most, and the tables' results are merged.
 
-Cell width and number of probes are fitted to a wanted recall on a bounded sample. Only where no setting reaches it,
-and for queries that find fewer than k vectors, all vectors are scored, in blocks.
+Cell width and number of probes are fitted to a wanted recall on a bounded sample, by the same rule at every size; the
+widest cells reach it on any data, at the cost of visiting most vectors. Only for queries that find fewer than k vectors
+are all vectors scored, in blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import prepare, saved
 
 #: Tables, directions of a table, cell widths to choose from (vectors are scaled into the unit ball) and seed.
-TABLES, DIRECTIONS, WIDTHS, SEED = 4, 6, (0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0), 5
+TABLES, DIRECTIONS, WIDTHS, SEED = 4, 6, (0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0, 6.0, 12.0), 5
 #: Coordinates of a cell that choose its bucket.
 COARSE = 2
 #: Bound of the sample that the number of probes is fitted on, its queries, and the recall wanted there.
@@ -148,33 +149,53 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return fine.where(F.col("id").isNotNull() & sound & (F.col("m") > 0)).drop("m")
 
 
-def fit(distinct: DataFrame, dim: int, largest: float, n: int, k: int, tables: int = TABLES, directions: int = DIRECTIONS, widths: tuple[float, ...] = WIDTHS, wanted: float = WANTED, seed: int = SEED) -> Index:
-    """Index parameters: of the cell widths and numbers of probes that reach the wanted recall on the sample,
-    those that visit the fewest vectors; if none does, those of the best recall, and ``reached`` is false.
-    ``share`` is what they visit of the sample."""
+def first_visits(index: Index, vectors: np.ndarray, queries: np.ndarray) -> Iterator[np.ndarray]:
+    """For each query, the number of the probe that first visits each vector's cell in any table, counted from 0."""
+    cells, visits = index.cells(vectors), index.visited(queries)
+    known = [np.unique(c, return_inverse=True) for c in cells.T]
+    for visit in visits:
+        out = np.full(len(vectors), visits.shape[2], np.int64)
+        for (names, which), order in zip(known, visit):
+            first = np.full(len(names), visits.shape[2], np.int64)
+            at = np.minimum(np.searchsorted(names, order), len(names) - 1)
+            hit = np.flatnonzero(names[at] == order)[::-1]  # the earliest probe is put last, and stays
+            first[at[hit]] = hit
+            np.minimum(out, first[which], out)
+        yield out
+
+
+def fitted(vectors: np.ndarray, ids: np.ndarray, dim: int, largest: float, k: int, tables: int = TABLES, directions: int = DIRECTIONS, widths: tuple[float, ...] = WIDTHS, wanted: float = WANTED, seed: int = SEED) -> Index:
+    """Of the cell widths and numbers of probes that reach the wanted recall on these vectors, those that visit the fewest.
+
+    The widest cells let every probe of the first ring reach all vectors, so some setting always reaches it; ``share`` is
+    what it visits."""
     rng = np.random.default_rng(seed)
     normal, uniform = rng.normal(size=(dim + 1, tables * directions)), rng.uniform(0, 1, tables * directions)
-    part = min(1.0, SAMPLE_VECTORS / max(1, n))
-    rows = distinct.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < int(part * 1_000_000)).select("vid", "v").limit(2 * SAMPLE_VECTORS).toPandas()
-    tried = []
-    if len(rows):
-        rows = rows.sort_values("vid")
-        vectors, ids = np.stack(rows["v"]), rows["vid"].to_numpy()
-        queries = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)]
-        truth = [found for found, _ in nearest(vectors, ids, queries, k)]
-        for width in widths:
-            index = Index(dim, largest, normal, uniform * width, directions, width, 3**directions)
-            built, order, probes = Tables(index, vectors), index.visited(queries), 8
-            while True:
-                found = [built.candidates(v[:, :probes]) for v in order]
-                recall = float(np.mean([np.isin(t, f).mean() for t, f in zip(truth, found)]))
-                share = float(np.mean([len(f) for f in found])) / len(vectors)
-                tried.append((recall >= wanted, -share if recall >= wanted else recall, width, probes, share))
-                if recall >= wanted or probes >= 3**directions:
-                    break
-                probes = min(probes + max(8, probes // 2), 3**directions)
-    reached, _, width, probes, share = max(tried, default=(False, 0, widths[0], 3**directions, 1.0))
-    return Index(dim, largest, normal, uniform * width, directions, width, probes, reached, share)
+    most = 3**directions
+    best = (False, -1.0, widths[-1], most)
+    queries = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)]
+    truth = [found for found, _ in nearest(vectors, ids, queries, k)]
+    for width in widths if len(vectors) else ():
+        index = Index(dim, largest, normal, uniform * width, directions, width, most)
+        share, recall = np.zeros(most), np.zeros(most)
+        for first, near in zip(first_visits(index, vectors, queries), truth):
+            share += np.cumsum(np.bincount(first, minlength=most + 1)[:most]) / len(vectors)
+            recall += np.cumsum(np.bincount(first[near], minlength=most + 1)[:most]) / len(near)
+        share, recall = share / len(queries), recall / len(queries)
+        enough = np.flatnonzero(recall >= wanted)
+        at = enough[0] if len(enough) else most - 1
+        best = max(best, (bool(len(enough)), -share[at] if len(enough) else recall[at], width, int(at) + 1))
+    reached, value, width, probes = best
+    return Index(dim, largest, normal, uniform * width, directions, width, probes, reached, float(-value) if reached else 1.0)
+
+
+def fit(distinct: DataFrame, dim: int, largest: float, n: int, k: int, **settings) -> Index:
+    """``fitted`` on a sample of at most ``SAMPLE_VECTORS`` vectors: those with the smallest hashes of their ids."""
+    unit = F.xxhash64("vid") / F.lit(2.0**64) + 0.5
+    drawn = distinct.where(unit < min(1.0, 2 * SAMPLE_VECTORS / max(1, n)))  # twice as many as are taken
+    rows = drawn.select("vid", "v").orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE_VECTORS).toPandas().sort_values("vid")
+    vectors = np.stack(rows["v"]) if len(rows) else np.zeros((0, dim))
+    return fitted(vectors, rows["vid"].to_numpy(), dim, largest, k, **settings)
 
 
 FOUND = "qid long, vid long, score double"
@@ -276,15 +297,14 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id
     rows = fine.where(asked).join(distinct.select("v", "vid"), "v").select(F.col("id").alias("query_id"), "vid")
     rows = saved(rows)
     queries = saved(rows.select(F.col("vid").alias("qid")).distinct().join(distinct.select(F.col("vid").alias("qid"), "v"), "qid"))
-    n_vectors, n_queries = distinct.count(), queries.count()
+    n_vectors = distinct.count()
     index = index or fit(distinct, facts["dim"], facts["largest"], n_vectors, k)
 
     def best(found: DataFrame) -> DataFrame:
         ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
         return found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r")
 
-    found = _by_cells(distinct, queries, index, n_vectors, k + 1) if index.reached else _exhaustive(distinct, queries, n_vectors, n_queries, k + 1)
-    found = saved(best(found))
+    found = saved(best(_by_cells(distinct, queries, index, n_vectors, k + 1)))
     full = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, n_vectors))
     short = saved(queries.join(full, "qid", "left_anti"))
     if not short.isEmpty():

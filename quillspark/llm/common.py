@@ -109,6 +109,11 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
+def drawn(rows: DataFrame, n: int, wanted: int, seed: int = 1) -> DataFrame:
+    """About ``wanted`` of n rows, whatever n is; all if there are fewer. Equal rows are drawn one by one."""
+    return rows.where(F.rand(seed) < min(1.0, wanted / max(1, n)))
+
+
 def unique_key(docs: DataFrame, key: str) -> bool:
     """True if the key has neither nulls nor repeats (one narrow pass over the id column)."""
     row = docs.groupBy(key).count().agg(F.max("count").alias("most"), F.max(F.col(key).isNull().cast("int")).alias("none")).first()
