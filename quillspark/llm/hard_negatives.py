@@ -29,8 +29,8 @@ from .common import prepare, saved
 CELLS, SAMPLE_ROWS = 64, 8192
 #: Components (rows times dimensions) of a block of rows, anchors of a block, and anchors' blocks at least.
 BLOCK_COMPONENTS, BLOCK_ANCHORS, LEAST_ANCHOR_BLOCKS = 1 << 20, 1000, 4
-#: Components of unpacked rows at once.
-STEP = 1 << 20
+#: Components of unpacked rows at once; rows of a tile, and anchors that are looked up together.
+STEP, TILE, TOGETHER = 1 << 20, 1024, 32
 
 
 @dataclass
@@ -49,16 +49,24 @@ class Grid:
 
 
 class Approximations:
-    """Rows of a block by their codes: bounds of their scores with an anchor."""
+    """Rows of a block by their codes: bounds of their scores with anchors. Rows are kept in tiles, so that what is looked
+    up stays in a core's cache."""
 
     def __init__(self, grid: Grid, codes: np.ndarray):
-        self.grid = grid
-        self.places = codes.T.astype(np.intp) + np.arange(codes.shape[1])[:, None] * CELLS  # dimension by row
-
-    def bounds(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and largest score of every row, by table lookup."""
-        a, b = anchor[:, None] * self.grid.low, anchor[:, None] * self.grid.high
-        return np.minimum(a, b).ravel().take(self.places).sum(0), np.maximum(a, b).ravel().take(self.places).sum(0)
+        self.grid, self.n = grid, len(codes)
+        places = codes.T.astype(np.intp) + np.arange(codes.shape[1])[:, None] * CELLS  # dimension by row
+        self.tiles = [(i, np.ascontiguousarray(places[:, i : i + TILE])) for i in range(0, self.n, TILE)]
+
+    def bounds(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest score of every row with each anchor (anchor by row), by table lookup."""
+        low, high = (np.empty((len(anchors), self.n), np.int64) for _ in range(2))
+        a, b = anchors[:, :, None] * self.grid.low, anchors[:, :, None] * self.grid.high
+        tables = [(np.minimum(a, b).reshape(len(anchors), -1), low), (np.maximum(a, b).reshape(len(anchors), -1), high)]
+        for at, places in self.tiles:
+            for table, out in tables:
+                for one, sums in zip(table, out):
+                    one.take(places).sum(0, out=sums[at : at + places.shape[1]])
+        return low, high
 
 
 def kth_largest(values: np.ndarray, k: int):
@@ -161,6 +169,14 @@ def coded(rows: DataFrame, grid: Grid, dim: int) -> DataFrame:
     return rows.withColumn("code", code("v"))
 
 
+def _bounded(anchors: pd.DataFrame, known: Approximations) -> Iterator[tuple]:
+    """Each anchor with its vector and the bounds of all rows."""
+    for i in range(0, len(anchors), TOGETHER):
+        some = anchors.iloc[i : i + TOGETHER]
+        vectors = np.stack(some["v"]).astype(np.int64)
+        yield from zip(some.itertuples(index=False), vectors, *known.bounds(vectors))
+
+
 FOUND = "anchor_id long, positive_id long, vec_id long, score long"
 
 
@@ -187,9 +203,7 @@ def _meet(rows: DataFrame, anchors: DataFrame, grid: Grid, dim: int, n: int, n_a
             for label, rows in asked.groupby("label"):
                 near = np.flatnonzero(labels == label)
                 known = Approximations(grid, codes[near] if positive else codes)
-                for row in rows.itertuples(index=False):
-                    anchor = np.asarray(row.v, np.int64)
-                    low, high = known.bounds(anchor)
+                for row, anchor, low, high in _bounded(rows, known):
                     if positive:
                         other = ids[near] != row.id
                         at, score, _ = best_positives(v[near[other]], ids[near[other]], low[other], high[other], anchor, k)

@@ -143,7 +143,7 @@ def test_bounds_hold_and_select(spark):
     v, ids, labels = np.stack(rows["v"]), rows["id"].to_numpy(), rows["label"].to_numpy()
     known, scored = hard_negatives.Approximations(grid, grid.codes(v)), []
     for i in range(0, len(v), 50):
-        low, high = known.bounds(v[i])
+        low, high = (x[0] for x in known.bounds(v[i : i + 1]))
         exact = v @ v[i]
         assert (low <= exact).all() and (exact <= high).all()
         near = np.flatnonzero((labels == labels[i]) & (ids != ids[i]))
