@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -88,11 +89,12 @@ def judge_prompt(question: str, context: str, answer: str, product: str = "") ->
 
 
 def ask(questions: DataFrame, rows: DataFrame, make: Callable[[], Chat], base_url: str = "", product: str = "", style: str = "markdown", debug: bool = False) -> DataFrame:
-    """(query_id, question, answer, answer_raw, sources, context, error) for questions (query_id, text) from their
+    """(query_id, question, answer, answer_raw, sources, context, error, rag_time) for questions (query_id, text) from their
     ranked rows: the fixed apology where nothing was found, else the model's reply with its marks as links. Contexts
-    are returned for debugging only."""
+    are returned for debugging only. rag_time: seconds that the reply took; what is found is looked up for all questions
+    together."""
     wanted = query.answered(questions, rows, base_url, product).withColumnRenamed("text", "question").select("query_id", "question", "context", "refs", "answer")
-    got = replies(wanted, lambda r: prompt(r["context"], r["question"], product) if r["context"] is not None else [], make, "answer_raw")
+    got = replies(wanted, lambda r: prompt(r["context"], r["question"], product) if r["context"] is not None else [], make, "answer_raw", seconds="rag_time")
     linked = query.cited(got, style, "answer_raw")
     none = F.col("context").isNull()
     return linked.select(
@@ -103,6 +105,7 @@ def ask(questions: DataFrame, rows: DataFrame, make: Callable[[], Chat], base_ur
         F.coalesce(F.col("refs").cast(query.REFS), F.array().cast(query.REFS)).alias("sources"),
         (F.coalesce("context", F.lit("")) if debug else F.lit("")).alias("context"),
         "error",
+        "rag_time",
     )
 
 
@@ -115,13 +118,15 @@ def fragments(rows: DataFrame) -> DataFrame:
 
 
 def judge(answers: DataFrame, rows: DataFrame, make: Callable[[], Chat], product: str = "", attempts: int = 1) -> DataFrame:
-    """(idx, question, answer, n_docs, judgment) of answers (query_id, question, answer). A judge that fails is an
+    """(idx, question, answer, n_docs, rag_time, judgment) of answers (query_id, question, answer and, where they were
+    timed, rag_time). A judge that fails is an
     error of every criterion, with the failure as its reason; the other questions go on."""
     said = F.when(F.col("n_docs").isNull(), F.lit(NO_ANSWER)).otherwise(F.coalesce("answer", F.lit("")))
-    wanted = answers.join(fragments(rows), "query_id", "left").select("query_id", "question", said.alias("answer"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
+    took = F.col("rag_time") if "rag_time" in answers.columns else F.lit(None).cast("double")
+    wanted = answers.withColumn("rag_time", took).join(fragments(rows), "query_id", "left").select("query_id", "question", "rag_time", said.alias("answer"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
     got = replies(wanted, lambda r: judge_prompt(r["question"], r["context"], r["answer"], product), make, attempts=attempts)
     failed = F.map_from_arrays(F.array(*map(F.lit, evaluate.CRITERIA)), F.array_repeat(F.struct(F.lit("error").alias("score"), F.col("error").alias("reason")), len(evaluate.CRITERIA)))
-    return got.select(F.col("query_id").alias("idx"), "question", "answer", "n_docs", F.when(F.col("error").isNotNull(), failed).otherwise(evaluate.judgment(F.col("reply"))).alias("judgment"))
+    return got.select(F.col("query_id").alias("idx"), "question", "answer", "n_docs", "rag_time", F.when(F.col("error").isNotNull(), failed).otherwise(evaluate.judgment(F.col("reply"))).alias("judgment"))
 
 
 #: The question for one fragment's relevance, and how much of the fragment is shown.
@@ -152,6 +157,14 @@ def label_prompt(question: str, source_file: str, content: str, product: str = "
     return [{"role": "user", "content": LABEL_USER.format(product=product, question=question, source_file=source_file, content=(content or "")[:LABEL_CHARS])}]
 
 
+def read_json(reply: str) -> object:
+    """The JSON of a reply, which may begin with a code fence; raises if there is none."""
+    raw = reply.strip()
+    if raw.startswith("```"):
+        raw = raw.split("\n", 1)[1].rsplit("```", 1)[0]
+    return json.loads(raw)
+
+
 def evaluated(evaluations: DataFrame) -> DataFrame:
     """Metrics of judged answers by criterion."""
     return evaluate.generation_metrics(evaluate.criteria(evaluations))

@@ -6,38 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import saved
 
+#: Bits of ``monotonically_increasing_id`` that count within a partition.
+WITHIN = 33
 
-#: Rows that one task numbers at most, about.
-SLICE = 1_000_000
 
+def positioned(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """rows with ``out``, their place from 0 in the order given, written to the shared folder.
 
-def numbered(rows: DataFrame, group: str, order: str, out: str = "chunk_index", slice_rows: int = SLICE) -> DataFrame:
-    """rows with ``out``, the place from 0 within their group by a numeric ``order`` (nulls first, one group if null).
-
-    A group may hold a third of all rows, so it is cut at quantiles of the order: each slice is numbered alone, and
-    starts at the summed sizes of the group's slices before it. Rows that tie are numbered in no defined order.
+    Rows are sorted by ranges; a row's place is its place in its range, and the rows in the ranges before it, of which
+    the driver adds up one number for each range. No task holds more than a range; only rows that tie in all of ``order``
+    share one.
+    """
+    spark = rows.sparkSession
+    inside = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    counts = inside.groupBy(F.shiftright("__at", WITHIN).alias("__range")).count().orderBy("__range").collect()
+    starts, at = [], 0
+    for r in counts:
+        starts.append((r["__range"], at))
+        at += r["count"]
+    ranges = spark.createDataFrame(starts, "__range long, __start long")  # a row for each range
+    placed = inside.withColumn("__range", F.shiftright("__at", WITHIN)).join(F.broadcast(ranges), "__range")
+    return placed.withColumn(out, F.col("__start") + F.col("__at").bitwiseAND((1 << WITHIN) - 1)).drop("__at", "__range", "__start")
+
+
+def numbered(rows: DataFrame, group: str, order: str, out: str = "chunk_index") -> DataFrame:
+    """rows with ``out``, the place from 0 within their group by ``order`` (nulls first, one group if null).
+
+    Rows are placed in one order of group and place, so a group with a third of all rows is many ranges; a group begins
+    at its first place. Rows that tie are numbered in no defined order.
     """
-    n = -(-rows.count() // slice_rows)
-    cuts = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(order))) if cuts else F.lit(0)
-    cut = rows.withColumn("__slice", F.when(F.col(order).isNull(), F.lit(0)).otherwise(at))
-    within = cut.withColumn(out, F.row_number().over(Window.partitionBy(group, "__slice").orderBy(order)) - 1)
-    if not cuts:
-        return within.drop("__slice")
-    before = Window.partitionBy("__group").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy(F.col(group).alias("__group"), F.col("__slice").alias("__s")).agg(F.count("*").alias("__n"))
-    starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    placed = within.join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__slice") == F.col("__s")))
-    return placed.withColumn(out, (F.col(out) + F.col("__start")).cast("int")).drop("__slice", "__group", "__s", "__start")
+    tie = F.xxhash64(*[F.col(f.name) for f in rows.schema if f.dataType.typeName() != "map"])
+    placed = positioned(rows, [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first(), tie], "__place")
+    first = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__place").alias("__first"))
+    joined = placed.join(first, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn(out, (F.col("__place") - F.col("__first")).cast("int")).drop("__place", "__group", "__first")
 
 
 def deduplicate(chunks: DataFrame, text: str = "text", source: str = "source_file", order: str = "ord") -> DataFrame:
     """First row of each text in ``order``, with ``alt_sources``: the later rows' sources in order, joined by ``;``.
 
     As long as alt_sources is empty, a new source replaces it; so leading empty sources leave no mark. Copies of
-    one text are folded map-side; only their (order, source) pairs meet.
+    one text are folded map-side; only their (order, source) pairs meet. A column alt_sources that chunks have is replaced.
     """
+    chunks = chunks.drop("alt_sources")
     rest = [c for c in chunks.columns if c not in (text,)]
     grouped = chunks.groupBy(F.md5(text).alias("__key")).agg(
         F.min_by(F.struct(text, *rest), F.col(order)).alias("first"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(source), F.lit("")).alias("s")))).alias("all")
@@ -95,11 +108,29 @@ def to_documents(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Bins of a histogram that the driver looks at.
+BINS = 1024
+
+
 def upper_median(counts: DataFrame, value: str) -> DataFrame:
-    """The element n div 2 of the sorted values (column upper_median), by counts of distinct values."""
-    by_value = counts.groupBy(value).agg(F.count("*").alias("n"))
-    running = by_value.withColumns({"upto": F.sum("n").over(Window.orderBy(value)), "all": F.sum("n").over(Window.partitionBy(F.lit(0)))})
-    return running.where("upto > all div 2").agg(F.min(value).alias("upper_median"))
+    """The element n div 2 of the sorted whole numbers (column upper_median); nulls do not count, none: null.
+
+    The range is cut into bins, and the bin that holds the element is cut again until it is one number: the driver sees
+    ``BINS`` counts a round, and a round is a sum in the tasks.
+    """
+    spark, kind = counts.sparkSession, counts.schema[value].dataType
+    by_value = saved(counts.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("n")))
+    low, high, n = by_value.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+    place = None if n is None else n // 2
+    while place is not None and low < high:
+        width = -(-(high - low + 1) // BINS)
+        bins = by_value.where(F.col("v").between(low, high)).groupBy(F.expr(f"(v - {low}L) div {width}L").alias("bin")).agg(F.sum("n").alias("n"))
+        for r in bins.orderBy("bin").collect():
+            if place < r["n"]:
+                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width - 1)
+                break
+            place -= r["n"]
+    return spark.createDataFrame([(low,)], "upper_median long").select(F.col("upper_median").cast(kind))
 
 
 def statistics(chunks: DataFrame, size: str = "char_count", page: str = "source_file") -> DataFrame:

@@ -78,10 +78,15 @@ def annotation_stats(annotations: DataFrame) -> DataFrame:
 
 def judgment(reply: Column) -> Column:
     """A judge's JSON reply as map<criterion, struct<score, reason>>. A reply that begins with a code fence loses its
-    first line and what follows its last fence; what cannot be read then is an error of every criterion, with the
-    first 200 characters of what was left as its reason."""
+    first line and what follows its last fence; what is no JSON object then, or goes on behind one, is an error of every
+    criterion, with the first 200 characters of what was left as its reason. Further keys are kept; a value that is no
+    object has neither score nor reason."""
     body = X.unfenced(F.coalesce(reply, F.lit("")))
-    read = F.from_json(body, "map<string, struct<score string, reason string>>")
+    # the object must end where the reply does: else what is put around it does not read, or has other keys
+    whole = F.from_json(F.concat(F.lit('{"reply":'), body, F.lit(',"end":1}')), "map<string, string>")
+    ends = F.array_sort(F.map_keys(whole)) == F.array(F.lit("end"), F.lit("reply"))
+    object_ = F.when(F.coalesce(ends, F.lit(False)), F.from_json(body, "map<string, string>"))
+    read = F.transform_values(object_, lambda _, v: F.coalesce(F.from_json(v, "score string, reason string"), F.struct(F.lit(None).cast("string").alias("score"), F.lit(None).cast("string").alias("reason"))))
     failed = F.map_from_arrays(F.array(*map(F.lit, CRITERIA)), F.array_repeat(F.struct(F.lit("error").alias("score"), F.substring(body, 1, 200).alias("reason")), len(CRITERIA)))
     return F.when(read.isNull() | ~X.trimmed(body).startswith("{"), failed).otherwise(read)
 
@@ -115,13 +120,20 @@ def timings(log: DataFrame, by: str = "config") -> DataFrame:
     return log.groupBy(by).agg(F.avg("seconds").alias("avg_time"), F.sum("rows").alias("rows"), F.when(seconds > 0, F.sum("rows") / seconds).alias("rows_per_second"))
 
 
-def generation_report(evaluations: DataFrame, stats: DataFrame, model: str, created: str) -> DataFrame:
+def generation_report(evaluations: DataFrame, stats: DataFrame, model: str, created: str, single: bool = False) -> DataFrame:
     """Rows of JSON lines that make one report: a head with created, model_judge, n_queries and stats, then one line
-    for each evaluation in order. ``evaluations``: idx, question, answer, n_docs, judgment."""
+    for each evaluation in order; with ``single`` one object that holds the evaluations too, for as many as a judge has
+    been asked about by hand. ``evaluations``: idx, question, answer, n_docs, rag_time, judgment."""
     each = F.map_from_entries(F.collect_list(F.struct("criterion", F.struct(F.col("avg_score").alias("avg"), "yes", "partial", "no", "error", "n")))).alias("criteria")
     facts = stats.agg(each, F.round(F.avg("avg_score"), 3).alias("overall")).join(evaluations.agg(F.count("*").alias("n_queries")))  # one row each
     head = facts.select(F.lit(-1).cast("long").alias("idx"), F.to_json(F.struct(F.lit(created).alias("created"), F.lit(model).alias("model_judge"), "n_queries", F.struct("criteria", "overall").alias("stats"))).alias("report"))
-    lines = evaluations.select(F.col("idx").cast("long").alias("idx"), F.to_json(F.struct("idx", "question", "answer", "n_docs", "judgment")).alias("report"))
+    one = F.struct("idx", "question", "answer", "n_docs", "rag_time", "judgment")
+    if single:
+        every = evaluations.agg(F.sort_array(F.collect_list(F.struct("idx", F.to_json(one).alias("e")))).alias("__all"))
+        texts = F.array_join(F.transform("__all", lambda x: x["e"]), ",")
+        begun = F.regexp_replace("report", r"\}$", "")
+        return head.join(every).select("idx", F.concat(begun, F.lit(',"evaluations":['), texts, F.lit("]}")).alias("report"))  # one row each
+    lines = evaluations.select(F.col("idx").cast("long").alias("idx"), F.to_json(one).alias("report"))
     return head.unionByName(lines)
 
 

@@ -10,16 +10,19 @@ import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..config import Embedding, Language
+from ..config import Embedding, Language, Rerank
 from .vector import hashing_embedder
 
 Embedder = Callable[[list[str]], np.ndarray]
 Chat = Callable[[list[dict]], str]
+#: (question, text) pairs to one logit each.
+PairScorer = Callable[[list[tuple[str, str]]], np.ndarray]
 _embedders: dict[str, Callable[[Embedding], Embedder]] = {"hashing": lambda config: hashing_embedder()}
 
 
@@ -32,10 +35,57 @@ def instructed(model: str) -> bool:
     return "e5" in model.lower() and "instruct" in model.lower()
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What ``make`` makes, kept in this worker process by name: a model outlives the task that loaded it."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def overlap_scorer() -> PairScorer:
+    """An offline stand-in for a cross-encoder, as ``query.overlap_logit``: how far more than a third of the question's
+    words occur in the text."""
+    import regex
+
+    split = regex.compile(r"[^\p{L}\p{N}_]+").split
+    words = lambda text: {w for w in split(text.lower()) if len(w) >= 3}
+
+    def score(pairs: list[tuple[str, str]]) -> np.ndarray:
+        sets = [(words(q), words(t)) for q, t in pairs]
+        return np.array([6.0 * len(q & t) / max(1, len(q)) - 2.0 for q, t in sets])
+
+    return score
+
+
+def _cross_encoder(config: Rerank) -> PairScorer:
+    from sentence_transformers import CrossEncoder
+
+    model = CrossEncoder(config.model, max_length=config.max_length)
+    return lambda pairs: model.predict(pairs, batch_size=config.batch, activation_fn=lambda x: x)
+
+
+_scorers: dict[str, Callable[[Rerank], PairScorer]] = {"overlap": lambda config: overlap_scorer()}
+
+
+def register_scorer(name: str, make: Callable[[Rerank], PairScorer]) -> None:
+    _scorers[name] = make
+
+
+def scorer(config: Rerank) -> Callable[[], PairScorer]:
+    """How to make the registered scorer of that name, else a cross-encoder."""
+    make = _scorers.get(config.model, _cross_encoder)
+    return lambda: make(config)
+
+
 def _sentence_transformer(config: Embedding) -> Embedder:
+    """Models that want instructions run as they are, others at half precision."""
     from sentence_transformers import SentenceTransformer
 
-    model = SentenceTransformer(config.model, device=config.device or None)
+    half = {} if instructed(config.model) else {"model_kwargs": {"torch_dtype": "float16"}}
+    model = SentenceTransformer(config.model, device=config.device or None, **half)
     return lambda texts: model.encode(texts, batch_size=config.batch, normalize_embeddings=True)
 
 
@@ -72,6 +122,10 @@ def chat(config: Language, timeout: float = 120.0) -> Chat:
     return ask
 
 
+#: Requests of a task that are under way at a time.
+IN_FLIGHT = 4
+
+
 def retried(ask: Callable[[], object], attempts: int = 5, wait: float = 5.0):
     """The first result of ``ask`` that does not raise, after waits that grow by ``wait``; the last error otherwise."""
     for n in range(1, attempts + 1):
@@ -83,27 +137,39 @@ def retried(ask: Callable[[], object], attempts: int = 5, wait: float = 5.0):
             time.sleep(wait * n)
 
 
-def replies(rows: DataFrame, messages: Callable[[dict], list[dict]], make: Callable[[], Chat], out: str = "reply", error: str = "error", attempts: int = 1, wait: float = 5.0) -> DataFrame:
+def replies(
+    rows: DataFrame, messages: Callable[[dict], list[dict]], make: Callable[[], Chat], out: str = "reply", error: str = "error", attempts: int = 1, wait: float = 5.0,
+    readable: Callable[[str], object] | None = None, seconds: str | None = None, in_flight: int = IN_FLIGHT,
+) -> DataFrame:
     """rows with a model's reply to each, and the error where it gave none after all attempts (then reply is null).
 
-    ``messages`` makes a row's messages, or none for a row that no model is asked about. One client a task.
+    ``messages`` makes a row's messages, or none for a row that no model is asked about. ``readable`` raises on a reply that
+    is as good as none. ``seconds`` names a column for the time that a row's reply took. One client a task, which asks for
+    at most ``in_flight`` rows at a time.
     """
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` string", f"`{error}` string"])
+    timed = [f"`{seconds}` double"] if seconds else []
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` string", f"`{error}` string", *timed])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
-        for batch in batches:
-            got, failed = [], []
-            for row in batch.to_dict("records"):
-                text = problem = None
-                asked = messages(row)
-                if asked:
-                    try:
-                        text = retried(lambda asked=asked: client(asked), attempts, wait)
-                    except Exception as e:  # one question must not end the job
-                        problem = str(e) or type(e).__name__
-                got.append(text)
-                failed.append(problem)
-            yield batch.assign(**{out: got, error: failed})
+
+        def once(asked: list[dict]) -> str:
+            reply = client(asked)
+            if readable is not None:
+                readable(reply)
+            return reply
+
+        def one(row: dict) -> tuple[str | None, str | None, float]:
+            asked, start = messages(row), time.perf_counter()
+            try:
+                text, problem = retried(lambda: once(asked), attempts, wait) if asked else None, None
+            except Exception as e:  # one question must not end the job
+                text, problem = None, str(e) or type(e).__name__
+            return text, problem, time.perf_counter() - start if asked else 0.0
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                text, problem, took = zip(*pool.map(one, batch.to_dict("records"))) if len(batch) else ((), (), ())
+                yield batch.assign(**{out: list(text), error: list(problem)} | ({seconds: list(took)} if seconds else {}))
 
     return rows.mapInPandas(run, schema)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import models
+from .models import PairScorer
 
 
 def rewrites(question: Column, reply: Column, most: int = 3) -> Column:
@@ -42,11 +47,21 @@ REWRITE = (
     "\n"
     "Примеры:\n"
     "\n"
+    'Вопрос: "лагает компьютер в {product}"\n'
+    "- системные требования {product} аппаратное обеспечение\n"
+    "- оптимизация производительности настройки отображения\n"
+    "- работа с большими сборками снижение нагрузки\n"
+    "\n"
     'Вопрос: "как нарисовать дырку в детали"\n'
     "- создание отверстия в детали\n"
     "- вырезать выдавливанием эскиз отверстия\n"
     "- отверстие в листовом теле\n"
     "\n"
+    'Вопрос: "файл не открывается"\n'
+    "- открытие документа {product} ошибка\n"
+    "- форматы файлов совместимость импорт\n"
+    "- восстановление поврежденного файла\n"
+    "\n"
     'Вопрос: "{question}"\n'
 )
 
@@ -63,12 +78,36 @@ def overlap_logit(query: Column, text: Column) -> Column:
 
 
 def rerank(candidates: DataFrame, logit: Column, k: int, max_length: int = 512) -> DataFrame:
-    """The k best of each query by sigmoid(logit), ties in candidate order. Scorers see the first
-    ``4 * max_length`` characters: use ``clipped``."""
-    scored = candidates.withColumn("reranker_score", F.round(1 / (1 + F.exp(-logit)), 9))
-    best = Window.partitionBy("query_id").orderBy(F.desc("reranker_score"), "rank")
-    numbered = scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k)
-    return numbered.withColumn("rank", F.col("__n") - 1).drop("__n")
+    """The k best of each query by sigmoid(logit), ties in candidate order; ``reranker_score`` shows four digits of it.
+    Scorers see the first ``4 * max_length`` characters: use ``clipped``, or ``scored``, which does. A null logit comes last."""
+    sigmoid = candidates.withColumn("__score", 1 / (1 + F.exp(-logit)))
+    best = Window.partitionBy("query_id").orderBy(F.desc("__score"), "rank")
+    numbered = sigmoid.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k)
+    return numbered.withColumns({"rank": F.col("__n") - 1, "reranker_score": F.round("__score", 4)}).drop("__n", "__score")
+
+
+def scored(candidates: DataFrame, name: str, make: Callable[[], PairScorer], batch: int = 16, max_length: int = 512, question: str = "question", text: str = "text", out: str = "logit") -> DataFrame:
+    """candidates with the logit that a model gives to each pair of question and text.
+
+    Pairs are dealt to tasks at random and sorted by length there, so that a batch holds pairs of like length and needs
+    little padding; a model sees at most ``batch`` pairs at once. ``make`` makes the model, once for each worker process
+    and ``name``, however many tasks it runs. Null questions and texts are empty ones.
+    """
+    schema = candidates.select("*").withColumn(out, F.lit(0.0)).schema
+    clip = 4 * max_length
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = models.held(name, make)
+        for part in parts:
+            pairs = [(q or "", (t or "")[:clip]) for q, t in zip(part[question], part[text])]
+            order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]) + len(pairs[i][1]))
+            logits = np.zeros(len(pairs))
+            for at in range(0, len(order), batch):
+                some = order[at : at + batch]
+                logits[some] = np.asarray(model([pairs[i] for i in some]), np.float64).reshape(-1)
+            yield part.assign(**{out: logits})
+
+    return candidates.mapInPandas(run, schema)
 
 
 def clipped(text: Column, max_length: int = 512) -> Column:

@@ -1,8 +1,7 @@
-"""A collection of documents with vectors: Parquet files below a folder, with a manifest table."""
+"""A collection of documents with vectors: Parquet tables below a folder, by batch."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,50 +10,121 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Store as Settings
-from . import vector
+from . import blockmax, corpus, ivf, lexical, vector
 
 
 class Backend(ValueError):
     """A backend that is not known."""
 
 
+#: Subfolders: documents by batch, the batches that count, and the indexes of each.
+DOCS, BATCHES, LEXICAL, VECTORS = "docs", "batches", "lexical", "vectors"
+STATES = "n_docs long, n_all long, begin int, approximate boolean, batch int"
+
+@dataclass(frozen=True)
+class State:
+    """What a batch left: documents of batches from ``begin`` to ``batch``, ``n_all`` of them."""
+
+    batch: int
+    begin: int
+    n_all: int
+    approximate: bool
+
+
 @dataclass
 class Collection:
-    """Documents (chunk_id and further columns) with an embedding each. Batches are appended; ids are not made unique,
-    as a store that adds does not replace."""
+    """Documents (chunk_id and further columns) with an embedding each, one for each chunk_id: one that is there already
+    stays as it is, and of new ones with one id the first by text counts. ``doc`` numbers them uniquely.
+
+    An addition is a batch: its documents, then the lexical index over all documents and, if wanted, the index of their
+    vectors, each in a folder of the batch, and last a row that says the batch is there. Readers take the last such row
+    and what it names; so a batch that broke off changes nothing, and the next one writes over it. Resetting is an
+    addition that begins anew. One writer at a time.
+    """
 
     spark: SparkSession
     path: str
 
-    def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def state(self) -> State | None:
+        """The last batch that counts."""
+        files, at = self._fs(f"{self.path}/{BATCHES}")
+        if not files.exists(at):
+            return None
+        row = self.spark.read.schema(STATES).parquet(f"{self.path}/{BATCHES}").orderBy(F.desc("batch")).first()
+        return row and State(row["batch"], row["begin"], row["n_all"], row["approximate"])
+
     def exists(self) -> bool:
-        files, at = self._fs()
-        return files.exists(at)
+        return self.state() is not None
 
-    def scan(self) -> DataFrame:
-        """All documents."""
-        return self.spark.read.parquet(self.path)
+    def scan(self, state: State | None = None) -> DataFrame:
+        """All documents, as of a state."""
+        state = state or self.state()
+        rows = self.spark.read.parquet(f"{self.path}/{DOCS}")
+        return rows.where(F.col("batch").between(state.begin, state.batch)).drop("batch")
 
     def count(self) -> int:
-        return self.scan().count() if self.exists() else 0
-
-    def reset(self) -> None:
-        files, at = self._fs()
-        files.delete(at, True)
-
-    def add(self, docs: DataFrame, embed: Callable[[list[str]], np.ndarray], text: str = "embedding_text", batch: int = 100) -> None:
-        """Appends docs: embeds the column ``text``, which is not kept, and stores the others."""
-        made = vector.embed(docs, text, embed, "embedding", batch).drop(text)
-        made.write.mode("append").parquet(self.path)
+        state = self.state()
+        return state.n_all if state else 0
+
+    def lexical(self, state: State | None = None) -> str:
+        """Folder of the lexical index."""
+        return f"{self.path}/{LEXICAL}/{(state or self.state()).batch}"
+
+    def add(self, docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | None, text: str = "embedding_text", batch: int = 100, reset: bool = False, approximate: bool = False) -> State:
+        """Adds docs as one batch and makes it count. Embeds the column ``text``, which is not kept; without a function
+        docs bring an ``embedding``. ``reset``: only these documents are left. ``approximate``: vectors are indexed too."""
+        spark, before = self.spark, self.state()
+        number = before.batch + 1 if before else 0
+        begin = number if reset or not before else before.begin
+        rest = [c for c in docs.columns if c != "chunk_id"]
+        first = docs.groupBy("chunk_id").agg(F.min_by(F.struct(*rest), F.struct("page_content", F.xxhash64(*rest))).alias("r")).select("chunk_id", "r.*")
+        if begin < number:
+            first = first.join(self.scan(before).select("chunk_id"), "chunk_id", "left_anti")
+        start = 0 if begin == number else before.n_all
+        placed = corpus.positioned(first, [F.col("chunk_id")], "doc").withColumn("doc", F.col("doc") + start)
+        made = placed if embed is None else vector.embed(placed, text, embed, "embedding", batch).drop(text)
+        made.drop("batch").write.mode("overwrite").parquet(f"{self.path}/{DOCS}/batch={number}")
+        n = spark.read.parquet(f"{self.path}/{DOCS}/batch={number}").count()
+        state = State(number, begin, start + n, approximate)
+        everything = self.scan(state)
+        index = lexical.build(everything, "doc", "page_content").saved(self.lexical(state))
+        blockmax.save(index, self.lexical(state) + "/blocks")
+        if approximate:
+            ivf.build(everything, f"{self.path}/{VECTORS}/{number}", vec="doc")
+        self._commit(state, n)
+        return state
+
+    def _commit(self, state: State, n: int) -> None:
+        row = self.spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(state.n_all).cast("long").alias("n_all"), F.lit(state.begin).alias("begin"), F.lit(state.approximate).alias("approximate"))
+        row.write.mode("overwrite").parquet(f"{self.path}/{BATCHES}/batch={state.batch}")
+
+    def prune(self) -> None:
+        """Deletes what the last state does not name: hidden documents, older indexes, and what a broken batch left."""
+        state = self.state()
+        if state is None:
+            return
+        for folder, keep in ((DOCS, lambda n: state.begin <= n <= state.batch), (LEXICAL, lambda n: n == state.batch), (VECTORS, lambda n: n == state.batch)):
+            files, at = self._fs(f"{self.path}/{folder}")
+            for entry in files.listStatus(at) if files.exists(at) else []:
+                name = entry.getPath().getName()
+                if not keep(int(name.split("=")[-1])):
+                    files.delete(entry.getPath(), True)
 
     def search(self, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-        """(query_id, rank, score, document columns) of the k nearest of each query (query_id, embedding)."""
-        at = self.scan().withColumn("__at", F.xxhash64("chunk_id"))
-        found = vector.topk(at, queries, k, "__at", threshold=threshold)
-        return found.join(at.drop("embedding"), found["vec_id"] == at["__at"]).drop("__at", "vec_id")
+        """(query_id, rank, score, document columns) of the k nearest of each query (query_id, embedding); by the index of
+        vectors where the state has one, else exactly."""
+        state = self.state()
+        docs = self.scan(state)
+        if state.approximate:
+            found = ivf.load(self.spark, f"{self.path}/{VECTORS}/{state.batch}").search(queries, k)
+            found = found if threshold is None else found.where(F.col("score") >= threshold)
+        else:
+            found = vector.topk(docs, queries, k, "doc", threshold=threshold)
+        return found.join(docs.drop("embedding"), found["vec_id"] == docs["doc"]).drop("vec_id")
 
 
 def open_collection(spark: SparkSession, settings: Settings = Settings()) -> Collection:
@@ -62,8 +132,3 @@ def open_collection(spark: SparkSession, settings: Settings = Settings()) -> Col
     if settings.backend != "parquet":
         raise Backend(f"unknown backend {settings.backend}")
     return Collection(spark, f"{settings.path.rstrip('/')}/{settings.collection}")
-
-
-def scratch(path: str) -> str:
-    """A fresh folder name below a path."""
-    return f"{path.rstrip('/')}/{uuid.uuid4().hex}"

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 5_000
-#: Queries of one matrix product.
-STEP = 64
+#: Queries of one matrix product, and digits that scores are compared at.
+STEP, DIGITS = 64, 9
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", query: str = "query_id", embedding: str = "embedding", threshold: float | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "vec_id", qu
         if len(a) and len(b):
             ids, space, qids, asked = a["v"].to_numpy(), np.stack(a["e"]), b["q"].to_numpy(), np.stack(b["e"])
             for at in range(0, len(asked), STEP):
-                for q, score in zip(qids[at : at + STEP], np.round(asked[at : at + STEP] @ space.T, 9)):
+                for q, score in zip(qids[at : at + STEP], np.round(asked[at : at + STEP] @ space.T, DIGITS)):
                     near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
                     best = near[np.lexsort((ids[near], -score[near]))[:k]]
                     cols.append((np.full(len(best), q), ids[best], score[best]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..config import Chunking
 from ..functions import text as X
-from ..operators import answers, chunking, corpus, evaluate, fusion, lexical, query, vector
+from ..operators import answers, blockmax, chunking, corpus, evaluate, fusion, ivf, lexical, models, query, store, vector
 from ..operators.html import Options
 from ..session import work_dir
 from . import Retriever, ablate, with_judged
@@ -111,6 +111,13 @@ def _(spark, sf_dir):
     return bm25(spark, sf_dir)
 
 
+@register("bm25_topk_pruned", f"WITH {bm25_sql(QUESTIONS, K)} SELECT query_id, rank::INTEGER AS rank, doc, score FROM ranked")
+def _(spark, sf_dir):
+    path = f"{work_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    blockmax.save(lexical.build(table(spark, sf_dir, "documents")).saved(path), f"{path}/blocks")
+    return blockmax.search(blockmax.load(spark, f"{path}/blocks"), questions(spark, sf_dir), K).found
+
+
 @register(
     "bm25_topk_by_source",
     f"""WITH {bm25_sql(QUESTIONS, 20)},
@@ -187,6 +194,35 @@ def _(spark, sf_dir):
     return near(spark, sf_dir, K).withColumn("score", F.round("score", 6))
 
 
+@register("vector_topk_indexed")
+def vector_topk_indexed(spark, sf_dir):
+    """An index of all vectors is built and searched; what it finds of ``vector_topk`` is a matter of its recall."""
+    e = table(spark, sf_dir, "embeddings")
+    made = ivf.build(e, f"{work_dir(spark)}/ivf-{uuid.uuid4().hex}")
+    return made.search(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), K).withColumn("score", F.round("score", 6))
+
+
+def ingested(spark, sf_dir) -> store.Collection:
+    """A new collection of the documents that have a vector: first the even ones, then all, of which it takes the rest."""
+    made = store.Collection(spark, f"{work_dir(spark)}/collection-{uuid.uuid4().hex}")
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("page_content"), F.col("source").alias("source_file"))
+    rows = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), "chunk_id")
+    made.add(rows.where("cast(chunk_id as long) % 2 = 0"), None)
+    made.add(rows, None)
+    return made
+
+
+@register(
+    "collection_search",
+    f"""WITH near AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, source, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS score
+  FROM embeddings q, embeddings v JOIN documents ON doc_id = vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id % 2, vec_id::VARCHAR) - 1)::INTEGER AS rank, vec_id::VARCHAR AS chunk_id, source AS source_file, round(score, 6) AS score FROM near QUALIFY rank < {K}""",
+)
+def _(spark, sf_dir):
+    found = ingested(spark, sf_dir).search(table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), K)
+    return found.select("query_id", "rank", "chunk_id", "source_file", F.round("score", 6).alias("score"))
+
+
 @register("vector_threshold", f"WITH {NEAR}, r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM near QUALIFY rank < 15) SELECT query_id, rank::INTEGER AS rank, vec_id FROM r WHERE score >= 0.3")
 def _(spark, sf_dir):
     return near(spark, sf_dir, 15, 0.3).drop("score")
@@ -532,28 +568,32 @@ def _(spark, sf_dir):
 @register(
     "judge_parse",
     """WITH r AS (SELECT *, '{"faithfulness":{"score":"yes","reason":"' || role || '"}}' AS j FROM conversations)
-SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'error' ELSE 'yes' END AS score, CASE WHEN turn % 3 = 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' ELSE role END AS reason FROM r""",
+SELECT conv_id, turn, CASE WHEN turn % 5 IN (2, 3) THEN 'error' ELSE 'yes' END AS score, CASE turn % 5 WHEN 2 THEN 'Here:' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' WHEN 3 THEN j || ' done' ELSE role END AS reason, turn % 5 = 4 AS further FROM r""",
 )
 def _(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     bare = F.to_json(F.struct(F.struct(F.lit("yes").alias("score"), F.col("role").alias("reason")).alias("faithfulness")))
     fenced = F.concat(F.lit("```json\n"), bare, F.lit("\n```"))
-    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), fenced, F.lit("\n"))).when(F.col("turn") % 3 == 1, bare).otherwise(F.concat(F.lit("Here:\n"), fenced))
-    j = F.element_at(evaluate.judgment(reply), "faithfulness")
-    return c.select("conv_id", "turn", j["score"].alias("score"), j["reason"].alias("reason"))
+    further = F.concat(F.lit('{"overall": 3, '), F.substring(bare, 2, 1 << 30))
+    kind = F.col("turn") % 5
+    reply = F.when(kind == 0, F.concat(F.lit(" "), fenced, F.lit("\n"))).when(kind == 1, bare).when(kind == 2, F.concat(F.lit("Here:\n"), fenced)).when(kind == 3, F.concat(bare, F.lit(" done"))).otherwise(further)
+    judged_ = c.withColumn("j", evaluate.judgment(reply))
+    j = F.element_at("j", F.lit("faithfulness"))
+    return judged_.select("conv_id", "turn", j["score"].alias("score"), j["reason"].alias("reason"), F.map_contains_key("j", F.lit("overall")).alias("further"))
 
 
 @register(
     "rerank_topk",
     f"""WITH {bm25_sql(QUESTIONS, 20)},
 pairs AS (SELECT r.query_id, r.rank, r.doc, (SELECT list_distinct({TOKENS.replace("text", "b.text")})) AS asked, {TOKENS.replace("text", "substr(d.text, 1, 2048)")} AS has FROM ranked r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.doc),
-rescored AS (SELECT query_id, rank AS old, doc, round(1 / (1 + exp(-(6.0::DOUBLE * len(list_intersect(asked, has)) / greatest(len(asked), 1) - 2.0))), 9) AS reranker_score FROM pairs)
-SELECT query_id, doc, reranker_score, (row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, old) - 1)::INTEGER AS rank FROM rescored QUALIFY rank < 5""",
+rescored AS (SELECT query_id, rank AS old, doc, 1 / (1 + exp(-(6.0::DOUBLE * len(list_intersect(asked, has)) / greatest(len(asked), 1) - 2.0))) AS s FROM pairs)
+SELECT query_id, doc, round(s, 4) AS reranker_score, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, old) - 1)::INTEGER AS rank FROM rescored QUALIFY rank < 5""",
 )
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     rows = bm25(spark, sf_dir, 20).drop("score").join(d, "doc").join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")
-    return query.rerank(rows, query.overlap_logit(F.col("question"), query.clipped(F.col("text"))), 5).select("query_id", "doc", "reranker_score", "rank")
+    pairs = query.scored(rows, "overlap", models.overlap_scorer)
+    return query.rerank(pairs, F.col("logit"), 5).select("query_id", "doc", "reranker_score", "rank")
 
 
 @register("conversation_sessions", "SELECT conv_id, count(*) AS turns, arg_min(text, turn) AS title, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -668,16 +708,20 @@ SELECT query_idx, source_file, doc_idx, label FROM truth UNION ALL
 SELECT n.query_idx, source_file, coalesce(last, -1) + row_number() OVER (PARTITION BY n.query_idx ORDER BY source_file), CASE WHEN ascii(right(source_file, 1)) % 2 = 0 THEN 'partial' ELSE 'irrelevant' END FROM new n LEFT JOIN seen USING (query_idx)""",
 )
 def _(spark, sf_dir):
+    seen: dict[str, int] = {}
+
     def reply(asked):
         file = asked.split("Файл: ")[1].split("\n")[0]
         if ord(file[-1]) % 2:
-            raise ValueError("no answer")
-        return '```json\n{"label": "partial", "reason": "r"}\n```'
+            return "nonsense"
+        seen.setdefault(asked, 0)
+        seen[asked] += 1  # nonsense first, then a label
+        return '```json\n{"label": "partial", "reason": "r"}\n```' if seen[asked] > 1 else "Let me think"
 
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("source_file"), "text")
     rows = bm25(spark, sf_dir, 5).join(d, "doc").join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id").withColumnRenamed("query_id", "query_idx")
     one = truth(spark, sf_dir).groupBy("query_idx", "source_file").agg(F.max("doc_idx").alias("doc_idx"), F.max_by("label", "doc_idx").alias("label"))
-    return with_judged(rows.select("query_idx", "question", "source_file", "text"), one, stub(reply), attempts=2, wait=0.0)
+    return with_judged(rows.select("query_idx", "question", "source_file", "rank", "text"), one, stub(reply), attempts=2, wait=0.0)
 
 
 @register(

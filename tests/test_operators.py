@@ -104,6 +104,11 @@ def test_dedup(spark):
 def test_upper_median(spark):
     df = spark.createDataFrame([(i,) for i in (4, 1, 3, 2)], "v int")
     assert corpus.upper_median(df, "v").first()[0] == 3
+    rng = random.Random(4)
+    for values in ([7], [5, 5], [-3, -3, 10**12], [rng.randrange(-(10**9), 10**9) for _ in range(501)], [rng.randrange(3000) ** 2 for _ in range(400)] + [None] * 90):
+        known = sorted(v for v in values if v is not None)
+        assert corpus.upper_median(spark.createDataFrame([(v,) for v in values], "v long"), "v").first()[0] == known[len(known) // 2]
+    assert corpus.upper_median(spark.createDataFrame([], "v int"), "v").first()[0] is None
 
 
 def test_rrf(spark):
@@ -237,17 +242,17 @@ def test_partitions_do_not_matter(spark, parts):
     assert [d for d, _ in got] == [13, 28, 3, 8, 18]
 
 
-@pytest.mark.parametrize("slice_rows", [1, 7, 1000])
-def test_numbering_in_slices(spark, slice_rows):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_numbering_by_ranges(spark, parts):
     """A group that holds most rows, a group of its own, and null as a group: places as in one sorted list."""
     rows = [(("hot", "cold", None)[0 if i % 9 else i % 3], i * 3 % 101) for i in range(100)]
-    got = corpus.numbered(spark.createDataFrame(rows, "g string, o int"), "g", "o", "at", slice_rows).collect()
+    got = corpus.numbered(spark.createDataFrame(rows, "g string, o int").repartition(parts), "g", "o", "at").collect()
     want = [(g, o, sum(h == g and p < o for h, p in rows)) for g, o in rows]
     assert sorted(map(repr, ((r["g"], r["o"], r["at"]) for r in got))) == sorted(map(repr, want))
 
 
 def test_numbering_of_nothing(spark):
-    assert corpus.numbered(spark.createDataFrame([], "g string, o int"), "g", "o", "at", 5).count() == 0
+    assert corpus.numbered(spark.createDataFrame([], "g string, o int"), "g", "o", "at").count() == 0
 
 
 def test_junk_of_null_pages(spark):
