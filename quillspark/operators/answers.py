@@ -123,7 +123,7 @@ def judge(answers: DataFrame, rows: DataFrame, make: Callable[[], Chat], product
     error of every criterion, with the failure as its reason; the other questions go on."""
     said = F.when(F.col("n_docs").isNull(), F.lit(NO_ANSWER)).otherwise(F.coalesce("answer", F.lit("")))
     took = F.col("rag_time") if "rag_time" in answers.columns else F.lit(None).cast("double")
-    wanted = answers.withColumn("rag_time", took).join(fragments(rows), "query_id", "left").select("query_id", "question", "rag_time", said.alias("answer"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
+    wanted = answers.select("query_id", "question", "answer", took.alias("rag_time")).join(fragments(rows), "query_id", "left").select("query_id", "question", "rag_time", said.alias("answer"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
     got = replies(wanted, lambda r: judge_prompt(r["question"], r["context"], r["answer"], product), make, attempts=attempts)
     failed = F.map_from_arrays(F.array(*map(F.lit, evaluate.CRITERIA)), F.array_repeat(F.struct(F.lit("error").alias("score"), F.col("error").alias("reason")), len(evaluate.CRITERIA)))
     return got.select(F.col("query_id").alias("idx"), "question", "answer", "n_docs", "rag_time", F.when(F.col("error").isNotNull(), failed).otherwise(evaluate.judgment(F.col("reply"))).alias("judgment"))

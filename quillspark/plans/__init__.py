@@ -133,7 +133,8 @@ class Pipeline:
         rewrite = self.engine.rewrite
         asked = questions.withColumn("reply", F.lit(None).cast("string"))
         if rewrite.enabled:
-            asked = models.replies(questions, lambda r: query.rewrite_prompt(r["text"], self.engine.product), self.make_chat)
+            product = self.engine.product
+            asked = models.replies(questions, lambda r: query.rewrite_prompt(r["text"], product), self.make_chat)
         rows = query.variants(asked, most=rewrite.max_queries)
         return vector.embed(rows, "text", self.embed)
 
