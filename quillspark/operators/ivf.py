@@ -81,9 +81,9 @@ class Model:
             row[: len(book)] = book @ part[0]
         return out
 
-    def approximate(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Scores of the vectors of a cell by their codes (subspace by vector)."""
-        return query @ self.centroids[cell] + self.tables(query)[np.arange(len(self.books))[:, None], codes].sum(0)
+    def approximate(self, query: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Scores of vectors by their cells and codes (subspace by vector)."""
+        return (self.centroids @ query)[cell] + self.tables(query)[np.arange(len(self.books))[:, None], codes].sum(0)
 
 
 def fitted(vectors: np.ndarray, cells: int, k: int = 10, wanted: float = WANTED, seed: int = SEED, subspace: int = SUBSPACE, refine: int = REFINE) -> Model:
@@ -103,7 +103,7 @@ def fitted(vectors: np.ndarray, cells: int, k: int = 10, wanted: float = WANTED,
         score = vectors @ vectors[q]
         score[q] = -np.inf
         best = np.argsort(-score, kind="stable")[: min(k, len(vectors) - 1)]
-        rough = (centroids @ vectors[q])[cell] + model.tables(vectors[q])[np.arange(len(books))[:, None], flat].sum(0)
+        rough = model.approximate(vectors[q], cell, flat)
         order = model.cells(vectors[q : q + 1])[0]
         probe.append(np.argsort(order)[cell[best]])
         better.append(len(rough) - np.searchsorted(np.sort(rough), rough[best], "right"))
@@ -123,6 +123,18 @@ def cells_for(n: int) -> int:
     return int(min(MOST_CELLS, max(1, n**0.5)))
 
 
+def grouped(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(cell, group, blocks): neighbouring cells in groups of about ``BLOCK_VECTORS`` vectors; a cell that holds more is a
+    group of its own, dealt over blocks."""
+    out, group, filled = [], 0, 0
+    for cell, n in sorted(sizes.items()):
+        if filled + n > BLOCK_VECTORS:
+            group, filled = group + 1, 0
+        out.append((cell, group, -(-n // BLOCK_VECTORS)))
+        filled += n
+    return out
+
+
 VECTORS = "id long, code binary, embedding array<double>, cell int"
 MODEL = "part string, number int, v array<double>"
 
@@ -171,27 +183,32 @@ class Index:
         asked = saved(self.probed(queries, query, embedding))
         cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most all cells: MOST_CELLS
         there = self.vectors().where(F.col("cell").isin(cells))  # folders of other cells are not read
-        sizes = there.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_VECTORS).alias("vs")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("qs")), "cell")
-        sizes = F.broadcast(saved(sizes))  # a row for each cell
-        salt = lambda key, by: F.pmod(F.xxhash64(key), F.col(by))
-        each = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
-        left = there.select("cell", "id", "code").join(sizes, "cell").select("cell", salt("id", "vs").alias("i"), each("qs").alias("j"), "id", "code")
-        right = asked.join(sizes, "cell").select("cell", each("vs").alias("i"), salt("query_id", "qs").alias("j"), "query_id", "q")
+        sizes = {r["cell"]: r["count"] for r in there.groupBy("cell").count().collect()}
+        groups = self.spark.createDataFrame(grouped(sizes), "cell int, g int, vs long")
+        qs = max(1, -(-asked.select("query_id").distinct().count() // BLOCK_QUERIES))
+        salt = lambda key, by: F.pmod(F.xxhash64(key), by)
+        each = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), upto - 1))
+        left = there.select("cell", "id", "code").join(F.broadcast(groups), "cell").select(F.col("g").alias("g"), salt("id", F.col("vs")).alias("i"), each(F.lit(qs).cast("long")).alias("j"), "cell", "id", "code")
+        by_group = asked.join(F.broadcast(groups), "cell").groupBy("query_id", "q", "g", "vs").agg(F.collect_list("cell").alias("cells"))
+        right = by_group.select(F.col("g").alias("g"), each(F.col("vs")).alias("i"), salt("query_id", F.lit(qs)).alias("j"), "query_id", "q", "cells")
         most = model.refine * k
 
-        def meet(key: tuple, vectors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        def meet(vectors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             parts: list[tuple] = []
             if len(vectors) and len(rows):
-                ids = vectors["id"].to_numpy()
+                vectors = vectors.sort_values("cell", kind="stable")
+                ids, cell = vectors["id"].to_numpy(), vectors["cell"].to_numpy()
                 codes = np.frombuffer(b"".join(vectors["code"]), np.uint8).reshape(len(ids), -1).T.astype(np.intp)
-                for one, q in zip(rows["query_id"], rows["q"]):
-                    rough = model.approximate(np.asarray(q), int(key[0]), codes)
+                for one, q, probed in zip(rows["query_id"], rows["q"], rows["cells"]):
+                    q, low, high = np.asarray(q), np.searchsorted(cell, probed, "left"), np.searchsorted(cell, probed, "right")
+                    at = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
+                    rough = model.approximate(q, cell[at], codes[:, at])
                     best = np.argpartition(-rough, most)[:most] if len(rough) > most else np.arange(len(rough))
-                    parts.append((np.full(len(best), one), ids[best], rough[best]))
-            cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            return pd.DataFrame(dict(zip(("query_id", "id", "rough"), cols))).assign(cell=int(key[0]))
+                    parts.append((np.full(len(best), one), ids[at[best]], rough[best], cell[at[best]]))
+            cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)]
+            return pd.DataFrame(dict(zip(("query_id", "id", "rough", "cell"), cols)))
 
-        found = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(meet, "query_id long, id long, rough double, cell int")
+        found = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(meet, "query_id long, id long, rough double, cell int")
         rough = Window.partitionBy("query_id").orderBy(F.desc("rough"), "id")
         finds = found.withColumn("r", F.row_number().over(rough)).where(F.col("r") <= most).select("query_id", "id", "cell")
         exact = finds.join(there.select("cell", "id", "embedding"), ["cell", "id"]).join(asked.select("query_id", "q", "cell"), ["query_id", "cell"])
