@@ -1,6 +1,6 @@
 """BM25 with pruned postings: blocks of documents, the best that a term gives in a block, and two passes.
 
-Documents lie in blocks of about ``BLOCK`` documents of like length. For a term and a block the index keeps one row of
+Documents lie in blocks of about ``BLOCK`` documents of like length (scores depend on it). For a term and a block the index keeps one row of
 postings and, in a table of its own, the largest part of a score that the term gives to a document there. The bounds of
 a query's terms, summed by block, say what a document of the block can reach at most. The first pass scores the most
 promising blocks and so learns what the k-th best document has at least; the second scores only blocks whose bound
@@ -14,15 +14,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import saved
-from . import corpus, lexical
+from . import lexical
 
-#: Documents of a block.
-BLOCK = 16
+#: Documents of a block, about; length classes a doubling.
+BLOCK, CLASSES = 16, 8
 #: Scores are rounded to ``lexical.DIGITS``: what a bound may be short of a rounded threshold.
 SLACK = 2.0 * 10.0**-lexical.DIGITS
 
@@ -30,32 +30,46 @@ SLACK = 2.0 * 10.0**-lexical.DIGITS
 @dataclass
 class Blocks:
     tops: DataFrame  # term, block, n, top
-    postings: DataFrame  # term, block, found: array<struct<doc, part>>
+    postings: DataFrame  # term, block, found: array<struct<doc, tf, dl>>
     terms: DataFrame  # term, df, idf
+    avgdl: float
 
 
-def _part():
+def _part(tf: Column, dl: Column, avgdl: Column) -> Column:
     """What a posting adds to a score, but for the term's weight and how often it is asked."""
-    return F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + lexical.K1 * (1 - lexical.B + lexical.B * F.col("dl") / F.col("avgdl")))
+    return tf * (lexical.K1 + 1) / (tf + lexical.K1 * (1 - lexical.B + lexical.B * dl / avgdl))
 
 
 def save(index: lexical.Index, path: str, block: int = BLOCK) -> None:
-    """Writes the tables of a lexical index that ``load`` reads. Documents are put in order of length, and cut into
-    blocks of consecutive ones."""
-    lengths = index.postings.select("doc", "dl").distinct()
-    placed = corpus.positioned(lengths, [F.col("dl"), F.xxhash64("doc"), F.col("doc")], "at")
-    placed = placed.select("doc", F.expr(f"at div {block}").alias("block"))
-    parts = index.postings.join(placed, "doc").join(index.totals.select("avgdl")).select("term", "block", F.struct("doc", _part().alias("part")).alias("x"))
-    grouped = parts.groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("found"))  # at most ``block``
-    grouped.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = index.totals.sparkSession.read.parquet(f"{path}/postings")
-    tops = stored.select("term", "block", F.size("found").alias("n"), F.array_max(F.transform("found", lambda x: x["part"])).alias("top"))
+    """Writes the tables of a lexical index that ``load`` reads.
+
+    Documents are dealt to classes of length, and in these to blocks by a hash: so a posting tells its block by itself,
+    but for the sizes of the classes, of which there are ``CLASSES`` for each doubling. Postings are shuffled once.
+    """
+    spark = index.totals.sparkSession
+    class_ = F.floor(F.log2(F.col("dl") + 1.0) * CLASSES).cast("int").alias("class")
+    sizes = index.postings.groupBy(class_).agg(F.ceil(F.approx_count_distinct("doc") / block).alias("blocks"))
+    starts, at = [], 0
+    for r in sizes.orderBy("class").collect():  # a row for each class: a few hundred at most
+        starts.append((r["class"], at, r["blocks"]))
+        at += r["blocks"]
+    known = spark.createDataFrame(starts, "class int, start long, blocks long")
+    placed = index.postings.withColumn("class", class_).join(F.broadcast(known), "class")
+    dealt = placed.select("term", (F.col("start") + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block"), F.struct("doc", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).alias("x"))
+    grouped = dealt.groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("found"))  # about ``block`` at most
+    grouped.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    totals, stored = (spark.read.parquet(f"{path}/{t}") for t in ("totals", "postings"))
+    best = F.array_max(F.transform("found", lambda x: _part(x["tf"], x["dl"], F.col("avgdl"))))
+    tops = stored.join(totals.select("avgdl")).select("term", "block", F.size("found").alias("n"), best.alias("top"))  # one row on the right
     tops.write.mode("overwrite").parquet(f"{path}/tops")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    df = spark.read.parquet(f"{path}/tops").groupBy("term").agg(F.sum("n").alias("df"))
+    lexical.weighted(df, totals).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load(spark: SparkSession, path: str) -> Blocks:
-    return Blocks(*(spark.read.parquet(f"{path}/{t}") for t in ("tops", "postings", "terms")))
+    avgdl = spark.read.parquet(f"{path}/totals").first()["avgdl"]
+    return Blocks(*(spark.read.parquet(f"{path}/{t}") for t in ("tops", "postings", "terms")), avgdl or 0.0)
 
 
 @dataclass
@@ -73,11 +87,12 @@ class Search:
         return of.join(self.chosen.withColumn("hit", F.lit(True)), ["query_id", "block"], "left").agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("scored"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
 
 
-def _scores(chosen: DataFrame, weighted: DataFrame, postings: DataFrame) -> DataFrame:
+def _scores(chosen: DataFrame, weighted: DataFrame, blocks: Blocks) -> DataFrame:
     """(query_id, doc, score) of all documents in the chosen blocks (query_id, block); scores above zero only."""
     asked = chosen.join(weighted, "query_id")
-    hits = asked.join(postings, ["term", "block"]).select("query_id", "w", F.explode("found").alias("x"))
-    return hits.groupBy("query_id", F.col("x.doc").alias("doc")).agg(F.round(F.sum(F.col("w") * F.col("x.part")), lexical.DIGITS).alias("score")).where("score > 0")
+    hits = asked.join(blocks.postings, ["term", "block"]).select("query_id", "w", F.explode("found").alias("x")).select("query_id", "w", "x.*")
+    part = _part(F.col("tf"), F.col("dl"), F.lit(blocks.avgdl))
+    return hits.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("w") * part), lexical.DIGITS).alias("score")).where("score > 0")
 
 
 def search(blocks: Blocks, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> Search:
@@ -89,10 +104,10 @@ def search(blocks: Blocks, queries: DataFrame, k: int = 20, query: str = "query_
     by_reach = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")
     first = saved(bounds.withColumn("r", F.row_number().over(by_reach)).where(F.col("r") <= k).select("query_id", "block"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    some = saved(_scores(first, weighted, blocks.postings).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k))
+    some = saved(_scores(first, weighted, blocks).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k))
     least = some.where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
     open_ = bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("reach") >= F.col("least") - SLACK))
     rest = saved(open_.join(first, ["query_id", "block"], "left_anti").select("query_id", "block"))
-    both = some.select("query_id", "doc", "score").unionByName(_scores(rest, weighted, blocks.postings))
+    both = some.select("query_id", "doc", "score").unionByName(_scores(rest, weighted, blocks))
     found = both.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k).select("query_id", (F.col("__n") - 1).alias("rank"), "doc", "score")
     return Search(found, first.unionByName(rest), weighted, blocks)

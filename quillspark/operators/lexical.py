@@ -26,9 +26,9 @@ class Index:
         return load(self.totals.sparkSession, path)
 
     def save(self, path: str) -> None:
-        """Tables for postings, terms and totals. Postings are laid out by term for pruned lookups; ranges of term and
-        document keep the postings of a common term from being one task."""
-        self.postings.repartitionByRange("term", "doc").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Tables for postings, terms and totals. Postings stay where their documents are read, sorted by term in each file:
+        nothing is shuffled, pages of other terms can be skipped, and a common term is spread over all files."""
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         postings = self.totals.sparkSession.read.parquet(f"{path}/postings")
         weights(postings, self.totals).write.mode("overwrite").parquet(f"{path}/terms")
         self.totals.withColumn("version", F.lit(1)).write.mode("overwrite").parquet(f"{path}/totals")
@@ -62,8 +62,12 @@ def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
 
 
 def weights(postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative weight becomes a quarter of the mean of all."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, idf) of postings."""
+    return weighted(postings.groupBy("term").agg(F.count("*").alias("df")), totals)
+
+
+def weighted(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df); a negative weight becomes a quarter of the mean of all."""
     counts = df.join(totals)  # one row on the right
     raw = counts.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))

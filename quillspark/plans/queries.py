@@ -18,6 +18,7 @@ from ..functions import text as X
 from ..operators import answers, blockmax, chunking, corpus, evaluate, fusion, ivf, lexical, models, query, store, vector
 from ..operators.html import Options
 from ..session import work_dir
+from ..streaming import state
 from . import Retriever, ablate, with_judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,12 +92,14 @@ def _(spark, sf_dir):
     return lexical.build(table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-_indexes: dict[tuple[str, str], lexical.Index] = {}
+_indexes: dict[tuple, lexical.Index] = {}
 
 
 def index(spark, sf_dir):
-    """The BM25 index of documents, built once a session and read from the shared folder by all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The BM25 index of documents, built once a session for the files as they are, and read from the shared folder by all
+    queries."""
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, sf_dir, files.agg(F.sum(F.xxhash64("*") % (1 << 40))).first()[0])
     if key not in _indexes:
         _indexes[key] = lexical.build(table(spark, sf_dir, "documents")).saved(f"{work_dir(spark)}/bm25-{uuid.uuid4().hex}")
     return _indexes[key]
@@ -114,8 +117,8 @@ def _(spark, sf_dir):
 @register("bm25_topk_pruned", f"WITH {bm25_sql(QUESTIONS, K)} SELECT query_id, rank::INTEGER AS rank, doc, score FROM ranked")
 def _(spark, sf_dir):
     path = f"{work_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    blockmax.save(lexical.build(table(spark, sf_dir, "documents")).saved(path), f"{path}/blocks")
-    return blockmax.search(blockmax.load(spark, f"{path}/blocks"), questions(spark, sf_dir), K).found
+    blockmax.save(lexical.build(table(spark, sf_dir, "documents")), path)
+    return blockmax.search(blockmax.load(spark, path), questions(spark, sf_dir), K).found
 
 
 @register(
@@ -521,6 +524,31 @@ def _(spark, sf_dir):
     return chunking.filled(chunking.with_toc(p.withColumns(own), toc)).select("source_file", "page_id", "page_title", "page_breadcrumbs")
 
 
+@register(
+    "toc_tree",
+    """WITH RECURSIVE n AS (SELECT coalesce(source, '') AS toc, doc_id AS node, CASE WHEN doc_id >= 40 THEN doc_id // 3 // 10 * 10 + doc_id % 10 END AS parent, doc_id AS position, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'T' || doc_id END AS title, 'f' || doc_id % 97 || '.html' AS source_file FROM documents),
+k AS (SELECT * REPLACE ('all' AS toc) FROM n),
+walk AS (SELECT node, [position] AS path, CASE WHEN title <> '' THEN [title] ELSE []::VARCHAR[] END AS names FROM k WHERE parent IS NULL
+  UNION ALL SELECT k.node, list_append(path, position), CASE WHEN title <> '' THEN list_append(names, title) ELSE names END FROM walk w JOIN k ON k.parent = w.node)
+SELECT source_file, arg_max(title, path) AS title, arg_max(array_to_string(names, ' → '), path) AS breadcrumbs, arg_max(EXISTS (SELECT 1 FROM k c WHERE c.parent = walk.node), path) AS has_children FROM walk JOIN k USING (node) GROUP BY source_file""",
+)
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    parent = F.when(F.col("doc_id") >= 40, F.expr("doc_id div 3 div 10 * 10 + doc_id % 10"))
+    nodes = d.select(F.lit("all").alias("toc"), F.col("doc_id").alias("node"), parent.alias("parent"), F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("T"), "doc_id")).alias("title"), F.concat(F.lit("f"), F.col("doc_id") % 97, F.lit(".html")).alias("source_file"), F.lit(None).cast("int").alias("level"), F.lit("").alias("topic_type"))
+    return sources.walk_toc(nodes).select("source_file", "title", "breadcrumbs", "has_children")
+
+
+@register("conversation_sessions_stream", "SELECT conv_id, count(*) AS turns, arg_min(text, turn) AS title, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def _(spark, sf_dir):
+    path = f"{work_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns.repartition(4, F.rand(1)).write.parquet(f"{path}/in")  # turns of a conversation come in different files
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    state.kept(state.sessions(stream), f"{path}/out", f"{path}/checkpoint")
+    return state.current(spark, f"{path}/out", "conv_id", state.SESSIONS)
+
+
 # A stand-in for a model's reply: two proposals, a short one, noise and the question itself.
 @register(
     "query_rewrite_expand",

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 #: Parts of the names of service pages.
 SERVICE_PAGES = ["hmcontent", "hmftsearch", "hmkwindex", "hmcontextids", "zoomimage", "open.html"]
 #: How a page's place begins, from the table of contents and of its own.
@@ -78,6 +80,42 @@ def toc_rows(text: str) -> list[tuple]:
     return list(found.values())
 
 
+#: The walk over parent links, with the nodes on the way down as guard against cycles.
+WALK = """
+WITH RECURSIVE walk(toc, node, path, names, seen) AS (
+  SELECT toc, node, array(position), CASE WHEN title <> '' THEN array(title) ELSE cast(array() AS array<string>) END, array(node) FROM {nodes} WHERE parent IS NULL
+  UNION ALL
+  SELECT n.toc, n.node, concat(w.path, array(n.position)), CASE WHEN n.title <> '' THEN concat(w.names, array(n.title)) ELSE w.names END, concat(w.seen, array(n.node))
+  FROM walk w JOIN {nodes} n ON n.toc = w.toc AND n.parent = w.node WHERE NOT array_contains(w.seen, n.node))
+SELECT * FROM walk"""
+
+
+def walk_toc(nodes: DataFrame, depth: int = 100) -> DataFrame:
+    """(toc, source_file, title, breadcrumbs, level, topic_type, has_children) of all nodes with a file that hang on a root.
+
+    nodes: toc, node, parent (null: a root), position among its siblings, title, source_file, level, topic_type. All
+    tables of contents are walked at once, a level a round, at most ``depth``: deeper ones raise. A node that is its own
+    ancestor ends the walk there. Of a file that a table of contents names twice the later one stays, in reading order.
+    Null titles are empty, a null level is 0.
+    """
+    spark = nodes.sparkSession
+    empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    known = saved(nodes.select("toc", "node", "parent", "position", empty("title"), empty("source_file"), F.coalesce("level", F.lit(0)).alias("level"), empty("topic_type")))
+    limits = {"spark.sql.cteRecursionLevelLimit": str(depth), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        walked = saved(spark.sql(WALK, nodes=known).select("toc", "node", "path", "names"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    parents = known.where("parent is not null").select("toc", F.col("parent").alias("node"), F.lit(True).alias("has_children")).distinct()
+    rows = walked.join(known, ["toc", "node"]).join(parents, ["toc", "node"], "left").where("source_file <> ''")
+    fields = F.struct("title", F.array_join("names", " → ").alias("breadcrumbs"), "level", "topic_type", F.coalesce("has_children", F.lit(False)).alias("has_children"))
+    return rows.groupBy("toc", "source_file").agg(F.max_by(fields, "path").alias("r")).select("toc", "source_file", "r.*")
+
+
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select("value")
 

@@ -191,6 +191,36 @@ def test_toc():
     assert rows["b.html"][2] == "A → B" and rows["a.html"][1] == "C" and sources.toc_rows("nothing") == []
 
 
+def toc_nodes(script):
+    """The tree of a script as rows of nodes, in reading order."""
+    body = script[script.index("{") : script.rindex("}") + 1]
+    out, todo = [], [(None, i, x) for i, x in enumerate(json.loads(body)["items"])]
+    while todo:
+        parent, at, x = todo.pop(0)
+        out.append((1, len(out), parent, at, x.get("cp"), x.get("hf"), x.get("lv"), x.get("tp")))
+        todo += [(len(out) - 1, i, y) for i, y in enumerate(x.get("items", []))]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_walk_equals_reading(spark, seed):
+    rng = random.Random(seed)
+
+    def items(depth):
+        return [{"cp": rng.choice(["", None, f" t{rng.random()} "]), "hf": rng.choice(["", f"f{rng.randrange(12)}"]), "lv": rng.choice([None, depth]), "tp": "x", **({"items": items(depth + 1)} if rng.random() < 0.6 and depth < 6 else {})} for _ in range(rng.randrange(1, 4))]
+
+    script = "hmLoadTOC(" + json.dumps({"items": items(1) + items(1)}) + ")"
+    schema = "toc int, node long, parent long, position int, title string, source_file string, level int, topic_type string"
+    nodes = toc_nodes(script)
+    two = nodes + [(2, *n[1:]) for n in nodes] + [(3, 0, 1, 0, "a", "a.html", 1, ""), (3, 1, 0, 0, "b", "b.html", 1, ""), (4, 0, None, 0, "r", "r.html", 1, ""), (4, 0, 0, 1, "again", "s.html", 1, "")]
+    got = sources.walk_toc(spark.createDataFrame(two, schema).repartition(3)).collect()
+    want = sorted(sources.toc_rows(script))
+    for toc in (1, 2):
+        assert sorted(tuple(r)[1:] for r in got if r["toc"] == toc) == want
+    assert not any(r["toc"] == 3 for r in got) and any(r["toc"] == 4 for r in got)  # a ring hangs on no root; a node below itself ends
+    assert sources.walk_toc(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_files(spark, tmp_path):
     d = tmp_path / "in"
     (d / "sub").mkdir(parents=True)
