@@ -4,7 +4,9 @@
 
 Each run takes the files of IN that no earlier run has taken (a file stream with a checkpoint), drops documents with stop
 patterns and those that are too short, keeps the first document of each text over all runs, and adds the rest to
-OUT/corpus, partitioned by batch and language. OUT/batches holds what each batch has read and kept.
+OUT/corpus, partitioned by batch and language. OUT/postings and OUT/frequencies, by batch too, are the lexical index of
+what was added: ``index`` puts all batches together, and is searched like one that was built at once. OUT/batches holds
+what each batch has read and kept.
 
 A batch owns its partitions: one that is run again, because a run broke after it had written and before it was committed,
 replaces what it wrote, and looks only at batches before it. So a run that is repeated, or goes on after a failure, gives
@@ -13,6 +15,7 @@ of an earlier batch always comes first.
 
 Scaling. Texts are shuffled once, by their key, within a batch. Of the corpus only the keys are read, and of these only
 the ones that the batch also has go on to the second join (a semi-join first, which Spark may prune with a Bloom filter).
+Documents are tokenized once, when they come; terms' weights are sums of a row for each batch and term.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import corpus
+from quillspark.operators import corpus, lexical
 
 log = logging.getLogger("jobs.corpus_refresh")
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CORPUS = "doc_id long, chunk_id string, source_file string, lang string, text string, text_key string, char_count long, n_tokens int, batch int, folder string"
 BATCHES = "n_read long, n_kept long, batch int"
+POSTINGS, FREQUENCIES = "term string, doc string, tf long, dl int, batch int", "term string, df long, batch int"
+TABLES = {"corpus": (CORPUS, ["batch", "folder"]), "postings": (POSTINGS, ["batch"]), "frequencies": (FREQUENCIES, ["batch"]), "batches": (BATCHES, ["batch"])}
 #: Folder of documents without a language.
 NO_LANGUAGE = "und"
 
@@ -64,6 +69,14 @@ def batches(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.schema(BATCHES).parquet(f"{output}/batches")
 
 
+def index(spark: SparkSession, output: str) -> lexical.Index:
+    """The lexical index of the whole corpus; documents are named by chunk_id."""
+    totals = read(spark, output).agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
+    df = spark.read.schema(FREQUENCIES).parquet(f"{output}/frequencies").groupBy("term").agg(F.sum("df").alias("df"))
+    postings = spark.read.schema(POSTINGS).parquet(f"{output}/postings").drop("batch")
+    return lexical.Index(postings, lexical.weighted(df, totals), totals)
+
+
 def cleaned(docs: DataFrame, config: Config) -> DataFrame:
     """Documents worth keeping, one for each text (column text_key); null texts are not."""
     fine = corpus.without(docs.where(F.length("text") >= max(1, config.least_chars)), config.stop)
@@ -91,16 +104,24 @@ def add_batch(docs: DataFrame, number: int, output: str, config: Config) -> tupl
     fresh = cleaned(docs, config)
     known = keys.join(fresh.select("text_key"), "text_key", "left_semi")
     new = projected(fresh.join(known, "text_key", "left_anti"), number)
-    replaced = {"partitionOverwriteMode": "dynamic"}
     # one or a few files for each language, however many rows it has
-    new.hint("rebalance", "folder").write.mode("overwrite").options(**replaced).partitionBy("batch", "folder").parquet(f"{output}/corpus")
-    n_read, n_kept = docs.count(), read(spark, output).where(F.col("batch") == number).count()
+    _replace(new.hint("rebalance", "folder"), "corpus", output)
+    added = read(spark, output).where(F.col("batch") == number)
+    _replace(lexical.build(added, "chunk_id").postings.sortWithinPartitions("term").withColumn("batch", F.lit(number)), "postings", output)
+    postings = spark.read.schema(POSTINGS).parquet(f"{output}/postings").where(F.col("batch") == number)
+    _replace(postings.groupBy("term", "batch").agg(F.count("*").alias("df")).select("term", "df", "batch"), "frequencies", output)
+    n_read, n_kept = docs.count(), added.count()
     row = spark.range(1).select(F.lit(n_read).cast("long").alias("n_read"), F.lit(n_kept).cast("long").alias("n_kept"), F.lit(number).alias("batch"))
-    row.write.mode("overwrite").options(**replaced).partitionBy("batch").parquet(f"{output}/batches")
+    _replace(row, "batches", output)
     log.info("batch %s: read %s documents, kept %s", number, n_read, n_kept)
     return n_read, n_kept
 
 
+def _replace(rows: DataFrame, table: str, output: str) -> None:
+    """Writes a batch's rows in place of what it wrote before, if it did."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*TABLES[table][1]).parquet(f"{output}/{table}")
+
+
 def pattern(path: str) -> str:
     """The path as a pattern that only it fits: a file stream then takes a single file as well as a folder."""
     path = path.rstrip("/")
@@ -112,7 +133,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str | None
     folder is named; it belongs to the output as long as that exists. No new files: nothing is written."""
     config = config or Config()
     output = output.rstrip("/")
-    for name, schema, by in (("corpus", CORPUS, ["batch", "folder"]), ("batches", BATCHES, ["batch"])):
+    for name, (schema, by) in TABLES.items():
         # an empty table, if there is none yet
         spark.createDataFrame([], schema).write.mode("append").partitionBy(*by).parquet(f"{output}/{name}")
     stream = spark.readStream.schema(DOCUMENTS)

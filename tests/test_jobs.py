@@ -9,6 +9,7 @@ import sys
 import pytest
 from jobs import corpus_refresh, queries, retrieval_report
 from pyspark.errors.exceptions.captured import StreamingQueryException
+from quillspark.operators import lexical
 
 from .oracle import compare
 
@@ -59,6 +60,19 @@ def test_refresh_takes_what_is_new(spark, tmp_path):
     assert row["chunk_id"] == hashlib.md5(b"s::20::new").hexdigest()[:12] and row["text_key"] == hashlib.md5(b"new").hexdigest() and (row["char_count"], row["n_tokens"]) == (3, 1)
 
 
+def test_index_of_all_batches(spark, tmp_path):
+    """An index that grew batch by batch finds what one over the whole corpus finds, with the same scores."""
+    docs, out = tmp_path / "in", str(tmp_path / "out")
+    rows = [doc(i, " ".join(f"word{i * j % 23}" for j in range(1, 2 + i % 17))) for i in range(120)]
+    for part in (rows[:50], rows[40:90], rows[90:] + rows[:5]):
+        put(spark, part, docs)
+        whole = corpus_refresh.run(spark, str(docs), out, config=CONFIG)
+    asked = spark.createDataFrame([(1, "word3 word7"), (2, "word22 word1 word1"), (3, "nothing")], "query_id long, text string")
+    grown = lexical.search(corpus_refresh.index(spark, out), asked, 10)
+    built = lexical.search(lexical.build(whole, "chunk_id"), asked, 10)
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, built.collect())) and grown.count() == 20
+
+
 def test_refresh_goes_on_after_a_broken_batch(spark, tmp_path, monkeypatch):
     """A run that breaks after the write and before the commit is repeated and leaves one copy of everything."""
     docs, out = tmp_path / "in", str(tmp_path / "out")
