@@ -89,8 +89,8 @@ class Search:
 
 def _scores(chosen: DataFrame, weighted: DataFrame, blocks: Blocks) -> DataFrame:
     """(query_id, doc, score) of all documents in the chosen blocks (query_id, block); scores above zero only."""
-    asked = chosen.join(weighted, "query_id")
-    hits = asked.join(blocks.postings, ["term", "block"]).select("query_id", "w", F.explode("found").alias("x")).select("query_id", "w", "x.*")
+    asked = blocks.postings.join(lexical.small(weighted), "term").join(lexical.small(chosen), ["query_id", "block"])
+    hits = asked.select("query_id", "w", F.explode("found").alias("x")).select("query_id", "w", "x.*")
     part = _part(F.col("tf"), F.col("dl"), F.lit(blocks.avgdl))
     return hits.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("w") * part), lexical.DIGITS).alias("score")).where("score > 0")
 
@@ -98,9 +98,9 @@ def _scores(chosen: DataFrame, weighted: DataFrame, blocks: Blocks) -> DataFrame
 def search(blocks: Blocks, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> Search:
     """The k best documents of each query, as ``lexical.search`` has them: (query_id, rank from 0, doc, score)."""
     asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = saved(asked.join(blocks.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")))
+    weighted = saved(blocks.terms.join(lexical.small(saved(asked)), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")))
     reach = F.sum(F.greatest(F.col("w"), F.lit(0.0)) * F.col("top"))
-    bounds = saved(weighted.join(blocks.tops, "term").groupBy("query_id", "block").agg(reach.alias("reach")))
+    bounds = saved(blocks.tops.join(lexical.small(weighted), "term").groupBy("query_id", "block").agg(reach.alias("reach")))
     by_reach = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")
     first = saved(bounds.withColumn("r", F.row_number().over(by_reach)).where(F.col("r") <= k).select("query_id", "block"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")

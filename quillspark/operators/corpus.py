@@ -62,6 +62,23 @@ def deduplicate(chunks: DataFrame, text: str = "text", source: str = "source_fil
     return named.select("first.*", joined.alias("alt_sources"))
 
 
+#: Sources that a segment names at most.
+SEGMENT = 1000
+
+
+def alternative_sources(chunks: DataFrame, text: str = "text", source: str = "source_file", order: str = "ord", most: int = SEGMENT) -> DataFrame:
+    """(key, segment from 0, names): what ``alt_sources`` of ``deduplicate`` joins, in rows of at most ``most`` sources.
+
+    key is the MD5 of the text. The sources of a text that has millions of copies are many rows, and no cell grows with
+    them; in order of segments, joined by ``;``, they are its alt_sources. Texts without later sources have no row.
+    """
+    named = chunks.select(F.md5(text).alias("key"), F.col(order).alias("o"), F.coalesce(F.col(source), F.lit("")).alias("s"))
+    placed = numbered(named, "key", "o", "n").where("n > 0")
+    first = placed.where("s <> ''").groupBy("key").agg(F.min("n").alias("first"))  # the list begins at the first that is named
+    cut = placed.join(first, "key").where("n >= first").withColumn("segment", F.expr(f"cast((n - first) div {most} as int)"))
+    return cut.groupBy("key", "segment").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("names"))
+
+
 #: Texts that mark chunks of little value.
 STOP_PATTERNS = ["Информация в Интернете"]
 

@@ -20,10 +20,6 @@ def gain(label: Column, gains: dict[str, float]) -> Column:
     return out
 
 
-def _ratio(hits: Column, of: Column | int) -> Column:
-    return hits / of
-
-
 def query_metrics(labels: DataFrame, by: tuple[str, ...] = ("query_idx",)) -> DataFrame:
     """Precision, recall, reciprocal rank and NDCG for each query from (query_idx, rank from 1, label).
 

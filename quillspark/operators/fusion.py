@@ -9,8 +9,14 @@ RRF_K = 60
 DIGITS = 9
 
 
+def keyed(rows: DataFrame, out: str = "doc", **columns: str) -> DataFrame:
+    """rows with ``document_key`` as the column that ``fuse`` goes by, for lists whose rows have no number."""
+    return rows.withColumn(out, document_key(**columns))
+
+
 def document_key(chunk: str = "chunk_id", file: str = "source_file", index: str = "chunk_index"):
-    return F.coalesce(F.nullif(F.col(chunk), F.lit("")), F.concat_ws("_", F.col(file), F.col(index).cast("string")))
+    """The chunk's id, or where it has none its file and place (empty and 0 where these are null too)."""
+    return F.coalesce(F.nullif(F.col(chunk), F.lit("")), F.concat_ws("_", F.coalesce(F.col(file), F.lit("")), F.coalesce(F.col(index), F.lit(0)).cast("string")))
 
 
 def fuse(ranked: DataFrame, key: str = "doc", k: int = RRF_K) -> DataFrame:

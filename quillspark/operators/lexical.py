@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Scores are compared at this many digits: sums in another order must not reorder ties.
 DIGITS = 6
+#: Rows of a few numbers and a term at most that are sent to all tasks.
+FEW = 500_000
 
 
 @dataclass
@@ -74,17 +77,21 @@ def weighted(df: DataFrame, totals: DataFrame) -> DataFrame:
     return raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Saved rows, to be broadcast if they are counted to be few; a join by shuffle gives the same rows."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def search(index: Index, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, rank from 0, doc, score) of the k best documents of each query; scores above zero only.
 
-    A token that a query repeats counts as often. Only postings of the queries' terms are made or read: the semi-join
-    moves below the grouping of an index that is not saved. Ties go to the smaller document; each task keeps a
-    query's k best before the last shuffle.
+    A token that a query repeats counts as often. The queries' terms are few as a rule, and go to the postings
+    (``small``): then what a document's terms add is summed where its postings lie. Ties go to the smaller document; each
+    task keeps a query's k best before the last shuffle.
     """
     asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms.select("term", "idf"), "term")
-    postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = weighted.join(postings, "term").join(index.totals.select("avgdl"))
+    weighted = saved(index.terms.join(small(saved(asked)), "term").select("query_id", "term", "times", "idf"))
+    hits = index.postings.join(small(weighted), "term").join(index.totals.select("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")

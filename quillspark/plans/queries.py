@@ -138,6 +138,28 @@ def _(spark, sf_dir):
     return corpus.deduplicate(d, source="source", order="doc_id").select("doc_id", "source", "alt_sources")
 
 
+@register(
+    "alternative_sources",
+    f"""WITH n AS (SELECT md5(text) AS key, coalesce(source, '') AS s, row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1 AS n FROM documents WHERE text IS NOT NULL),
+f AS (SELECT key, min(n) AS first FROM n WHERE n > 0 AND s <> '' GROUP BY key)
+SELECT key, ((n - first) // {corpus.SEGMENT})::INTEGER AS segment, string_agg(s, ';' ORDER BY n) AS names FROM n JOIN f USING (key) WHERE n > 0 AND n >= first GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", "source")
+    return corpus.alternative_sources(d, source="source", order="doc_id").withColumn("names", F.array_join("names", ";"))
+
+
+@register(
+    "document_keys",
+    """WITH k AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'c' || doc_id // 6 ELSE source || '_' || doc_id // 7 END AS doc, doc_id % 10 AS query_id, doc_id // 10 % 3 AS list_idx, doc_id // 30 AS rank FROM documents)
+SELECT query_id, doc, round(sum(1 / (60.0::DOUBLE + rank + 1)), 9) AS score FROM k GROUP BY query_id, doc""",
+)
+def _(spark, sf_dir):
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(F.when(i % 3 == 0, F.concat(F.lit("c"), F.expr("doc_id div 6"))).otherwise(F.when(i % 3 == 1, "")).alias("chunk_id"), F.col("source").alias("source_file"), F.expr("doc_id div 7").alias("chunk_index"), (i % 10).alias("query_id"), F.expr("doc_id div 10 % 3").alias("list_idx"), F.expr("doc_id div 30").alias("rank"))
+    return fusion.fuse(fusion.keyed(d)).select("query_id", "doc", "score")
+
+
 @register("stop_filter", "SELECT doc_id FROM documents WHERE NOT (contains(text, 'worthless') OR contains(text, 'Apache License'))")
 def _(spark, sf_dir):
     return corpus.without(table(spark, sf_dir, "documents"), STOP).select("doc_id")

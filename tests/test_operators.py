@@ -1,5 +1,6 @@
 """Small goldens and brute-force versions of the reference operators."""
 
+import hashlib
 import json
 import random
 
@@ -101,6 +102,19 @@ def test_dedup(spark):
     assert corpus.deduplicate(df).first()["alt_sources"] == "f2;"
 
 
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_segments_are_the_alternative_sources(spark, most):
+    rng = random.Random(most)
+    rows = [(rng.choice("tuvw"), rng.choice(["", None, "f1", "f2"]), i) for i in range(60)] + [("x", "f", 99), ("y", "", 100), ("y", None, 101)]
+    df = spark.createDataFrame(rows, "text string, source_file string, ord int").repartition(5)
+    parts = {}
+    for r in corpus.alternative_sources(df, most=most).collect():
+        assert 1 <= len(r["names"]) <= most
+        parts.setdefault(r["key"], {})[r["segment"]] = r["names"]
+    want = {hashlib.md5(r.text.encode()).hexdigest(): r.alt_sources for r in corpus.deduplicate(df).collect()}
+    assert {k: ";".join(n for _, s in sorted(v.items()) for n in s) for k, v in parts.items()} == {k: v for k, v in want.items() if v}
+
+
 def test_upper_median(spark):
     df = spark.createDataFrame([(i,) for i in (4, 1, 3, 2)], "v int")
     assert corpus.upper_median(df, "v").first()[0] == 3
