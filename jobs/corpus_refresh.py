@@ -38,6 +38,8 @@ CORPUS = "doc_id long, chunk_id string, source_file string, lang string, text st
 BATCHES = "n_read long, n_kept long, batch int"
 POSTINGS, FREQUENCIES = "term string, doc string, tf long, dl int, batch int", "term string, df long, batch int"
 TABLES = {"corpus": (CORPUS, ["batch", "folder"]), "postings": (POSTINGS, ["batch"]), "frequencies": (FREQUENCIES, ["batch"]), "batches": (BATCHES, ["batch"])}
+#: How much older than the newest file one may be that is still taken.
+MAX_FILE_AGE = "36500d"
 #: Folder of documents without a language.
 NO_LANGUAGE = "und"
 
@@ -136,7 +138,8 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str | None
     for name, (schema, by) in TABLES.items():
         # an empty table, if there is none yet
         spark.createDataFrame([], schema).write.mode("append").partitionBy(*by).parquet(f"{output}/{name}")
-    stream = spark.readStream.schema(DOCUMENTS)
+    # a file that is older than those of earlier runs, but comes later, is new all the same
+    stream = spark.readStream.schema(DOCUMENTS).option("maxFileAge", MAX_FILE_AGE)
     if config.files_per_batch:
         stream = stream.option("maxFilesPerTrigger", config.files_per_batch)
     log.info("reading new files of %s", documents)

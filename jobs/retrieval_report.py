@@ -81,8 +81,10 @@ def run(spark: SparkSession, documents: str, questions: str, labels: str, output
     log.info("read %s documents, %s questions", docs.count(), asked.count())
     index = lexical.build(docs.select("doc_id", "text")).saved(f"{output}/index")
     found = lexical.search(index, asked, config.list, text="question")
-    # the text of the few documents that were found; ties of an id: any of its rows has the same text
-    rows = found.join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("source_file"), "text"), "doc").join(asked, "query_id")
+    # the text of the few documents that were found; of rows with one id the least counts
+    named = found.join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("source_file"), "text"), "doc")
+    one = named.groupBy("query_id", "doc").agg(F.min(F.struct("rank", "score", "source_file", "text")).alias("r")).select("query_id", "doc", "r.*")
+    rows = one.join(asked, "query_id")
     rows.write.mode("overwrite").parquet(f"{output}/hits")
     hits = spark.read.parquet(f"{output}/hits")
     log.info("wrote %s hits", hits.count())

@@ -54,6 +54,11 @@ def test_refresh_takes_what_is_new(spark, tmp_path):
     assert kept(corpus_refresh.run(spark, str(docs), out, config=CONFIG)) == AFTER_TWO  # nothing new
     assert files == {f: os.path.getmtime(f) for f in glob.glob(f"{out}/corpus/batch=*/*/*.parquet")}
     assert sorted(map(tuple, corpus_refresh.batches(spark, out).collect())) == [(len(SECOND), 1, 1), (len(FIRST), 5, 0)]
+    known = set(glob.glob(f"{docs}/*.parquet"))
+    put(spark, [doc(30, "late")], docs)
+    for f in set(glob.glob(f"{docs}/*.parquet")) - known:
+        os.utime(f, (1e9, 1e9))  # an old file that comes late
+    assert kept(corpus_refresh.run(spark, str(docs), out, config=CONFIG)) == sorted([*AFTER_TWO, (30, "late", "en", 2)], key=repr)
     assert {os.path.basename(p) for p in glob.glob(f"{out}/corpus/batch=0/*")} == {"folder=en", "folder=fr", "folder=und"}
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
     row = corpus_refresh.read(spark, out).where("doc_id = 20").first()
