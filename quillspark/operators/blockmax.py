@@ -40,25 +40,30 @@ def _part(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (lexical.K1 + 1) / (tf + lexical.K1 * (1 - lexical.B + lexical.B * dl / avgdl))
 
 
-def save(index: lexical.Index, path: str, block: int = BLOCK) -> None:
-    """Writes the tables of a lexical index that ``load`` reads.
+def save(docs: DataFrame, path: str, block: int = BLOCK, doc: str = "doc_id", text: str = "text") -> None:
+    """Writes the tables that ``load`` reads, of documents as ``lexical.build`` takes them.
 
-    Documents are dealt to classes of length, and in these to blocks by a hash: so a posting tells its block by itself,
-    but for the sizes of the classes, of which there are ``CLASSES`` for each doubling. Postings are shuffled once.
+    Documents are dealt to classes of length, and in these to blocks by a hash: so a document tells its block by itself, but
+    for the sizes of the classes, of which there are ``CLASSES`` for each doubling. They are shuffled once, by block, with
+    their counts in one row; postings are made and grouped where the block is.
     """
-    spark = index.totals.sparkSession
+    spark = docs.sparkSession
     class_ = F.floor(F.log2(F.col("dl") + 1.0) * CLASSES).cast("int").alias("class")
-    sizes = index.postings.groupBy(class_).agg(F.ceil(F.approx_count_distinct("doc") / block).alias("blocks"))
-    starts, at = [], 0
-    for r in sizes.orderBy("class").collect():  # a row for each class: a few hundred at most
-        starts.append((r["class"], at, r["blocks"]))
-        at += r["blocks"]
+    lengths = docs.select(F.size(tokens(F.col(text))).alias("dl"))
+    # a row for each class: a few hundred at most
+    sizes = lengths.groupBy(class_).agg(F.count("*").alias("n"), F.sum("dl").alias("words")).orderBy("class").collect()
+    n, words, starts, at = sum(r["n"] for r in sizes), sum(r["words"] for r in sizes), [], 0
+    for r in sizes:
+        starts.append((r["class"], at, -(-r["n"] // block)))
+        at += -(-r["n"] // block)
     known = spark.createDataFrame(starts, "class int, start long, blocks long")
-    placed = index.postings.withColumn("class", class_).join(F.broadcast(known), "class")
-    dealt = placed.select("term", (F.col("start") + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block"), F.struct("doc", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).alias("x"))
-    grouped = dealt.groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("found"))  # about ``block`` at most
+    spark.createDataFrame([(n, words / n if n else None)], "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{path}/totals")
+    placed = lexical.packed(docs, doc, text).withColumn("class", class_).join(F.broadcast(known), "class")
+    dealt = placed.select((F.col("start") + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block"), "doc", "dl", "found").repartition("block")
+    posting = F.struct("doc", F.col("tf").cast("int").alias("tf"), "dl").alias("x")
+    each = dealt.select("block", "doc", "dl", F.inline("found")).select("term", "block", posting)
+    grouped = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("found"))  # about ``block`` at most
     grouped.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
-    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
     totals, stored = (spark.read.parquet(f"{path}/{t}") for t in ("totals", "postings"))
     best = F.array_max(F.transform("found", lambda x: _part(x["tf"], x["dl"], F.col("avgdl"))))
     tops = stored.join(totals.select("avgdl")).select("term", "block", F.size("found").alias("n"), best.alias("top"))  # one row on the right

@@ -48,19 +48,25 @@ def load(spark, path: str, expected_docs: int | None = None) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals.drop("version"))
 
 
-def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
-    """Index of documents; those without a token count towards their number and mean length.
-
-    A document's counts lie in one row: its tokens are sorted, and the runs of equal ones counted. So postings are made
-    without a shuffle, and document frequencies are summed map-side.
-    """
+def packed(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, dl, found: array<struct<term, tf>>): a document's length and counts in one row. Its tokens are sorted, and the
+    runs of equal ones counted."""
     split = docs.select(F.col(doc).alias("doc"), F.sort_array(tokens(F.col(text))).alias("ts")).withColumn("dl", F.size("ts"))
-    totals = split.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     first = lambda x, i: (i == 0) | (x != F.get("ts", i - 1))
     at = F.filter(F.transform("ts", lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull())
     runs = split.withColumn("at", at)
     run = lambda s, j: F.struct(F.get("ts", s).alias("term"), (F.coalesce(F.get("at", j + 1), F.col("dl")) - s).cast("long").alias("tf"))
-    postings = runs.select("doc", "dl", F.inline(F.transform("at", run))).select("term", "doc", "tf", "dl")
+    return runs.select("doc", "dl", F.transform("at", run).alias("found"))
+
+
+def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
+    """Index of documents; those without a token count towards their number and mean length.
+
+    Postings are made from ``packed`` documents without a shuffle, and document frequencies are summed map-side.
+    """
+    lengths = docs.select(F.size(tokens(F.col(text))).alias("dl"))
+    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    postings = packed(docs, doc, text).select("doc", "dl", F.inline("found")).select("term", "doc", "tf", "dl")
     return Index(postings, weights(postings, totals), totals)
 
 

@@ -91,8 +91,8 @@ class Collection:
         n = spark.read.parquet(f"{self.path}/{DOCS}/batch={number}").count()
         state = State(number, begin, start + n, approximate)
         everything = self.scan(state)
-        index = lexical.build(everything, "doc", "page_content").saved(self.lexical(state))
-        blockmax.save(index, self.lexical(state) + "/blocks")
+        lexical.build(everything, "doc", "page_content").save(self.lexical(state))
+        blockmax.save(everything, self.lexical(state) + "/blocks", doc="doc", text="page_content")
         if approximate:
             ivf.build(everything, f"{self.path}/{VECTORS}/{number}", vec="doc")
         self._commit(state, n)

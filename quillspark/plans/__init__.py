@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..config import Engine
 from ..functions import text as X
-from ..operators import answers, chunking, corpus, evaluate, fusion, lexical, models, query, store, vector
+from ..operators import answers, blockmax, chunking, corpus, evaluate, fusion, lexical, models, query, store, vector
 from ..operators.html import Options
 from ..session import saved
 
@@ -46,6 +46,7 @@ class Retriever:
     lexical: lexical.Index | None = None
     vectors: DataFrame | None = None  # doc, embedding
     engine: Engine = field(default_factory=Engine)
+    pruned: blockmax.Blocks | None = None  # the same documents, searched instead of ``lexical`` where no filter is in the way
 
     def ranked(self, variants: DataFrame, mode: str, k: int, filtered: Column | None = None, filter_lexical: bool = False) -> DataFrame:
         """(query_id, list_idx, rank, doc) of each variant (query_id, list_idx, text, embedding). ``filtered`` holds
@@ -65,7 +66,9 @@ class Retriever:
             if fine is not None and filter_lexical:
                 # before the k best are taken; the weights of terms stay those of all documents
                 index = lexical.Index(index.postings.join(fine, "doc", "left_semi"), index.terms, index.totals)
-            lists.append(lexical.search(index, keyed.select("v", "text"), k, "v").select("query_id", "rank", "doc").withColumn("side", F.lit(1)))
+            asked, plain = keyed.select("v", "text"), self.pruned is None or (fine is not None and filter_lexical)
+            hits = lexical.search(index, asked, k, "v") if plain else blockmax.search(self.pruned, asked, k, "v").found
+            lists.append(hits.select("query_id", "rank", "doc").withColumn("side", F.lit(1)))
         out = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
         place = F.pmod(F.col("query_id"), F.lit(width))
         return out.select(((F.col("query_id") - place) / width).cast("long").alias("query_id"), (place * 2 + F.col("side")).cast("int").alias("list_idx"), "rank", "doc")
@@ -167,7 +170,7 @@ def assemble(spark: SparkSession, engine: Engine, make_chat=None, embed=None, lo
         raise NotReady(f"no usable index in {collection.lexical(state)}: {e}") from e
     docs = collection.scan(state)
     known = [c for c in docs.columns if c not in ("page_content", "embedding")]
-    retriever = Retriever(docs.select(*known, F.col("page_content").alias("text")), index, docs.select("doc", "embedding"), engine)
+    retriever = Retriever(docs.select(*known, F.col("page_content").alias("text")), index, docs.select("doc", "embedding"), engine, blockmax.load(spark, f"{collection.lexical(state)}/blocks"))
     ask = make_chat or (lambda: models.chat(engine.language))
     reranked = models.scorer(engine.rerank) if logit is None else logit
     return Pipeline(engine, collection, retriever, embed or models.embedder(engine.embedding, query=True), ask, reranked if engine.rerank.enabled else None)

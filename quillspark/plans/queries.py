@@ -117,7 +117,7 @@ def _(spark, sf_dir):
 @register("bm25_topk_pruned", f"WITH {bm25_sql(QUESTIONS, K)} SELECT query_id, rank::INTEGER AS rank, doc, score FROM ranked")
 def _(spark, sf_dir):
     path = f"{work_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    blockmax.save(lexical.build(table(spark, sf_dir, "documents")), path)
+    blockmax.save(table(spark, sf_dir, "documents"), path)
     return blockmax.search(blockmax.load(spark, path), questions(spark, sf_dir), K).found
 
 

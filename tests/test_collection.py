@@ -148,11 +148,12 @@ def test_pruned_equals_plain(spark, tmp_path, seed, docs, words):
     skewed = lambda: vocabulary[min(int(rng.expovariate(6 / words)), words - 1)]
     texts = [(i * 7 - 50, " ".join(skewed() for _ in range(rng.randrange(0, 60)))) for i in range(docs)] + [(10**15, None), (-(10**15), "")]
     texts += [(20_000 + i, texts[min(5, docs - 1)][1]) for i in range(30)]  # ties
-    index = lexical.build(spark.createDataFrame(texts, "doc_id long, text string")).saved(str(tmp_path / "i"))
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    index = lexical.build(documents).saved(str(tmp_path / "i"))
     asked = [(i, " ".join(skewed() for _ in range(rng.randrange(1, 6)))) for i in range(25)] + [(90, None), (91, "unheard")]
     queries = spark.createDataFrame(asked, "query_id long, text string")
     for block in (1, 16):
-        blockmax.save(index, str(tmp_path / f"b{block}"), block)
+        blockmax.save(documents, str(tmp_path / f"b{block}"), block)
         for k in (1, 10):
             got = blockmax.search(blockmax.load(spark, str(tmp_path / f"b{block}")), queries, k)
             assert sorted(map(tuple, got.found.collect())) == sorted(map(tuple, lexical.search(index, queries, k).collect()))
@@ -165,7 +166,7 @@ def test_common_terms_are_skipped(spark, tmp_path):
     """A rare term beside one that every document has: most blocks are never opened."""
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common "), F.when(F.col("id") % 400 == 0, "rare rare").otherwise("other"), F.lit(" filler"), F.repeat(F.lit(" more"), (F.col("id") % 50).cast("int"))).alias("text"))
     index = lexical.build(docs).saved(str(tmp_path / "i"))
-    blockmax.save(index, str(tmp_path / "b"))
+    blockmax.save(docs, str(tmp_path / "b"))
     asked = spark.createDataFrame([(1, "common rare")], "query_id long, text string")
     got = blockmax.search(blockmax.load(spark, str(tmp_path / "b")), asked, 10)
     assert sorted(map(tuple, got.found.collect())) == sorted(map(tuple, lexical.search(index, asked, 10).collect()))
