@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import evaluate, fusion, lexical, query
+from quillspark.session import discarding
 
 log = logging.getLogger("jobs.retrieval_report")
 
@@ -76,6 +77,12 @@ def run(spark: SparkSession, documents: str, questions: str, labels: str, output
     """Writes the report and returns the metrics of all configurations in it, a row for each of them and question.
     Questions without a hit count with empty lists; null texts have no token."""
     config, output = config or Config(), output.rstrip("/")
+    with discarding(spark):
+        _report(spark, documents, questions, labels, output, config)
+    return spark.read.parquet(f"{output}/metrics")
+
+
+def _report(spark: SparkSession, documents: str, questions: str, labels: str, output: str, config: Config) -> None:
     docs = spark.read.parquet(documents)
     asked = spark.read.parquet(questions).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     log.info("read %s documents, %s questions", docs.count(), asked.count())
@@ -96,7 +103,6 @@ def run(spark: SparkSession, documents: str, questions: str, labels: str, output
         done = spark.read.parquet(f"{output}/metrics").where(F.col("config") == one.name)
         _replace(evaluate.summary(done, ("config",)), f"{output}/summary")
         log.info("configuration %s: %s questions", one.name, done.count())
-    return spark.read.parquet(f"{output}/metrics")
 
 
 def _replace(rows: DataFrame, path: str) -> None:

@@ -61,7 +61,7 @@ def save(docs: DataFrame, path: str, block: int = BLOCK, doc: str = "doc_id", te
     placed = lexical.packed(docs, doc, text).withColumn("class", class_).join(F.broadcast(known), "class")
     dealt = placed.select((F.col("start") + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block"), "doc", "dl", "found").repartition("block")
     posting = F.struct("doc", F.col("tf").cast("int").alias("tf"), "dl").alias("x")
-    each = dealt.select("block", "doc", "dl", F.inline("found")).select("term", "block", posting)
+    each = lexical.unpacked(dealt).select("term", "block", posting)
     grouped = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("found"))  # about ``block`` at most
     grouped.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     totals, stored = (spark.read.parquet(f"{path}/{t}") for t in ("totals", "postings"))

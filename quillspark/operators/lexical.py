@@ -59,6 +59,13 @@ def packed(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     return runs.select("doc", "dl", F.transform("at", run).alias("found"))
 
 
+def unpacked(rows: DataFrame) -> DataFrame:
+    """rows with term and tf instead of ``found``. Inlined with an empty row for none: else Spark would test every array for
+    being empty before it is made, by an expression that makes it anew for each of its tokens."""
+    rest = [c for c in rows.columns if c != "found"]
+    return rows.select(*rest, F.inline_outer("found")).where("term is not null")
+
+
 def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
     """Index of documents; those without a token count towards their number and mean length.
 
@@ -66,7 +73,7 @@ def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
     """
     lengths = docs.select(F.size(tokens(F.col(text))).alias("dl"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = packed(docs, doc, text).select("doc", "dl", F.inline("found")).select("term", "doc", "tf", "dl")
+    postings = unpacked(packed(docs, doc, text)).select("term", "doc", "tf", "dl")
     return Index(postings, weights(postings, totals), totals)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Store as Settings
+from ..session import discarding
 from . import blockmax, corpus, ivf, lexical, vector
 
 
@@ -77,6 +78,10 @@ class Collection:
     def add(self, docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | None, text: str = "embedding_text", batch: int = 100, reset: bool = False, approximate: bool = False) -> State:
         """Adds docs as one batch and makes it count. Embeds the column ``text``, which is not kept; without a function
         docs bring an ``embedding``. ``reset``: only these documents are left. ``approximate``: vectors are indexed too."""
+        with discarding(self.spark):
+            return self._add(docs, embed, text, batch, reset, approximate)
+
+    def _add(self, docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | None, text: str, batch: int, reset: bool, approximate: bool) -> State:
         spark, before = self.spark, self.state()
         number = before.batch + 1 if before else 0
         begin = number if reset or not before else before.begin

@@ -16,7 +16,7 @@ from ..config import Engine
 from ..functions import text as X
 from ..operators import answers, blockmax, chunking, corpus, evaluate, fusion, lexical, models, query, store, vector
 from ..operators.html import Options
-from ..session import saved
+from ..session import discarding, saved
 
 
 def build_corpus(pages: DataFrame, toc: DataFrame | None = None, options: Options = Options(), engine: Engine = Engine()) -> DataFrame:
@@ -226,7 +226,11 @@ def ablate_saved(path: str, retriever: Retriever, questions: DataFrame, *args, *
     that a configuration takes its lists from (for all variants) and of its own selection.
     """
     spark, root = questions.sparkSession, path.rstrip("/")
+    with discarding(spark):
+        return _ablate_saved(spark, root, retriever, questions, *args, **kw)
 
+
+def _ablate_saved(spark: SparkSession, root: str, retriever: Retriever, questions: DataFrame, *args, **kw) -> DataFrame:
     def finished(name: str) -> DataFrame | None:
         try:
             rows = spark.read.schema(ABLATED).parquet(f"{root}/{name}")

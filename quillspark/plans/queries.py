@@ -566,7 +566,7 @@ def _(spark, sf_dir):
     path = f"{work_dir(spark)}/sessions-{uuid.uuid4().hex}"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns.repartition(4, F.rand(1)).write.parquet(f"{path}/in")  # turns of a conversation come in different files
-    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    stream = spark.readStream.schema(turns.schema).parquet(f"{path}/in")
     state.kept(state.sessions(stream), f"{path}/out", f"{path}/checkpoint")
     return state.current(spark, f"{path}/out", "conv_id", state.SESSIONS)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,25 @@ def work_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
+_tables: list[str] = []
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``saved`` wrote inside: for work whose results are written elsewhere or collected by its end."""
+    before = len(_tables)
+    try:
+        yield
+    finally:
+        for path in _tables[before:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _tables[before:]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, whoever reads them and whatever is lost."""
     path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -77,6 +77,19 @@ def test_reset_is_one_step(spark, tmp_path, monkeypatch):
     assert ids(c) == ["c050", "c051"] and {p.name for p in (tmp_path / "c" / "docs").iterdir()} == {"batch=1"} and {p.name for p in (tmp_path / "c" / "lexical").iterdir()} == {"1"}
 
 
+def test_tables_on_the_way_are_deleted(spark):
+    from pathlib import Path
+
+    from quillspark.session import discarding, saved
+
+    outside = saved(spark.range(3))
+    with discarding(spark):
+        inside = saved(spark.range(5))
+        files = [f.removeprefix("file://") for f in inside.inputFiles()]
+        assert inside.count() == 5 and all(Path(f).exists() for f in files)
+    assert not any(Path(f).exists() for f in files) and outside.count() == 3
+
+
 def test_unknown_backend(spark):
     with pytest.raises(store.Backend):
         store.open_collection(spark, store.Settings(backend="other"))
