@@ -98,13 +98,14 @@ def small(rows: DataFrame) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, rank from 0, doc, score) of the k best documents of each query; scores above zero only.
 
-    A token that a query repeats counts as often. The queries' terms are few as a rule, and go to the postings
+    A token that a query repeats counts as often. Only postings of the queries' terms go on. These are few as a rule, and go to the postings
     (``small``): then what a document's terms add is summed where its postings lie. Ties go to the smaller document; each
     task keeps a query's k best before the last shuffle.
     """
     asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighted = saved(index.terms.join(small(saved(asked)), "term").select("query_id", "term", "times", "idf"))
-    hits = index.postings.join(small(weighted), "term").join(index.totals.select("avgdl"))
+    wanted = small(saved(weighted.select("term").distinct()))
+    hits = index.postings.join(wanted, "term", "left_semi").join(small(weighted), "term").join(index.totals.select("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
