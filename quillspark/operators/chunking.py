@@ -209,10 +209,11 @@ def markdown_counters(converted: DataFrame) -> DataFrame:
     )
 
 
-def with_toc(pages: DataFrame, toc: DataFrame) -> DataFrame:
-    """pages with toc_title and toc_breadcrumbs by source_file. A file that several tables of contents name has the
-    greatest of its places, so that no page multiplies."""
-    one = toc.groupBy("source_file").agg(F.max(F.struct(F.col("title").alias("toc_title"), F.col("breadcrumbs").alias("toc_breadcrumbs"))).alias("t"))
+def with_toc(pages: DataFrame, toc: DataFrame, order: str | None = None) -> DataFrame:
+    """pages with toc_title and toc_breadcrumbs by source_file. A file that is named several times has its last place
+    by the column ``order``, else the greatest as text, so that no page multiplies."""
+    place = F.struct(F.col("title").alias("toc_title"), F.col("breadcrumbs").alias("toc_breadcrumbs"))
+    one = toc.groupBy("source_file").agg(F.max_by(place, F.struct(order, place) if order else place).alias("t"))
     return pages.join(one.select("source_file", "t.*"), "source_file", "left")
 
 

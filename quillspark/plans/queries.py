@@ -541,9 +541,9 @@ def _(spark, sf_dir):
 @register("toc_enrich", "SELECT p.url AS source_file, p.page_id, CASE WHEN page_id % 3 = 0 THEN coalesce(t.title, '') ELSE 'Own ' || page_id END AS page_title, CASE WHEN page_id % 3 = 1 THEN coalesce(t.breadcrumbs, '') ELSE 'Here' END AS page_breadcrumbs FROM pages p LEFT JOIN (SELECT url, 'Page ' || max(page_id) AS title, 'Help → Page ' || max(page_id) AS breadcrumbs FROM pages WHERE page_id % 2 = 0 GROUP BY url) t ON p.url = t.url")
 def _(spark, sf_dir):
     p = pages(spark, sf_dir)
-    toc = p.where("page_id % 2 = 0").select("source_file", F.concat(F.lit("Page "), "page_id").alias("title"), F.concat(F.lit("Help → Page "), "page_id").alias("breadcrumbs"))
+    toc = p.where("page_id % 2 = 0").select("source_file", "page_id", F.concat(F.lit("Page "), "page_id").alias("title"), F.concat(F.lit("Help → Page "), "page_id").alias("breadcrumbs"))
     own = {"page_title": F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("Own "), "page_id")), "page_breadcrumbs": F.when(F.col("page_id") % 3 == 1, "").otherwise("Here")}
-    return chunking.filled(chunking.with_toc(p.withColumns(own), toc)).select("source_file", "page_id", "page_title", "page_breadcrumbs")
+    return chunking.filled(chunking.with_toc(p.withColumns(own), toc, "page_id")).select("source_file", "page_id", "page_title", "page_breadcrumbs")
 
 
 @register(

@@ -343,3 +343,12 @@ def test_unanswered(spark):
     asked = spark.createDataFrame([(1, "q")], "query_id int, text string")
     none = spark.createDataFrame([], "query_id int, rank int, text string, source_file string, page_title string, section_path string, breadcrumbs string")
     assert query.answered(asked, none, product="P").first()["answer"] == query.NOTHING_FOUND.format(product="P")
+
+
+def test_last_place_in_a_table_of_contents(spark):
+    """Of a file's places the last by number counts, not the greatest as text."""
+    pages = spark.createDataFrame([("a",), ("b",)], "source_file string")
+    toc = spark.createDataFrame([("a", 9, "Page 9", "Help → Page 9"), ("a", 10, "Page 10", "Help → Page 10")], "source_file string, at int, title string, breadcrumbs string")
+    got = {r["source_file"]: (r["toc_title"], r["toc_breadcrumbs"]) for r in chunking.with_toc(pages, toc, "at").collect()}
+    assert got == {"a": ("Page 10", "Help → Page 10"), "b": (None, None)}
+    assert {r["toc_title"] for r in chunking.with_toc(pages, toc).collect()} == {"Page 9", None}
