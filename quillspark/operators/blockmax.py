@@ -59,7 +59,7 @@ def save(docs: DataFrame, path: str, block: int = BLOCK, doc: str = "doc_id", te
     known = spark.createDataFrame(starts, "class int, start long, blocks long")
     spark.createDataFrame([(n, words / n if n else None)], "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{path}/totals")
     placed = lexical.packed(docs, doc, text).withColumn("class", class_).join(F.broadcast(known), "class")
-    dealt = placed.select((F.col("start") + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block"), "doc", "dl", "found").repartition("block")
+    dealt = placed.select((F.col("start") + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block"), "doc", "dl", "words", "tfs").repartition("block")
     posting = F.struct("doc", F.col("tf").cast("int").alias("tf"), "dl").alias("x")
     each = lexical.unpacked(dealt).select("term", "block", posting)
     grouped = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("found"))  # about ``block`` at most
@@ -102,8 +102,7 @@ def _scores(chosen: DataFrame, weighted: DataFrame, blocks: Blocks) -> DataFrame
 
 def search(blocks: Blocks, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> Search:
     """The k best documents of each query, as ``lexical.search`` has them: (query_id, rank from 0, doc, score)."""
-    asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = saved(blocks.terms.join(lexical.small(saved(asked)), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")))
+    weighted = saved(blocks.terms.join(lexical.small(saved(lexical.asked_terms(queries, query, text))), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")))
     reach = F.sum(F.greatest(F.col("w"), F.lit(0.0)) * F.col("top"))
     bounds = saved(blocks.tops.join(lexical.small(weighted), "term").groupBy("query_id", "block").agg(reach.alias("reach")))
     by_reach = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
-from ..functions.text import tokens
 from ..session import saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -15,6 +22,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 #: Rows of a few numbers and a term at most that are sent to all tasks.
 FEW = 500_000
+#: Layout of a saved index.
+VERSION = 2
+#: Queries times terms of a table of weights that each task holds (32 MB), and cells of what it adds up at once.
+DENSE, CELLS = 1 << 22, 1 << 19
+#: Documents whose counts are handed on together.
+SLICE = 256
+#: Words as ``functions.text.tokens`` has them, of lower-case text: letters and numbers of all scripts, and underscores.
+_words = re.compile(r"\w{3,}").findall
 
 
 @dataclass
@@ -22,6 +37,8 @@ class Index:
     postings: DataFrame  # term, doc, tf, dl
     terms: DataFrame  # term, df, idf
     totals: DataFrame  # one row: n_docs, avgdl
+    packed: DataFrame | None = None  # doc, dl, words, tfs: what postings are made of
+    unique: bool = False  # whether ``packed`` is known to hold one row for each document
 
     def saved(self, path: str) -> "Index":
         """The index as it is read back from ``path``: documents are tokenised once."""
@@ -29,41 +46,69 @@ class Index:
         return load(self.totals.sparkSession, path)
 
     def save(self, path: str) -> None:
-        """Tables for postings, terms and totals. Postings stay where their documents are read, sorted by term in each file:
-        nothing is shuffled, pages of other terms can be skipped, and a common term is spread over all files."""
-        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        postings = self.totals.sparkSession.read.parquet(f"{path}/postings")
-        weights(postings, self.totals).write.mode("overwrite").parquet(f"{path}/terms")
-        self.totals.withColumn("version", F.lit(1)).write.mode("overwrite").parquet(f"{path}/totals")
+        """Tables for documents with their counts, terms and totals. A document is one row and stays where it is read:
+        nothing is shuffled but sums by term, and a common term is spread over all files."""
+        spark = self.totals.sparkSession
+        self.packed.write.mode("overwrite").parquet(f"{path}/documents")
+        stored = spark.read.parquet(f"{path}/documents")
+        unique = (F.countDistinct("doc") == F.count("*")).alias("unique")
+        totals = stored.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), unique)
+        totals.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/totals")
+        weighted(frequencies(stored), spark.read.parquet(f"{path}/totals")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load(spark, path: str, expected_docs: int | None = None) -> Index:
     """A saved index; raises if its version or number of documents is not the expected one."""
     totals = spark.read.parquet(f"{path}/totals")
     row = totals.first()
-    if row is None or row["version"] != 1:
+    if row is None or row["version"] != VERSION:
         raise ValueError("unknown index version")
     if expected_docs is not None and row["n_docs"] != expected_docs:
         raise ValueError(f"the index holds {row['n_docs']} documents, not {expected_docs}")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals.drop("version"))
+    stored = spark.read.parquet(f"{path}/documents")
+    return Index(unpacked(stored).select("term", "doc", "tf", "dl"), spark.read.parquet(f"{path}/terms"), totals.select("n_docs", "avgdl"), stored, row["unique"])
 
 
 def packed(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, dl, found: array<struct<term, tf>>): a document's length and counts in one row. Its tokens are sorted, and the
-    runs of equal ones counted."""
-    split = docs.select(F.col(doc).alias("doc"), F.sort_array(tokens(F.col(text))).alias("ts")).withColumn("dl", F.size("ts"))
-    first = lambda x, i: (i == 0) | (x != F.get("ts", i - 1))
-    at = F.filter(F.transform("ts", lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull())
-    runs = split.withColumn("at", at)
-    run = lambda s, j: F.struct(F.get("ts", s).alias("term"), (F.coalesce(F.get("at", j + 1), F.col("dl")) - s).cast("long").alias("tf"))
-    return runs.select("doc", "dl", F.transform("at", run).alias("found"))
+    """(doc, dl, words, tfs): a document's length, its different words, joined by blanks, and how often each stands there.
+    Spark's functions of arrays are interpreted token by token, so words are counted in Arrow batches; joined, they cross
+    between Spark and Python as one value."""
+    rows = docs.select(F.col(doc).alias("doc"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                words, tfs, ends, lengths = [], [], [0], []
+                for x in part.column(1):
+                    counts = Counter(_words(x.as_py()))
+                    words.append(" ".join(counts))
+                    tfs += counts.values()
+                    ends.append(len(tfs))
+                    lengths.append(counts.total())
+                times = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tfs, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int32()), pa.array(words, pa.string()), times], ["doc", "dl", "words", "tfs"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *T._parse_datatype_string("dl int, words string, tfs array<int>")]))
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
-    """rows with term and tf instead of ``found``. Inlined with an empty row for none: else Spark would test every array for
-    being empty before it is made, by an expression that makes it anew for each of its tokens."""
-    rest = [c for c in rows.columns if c != "found"]
-    return rows.select(*rest, F.inline_outer("found")).where("term is not null")
+    """rows with term and tf instead of ``words`` and ``tfs``. Inlined with an empty row for none: else Spark would test every
+    array for being empty before it is made, by an expression that makes it anew for each of its tokens."""
+    rest = [c for c in rows.columns if c not in ("words", "tfs")]
+    each = F.arrays_zip(F.split("words", " ").alias("term"), F.col("tfs").cast("array<long>").alias("tf"))
+    return rows.select(*rest, F.inline_outer(each)).where("tf is not null")
+
+
+def frequencies(rows: DataFrame) -> DataFrame:
+    """(term, df) of ``packed`` documents: summed in each batch, then by term."""
+
+    def run(batches):
+        for batch in batches:
+            counted = pc.split_pattern(batch.column(0), " ").flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["term", "df"])
+
+    return rows.where("dl > 0").select("words").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
@@ -71,15 +116,9 @@ def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
 
     Postings are made from ``packed`` documents without a shuffle, and document frequencies are summed map-side.
     """
-    lengths = docs.select(F.size(tokens(F.col(text))).alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = unpacked(packed(docs, doc, text)).select("term", "doc", "tf", "dl")
-    return Index(postings, weights(postings, totals), totals)
-
-
-def weights(postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """(term, df, idf) of postings."""
-    return weighted(postings.groupBy("term").agg(F.count("*").alias("df")), totals)
+    rows = packed(docs, doc, text)
+    totals = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return Index(unpacked(rows).select("term", "doc", "tf", "dl"), weighted(frequencies(rows), totals), totals, rows)
 
 
 def weighted(df: DataFrame, totals: DataFrame) -> DataFrame:
@@ -95,18 +134,100 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
+def asked_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_id, term, times): words are counted as those of documents are."""
+    each = unpacked(packed(queries, query, text)).select(F.col("doc").alias("query_id"), "term", "tf")
+    return each.groupBy("query_id", "term").agg(F.sum("tf").alias("times"))
+
+
 def search(index: Index, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, rank from 0, doc, score) of the k best documents of each query; scores above zero only.
 
-    A token that a query repeats counts as often. Only postings of the queries' terms go on. These are few as a rule, and go to the postings
+    A token that a query repeats counts as often. Of a saved index whose documents lie in one row each, documents are
+    scored row by row, and each task hands on its k best of a query (``_best``); else, or where queries are too many for
+    that, only postings of the queries' terms go on. These are few as a rule, and go to the postings
     (``small``): then what a document's terms add is summed where its postings lie. Ties go to the smaller document; each
     task keeps a query's k best before the last shuffle.
     """
-    asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = saved(index.terms.join(small(saved(asked)), "term").select("query_id", "term", "times", "idf"))
-    wanted = small(saved(weighted.select("term").distinct()))
-    hits = index.postings.join(wanted, "term", "left_semi").join(small(weighted), "term").join(index.totals.select("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
+    weighted = saved(index.terms.join(small(saved(asked_terms(queries, query, text))), "term").select("query_id", "term", "times", "idf"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+    n = weighted.agg(F.countDistinct("query_id").alias("queries"), F.countDistinct("term").alias("terms"), F.count("*").alias("rows")).first()
+    if index.unique and isinstance(index.packed.schema["doc"].dataType, (T.IntegerType, T.LongType)) and n["queries"] * n["terms"] <= DENSE and n["rows"] <= FEW:
+        scored = _best(index, weighted, k)
+    else:
+        wanted = small(saved(weighted.select("term").distinct()))
+        hits = index.postings.join(wanted, "term", "left_semi").join(small(weighted), "term").join(index.totals.select("avgdl"))
+        part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = hits.groupBy("query_id", "doc").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
     return scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k).select("query_id", (F.col("__n") - 1).alias("rank"), "doc", "score")
+
+
+def _best(index: Index, weighted: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc, score) of the k best documents that each task finds for each query.
+
+    ``weighted`` is small (``DENSE``, ``FEW``) and goes to all tasks as a table of terms by queries. A document's counts
+    are one row, so its scores are sums of rows of that table and no hit leaves its task.
+    """
+    asked = weighted.select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")).toArrow().combine_chunks()
+    ids, words = (pc.dictionary_encode(asked[c], null_encoding="encode").combine_chunks() for c in ("query_id", "term"))
+    ids, words = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, words))
+    table = np.zeros((len(words.dictionary), len(ids.dictionary)))
+    table[words.indices.to_numpy(), ids.indices.to_numpy()] = asked["w"].to_numpy()
+    known, names, avgdl = words.dictionary, ids.dictionary, index.totals.first()["avgdl"]
+    rows = index.packed.where("dl > 0").select("doc", "dl", "words", "tfs")
+    schema = T.StructType([weighted.schema["query_id"], rows.schema["doc"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(table, known, names, avgdl, k), schema)
+
+
+def _scorer(table: np.ndarray, known: pa.Array, names: pa.Array, avgdl: float | None, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores documents (doc, dl, words, tfs) by a table of known terms by queries; the k best of each query."""
+
+    def run(batches):
+        n = table.shape[1]
+        least = np.zeros(n)
+        q, s, d = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kind = None
+
+        def keep(most: int) -> None:
+            nonlocal q, s, d
+            if sum(len(x[0]) for x in more) <= most:
+                return
+            q, s, d = (np.concatenate(x) for x in zip((q, s, d), *more))
+            more.clear()
+            order = np.lexsort((d, -s, q))
+            q, s, d = q[order], s[order], d[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == k - 1
+            least[q[last]] = s[last]
+            q, s, d = (x[place < k] for x in (q, s, d))
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            docs, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            terms, tfs = pc.split_pattern(batch.column(2), " "), batch.column(3)
+            at = pc.index_in(terms.flatten(), value_set=known)
+            hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            if not n or not len(hit):
+                continue
+            at = at.fill_null(0).to_numpy()[hit]
+            tf = tfs.flatten().to_numpy()[hit].astype(float)
+            of = np.repeat(np.arange(len(docs)), terms.value_lengths().to_numpy())[hit]
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[of] / avgdl))
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            step, i = max(1, CELLS // n), 0
+            while i < len(starts):  # documents whose hits are ``step`` at most, or a single one
+                j = max(i + 1, int(np.searchsorted(starts, starts[i] + step, "right")) - 1)
+                j = len(starts) if len(hit) - starts[i] <= step else j
+                a, b = starts[i], starts[j] if j < len(starts) else len(hit)
+                sums = np.add.reduceat(table[at[a:b]] * part[a:b, None], starts[i:j] - a, axis=0)
+                scores = np.floor(sums * 10**DIGITS + 0.5) / 10**DIGITS
+                x, y = np.nonzero((scores > 0) & (scores >= least))
+                more.append((y, scores[x, y], docs[of[starts[i:j]]][x].astype(np.int64)))
+                keep(1 << 16)
+                i = j
+        keep(0)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(d).cast(kind), pa.array(s)], ["query_id", "doc", "score"])
+
+    return run

@@ -519,3 +519,30 @@ def test_single_page_read(spark, tmp_path):
     (tmp_path / "p.html").write_bytes(GOOD.encode())
     assert plans.build_corpus(sources.read_html(spark, str(tmp_path), 1), options=Options()).count() == 1
     assert spark.createDataFrame([("a b",)], "t string").select(X.tokens(F.col("t"))).first()[0] == []
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_saved_index_scores_documents_where_they_lie(spark, tmp_path, monkeypatch, parts):
+    """Rows are those of the joins, with ties, small slices, empty texts and more than one list in a task; no hit is shuffled."""
+    rows = [(i, f"common w{i % 7}xx w{i % 3}yy común м²и " + "often " * (i % 4)) for i in range(300)] + [(300, None), (301, "ab ..")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    asked = spark.createDataFrame([(1, "w3xx COMÚN often often"), (2, "w1yy w5xx М²И"), (3, "nothing"), (None, "w2xx")], "query_id long, text string")
+    index = lexical.build(docs).saved(str(tmp_path / "i"))
+    monkeypatch.setattr(lexical, "CELLS", 40)
+    for k in (5, 400):
+        got = lexical.search(index, asked, k)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
+        plain = lexical.search(lexical.build(docs), asked, k)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+    assert {r["query_id"] for r in got.collect()} == {1, 2, None}
+
+
+def test_saved_index_of_repeated_documents(spark, tmp_path):
+    """Where a document is more than one row, its parts are summed before the best are taken."""
+    docs = spark.createDataFrame([(1, "cat"), (1, "cat dog"), (2, "cat cat"), (3, "bird")] + [(i, "fish") for i in range(4, 9)], "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "cat")], "query_id long, text string")
+    index = lexical.build(docs).saved(str(tmp_path / "i"))
+    assert not index.unique
+    assert lexical.search(index, asked, 1).first()["doc"] == 1
+    assert sorted(map(tuple, lexical.search(index, asked, 5).collect())) == sorted(map(tuple, lexical.search(lexical.build(docs), asked, 5).collect()))
