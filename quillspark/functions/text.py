@@ -42,7 +42,12 @@ def source_url(base: str, source_file: Column) -> Column:
 #: White space as Unicode text has it, for both regex dialects.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]"
-ADJACENT_BOLD = (rf"\*\*([^*]+)\*\*{SPACE}*\*\*([^*]+)\*\*", r"**\1 \2**")
+#: The characters of SPACE.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ADJACENT_BOLD = (rf"\*\*([^*]++)\*\*{SPACE}*+\*\*([^*]++)\*\*", r"**\1 \2**")
+#: Several blanks inside a line. Patterns begin with what is rare, and look back from there: a class of characters or a look
+#: behind in front is tried at every character of a text.
+INNER_BLANKS = (rf"  (?<!{SPACE}  )(?<!^  ) *+(?!{SPACE})(?!$)", " ")
 #: The normalisation of a chunk's Markdown, as patterns and what replaces them, in order.
 CHUNK_RULES = [
     (r"\*\*\*\*", "★"),
@@ -56,7 +61,7 @@ CHUNK_RULES = [
     (rf"\*\*{SPACE}*\*\*", " "),
     (r"\*{3,}", "**"),
     (r" +([.,:;!?)])", r"\1"),
-    (rf"(?<!{SPACE})(?<!^) {{2,}}(?!{SPACE})(?!$)", " "),
+    INNER_BLANKS,
     (r"[ \t]+(?=\n)", ""),
     (r"\n{3,}", "\n\n"),
 ]
@@ -69,12 +74,13 @@ PAGE_RULES = [
     (rf"\*{{2,}}{SPACE}*\*{{2,}}", ""),
     (r"\*{4,}", "**"),
     (r"\*{3}([^*]+)\*{3}", r"**\1**"),
-    (rf"(?<!{SPACE})(?<!^){SPACE}+\*\*", "**"),
+    (rf"(?![!-\x84]){SPACE}(?<!{SPACE}{{2}})(?<!^{SPACE}){SPACE}*+\*\*", "**"),
     (rf"\*\*{SPACE}+(?!{SPACE})(?!$)", "**"),
-    (r"([а-яА-ЯёЁa-zA-Z0-9,.])\*\*([а-яА-ЯёЁa-zA-Z0-9])", r"\1 **\2"),
-    (r"([а-яА-ЯёЁa-zA-Z0-9])\*\*([а-яА-ЯёЁa-zA-Z(])", r"\1** \2"),
+    # the character in front is not one that the match before has taken
+    (r"\*\*(?<!\G\*\*)(?<=[а-яА-ЯёЁa-zA-Z0-9,.]\*\*)([а-яА-ЯёЁa-zA-Z0-9])", r" **\1"),
+    (r"\*\*(?<!\G\*\*)(?<=[а-яА-ЯёЁa-zA-Z0-9]\*\*)([а-яА-ЯёЁa-zA-Z(])", r"** \1"),
     (r" +([.,:;!?)])", r"\1"),
-    (rf"(?<!{SPACE})(?<!^) {{2,}}(?!{SPACE})(?!$)", " "),
+    INNER_BLANKS,
     (r"[ \t]+(?=\n)", ""),
 ]
 #: What is replaced in a table's cell before its bars are escaped and its white space squeezed.
@@ -96,7 +102,7 @@ def ruled(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space at both ends, as Unicode has it."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$(?!\n)", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def markdown_normalised(text: Column) -> Column:

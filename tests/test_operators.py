@@ -352,3 +352,26 @@ def test_last_place_in_a_table_of_contents(spark):
     got = {r["source_file"]: (r["toc_title"], r["toc_breadcrumbs"]) for r in chunking.with_toc(pages, toc, "at").collect()}
     assert got == {"a": ("Page 10", "Help → Page 10"), "b": (None, None)}
     assert {r["toc_title"] for r in chunking.with_toc(pages, toc).collect()} == {"Page 9", None}
+
+
+def test_rules_of_markdown_begin_with_what_is_rare(spark):
+    """The rules that were rewritten do what their plain forms do, in Spark and in Python, and are not tried at every character."""
+    import regex
+
+    s, w = X.SPACE, "[а-яА-ЯёЁa-zA-Z0-9]"
+    plain = [
+        (rf"(?<!{s})(?<!^){s}+\*\*", "**"), (rf"({w}|[,.])\*\*({w})", r"\1 **\2"), (rf"({w})\*\*([а-яА-ЯёЁa-zA-Z(])", r"\1** \2"),
+        (rf"(?<!{s})(?<!^) {{2,}}(?!{s})(?!$)", " "), (rf"\*\*([^*]+)\*\*{s}*\*\*([^*]+)\*\*", r"**\1 \2**"),
+    ]
+    fast = [X.PAGE_RULES[7], X.PAGE_RULES[9], X.PAGE_RULES[10], X.INNER_BLANKS, X.ADJACENT_BOLD]
+    rng = random.Random(5)
+    pick = lambda: rng.choice(["**", "*", " ", "  ", "\n", "\t", "a", "ж", ".", "(", "9", " ", "\x85", "é", "🐈", "a**b**"])
+    texts = ["".join(pick() for _ in range(rng.randrange(14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", *[X.ruled(F.col("t"), [r]) for r in plain + fast], X.trimmed(F.col("t"))).collect()
+    for r in rows:
+        want = tuple(regex.sub(p, to, r[0]) for p, to in plain)
+        assert tuple(r[1:6]) == tuple(r[6:11]) == tuple(regex.sub(p, to, r[0]) for p, to in fast) == want, r[0]
+        assert r[11] == r[0].strip(X.SPACES)
+    assert {c for c in map(chr, range(0x10000)) if regex.fullmatch(s, c)} == set(X.SPACES)
+    assert not any(p.startswith(("([", "(?<")) for p, _ in X.PAGE_RULES)
