@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,9 @@ from ..config import Chunking
 from . import html as H
 
 DROPPED = {"FOOTER", "ANCHOR", "LOCAL_TOC"}
+#: Pages or texts whose results are handed on together: they are several times as large as what comes in, and Spark sends
+#: thousands of rows at once.
+SLICE = 128
 _rule = re.compile(r"\|[\s\-:|]+\|").fullmatch
 
 CHUNKS = "id string, text string, char_count int, token_count_approx int, source_file string, page_title string, breadcrumbs string, section_title string, section_path string, block_types array<string>, has_table boolean, has_image boolean, has_procedure boolean, chunk_index int"
@@ -124,19 +126,21 @@ def chunk_page(source_file: str, title: str, crumbs: str, blocks: list[tuple[str
 def blocks(pages: DataFrame, options: H.Options = H.Options(), file: str = "source_file", html: str = "html") -> DataFrame:
     """Typed blocks of pages with their position; a page that cannot be converted is one row with its error."""
 
+    arrow = to_arrow_schema(T._parse_datatype_string(BLOCKS))
+    cols = arrow.names
+
     def run(batches):
-        cols = [x.split()[0] for x in BLOCKS.split(", ")]
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
-            for name, page in zip(batch[file], batch[html]):
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     title, crumbs, found = H.page_blocks(page, options)
                     rows += [(name, title, crumbs, i, k, md, h, c, len(md), None) for i, (k, md, h, c) in enumerate(found)]
                 except Exception as e:  # one bad page must not end the job
                     rows.append((name, "", "", -1, "", "", "", [], 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=cols)
+            yield pa.RecordBatch.from_pylist([dict(zip(cols, r)) for r in rows], arrow)
 
-    return pages.select(file, html).mapInPandas(run, BLOCKS)
+    return pages.select(file, html).mapInArrow(run, BLOCKS)
 
 
 def page_results(pages: DataFrame, options: H.Options = H.Options(), size: Chunking = Chunking(), file: str = "source_file", html: str = "html", toc: bool = False) -> DataFrame:
@@ -158,7 +162,7 @@ def page_results(pages: DataFrame, options: H.Options = H.Options(), size: Chunk
             return {"source_file": name, "status": "error", "error": f"{type(e).__name__}: {e}", "chunks": []}
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [result(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
@@ -187,18 +191,20 @@ MARKDOWN = "source_file string, markdown string, error string"
 def markdown(pages: DataFrame, options: H.Options = H.Options(), file: str = "source_file", html: str = "html") -> DataFrame:
     """(source_file, markdown, error): whole pages; those that are null or without a content root have no Markdown."""
 
+    arrow = to_arrow_schema(T._parse_datatype_string(MARKDOWN))
+
     def run(batches):
         make = H.Converter(options)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
-            for name, page in zip(batch[file], batch[html]):
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     rows.append((name, make.page(page) if page else None, None))
                 except Exception as e:  # one bad page must not end the job
                     rows.append((name, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["source_file", "markdown", "error"])
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], arrow)
 
-    return pages.select(file, html).mapInPandas(run, MARKDOWN)
+    return pages.select(file, html).mapInArrow(run, MARKDOWN)
 
 
 def markdown_counters(converted: DataFrame) -> DataFrame:
@@ -232,19 +238,24 @@ def section_ids(lines: DataFrame, page: str, pos: str, starts: str, title: str)
 
 def split_tables(tables: DataFrame, markdown: str = "markdown", target: int = 1500) -> DataFrame:
     """tables with ``parts``: rows packed greedily up to the target, under the header each time."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: split_table(x or "", target))
-
-    return tables.withColumn("parts", run(markdown))
+    return _with_parts(tables, markdown, lambda x: split_table(x, target))
 
 
 def pack_lines(docs: DataFrame, text: str = "text", target: int = 1500) -> DataFrame:
     """docs with ``parts``: lines packed greedily up to the target."""
+    return _with_parts(docs, text, lambda x: split_text(x, target, "\n"))
+
+
+def _with_parts(rows: DataFrame, column: str, split: Callable[[str], list[str]]) -> DataFrame:
+    def run(batches):
+        for batch in _slices(batches):
+            parts = [split(x or "") for x in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.string()))], [*batch.schema.names, "parts"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("parts", T.ArrayType(T.StringType()))]))
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: split_text(x or "", target, "\n"))
 
-    return docs.withColumn("parts", run(text))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)

@@ -375,3 +375,17 @@ def test_rules_of_markdown_begin_with_what_is_rare(spark):
         assert r[11] == r[0].strip(X.SPACES)
     assert {c for c in map(chr, range(0x10000)) if regex.fullmatch(s, c)} == set(X.SPACES)
     assert not any(p.startswith(("([", "(?<")) for p, _ in X.PAGE_RULES)
+
+
+def test_pages_in_slices(spark):
+    """Results of many pages are handed on some pages at a time, and none is lost; null pages and texts are kept."""
+    import pyarrow as pa
+
+    parts = [b.column(0).to_pylist() for b in chunking._slices(iter([pa.RecordBatch.from_pydict({"x": list(range(300))})] * 2))]
+    assert max(map(len, parts)) == chunking.SLICE and sum(parts, []) == [*range(300)] * 2
+    n = 2 * chunking.SLICE + 1
+    pages = spark.range(n).coalesce(1).selectExpr("concat('p', id) AS source_file").withColumn("html", F.when(F.col("source_file") != "p3", PAGE))
+    assert chunking.blocks(pages).select("source_file").distinct().count() == n - 1
+    assert chunking.page_results(pages).count() == n and chunking.markdown(pages).where("markdown is not null").count() == n - 1
+    got = chunking.pack_lines(pages.select("source_file", F.when(F.col("html").isNotNull(), "a\nb").alias("text"))).collect()
+    assert {r["source_file"]: r["parts"] for r in got} == {f"p{i}": ["a\nb"] if i != 3 else [""] for i in range(n)}
