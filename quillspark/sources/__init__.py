@@ -85,7 +85,7 @@ WALK = """
 WITH RECURSIVE walk(toc, node, path, names, seen) AS (
   SELECT toc, node, array(position), CASE WHEN title <> '' THEN array(title) ELSE cast(array() AS array<string>) END, array(node) FROM {nodes} WHERE parent IS NULL
   UNION ALL
-  SELECT n.toc, n.node, concat(w.path, array(n.position)), CASE WHEN n.title <> '' THEN concat(w.names, array(n.title)) ELSE w.names END, concat(w.seen, array(n.node))
+  SELECT /*+ MERGE(w, n) */ n.toc, n.node, concat(w.path, array(n.position)), CASE WHEN n.title <> '' THEN concat(w.names, array(n.title)) ELSE w.names END, concat(w.seen, array(n.node))
   FROM walk w JOIN {nodes} n ON n.toc = w.toc AND n.parent = w.node WHERE NOT array_contains(w.seen, n.node))
 SELECT * FROM walk"""
 
@@ -111,7 +111,8 @@ def walk_toc(nodes: DataFrame, depth: int = 100) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     parents = known.where("parent is not null").select("toc", F.col("parent").alias("node"), F.lit(True).alias("has_children")).distinct()
-    rows = walked.join(known, ["toc", "node"]).join(parents, ["toc", "node"], "left").where("source_file <> ''")
+    # all of these grow with the tables of contents: none is collected for a broadcast
+    rows = walked.hint("merge").join(known, ["toc", "node"]).join(parents.hint("merge"), ["toc", "node"], "left").where("source_file <> ''")
     fields = F.struct("title", F.array_join("names", " → ").alias("breadcrumbs"), "level", "topic_type", F.coalesce("has_children", F.lit(False)).alias("has_children"))
     return rows.groupBy("toc", "source_file").agg(F.max_by(fields, "path").alias("r")).select("toc", "source_file", "r.*")
 

@@ -389,3 +389,11 @@ def test_pages_in_slices(spark):
     assert chunking.page_results(pages).count() == n and chunking.markdown(pages).where("markdown is not null").count() == n - 1
     got = chunking.pack_lines(pages.select("source_file", F.when(F.col("html").isNotNull(), "a\nb").alias("text"))).collect()
     assert {r["source_file"]: r["parts"] for r in got} == {f"p{i}": ["a\nb"] if i != 3 else [""] for i in range(n)}
+
+
+def test_walk_without_broadcast(spark):
+    """Nothing that grows with the tables of contents is collected on the driver."""
+    nodes = spark.createDataFrame([("t", 1, None, 0, "A", "a", 0, ""), ("t", 2, 1, 0, "B", "b", 1, "")], "toc string, node int, parent int, position int, title string, source_file string, level int, topic_type string")
+    got = sources.walk_toc(nodes)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and "MERGE" in sources.WALK
+    assert sorted((r["source_file"], r["breadcrumbs"], r["has_children"]) for r in got.collect()) == [("a", "A", True), ("b", "A → B", False)]
