@@ -1,80 +1,100 @@
-"""BM25 with pruned postings: blocks of documents, the best that a term gives in a block, and two passes.
+"""BM25 with pruned postings: blocks of documents, the most that a term may give in a block, and two passes.
 
-Documents lie in blocks of about ``BLOCK`` documents of like length (scores depend on it). For a term and a block the index keeps one row of
-postings and, in a table of its own, the largest part of a score that the term gives to a document there. The bounds of
-a query's terms, summed by block, say what a document of the block can reach at most. The first pass scores the most
-promising blocks and so learns what the k-th best document has at least; the second scores only blocks whose bound
-reaches that. Rows are those of ``lexical.search``: bounds are never too low, and ties at the threshold are scored.
+Documents lie in blocks of about ``BLOCK`` documents of like length (scores depend on it). A block's first row also holds the
+words of the whole block and the largest count of each: read as a document of the block's least length, it scores what a
+document of the block can reach at most. The first pass scores the most promising blocks and so learns what the k-th best
+document has at least; the second scores only blocks whose bound reaches that. Rows are those of ``lexical.search``: bounds
+are never too low, and ties at the threshold are scored.
 
-Scaling. A common term gives a query a row for each block, not for each document that holds it, and the postings of
-blocks that cannot matter are neither unpacked nor shuffled. A block's postings are bounded by its documents.
+Scaling. Blocks are made where documents are read, of the rows that come together, and the tables are those of a lexical index
+with three more columns: nothing is shuffled but sums by term, and a collection keeps one copy of its counts for both searches.
+A search reads the blocks' words, then all rows in their order; only the best of each task leave it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import tokens
 from ..session import saved
 from . import lexical
 
-#: Documents of a block, about; length classes a doubling.
-BLOCK, CLASSES = 16, 8
+#: Documents of a block at most, and blocks whose words are put together at once.
+BLOCK, TOGETHER = 16, 64
 #: Scores are rounded to ``lexical.DIGITS``: what a bound may be short of a rounded threshold.
 SLACK = 2.0 * 10.0**-lexical.DIGITS
+#: Columns beside those of ``lexical.packed``: a block's number (null: no words), and in its first row all words and their largest counts.
+COLUMNS = "block long, heads string, most array<int>"
 
 
 @dataclass
 class Blocks:
-    tops: DataFrame  # term, block, n, top
-    postings: DataFrame  # term, block, found: array<struct<doc, tf, dl>>
-    terms: DataFrame  # term, df, idf
-    avgdl: float
-
-
-def _part(tf: Column, dl: Column, avgdl: Column) -> Column:
-    """What a posting adds to a score, but for the term's weight and how often it is asked."""
-    return tf * (lexical.K1 + 1) / (tf + lexical.K1 * (1 - lexical.B + lexical.B * dl / avgdl))
-
-
-def save(docs: DataFrame, path: str, block: int = BLOCK, doc: str = "doc_id", text: str = "text") -> None:
-    """Writes the tables that ``load`` reads, of documents as ``lexical.build`` takes them.
-
-    Documents are dealt to classes of length, and in these to blocks by a hash: so a document tells its block by itself, but
-    for the sizes of the classes, of which there are ``CLASSES`` for each doubling. They are shuffled once, by block, with
-    their counts in one row; postings are made and grouped where the block is.
-    """
-    spark = docs.sparkSession
-    class_ = F.floor(F.log2(F.col("dl") + 1.0) * CLASSES).cast("int").alias("class")
-    lengths = docs.select(F.size(tokens(F.col(text))).alias("dl"))
-    # a row for each class: a few hundred at most
-    sizes = lengths.groupBy(class_).agg(F.count("*").alias("n"), F.sum("dl").alias("words")).orderBy("class").collect()
-    n, words, starts, at = sum(r["n"] for r in sizes), sum(r["words"] for r in sizes), [], 0
-    for r in sizes:
-        starts.append((r["class"], at, -(-r["n"] // block)))
-        at += -(-r["n"] // block)
-    known = spark.createDataFrame(starts, "class int, start long, blocks long")
-    spark.createDataFrame([(n, words / n if n else None)], "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{path}/totals")
-    placed = lexical.packed(docs, doc, text).withColumn("class", class_).join(F.broadcast(known), "class")
-    dealt = placed.select((F.col("start") + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block"), "doc", "dl", "words", "tfs").repartition("block")
-    posting = F.struct("doc", F.col("tf").cast("int").alias("tf"), "dl").alias("x")
-    each = lexical.unpacked(dealt).select("term", "block", posting)
-    grouped = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("x")).alias("found"))  # about ``block`` at most
-    grouped.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
-    totals, stored = (spark.read.parquet(f"{path}/{t}") for t in ("totals", "postings"))
-    best = F.array_max(F.transform("found", lambda x: _part(x["tf"], x["dl"], F.col("avgdl"))))
-    tops = stored.join(totals.select("avgdl")).select("term", "block", F.size("found").alias("n"), best.alias("top"))  # one row on the right
-    tops.write.mode("overwrite").parquet(f"{path}/tops")
-    df = spark.read.parquet(f"{path}/tops").groupBy("term").agg(F.sum("n").alias("df"))
-    lexical.weighted(df, totals).write.mode("overwrite").parquet(f"{path}/terms")
-
-
-def load(spark: SparkSession, path: str) -> Blocks:
-    avgdl = spark.read.parquet(f"{path}/totals").first()["avgdl"]
-    return Blocks(*(spark.read.parquet(f"{path}/{t}") for t in ("tops", "postings", "terms")), avgdl or 0.0)
+    index: lexical.Index  # ``packed`` has ``COLUMNS`` too
+
+
+def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``lexical.packed`` rows with ``COLUMNS``. Rows that come together are ordered by length and cut into blocks."""
+
+    def heads(part: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+        """Words and their largest counts of each block of the rows."""
+        terms = pc.split_pattern(part.column(2), " ")
+        coded = terms.flatten().dictionary_encode()
+        n = len(coded.dictionary)
+        key = np.repeat(np.arange(part.num_rows) // block, terms.value_lengths().to_numpy()) * n + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        most = np.maximum.reduceat(part.column(3).flatten().to_numpy()[order], starts)
+        ends = pa.array(np.searchsorted(key[starts] // n, np.arange(-(-part.num_rows // block) + 1)), pa.int32())
+        words = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key[starts] % n)))
+        return pc.binary_join(words, " "), pa.ListArray.from_arrays(ends, pa.array(most, pa.int32()))
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            dl = batch.column(1).to_numpy()
+            order = np.argsort(dl, kind="stable")
+            none, at = int((dl == 0).sum()), 0
+            while at < batch.num_rows:
+                end = none if at < none else min(batch.num_rows, at + block * TOGETHER)
+                part = batch.take(pa.array(order[at:end]))
+                n, at = part.num_rows, end
+                if end <= none:
+                    more = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))]
+                else:
+                    words, most = heads(part)
+                    place = pa.array(np.arange(n) // block, mask=np.arange(n) % block > 0)
+                    more = [pa.array(number + np.arange(n) // block), words.take(place), most.take(place)]
+                    number += -(-n // block)
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "block", "heads", "most"])
+
+    rows = rows.select("doc", "dl", "words", "tfs")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string(COLUMNS)]))
+
+
+def save(docs: DataFrame, path: str, block: int = BLOCK, doc: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> None:
+    """Writes the tables that ``load`` and ``lexical.load`` read, of documents as ``lexical.build`` takes them, and of ``known``
+    ones that are ``packed`` already."""
+    rows = lexical.build(docs, doc, text).packed
+    if known is not None:
+        rows = known.select("doc", "dl", "words", "tfs").unionByName(rows)
+    lexical.write(dealt(rows, block), path)
+
+
+def load(spark: SparkSession, path: str, expected_docs: int | None = None) -> Blocks:
+    """Saved blocks; raises as ``lexical.load`` does, and if the index has none."""
+    index = lexical.load(spark, path, expected_docs)
+    if "heads" not in index.packed.columns:
+        raise ValueError("an index without blocks")
+    return Blocks(index)
 
 
 @dataclass
@@ -83,35 +103,103 @@ class Search:
 
     found: DataFrame
     chosen: DataFrame  # query_id, block of the blocks that are scored
-    weighted: DataFrame  # query_id, term, w
+    weighted: DataFrame  # query_id, term, times, idf
     blocks: Blocks
 
     def read(self) -> DataFrame:
         """(scored, postings): postings that were scored for all queries, and those that all their terms have."""
-        of = self.weighted.join(self.blocks.tops, "term")
-        return of.join(self.chosen.withColumn("hit", F.lit(True)), ["query_id", "block"], "left").agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("scored"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+        each = lexical.unpacked(self.blocks.index.packed.where("dl > 0").select("block", "words", "tfs"))
+        of = each.join(lexical.small(self.weighted), "term").groupBy("query_id", "block").agg(F.count("*").alias("n"))
+        hit = self.chosen.distinct().withColumn("hit", F.lit(True))
+        return of.join(hit, ["query_id", "block"], "left").agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("scored"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+
 
+def _reaching(bounds: lexical.Weights, least: np.ndarray) -> Callable:
+    """(query_id, doc) of blocks, read as documents, whose bound reaches what a query's best have at least."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for rows, reach in bounds.scores(*bounds.hits(batch.column(1).to_numpy(), batch.column(2), batch.column(3))):
+                x, y = np.nonzero((reach > 0) & (reach >= least - SLACK))
+                yield pa.RecordBatch.from_arrays([bounds.names.take(pa.array(y)), pa.array(ids[rows[x]])], ["query_id", "block"])
+
+    return run
+
+
+def _scorer(weights: lexical.Weights, bounds: lexical.Weights, k: int, least: np.ndarray, pairs: dict[int, np.ndarray] | None = None) -> Callable:
+    """Scores documents (doc, dl, words, tfs, block, heads, most) in order of their blocks; the k best of each query.
+
+    A block is scored for the queries that ``pairs`` names, or without these for all whose ``least`` its bound reaches. Rows
+    whose block begins in another task have no bound here and are scored for all queries.
+    """
 
-def _scores(chosen: DataFrame, weighted: DataFrame, blocks: Blocks) -> DataFrame:
-    """(query_id, doc, score) of all documents in the chosen blocks (query_id, block); scores above zero only."""
-    asked = blocks.postings.join(lexical.small(weighted), "term").join(lexical.small(chosen), ["query_id", "block"])
-    hits = asked.select("query_id", "w", F.explode("found").alias("x")).select("query_id", "w", "x.*")
-    part = _part(F.col("tf"), F.col("dl"), F.lit(blocks.avgdl))
-    return hits.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("w") * part), lexical.DIGITS).alias("score")).where("score > 0")
+    def run(batches):
+        n = weights.table.shape[1]
+        best, kind, block, wanted = lexical.Best(n, k, least), None, None, np.ones(n, bool)
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, BLOCK * TOGETHER):
+                batch = whole.slice(at, BLOCK * TOGETHER)
+                ids, docs, dl = batch.column(4).to_numpy(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                starts = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+                ends = np.r_[starts[1:], len(ids)]
+                reached = np.zeros((len(starts), n), bool)
+                first = batch.column(5).is_valid().to_numpy(zero_copy_only=False)[starts]
+                if pairs is not None:
+                    for i, b in enumerate(ids[starts]):
+                        reached[i, pairs.get(int(b), ())] = True
+                else:
+                    rows = pa.array(starts[first])
+                    for x, reach in bounds.scores(*bounds.hits(dl[starts[first]], batch.column(5).take(rows), batch.column(6).take(rows))):
+                        reached[np.flatnonzero(first)[x]] = (reach > 0) & (reach >= best.least - SLACK)
+                    for i in np.flatnonzero(~first):  # at most the first: it goes on, or began elsewhere
+                        reached[i] = wanted if ids[starts[i]] == block else True
+                block, wanted = ids[-1], reached[-1]
+                of, hit, part = weights.hits(dl, batch.column(2), batch.column(3))
+                lows, highs = np.searchsorted(of, starts), np.searchsorted(of, ends)
+                for i in np.flatnonzero(reached.any(1) & (highs > lows)):
+                    a, b = lows[i], highs[i]
+                    only = None if reached[i].all() else np.flatnonzero(reached[i])
+                    floor = best.least if only is None else best.least[only]
+                    for rows, scores in weights.scores(of[a:b], hit[a:b], part[a:b], only):
+                        x, y = np.nonzero((scores > 0) & (scores >= floor))
+                        if len(x):
+                            best.add(y if only is None else only[y], scores[x, y], docs[rows[x]].astype(np.int64))
+        yield from lexical.handed(best, weights.names, kind)
+
+    return run
 
 
 def search(blocks: Blocks, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> Search:
-    """The k best documents of each query, as ``lexical.search`` has them: (query_id, rank from 0, doc, score)."""
-    weighted = saved(blocks.terms.join(lexical.small(saved(lexical.asked_terms(queries, query, text))), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")))
-    reach = F.sum(F.greatest(F.col("w"), F.lit(0.0)) * F.col("top"))
-    bounds = saved(blocks.tops.join(lexical.small(weighted), "term").groupBy("query_id", "block").agg(reach.alias("reach")))
-    by_reach = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")
-    first = saved(bounds.withColumn("r", F.row_number().over(by_reach)).where(F.col("r") <= k).select("query_id", "block"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    some = saved(_scores(first, weighted, blocks).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k))
-    least = some.where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
-    open_ = bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("reach") >= F.col("least") - SLACK))
-    rest = saved(open_.join(first, ["query_id", "block"], "left_anti").select("query_id", "block"))
-    both = some.select("query_id", "doc", "score").unionByName(_scores(rest, weighted, blocks))
-    found = both.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k).select("query_id", (F.col("__n") - 1).alias("rank"), "doc", "score")
-    return Search(found, first.unionByName(rest), weighted, blocks)
+    """The k best documents of each query, as ``lexical.search`` has them: (query_id, rank from 0, doc, score). Where that
+    cannot score documents row by row (``lexical.dense``), all blocks are scored, and rows are made by its joins."""
+    index = blocks.index
+    weighted = saved(lexical.weights(index, queries, query, text))
+    rows = index.packed.where("dl > 0").select("doc", "dl", "words", "tfs", "block", "heads", "most")
+    tops = rows.where("heads is not null").select(F.col("block").alias("doc"), "dl", F.col("heads").alias("words"), F.col("most").alias("tfs"))
+    if not lexical.dense(index, weighted, k):
+        every = weighted.select("query_id").distinct().crossJoin(tops.select(F.col("doc").alias("block")))
+        return Search(lexical.search(index, queries, k, query, text), every, weighted, blocks)
+    weights = lexical.table(index, weighted)
+    bounds = lexical.Weights(np.maximum(weights.table, 0), weights.known, weights.names, weights.avgdl)
+    places = {q: i for i, q in enumerate(weights.names.to_pylist())}
+
+    def best(scored: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+        return scored.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
+
+    # k blocks of each query at most, and their k-th scores
+    promising = best(tops.mapInArrow(lexical.scorer(bounds, k), lexical.scored_as(weighted, tops))).select("query_id", F.col("doc").alias("block")).collect()
+    pairs: dict[int, list[int]] = {}
+    for r in promising:
+        pairs.setdefault(r["block"], []).append(places[r["query_id"]])
+    first = rows.sparkSession.createDataFrame(promising, T.StructType([weighted.schema["query_id"], T.StructField("block", T.LongType())]))
+    named = {b: np.array(q) for b, q in pairs.items()}
+    schema, least = lexical.scored_as(weighted, rows), np.zeros(len(places))
+    some = rows.join(F.broadcast(first.select("block").distinct()), "block", "left_semi").select(*rows.columns)
+    for r in best(some.mapInArrow(_scorer(weights, bounds, k, least, named), schema)).where(F.col("__n") == k).collect():
+        least[places[r["query_id"]]] = r["score"]
+    chosen = tops.mapInArrow(_reaching(bounds, least), T.StructType([weighted.schema["query_id"], T.StructField("block", T.LongType())]))
+    found = best(rows.mapInArrow(_scorer(weights, bounds, k, least), schema)).select("query_id", (F.col("__n") - 1).alias("rank"), "doc", "score")
+    return Search(found, chosen.unionByName(first), weighted, blocks)

@@ -46,15 +46,20 @@ class Index:
         return load(self.totals.sparkSession, path)
 
     def save(self, path: str) -> None:
-        """Tables for documents with their counts, terms and totals. A document is one row and stays where it is read:
-        nothing is shuffled but sums by term, and a common term is spread over all files."""
-        spark = self.totals.sparkSession
-        self.packed.write.mode("overwrite").parquet(f"{path}/documents")
-        stored = spark.read.parquet(f"{path}/documents")
-        unique = (F.countDistinct("doc") == F.count("*")).alias("unique")
-        totals = stored.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), unique)
-        totals.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/totals")
-        weighted(frequencies(stored), spark.read.parquet(f"{path}/totals")).write.mode("overwrite").parquet(f"{path}/terms")
+        """Tables as ``write`` makes them."""
+        write(self.packed, path)
+
+
+def write(rows: DataFrame, path: str) -> None:
+    """Tables of ``packed`` rows, which may have further columns: documents with their counts, terms and totals. A document is
+    one row and stays where it is read: nothing is shuffled but sums by term, and a common term is spread over all files."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/documents")
+    stored = spark.read.parquet(f"{path}/documents")
+    unique = (F.countDistinct("doc") == F.count("*")).alias("unique")
+    totals = stored.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), unique)
+    totals.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/totals")
+    weighted(frequencies(stored), spark.read.parquet(f"{path}/totals")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load(spark, path: str, expected_docs: int | None = None) -> Index:
@@ -140,6 +145,18 @@ def asked_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
     return each.groupBy("query_id", "term").agg(F.sum("tf").alias("times"))
 
 
+def weights(index: Index, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_id, term, times, idf) of the queries' terms that the index has."""
+    return index.terms.join(small(saved(asked_terms(queries, query, text))), "term").select("query_id", "term", "times", "idf")
+
+
+def dense(index: Index, weighted: DataFrame, k: int = 1) -> bool:
+    """Whether documents can be scored row by row: each is one row, and the weights and ``k`` rows a query are few enough to
+    go to all tasks."""
+    n = weighted.agg(F.countDistinct("query_id").alias("queries"), F.countDistinct("term").alias("terms"), F.count("*").alias("rows")).first()
+    return bool(index.unique) and isinstance(index.packed.schema["doc"].dataType, (T.IntegerType, T.LongType)) and n["queries"] * n["terms"] <= DENSE and max(n["rows"], n["queries"] * k) <= FEW
+
+
 def search(index: Index, queries: DataFrame, k: int = 20, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, rank from 0, doc, score) of the k best documents of each query; scores above zero only.
 
@@ -149,10 +166,9 @@ def search(index: Index, queries: DataFrame, k: int = 20, query: str = "query_id
     (``small``): then what a document's terms add is summed where its postings lie. Ties go to the smaller document; each
     task keeps a query's k best before the last shuffle.
     """
-    weighted = saved(index.terms.join(small(saved(asked_terms(queries, query, text))), "term").select("query_id", "term", "times", "idf"))
+    weighted = saved(weights(index, queries, query, text))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    n = weighted.agg(F.countDistinct("query_id").alias("queries"), F.countDistinct("term").alias("terms"), F.count("*").alias("rows")).first()
-    if index.unique and isinstance(index.packed.schema["doc"].dataType, (T.IntegerType, T.LongType)) and n["queries"] * n["terms"] <= DENSE and n["rows"] <= FEW:
+    if dense(index, weighted):
         scored = _best(index, weighted, k)
     else:
         wanted = small(saved(weighted.select("term").distinct()))
@@ -162,72 +178,109 @@ def search(index: Index, queries: DataFrame, k: int = 20, query: str = "query_id
     return scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k).select("query_id", (F.col("__n") - 1).alias("rank"), "doc", "score")
 
 
+@dataclass
+class Weights:
+    """Weights of terms by queries, as each task holds them."""
+
+    table: np.ndarray  # a row for each term, a column for each query
+    known: pa.Array  # terms
+    names: pa.Array  # ids of queries
+    avgdl: float | None
+
+    def hits(self, dl: np.ndarray, words: pa.Array, tfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the row, place of the term, its part of a score but for the weight) of the known terms of rows."""
+        terms = pc.split_pattern(words, " ")
+        at = pc.index_in(terms.flatten(), value_set=self.known)
+        hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        tf = tfs.flatten().to_numpy()[hit].astype(float)
+        of = np.repeat(np.arange(len(dl)), terms.value_lengths().to_numpy())[hit]
+        return of, at.fill_null(0).to_numpy()[hit], tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[of] / self.avgdl)) if len(hit) else tf
+
+    def scores(self, of: np.ndarray, at: np.ndarray, part: np.ndarray, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their scores by query) of ``hits``, some rows at a time; of the queries ``only``, if given."""
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        step, i = max(1, CELLS // max(1, self.table.shape[1] if only is None else len(only))), 0
+        while i < len(starts):  # rows whose hits are ``step`` at most, or a single one
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + step, "right")) - 1)
+            j = len(starts) if len(of) - starts[i] <= step else j
+            a, b = starts[i], starts[j] if j < len(starts) else len(of)
+            taken = self.table[at[a:b]] if only is None else self.table[np.ix_(at[a:b], only)]
+            sums = np.add.reduceat(taken * part[a:b, None], starts[i:j] - a, axis=0)
+            yield of[starts[i:j]], np.floor(sums * 10**DIGITS + 0.5) / 10**DIGITS
+            i = j
+
+
+class Best:
+    """The k best documents of each of n queries among those that are added; ties to the smaller document. ``least``: what a
+    document must have to be among them, as far as is known."""
+
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
+        self.k, self.least = k, np.zeros(n) if least is None else least.copy()
+        self.kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
+        self.more.append((queries, scores, docs))
+        self.waiting += len(queries)
+        if self.waiting > 1 << 16:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, scores, documents) so far."""
+        q, s, d = (np.concatenate(x) for x in zip(self.kept, *self.more))
+        order = np.lexsort((d, -s, q))
+        q, s, d = q[order], s[order], d[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.least[q[last]] = s[last]
+        self.kept, self.waiting = tuple(x[place < self.k] for x in (q, s, d)), 0
+        self.more.clear()
+        return self.kept
+
+
+def table(index: Index, weighted: DataFrame) -> Weights:
+    """``weights`` for the tasks; they are few (``dense``)."""
+    asked = weighted.select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")).toArrow().combine_chunks()
+    ids, words = (pc.dictionary_encode(asked[c], null_encoding="encode").combine_chunks() for c in ("query_id", "term"))
+    ids, words = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, words))
+    cells = np.zeros((len(words.dictionary), len(ids.dictionary)))
+    cells[words.indices.to_numpy(), ids.indices.to_numpy()] = asked["w"].to_numpy()
+    return Weights(cells, words.dictionary, ids.dictionary, index.totals.first()["avgdl"])
+
+
 def _best(index: Index, weighted: DataFrame, k: int) -> DataFrame:
     """(query_id, doc, score) of the k best documents that each task finds for each query.
 
-    ``weighted`` is small (``DENSE``, ``FEW``) and goes to all tasks as a table of terms by queries. A document's counts
+    ``weighted`` is small (``dense``) and goes to all tasks as a table of terms by queries. A document's counts
     are one row, so its scores are sums of rows of that table and no hit leaves its task.
     """
-    asked = weighted.select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")).toArrow().combine_chunks()
-    ids, words = (pc.dictionary_encode(asked[c], null_encoding="encode").combine_chunks() for c in ("query_id", "term"))
-    ids, words = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, words))
-    table = np.zeros((len(words.dictionary), len(ids.dictionary)))
-    table[words.indices.to_numpy(), ids.indices.to_numpy()] = asked["w"].to_numpy()
-    known, names, avgdl = words.dictionary, ids.dictionary, index.totals.first()["avgdl"]
     rows = index.packed.where("dl > 0").select("doc", "dl", "words", "tfs")
-    schema = T.StructType([weighted.schema["query_id"], rows.schema["doc"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(table, known, names, avgdl, k), schema)
+    return rows.mapInArrow(scorer(table(index, weighted), k), scored_as(weighted, rows))
 
 
-def _scorer(table: np.ndarray, known: pa.Array, names: pa.Array, avgdl: float | None, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores documents (doc, dl, words, tfs) by a table of known terms by queries; the k best of each query."""
+def scored_as(weighted: DataFrame, rows: DataFrame) -> T.StructType:
+    return T.StructType([weighted.schema["query_id"], rows.schema["doc"], T.StructField("score", T.DoubleType())])
 
-    def run(batches):
-        n = table.shape[1]
-        least = np.zeros(n)
-        q, s, d = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        kind = None
-
-        def keep(most: int) -> None:
-            nonlocal q, s, d
-            if sum(len(x[0]) for x in more) <= most:
-                return
-            q, s, d = (np.concatenate(x) for x in zip((q, s, d), *more))
-            more.clear()
-            order = np.lexsort((d, -s, q))
-            q, s, d = q[order], s[order], d[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            last = place == k - 1
-            least[q[last]] = s[last]
-            q, s, d = (x[place < k] for x in (q, s, d))
 
+def scorer(weights: Weights, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores rows (doc, dl, words, tfs); the k best of each query."""
+
+    def run(batches):
+        best, kind = Best(weights.table.shape[1], k), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            docs, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            terms, tfs = pc.split_pattern(batch.column(2), " "), batch.column(3)
-            at = pc.index_in(terms.flatten(), value_set=known)
-            hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-            if not n or not len(hit):
-                continue
-            at = at.fill_null(0).to_numpy()[hit]
-            tf = tfs.flatten().to_numpy()[hit].astype(float)
-            of = np.repeat(np.arange(len(docs)), terms.value_lengths().to_numpy())[hit]
-            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[of] / avgdl))
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            step, i = max(1, CELLS // n), 0
-            while i < len(starts):  # documents whose hits are ``step`` at most, or a single one
-                j = max(i + 1, int(np.searchsorted(starts, starts[i] + step, "right")) - 1)
-                j = len(starts) if len(hit) - starts[i] <= step else j
-                a, b = starts[i], starts[j] if j < len(starts) else len(hit)
-                sums = np.add.reduceat(table[at[a:b]] * part[a:b, None], starts[i:j] - a, axis=0)
-                scores = np.floor(sums * 10**DIGITS + 0.5) / 10**DIGITS
-                x, y = np.nonzero((scores > 0) & (scores >= least))
-                more.append((y, scores[x, y], docs[of[starts[i:j]]][x].astype(np.int64)))
-                keep(1 << 16)
-                i = j
-        keep(0)
-        if len(q):
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(d).cast(kind), pa.array(s)], ["query_id", "doc", "score"])
+            docs = batch.column(0).to_numpy()
+            for rows, scores in weights.scores(*weights.hits(batch.column(1).to_numpy(), batch.column(2), batch.column(3))):
+                x, y = np.nonzero((scores > 0) & (scores >= best.least))
+                best.add(y, scores[x, y], docs[rows[x]].astype(np.int64))
+        yield from handed(best, weights.names, kind)
 
     return run
+
+
+def handed(best: Best, names: pa.Array, kind: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+    """What a task has found (query_id, doc, score), if it has."""
+    q, s, d = best.settle()
+    if len(q):
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(d).cast(kind), pa.array(s)], ["query_id", "doc", "score"])

@@ -187,6 +187,39 @@ def test_common_terms_are_skipped(spark, tmp_path):
     assert scored < 0.1 * postings
 
 
+def shuffled(spark):
+    """Bytes that this session has shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    return sum(e.totalShuffleWrite() for e in [spark.sparkContext._jsc.sc().statusStore().executorSummary("driver")])
+
+
+def test_pruned_index_does_not_shuffle_documents(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"word{rng.randrange(400)}" for _ in range(150))) for i in range(4000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8).localCheckpoint()
+    before = shuffled(spark)
+    blockmax.save(docs, str(tmp_path / "b"))
+    assert shuffled(spark) - before < 0.1 * sum(len(t) for _, t in texts)
+
+
+def test_pruned_with_other_ids_and_lost_heads(spark, tmp_path):
+    """Ids that are strings or repeated, and blocks that begin in another task."""
+    rng = random.Random(6)
+    texts = [(i, " ".join(f"word{int(rng.expovariate(0.2))}" for _ in range(rng.randrange(1, 40)))) for i in range(300)]
+    whole = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"word{i} word{i * 7 % 20} word30") for i in range(12)], "query_id long, text string")
+    for name, docs in (("text", whole.withColumn("doc_id", F.format_string("d%03d", "doc_id"))), ("twice", whole.withColumn("doc_id", F.col("doc_id") % 100))):
+        blockmax.save(docs, str(tmp_path / name))
+        got = blockmax.search(blockmax.load(spark, str(tmp_path / name)), asked, 5)
+        assert sorted(map(tuple, got.found.collect())) == sorted(map(tuple, lexical.search(lexical.build(docs), asked, 5).collect()))
+    blockmax.save(whole, str(tmp_path / "b"), 4)
+    blocks = blockmax.load(spark, str(tmp_path / "b"))
+    lost = F.pmod(F.xxhash64("block"), F.lit(2)) == 0
+    blocks.index.packed = blocks.index.packed.withColumns({c: F.when(~lost, F.col(c)) for c in ("heads", "most")})
+    got = blockmax.search(blocks, asked, 5)
+    assert sorted(map(tuple, got.found.collect())) == sorted(map(tuple, lexical.search(lexical.build(whole), asked, 5).collect()))
+
+
 # index of vectors
 
 
