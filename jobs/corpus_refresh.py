@@ -4,8 +4,8 @@
 
 Each run takes the files of IN that no earlier run has taken (a file stream with a checkpoint), drops documents with stop
 patterns and those that are too short, keeps the first document of each text over all runs, and adds the rest to
-OUT/corpus, partitioned by batch and language. OUT/postings and OUT/frequencies, by batch too, are the lexical index of
-what was added: ``index`` puts all batches together, and is searched like one that was built at once. OUT/batches holds
+OUT/corpus, partitioned by batch and language. OUT/counts and OUT/frequencies, by batch too, are the lexical index of
+what was added (OUT/postings holds that of batches of older versions): ``index`` puts all batches together, and is searched like one that was built at once. OUT/batches holds
 what each batch has read and kept.
 
 A batch owns its partitions: one that is run again, because a run broke after it had written and before it was committed,
@@ -15,7 +15,8 @@ of an earlier batch always comes first.
 
 Scaling. Texts are shuffled once, by their key, within a batch. Of the corpus only the keys are read, and of these only
 the ones that the batch also has go on to the second join (a semi-join first, which Spark may prune with a Bloom filter).
-Documents are tokenized once, when they come; terms' weights are sums of a row for each batch and term.
+Words of a document are counted once, when it comes, and kept as one row, so that no row for each word of each document is
+made, sorted or written; terms' weights are sums of a row for each batch and term.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ log = logging.getLogger("jobs.corpus_refresh")
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CORPUS = "doc_id long, chunk_id string, source_file string, lang string, text string, text_key string, char_count long, n_tokens int, batch int, folder string"
 BATCHES = "n_read long, n_kept long, batch int"
-POSTINGS, FREQUENCIES = "term string, doc string, tf long, dl int, batch int", "term string, df long, batch int"
-TABLES = {"corpus": (CORPUS, ["batch", "folder"]), "postings": (POSTINGS, ["batch"]), "frequencies": (FREQUENCIES, ["batch"]), "batches": (BATCHES, ["batch"])}
+COUNTS, FREQUENCIES = "doc string, dl int, words string, tfs array<int>, batch int", "term string, df long, batch int"
+#: What batches of older versions have instead of counts.
+POSTINGS = "term string, doc string, tf long, dl int, batch int"
+TABLES = {"corpus": (CORPUS, ["batch", "folder"]), "counts": (COUNTS, ["batch"]), "postings": (POSTINGS, ["batch"]), "frequencies": (FREQUENCIES, ["batch"]), "batches": (BATCHES, ["batch"])}
 #: How much older than the newest file one may be that is still taken.
 MAX_FILE_AGE = "36500d"
 #: Folder of documents without a language.
@@ -75,8 +78,10 @@ def index(spark: SparkSession, output: str) -> lexical.Index:
     """The lexical index of the whole corpus; documents are named by chunk_id."""
     totals = read(spark, output).agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
     df = spark.read.schema(FREQUENCIES).parquet(f"{output}/frequencies").groupBy("term").agg(F.sum("df").alias("df"))
-    postings = spark.read.schema(POSTINGS).parquet(f"{output}/postings").drop("batch")
-    return lexical.Index(postings, lexical.weighted(df, totals), totals)
+    counts = spark.read.schema(COUNTS).parquet(f"{output}/counts")
+    old = spark.read.schema(POSTINGS).parquet(f"{output}/postings").join(counts.select("batch").distinct(), "batch", "left_anti")
+    columns = ["term", "doc", "tf", "dl"]
+    return lexical.Index(lexical.unpacked(counts).select(*columns).unionByName(old.select(*columns)), lexical.weighted(df, totals), totals)
 
 
 def cleaned(docs: DataFrame, config: Config) -> DataFrame:
@@ -109,9 +114,9 @@ def add_batch(docs: DataFrame, number: int, output: str, config: Config) -> tupl
     # one or a few files for each language, however many rows it has
     _replace(new.hint("rebalance", "folder"), "corpus", output)
     added = read(spark, output).where(F.col("batch") == number)
-    _replace(lexical.build(added, "chunk_id").postings.sortWithinPartitions("term").withColumn("batch", F.lit(number)), "postings", output)
-    postings = spark.read.schema(POSTINGS).parquet(f"{output}/postings").where(F.col("batch") == number)
-    _replace(postings.groupBy("term", "batch").agg(F.count("*").alias("df")).select("term", "df", "batch"), "frequencies", output)
+    _replace(lexical.packed(added, "chunk_id").where("dl > 0").withColumn("batch", F.lit(number)), "counts", output)
+    counts = spark.read.schema(COUNTS).parquet(f"{output}/counts").where(F.col("batch") == number)
+    _replace(lexical.frequencies(counts).withColumn("batch", F.lit(number)), "frequencies", output)
     n_read, n_kept = docs.count(), added.count()
     row = spark.range(1).select(F.lit(n_read).cast("long").alias("n_read"), F.lit(n_kept).cast("long").alias("n_kept"), F.lit(number).alias("batch"))
     _replace(row, "batches", output)

@@ -78,6 +78,23 @@ def test_index_of_all_batches(spark, tmp_path):
     assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, built.collect())) and grown.count() == 20
 
 
+def test_index_is_a_row_a_document(spark, tmp_path):
+    """A batch writes a row for each document, not for each of its words; batches of older versions have postings instead."""
+    docs, out = tmp_path / "in", str(tmp_path / "out")
+    put(spark, [doc(i, f"own{i} " + " ".join(f"word{i * j % 23}" for j in range(1, 12))) for i in range(60)] + [doc(99, "a b")], docs)
+    whole = corpus_refresh.run(spark, str(docs), out, config=CONFIG)
+    read = lambda table: spark.read.parquet(f"{out}/{table}/batch=0")
+    assert read("counts").count() == 60 and not glob.glob(f"{out}/postings/batch=*")
+    asked = spark.createDataFrame([(1, "word3 word7"), (2, "word22 word1 word1")], "query_id long, text string")
+    built = sorted(map(tuple, lexical.search(lexical.build(whole, "chunk_id"), asked, 10).collect()))
+    assert sorted(map(tuple, lexical.search(corpus_refresh.index(spark, out), asked, 10).collect())) == built
+    lexical.unpacked(read("counts")).select("term", "doc", "tf", "dl").write.parquet(f"{out}/postings/batch=0")
+    assert sorted(map(tuple, lexical.search(corpus_refresh.index(spark, out), asked, 10).collect())) == built  # not twice
+    os.rename(f"{out}/counts/batch=0", str(tmp_path / "gone"))
+    spark.catalog.refreshByPath(out)
+    assert sorted(map(tuple, lexical.search(corpus_refresh.index(spark, out), asked, 10).collect())) == built
+
+
 def test_refresh_goes_on_after_a_broken_batch(spark, tmp_path, monkeypatch):
     """A run that breaks after the write and before the commit is repeated and leaves one copy of everything."""
     docs, out = tmp_path / "in", str(tmp_path / "out")
