@@ -13,7 +13,7 @@ A search reads the blocks' words, then all rows in their order; only the best of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import saved
+from ..session import saved, small_batches
 from . import lexical
 
 #: Documents of a block at most, and blocks whose words are put together at once.
 BLOCK, TOGETHER = 16, 64
+#: Rows that are cut into blocks together, about, and their bytes.
+GATHER, HELD = 4096, 8 << 20
 #: Scores are rounded to ``lexical.DIGITS``: what a bound may be short of a rounded threshold.
 SLACK = 2.0 * 10.0**-lexical.DIGITS
 #: Columns beside those of ``lexical.packed``: a block's number (null: no words), and in its first row all words and their largest counts.
@@ -40,8 +42,8 @@ class Blocks:
     index: lexical.Index  # ``packed`` has ``COLUMNS`` too
 
 
-def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``lexical.packed`` rows with ``COLUMNS``. Rows that come together are ordered by length and cut into blocks."""
+def dealer(block: int = BLOCK) -> Callable:
+    """Gives ``lexical.packed`` batches ``COLUMNS``. Rows that come together are ordered by length and cut into blocks."""
 
     def heads(part: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
         """Words and their largest counts of each block of the rows."""
@@ -59,7 +61,7 @@ def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches):
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in gathered(batches):
             dl = batch.column(1).to_numpy()
             order = np.argsort(dl, kind="stable")
             none, at = int((dl == 0).sum()), 0
@@ -76,17 +78,29 @@ def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                     number += -(-n // block)
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "block", "heads", "most"])
 
-    rows = rows.select("doc", "dl", "words", "tfs")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T._parse_datatype_string(COLUMNS)]))
+    return run
+
+
+def gathered(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of some thousand rows, fewer of long ones."""
+    parts, n, held = [], 0, 0
+    for batch in lexical.sliced(batches):
+        parts.append(batch)
+        n, held = n + batch.num_rows, held + batch.nbytes
+        if n >= GATHER or held >= HELD:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+            parts, n, held = [], 0, 0
+    if n:
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
 
 def save(docs: DataFrame, path: str, block: int = BLOCK, doc: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> None:
     """Writes the tables that ``load`` and ``lexical.load`` read, of documents as ``lexical.build`` takes them, and of ``known``
     ones that are ``packed`` already."""
-    rows = lexical.build(docs, doc, text).packed
+    rows = lexical.build(docs, doc, text, (dealer(block), COLUMNS)).packed
     if known is not None:
-        rows = known.select("doc", "dl", "words", "tfs").unionByName(rows)
-    lexical.write(dealt(rows, block), path)
+        rows = known.select("doc", "dl", "words", "tfs").mapInArrow(dealer(block), rows.schema).unionByName(rows)
+    lexical.write(rows, path)
 
 
 def load(spark: SparkSession, path: str, expected_docs: int | None = None) -> Blocks:
@@ -118,7 +132,7 @@ def _reaching(bounds: lexical.Weights, least: np.ndarray) -> Callable:
     """(query_id, doc) of blocks, read as documents, whose bound reaches what a query's best have at least."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lexical.sliced(batches):
             ids = batch.column(0).to_numpy()
             for rows, reach in bounds.scores(*bounds.hits(batch.column(1).to_numpy(), batch.column(2), batch.column(3))):
                 x, y = np.nonzero((reach > 0) & (reach >= least - SLACK))
@@ -137,35 +151,33 @@ def _scorer(weights: lexical.Weights, bounds: lexical.Weights, k: int, least: np
     def run(batches):
         n = weights.table.shape[1]
         best, kind, block, wanted = lexical.Best(n, k, least), None, None, np.ones(n, bool)
-        for whole in batches:
-            kind = whole.schema.field(0).type
-            for at in range(0, whole.num_rows, BLOCK * TOGETHER):
-                batch = whole.slice(at, BLOCK * TOGETHER)
-                ids, docs, dl = batch.column(4).to_numpy(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                starts = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
-                ends = np.r_[starts[1:], len(ids)]
-                reached = np.zeros((len(starts), n), bool)
-                first = batch.column(5).is_valid().to_numpy(zero_copy_only=False)[starts]
-                if pairs is not None:
-                    for i, b in enumerate(ids[starts]):
-                        reached[i, pairs.get(int(b), ())] = True
-                else:
-                    rows = pa.array(starts[first])
-                    for x, reach in bounds.scores(*bounds.hits(dl[starts[first]], batch.column(5).take(rows), batch.column(6).take(rows))):
-                        reached[np.flatnonzero(first)[x]] = (reach > 0) & (reach >= best.least - SLACK)
-                    for i in np.flatnonzero(~first):  # at most the first: it goes on, or began elsewhere
-                        reached[i] = wanted if ids[starts[i]] == block else True
-                block, wanted = ids[-1], reached[-1]
-                of, hit, part = weights.hits(dl, batch.column(2), batch.column(3))
-                lows, highs = np.searchsorted(of, starts), np.searchsorted(of, ends)
-                for i in np.flatnonzero(reached.any(1) & (highs > lows)):
-                    a, b = lows[i], highs[i]
-                    only = None if reached[i].all() else np.flatnonzero(reached[i])
-                    floor = best.least if only is None else best.least[only]
-                    for rows, scores in weights.scores(of[a:b], hit[a:b], part[a:b], only):
-                        x, y = np.nonzero((scores > 0) & (scores >= floor))
-                        if len(x):
-                            best.add(y if only is None else only[y], scores[x, y], docs[rows[x]].astype(np.int64))
+        for batch in lexical.sliced(batches):
+            kind = batch.schema.field(0).type
+            ids, docs, dl = batch.column(4).to_numpy(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+            ends = np.r_[starts[1:], len(ids)]
+            reached = np.zeros((len(starts), n), bool)
+            first = batch.column(5).is_valid().to_numpy(zero_copy_only=False)[starts]
+            if pairs is not None:
+                for i, b in enumerate(ids[starts]):
+                    reached[i, pairs.get(int(b), ())] = True
+            else:
+                rows = pa.array(starts[first])
+                for x, reach in bounds.scores(*bounds.hits(dl[starts[first]], batch.column(5).take(rows), batch.column(6).take(rows))):
+                    reached[np.flatnonzero(first)[x]] = (reach > 0) & (reach >= best.least - SLACK)
+                for i in np.flatnonzero(~first):  # at most the first: it goes on, or began elsewhere
+                    reached[i] = wanted if ids[starts[i]] == block else True
+            block, wanted = ids[-1], reached[-1]
+            of, hit, part = weights.hits(dl, batch.column(2), batch.column(3))
+            lows, highs = np.searchsorted(of, starts), np.searchsorted(of, ends)
+            for i in np.flatnonzero(reached.any(1) & (highs > lows)):
+                a, b = lows[i], highs[i]
+                only = None if reached[i].all() else np.flatnonzero(reached[i])
+                floor = best.least if only is None else best.least[only]
+                for rows, scores in weights.scores(of[a:b], hit[a:b], part[a:b], only):
+                    x, y = np.nonzero((scores > 0) & (scores >= floor))
+                    if len(x):
+                        best.add(y if only is None else only[y], scores[x, y], docs[rows[x]].astype(np.int64))
         yield from lexical.handed(best, weights.names, kind)
 
     return run
@@ -189,17 +201,18 @@ def search(blocks: Blocks, queries: DataFrame, k: int = 20, query: str = "query_
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
         return scored.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
 
-    # k blocks of each query at most, and their k-th scores
-    promising = best(tops.mapInArrow(lexical.scorer(bounds, k), lexical.scored_as(weighted, tops))).select("query_id", F.col("doc").alias("block")).collect()
-    pairs: dict[int, list[int]] = {}
-    for r in promising:
-        pairs.setdefault(r["block"], []).append(places[r["query_id"]])
-    first = rows.sparkSession.createDataFrame(promising, T.StructType([weighted.schema["query_id"], T.StructField("block", T.LongType())]))
-    named = {b: np.array(q) for b, q in pairs.items()}
-    schema, least = lexical.scored_as(weighted, rows), np.zeros(len(places))
-    some = rows.join(F.broadcast(first.select("block").distinct()), "block", "left_semi").select(*rows.columns)
-    for r in best(some.mapInArrow(_scorer(weights, bounds, k, least, named), schema)).where(F.col("__n") == k).collect():
-        least[places[r["query_id"]]] = r["score"]
-    chosen = tops.mapInArrow(_reaching(bounds, least), T.StructType([weighted.schema["query_id"], T.StructField("block", T.LongType())]))
-    found = best(rows.mapInArrow(_scorer(weights, bounds, k, least), schema)).select("query_id", (F.col("__n") - 1).alias("rank"), "doc", "score")
+    with small_batches(rows.sparkSession):
+        # k blocks of each query at most, and their k-th scores
+        promising = best(tops.mapInArrow(lexical.scorer(bounds, k), lexical.scored_as(weighted, tops))).select("query_id", F.col("doc").alias("block")).collect()
+        pairs: dict[int, list[int]] = {}
+        for r in promising:
+            pairs.setdefault(r["block"], []).append(places[r["query_id"]])
+        first = rows.sparkSession.createDataFrame(promising, T.StructType([weighted.schema["query_id"], T.StructField("block", T.LongType())]))
+        named = {b: np.array(q) for b, q in pairs.items()}
+        schema, least = lexical.scored_as(weighted, rows), np.zeros(len(places))
+        some = rows.join(F.broadcast(first.select("block").distinct()), "block", "left_semi").select(*rows.columns)
+        for r in best(some.mapInArrow(_scorer(weights, bounds, k, least, named), schema)).where(F.col("__n") == k).collect():
+            least[places[r["query_id"]]] = r["score"]
+        chosen = tops.mapInArrow(_reaching(bounds, least), T.StructType([weighted.schema["query_id"], T.StructField("block", T.LongType())]))
+        found = saved(best(rows.mapInArrow(_scorer(weights, bounds, k, least), schema)).select("query_id", (F.col("__n") - 1).alias("rank"), "doc", "score"))
     return Search(found, chosen.unionByName(first), weighted, blocks)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-from ..session import saved
+from ..session import saved, small_batches
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Scores are compared at this many digits: sums in another order must not reorder ties.
@@ -54,7 +54,8 @@ def write(rows: DataFrame, path: str) -> None:
     """Tables of ``packed`` rows, which may have further columns: documents with their counts, terms and totals. A document is
     one row and stays where it is read: nothing is shuffled but sums by term, and a common term is spread over all files."""
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}/documents")
+    with small_batches(spark):
+        rows.write.mode("overwrite").parquet(f"{path}/documents")
     stored = spark.read.parquet(f"{path}/documents")
     unique = (F.countDistinct("doc") == F.count("*")).alias("unique")
     totals = stored.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), unique)
@@ -74,11 +75,16 @@ def load(spark, path: str, expected_docs: int | None = None) -> Index:
     return Index(unpacked(stored).select("term", "doc", "tf", "dl"), spark.read.parquet(f"{path}/terms"), totals.select("n_docs", "avgdl"), stored, row["unique"])
 
 
-def packed(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+#: What makes other rows of ``packed`` ones, in the task that counts them, and the columns that it adds.
+Arranged = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
+
+
+def packed(docs: DataFrame, doc: str = "doc_id", text: str = "text", arranged: Arranged | None = None) -> DataFrame:
     """(doc, dl, words, tfs): a document's length, its different words, joined by blanks, and how often each stands there.
     Spark's functions of arrays are interpreted token by token, so words are counted in Arrow batches; joined, they cross
-    between Spark and Python as one value."""
+    between Spark and Python as one value. Rows may be arranged before they leave Python."""
     rows = docs.select(F.col(doc).alias("doc"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    then, columns = arranged or (iter, "")
 
     def run(batches):
         for batch in batches:
@@ -94,7 +100,8 @@ def packed(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
                 times = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tfs, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int32()), pa.array(words, pa.string()), times], ["doc", "dl", "words", "tfs"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *T._parse_datatype_string("dl int, words string, tfs array<int>")]))
+    made = ", ".join(x for x in ("dl int, words string, tfs array<int>", columns) if x)
+    return rows.mapInArrow(lambda batches: then(run(batches)), T.StructType([rows.schema["doc"], *T._parse_datatype_string(made)]))
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
@@ -116,12 +123,12 @@ def frequencies(rows: DataFrame) -> DataFrame:
     return rows.where("dl > 0").select("words").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def build(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
+def build(docs: DataFrame, doc: str = "doc_id", text: str = "text", arranged: Arranged | None = None) -> Index:
     """Index of documents; those without a token count towards their number and mean length.
 
     Postings are made from ``packed`` documents without a shuffle, and document frequencies are summed map-side.
     """
-    rows = packed(docs, doc, text)
+    rows = packed(docs, doc, text, arranged)
     totals = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     return Index(unpacked(rows).select("term", "doc", "tf", "dl"), weighted(frequencies(rows), totals), totals, rows)
 
@@ -263,12 +270,19 @@ def scored_as(weighted: DataFrame, rows: DataFrame) -> T.StructType:
     return T.StructType([weighted.schema["query_id"], rows.schema["doc"], T.StructField("score", T.DoubleType())])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 4 * SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of ``most`` rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def scorer(weights: Weights, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores rows (doc, dl, words, tfs); the k best of each query."""
 
     def run(batches):
         best, kind = Best(weights.table.shape[1], k), None
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.schema.field(0).type
             docs = batch.column(0).to_numpy()
             for rows, scores in weights.scores(*weights.hits(batch.column(1).to_numpy(), batch.column(2), batch.column(3))):
@@ -282,5 +296,6 @@ def scorer(weights: Weights, k: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def handed(best: Best, names: pa.Array, kind: pa.DataType | None) -> Iterator[pa.RecordBatch]:
     """What a task has found (query_id, doc, score), if it has."""
     q, s, d = best.settle()
+    pa.default_memory_pool().release_unused()
     if len(q):
         yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(d).cast(kind), pa.array(s)], ["query_id", "doc", "score"])

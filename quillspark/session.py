@@ -32,6 +32,22 @@ def work_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
+#: Documents that cross together between Spark and Python; both hold them, twice at times, in each task.
+TOGETHER = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = TOGETHER) -> Iterator[None]:
+    """Fewer rows in an Arrow batch, for what runs inside; the setting is restored."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), most) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _tables: list[str] = []
 
 
