@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ class Collection:
     """Documents (chunk_id and further columns) with an embedding each, one for each chunk_id: one that is there already
     stays as it is, and of new ones with one id the first by text counts. ``doc`` numbers them uniquely.
 
-    An addition is a batch: its documents, then the lexical index over all documents and, if wanted, the index of their
+    An addition is a batch: its documents, then the lexical index over all documents, plain and pruned in one, and, if wanted, the index of their
     vectors, each in a folder of the batch, and last a row that says the batch is there. Readers take the last such row
     and what it names; so a batch that broke off changes nothing, and the next one writes over it. Resetting is an
     addition that begins anew. One writer at a time.
@@ -86,23 +87,29 @@ class Collection:
         number = before.batch + 1 if before else 0
         begin = number if reset or not before else before.begin
         rest = [c for c in docs.columns if c != "chunk_id"]
-        first = docs.groupBy("chunk_id").agg(F.min_by(F.struct(*rest), F.struct("page_content", F.xxhash64(*rest))).alias("r")).select("chunk_id", "r.*")
-        if begin < number:
-            first = first.join(self.scan(before).select("chunk_id"), "chunk_id", "left_anti")
+        fresh = docs.join(self.scan(before).select("chunk_id"), "chunk_id", "left_anti") if begin < number else docs
+        first = fresh.groupBy("chunk_id").agg(F.min_by(F.struct(*rest), F.struct("page_content", F.xxhash64(*rest))).alias("r")).select("chunk_id", "r.*")
         start = 0 if begin == number else before.n_all
         placed = corpus.positioned(first, [F.col("chunk_id")], "doc").withColumn("doc", F.col("doc") + start)
         made = placed if embed is None else vector.embed(placed, text, embed, "embedding", batch).drop(text)
         made.drop("batch").write.mode("overwrite").parquet(f"{self.path}/{DOCS}/batch={number}")
         n = spark.read.parquet(f"{self.path}/{DOCS}/batch={number}").count()
         state = State(number, begin, start + n, approximate)
-        everything = self.scan(state)
-        lexical.build(everything, "doc", "page_content").save(self.lexical(state))
-        blockmax.save(everything, self.lexical(state) + "/blocks", doc="doc", text="page_content")
+        everything, known = self.scan(state), self._counted(before) if begin < number else None
+        blockmax.save(everything if known is None else everything.where(F.col("doc") >= start), self.lexical(state), doc="doc", text="page_content", known=known)
         if approximate:
             ivf.build(everything, f"{self.path}/{VECTORS}/{number}", vec="doc")
         self._commit(state, n)
         return state
 
+    def _counted(self, state: State) -> DataFrame | None:
+        """Counts of all documents of a state, as its index has them: an addition tokenises its own documents only. None
+        where there is no such index of this version."""
+        try:
+            return lexical.load(self.spark, self.lexical(state), state.n_all).packed
+        except (ValueError, AnalysisException):
+            return None
+
     def _commit(self, state: State, n: int) -> None:
         row = self.spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(state.n_all).cast("long").alias("n_all"), F.lit(state.begin).alias("begin"), F.lit(state.approximate).alias("approximate"))
         row.write.mode("overwrite").parquet(f"{self.path}/{BATCHES}/batch={state.batch}")

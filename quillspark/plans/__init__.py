@@ -165,12 +165,12 @@ def assemble(spark: SparkSession, engine: Engine, make_chat=None, embed=None, lo
     if state is None or not state.n_all:
         raise NotReady(f"no documents in {collection.path}: ingest chunks first")
     try:
-        index = lexical.load(spark, collection.lexical(state), state.n_all)
+        blocks = blockmax.load(spark, collection.lexical(state), state.n_all)
     except Exception as e:
         raise NotReady(f"no usable index in {collection.lexical(state)}: {e}") from e
     docs = collection.scan(state)
     known = [c for c in docs.columns if c not in ("page_content", "embedding")]
-    retriever = Retriever(docs.select(*known, F.col("page_content").alias("text")), index, docs.select("doc", "embedding"), engine, blockmax.load(spark, f"{collection.lexical(state)}/blocks"))
+    retriever = Retriever(docs.select(*known, F.col("page_content").alias("text")), blocks.index, docs.select("doc", "embedding"), engine, blocks)
     ask = make_chat or (lambda: models.chat(engine.language))
     reranked = models.scorer(engine.rerank) if logit is None else logit
     return Pipeline(engine, collection, retriever, embed or models.embedder(engine.embedding, query=True), ask, reranked if engine.rerank.enabled else None)

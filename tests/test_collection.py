@@ -220,6 +220,24 @@ def test_pruned_with_other_ids_and_lost_heads(spark, tmp_path):
     assert sorted(map(tuple, got.found.collect())) == sorted(map(tuple, lexical.search(lexical.build(whole), asked, 5).collect()))
 
 
+def test_an_addition_counts_its_own_documents_only(spark, tmp_path, monkeypatch):
+    """The second batch tokenises what it adds; searches find what an index made at once finds."""
+    c, seen, build = store.Collection(spark, str(tmp_path / "c")), [], lexical.build
+
+    def counted(docs, *args):
+        seen.append(docs.count())
+        return build(docs, *args)
+
+    monkeypatch.setattr(lexical, "build", counted)
+    c.add(rows_of(spark, range(40), text="number{0} common text of {0}"), None)
+    c.add(rows_of(spark, range(30, 50), text="number{0} common text of {0}"), None)
+    assert seen == [40, 10]
+    asked = spark.createDataFrame([(1, "number7 common"), (2, "number7 number41 number35")], "query_id long, text string")
+    plain = sorted(map(tuple, lexical.search(build(c.scan(), "doc", "page_content"), asked, 5).collect()))
+    assert plain == sorted(map(tuple, lexical.search(lexical.load(spark, c.lexical(), 50), asked, 5).collect()))
+    assert plain == sorted(map(tuple, blockmax.search(blockmax.load(spark, c.lexical()), asked, 5).found.collect()))
+
+
 # index of vectors
 
 
